@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import piece_codec
-from .common import documents
+from . import lines, mixing, piece_codec, quality, topk
+from .common import documents, table
 
 
 def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
@@ -22,7 +22,36 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_codec.decode(ids, model).select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+#: Weight schedules of op5, dealt to the sources in turn; their integrals are 3, 1 and 2.
+CYCLE = [[(0.0, 4.0), (1.0, 2.0)], [(0.0, 1.0), (1.0, 1.0)], [(0.0, 1.0), (0.5, 2.0), (1.0, 3.0)]]
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
+    return quality.judge(docs, table(spark, sf_dir, "labels")).drop("lang", "failed_rules")
+
+
+def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    mixed = mixing.mix(docs, mixing.cycle_schedule(docs, CYCLE))
+    return mixed.select("doc_id", "source", "size", "source_size", "target", "taken", F.get("times", F.lit(0)).alias("first_time"))
+
+
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.quantize(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return topk.search(vectors.filter("vec_id % 100 = 0"), vectors, 10)
+
+
 QUERIES = {
     "op2_sentencepiece": op2_sentencepiece,
+    "op3_quality_rules": op3_quality_rules,
+    "op5_mix_sources": op5_mix_sources,
+    "op9_line_dedup": op9_line_dedup,
+    "op10_topk_search": op10_topk_search,
 }
 ORACLE_SQL: dict[str, str] = {}
