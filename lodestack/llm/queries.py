@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, mixing, piece_codec, quality, topk
-from .common import documents, table
+from . import lines, mixing, piece_codec, quality, topk, warc
+from .common import documents, materialize, shared_dir, table
 
 
 def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
@@ -37,6 +39,16 @@ def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "size", "source_size", "target", "taken", F.get("times", F.lit(0)).alias("first_time"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    warc.write_archive(table(spark, sf_dir, "pages"), path)
+    page = F.regexp_extract("metadata.fields", r"page-id: (-?\d+)", 1).try_cast("long")
+    found = warc.captures(warc.read_records(spark, path, with_payload=False)).select(page.alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), "record_id", "refers_to")
+    found = materialize(found, "captures")
+    keepers = found.filter("record_type = 'response'").select(F.col("record_id").alias("refers_to"), F.col("page_id").alias("keeper"))
+    return found.join(keepers, "refers_to", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", F.col("keeper").alias("refers_to"))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -51,6 +63,7 @@ QUERIES = {
     "op2_sentencepiece": op2_sentencepiece,
     "op3_quality_rules": op3_quality_rules,
     "op5_mix_sources": op5_mix_sources,
+    "op6_warc": op6_warc,
     "op9_line_dedup": op9_line_dedup,
     "op10_topk_search": op10_topk_search,
 }
