@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, mixing, piece_codec, quality, topk, warc
+from . import lines, minhash, mixing, piece_codec, quality, topk, warc
 from .common import documents, materialize, shared_dir, table
 
 
@@ -49,6 +49,10 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(keepers, "refers_to", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", F.col("keeper").alias("refers_to"))
 
 
+def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir))
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
@@ -64,6 +68,7 @@ QUERIES = {
     "op3_quality_rules": op3_quality_rules,
     "op5_mix_sources": op5_mix_sources,
     "op6_warc": op6_warc,
+    "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_line_dedup": op9_line_dedup,
     "op10_topk_search": op10_topk_search,
 }
