@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import materialize, partitions
 from .lines import NULL_ID
 
-CHUNK_BYTES, BUCKET_KEYS, KEY_BITS = 4_000_000, 1_000_000, 40
+CHUNK_BYTES, BUCKET_KEYS, KEY_BITS = 2_000_000, 1_000_000, 40
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -95,9 +95,26 @@ def exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return materialize(ids.join(reps, ["h", "n"], "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep")), "copies")
 
 
+def only_copies(copies: DataFrame, d: Deal) -> DataFrame:
+    """(chunk, skip): ids whose every text is found under a smaller id."""
+    last = copies.groupBy("doc_id").agg(F.max("rep").alias("rep")).filter("rep < doc_id")
+    return last.select(d.chunk("doc_id").alias("chunk"), F.col("doc_id").alias("skip"))
+
+
+def skipped(t: pa.Table) -> np.ndarray:
+    return np.unique(t.column("skip").drop_null().to_numpy())
+
+
+def without(ids, data, off, skip):
+    """The texts of a chunk but for those to skip."""
+    keep = ~np.isin(ids, skip)
+    lens = np.diff(off)
+    return ids[keep], data[np.repeat(keep, lens)], np.concatenate([[0], np.cumsum(lens[keep])])
+
+
 def texts(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(doc_ids, all bytes, the len + 1 offsets of each text in them) of a chunk, by doc_id."""
-    t = t.combine_chunks().sort_by("doc_id")
+    """(doc_ids, all bytes, the len + 1 offsets of each text in them) of a chunk, by doc_id and text: the same in every pass."""
+    t = t.combine_chunks().sort_by([("doc_id", "ascending"), ("text", "ascending")])
     col = t.column("text").combine_chunks()
     col = col.chunk(0) if isinstance(col, pa.ChunkedArray) else col
     if not len(col):

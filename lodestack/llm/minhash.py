@@ -76,29 +76,18 @@ def samples(keys: np.ndarray, w: np.ndarray, starts: np.ndarray, n: int) -> np.n
     return out
 
 
-def skipped(t: pa.Table) -> np.ndarray:
-    return np.unique(t.column("skip").drop_null().to_numpy())
-
-
-def without(ids, data, off, skip):
-    """The texts of a chunk but for those to skip."""
-    keep = ~np.isin(ids, skip)
-    lens = np.diff(off)
-    return ids[keep], data[np.repeat(keep, lens)], np.concatenate([[0], np.cumsum(lens[keep])])
-
-
 def signatures(d: Deal, copies: DataFrame, damping: float) -> DataFrame:
     """(doc_id, total, df binary, bands array<long>) of each document with words that is no exact copy."""
     n_docs, chunks_, buckets = max(1, copies.count()), d.chunks, d.buckets
-    skip = copies.filter("doc_id <> rep").select(d.chunk("doc_id").alias("chunk"), F.col("doc_id").alias("skip"))
+    skip = chunks.only_copies(copies, d)
 
     def keys_of(key, t, s):
-        ids, data, off = without(*chunks.texts(t), skipped(s))
+        ids, data, off = chunks.without(*chunks.texts(t), chunks.skipped(s))
         k, n = np.unique(cut(sets_of(data, off)[0]), return_counts=True)
         return chunks.parts_of(key[0].as_py(), k, n, buckets)
 
     def sign(key, t, s):
-        ids, data, off = without(*chunks.texts(t), skipped(s))
+        ids, data, off = chunks.without(*chunks.texts(t), chunks.skipped(s))
         k, tf, ends = sets_of(data, off)
         full = np.diff(ends) > 0
         ids, starts = ids[full], ends[:-1][full]
@@ -225,7 +214,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, damping: float = DA
     labels = components(near.select("a", "b"))
     # Copies follow their first document; rows of one id with several texts tie those together.
     tied = copies.groupBy("doc_id").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi"))
-    if tied.filter("lo <> hi OR (lo <> doc_id AND hi = doc_id)").isEmpty():
+    if tied.filter("lo <> hi").isEmpty():
         named = copies.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("doc_id", F.coalesce("label", "rep").alias("class_id"))
     else:
         labels = components(near.select("a", "b").unionByName(same))
