@@ -142,9 +142,10 @@ def links(docs_rows: DataFrame, sig: DataFrame, n_docs: int, threshold: float, d
     # Bands with the same members are one bucket.
     groups = materialize(groups.groupBy("n", "leader", "x", "y").agg(F.min("bh").alias("bh")).select("bh", "n", "leader"), "buckets")
     members = materialize(bands.join(groups, "bh"), "members")
-    full = docs_rows.select("doc_id", "text").join(sig.select("doc_id", "df"), "doc_id")
-    used = materialize(members.select("doc_id").distinct(), "candidates")
-    full = materialize(full.join(used, "doc_id", "left_semi"), "candidate-texts")
+    # Texts are joined by merging at every size, so that small inputs run the plan of large ones.
+    used = members.select("doc_id").distinct().join(sig.select("doc_id", "df").hint("merge"), "doc_id")
+    used = materialize(used, "candidates")
+    full = materialize(docs_rows.select("doc_id", "text").join(used.hint("merge"), "doc_id"), "candidate-texts")
 
     pairs = members.filter("doc_id <> leader").groupBy("leader", "doc_id").agg(F.max("n").alias("n"))
     pairs = materialize(pairs.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / MEMBERS))), "pairs")
@@ -160,7 +161,7 @@ def links(docs_rows: DataFrame, sig: DataFrame, n_docs: int, threshold: float, d
     def table_of(found):
         return pa.table({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64()), "similarity": pa.array([f[2] for f in found], pa.float64())})
 
-    first = materialize(rows.join(full, "doc_id").groupBy("leader", "salt").applyInArrow(star, "a long, b long, similarity double"), "star-links")
+    first = materialize(rows.join(full.hint("merge"), "doc_id").groupBy("leader", "salt").applyInArrow(star, "a long, b long, similarity double"), "star-links")
     labels = components(first)
 
     # What is left: buckets of three or more with several components; their members in blocks, every two blocks meet.
@@ -194,7 +195,7 @@ def links(docs_rows: DataFrame, sig: DataFrame, n_docs: int, threshold: float, d
                     found.append((min(a[0], b[0]), max(a[0], b[0]), s))
         return table_of(found)
 
-    second = materialize(left.join(full, "doc_id").groupBy("bh", "p", "q").applyInArrow(meet, "a long, b long, similarity double"), "block-links")
+    second = materialize(left.join(full.hint("merge"), "doc_id").groupBy("bh", "p", "q").applyInArrow(meet, "a long, b long, similarity double"), "block-links")
     return first.unionByName(second)
 
 

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import lines, minhash, mixing, piece_codec, quality, repeats, topk, warc
+from . import licenses, lines, minhash, mixing, piece_codec, quality, repeats, tokenfiles, topk, warc
 from .common import documents, materialize, shared_dir, table
 
 
@@ -39,6 +39,12 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(docs, table(spark, sf_dir, "labels")).drop("lang", "failed_rules")
 
 
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    tokenfiles.write_token_files(documents(spark, sf_dir), path, tokenizer_path())
+    return tokenfiles.token_counts(spark, path)
+
+
 def op5_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     mixed = mixing.mix(docs, mixing.cycle_schedule(docs, CYCLE))
@@ -55,6 +61,11 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.join(keepers, "refers_to", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", F.col("keeper").alias("refers_to"))
 
 
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_licenses(documents(spark, sf_dir))
+    return found.select("doc_id", F.size("licenses").cast("long").alias("n_licenses"), F.array_join("licenses.license", ",").alias("licenses"), F.array_max("licenses.containment").alias("containment"))
+
+
 def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(documents(spark, sf_dir))
 
@@ -73,8 +84,10 @@ QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_quality_rules": op3_quality_rules,
+    "op4_token_counts": op4_token_counts,
     "op5_mix_sources": op5_mix_sources,
     "op6_warc": op6_warc,
+    "op7_license_scan": op7_license_scan,
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_line_dedup": op9_line_dedup,
     "op10_topk_search": op10_topk_search,
