@@ -143,5 +143,5 @@ def cycle_schedule(docs: DataFrame, cycle: list[list[tuple[float, float]]], sour
 def in_training_order(docs: DataFrame, mixed: DataFrame) -> DataFrame:
     """The rows of docs as often as the mix takes them, range-sorted by training time. docs' ids are not repeated."""
     copies = mixed.select(F.col("doc_id").alias("mix_id"), F.posexplode("times").alias("mix_copy", "mix_time"))
-    out = docs.join(copies, docs["doc_id"].eqNullSafe(copies["mix_id"]))
+    out = docs.join(copies.hint("merge"), docs["doc_id"].eqNullSafe(copies["mix_id"]))
     return out.repartitionByRange("mix_time", "mix_id", "mix_copy").sortWithinPartitions("mix_time", "mix_id", "mix_copy").select(*docs.columns)

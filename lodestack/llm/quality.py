@@ -107,3 +107,13 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", text_col: s
     measured = materialize(features(docs, text_col), "features")
     cuts = materialize(cutoffs(certify(measured, labels, stratum, epsilon, delta)), "cutoffs")
     return verdicts(measured, cuts, stratum)
+
+
+def keep(docs: DataFrame, labels: DataFrame, stratum: str = "lang", text_col: str = "text", epsilon: float = EPSILON, delta: float = DELTA) -> DataFrame:
+    """The rows of docs that are kept, with all their columns. Features are computed again rather than joined: texts stay where they are."""
+    cuts = materialize(cutoffs(certify(materialize(features(docs.select("doc_id", text_col, stratum), text_col), "features"), labels, stratum, epsilon, delta)), "cutoffs")
+    own = F.struct(*(F.col(c) for c in docs.columns)).alias("_row")
+    measured = features(docs.select(own, F.col(text_col).alias(text_col), F.col(stratum).alias("_stratum")), text_col)
+    # A filter does not pass a column that is not deterministic; below the features it would compute them again and again.
+    judged = verdicts(measured.withColumn("_at", F.monotonically_increasing_id()), cuts, "_stratum")
+    return judged.filter("kept AND _at >= 0").select("_row.*")
