@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from . import outcome_queries
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+MODULES = (outcome_queries,)
+QUERIES = {k: v for m in MODULES for k, v in m.Q.items()}
+ORACLE_SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
