@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import context_queries, outcome_queries
+from . import context_queries, outcome_queries, text_queries
 
-MODULES = (context_queries, outcome_queries)
+MODULES = (context_queries, outcome_queries, text_queries)
 QUERIES = {k: v for m in MODULES for k, v in m.Q.items()}
 ORACLE_SQL = {k: v for m in MODULES for k, v in m.SQL.items()}
