@@ -169,7 +169,10 @@ def needs(sql: str) -> list[str]:
 def with_views(sql: str) -> str:
     """The text with the views that it names as common table expressions, as any SQL engine runs it."""
     defs = [f"{n} AS ({VIEWS[n].strip()})" for n in needs(sql)]
-    return f"WITH {', '.join(defs)}\n{sql.strip()}" if defs else sql.strip()
+    body = sql.strip()
+    if not defs:
+        return body
+    return f"WITH {', '.join(defs)}" + (f",\n{body[5:]}" if body.startswith("WITH ") else f"\n{body}")
 
 
 def query(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
