@@ -102,7 +102,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col:
     cols = docs.columns
     maps = materialize(keep_bitmaps(docs, min_chars, min_docs, id_col=id_col, text_col=text_col), "bitmaps").select(F.col("doc_id").alias("__id"), F.col("uid").alias("__uid"), F.col("bitmap").alias("__keep"))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    both = docs.join(maps, (F.coalesce(docs[id_col].cast("long"), F.lit(NULL_ID)) == maps["__id"]) & (F.xxhash64(text) == maps["__uid"]), "left")
+    # A merge join at every size, so that small inputs run the plan of large ones.
+    both = docs.join(maps.hint("merge"), (F.coalesce(docs[id_col].cast("long"), F.lit(NULL_ID)) == maps["__id"]) & (F.xxhash64(text) == maps["__uid"]), "left")
     at = cols.index(text_col)
 
     def run(batches):
