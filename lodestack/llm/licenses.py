@@ -95,8 +95,8 @@ class Matcher:
         return out
 
     def match(self, x: np.ndarray, ends: np.ndarray) -> dict[int, dict[str, tuple[str, float]]]:
-        """text -> family -> (license, containment), the best of each family."""
-        out: dict[int, dict[str, tuple[str, float]]] = {}
+        """text -> family -> (license, containment), the best of each family: by containment, then length, then name."""
+        best: dict[int, dict[str, tuple[float, int, str]]] = {}
         for i, a, b in self.windows(x):
             b = min(b, len(x))
             hit = np.flatnonzero(np.isin(x[a:b], self.sets[i])) + a
@@ -104,15 +104,17 @@ class Matcher:
             for t in np.unique(text).tolist():
                 share = len(np.unique(x[hit[text == t]])) / len(self.sets[i])
                 family, name, _ = self.templates[i]
-                if share >= self.least and (-share, name) < (-(old := out.setdefault(t, {}).get(family, ("", 0.0)))[1], old[0] or "~"):
-                    out[t][family] = (name, share)
-        return {t: f for t, f in out.items() if f}
+                if share >= self.least:
+                    rank = (-share, -len(self.sets[i]), name)
+                    own = best.setdefault(t, {})
+                    own[family] = min(rank, own.get(family, rank))
+        return {t: {f: (name, -share) for f, (share, _, name) in own.items()} for t, own in best.items()}
 
 
 def scan_licenses(docs: DataFrame, templates: list[tuple[str, str, str]] = TEMPLATES, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, licenses array<struct<license, containment>>) of every document, by license name; empty where none is found.
 
-    Of licenses of one family (versions) the best contained one counts. Null and empty texts have none;
+    Of licenses of one family (versions) the best contained one counts, the longer one at ties. Null and empty texts have none;
     repeated rows are scanned alike; texts are scanned whole.
     """
 
