@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import graphs, judgments, outcomes
-from . import context_queries, graph_queries, outcome_queries, stream_queries, text_queries
+from . import context_queries, graph_queries, lint_queries, outcome_queries, stream_queries, text_queries
 from .views import view, with_views
 
-MODULES = (context_queries, text_queries, outcome_queries, graph_queries, stream_queries)
+MODULES = (context_queries, text_queries, outcome_queries, graph_queries, lint_queries, stream_queries)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

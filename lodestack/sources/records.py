@@ -25,9 +25,9 @@ def read_event_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     return d.filter("e.id IS NOT NULL").select("e.*"), d.filter("e IS NULL OR e.id IS NULL").select("value")
 
 
-def read_flows(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """SRC-3: (flows, nodes, edges) of a corpus with one definition per file; raw text and declared positions stay."""
-    raw = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("raw"))
+def read_flows(spark: SparkSession, path: str, per_line: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """SRC-3: (flows, nodes, edges) of a corpus with one definition per file, or per line; raw text and declared positions stay."""
+    raw = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=not per_line).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("raw"))
     d = raw.withColumn("f", F.from_json("raw", FLOW)).withColumn("flow_id", F.col("f.id"))
     flows = d.select("flow_id", "file", "raw", F.col("f.name").alias("name"), F.col("f.version").alias("version"))
     nodes = d.select("flow_id", F.posexplode("f.nodes").alias("pos", "n")).select("flow_id", F.col("pos").cast("long").alias("pos"), F.col("n.id").alias("node_id"), "n.type", "n.label", "n.config", "n.on_error")
