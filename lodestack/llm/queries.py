@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import licenses, lines, minhash, mixing, piece_codec, quality, repeats, tokenfiles, topk, warc
 from .common import documents, materialize, shared_dir, table
+from .oracle_sql import ORACLE_SQL  # noqa: F401
 
 
 def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
@@ -92,4 +93,3 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_topk_search": op10_topk_search,
 }
-ORACLE_SQL: dict[str, str] = {}

@@ -360,6 +360,13 @@ def test_pipeline_stages(spark, data):
     assert out.count() == taken and out.filter("n_tokens <> size(token_ids)").isEmpty()
 
 
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_same_rows_as_sql(spark, data, name):
+    import oracle
+
+    assert oracle.differences(spark, oracle.connect(data), data, name, queries.QUERIES[name], queries.ORACLE_SQL[name]) == ""
+
+
 def test_queries_give_one_row_per_document(spark, data):
     n = spark.read.parquet(f"{data}/documents.parquet").count()
     for name, f in queries.QUERIES.items():
