@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.records import folder
+
 
 @dataclass
 class Operators:
@@ -54,13 +55,13 @@ def refine(df: DataFrame, step: Callable[[DataFrame], DataFrame], done: Column,
     read. What is still not done at the end is exhausted.
     """
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/refine"
+    base = folder(df, "refine")
     kind = df.schema[value].dataType.simpleString()
     state = df.withColumns({"history": F.array().cast(f"array<{kind}>"), "passes": F.lit(0)})
     open_, closed = state.filter(~F.coalesce(done, F.lit(False))), state.filter(F.coalesce(done, F.lit(False)))
-    for _ in range(max_passes):
+    for n in range(max_passes):
         before = open_.withColumn("history", F.concat("history", F.array(value))).withColumn("passes", F.col("passes") + 1)
-        path = f"{folder.rstrip('/')}/refine-{uuid.uuid4().hex}"
+        path = f"{base}/{n}"
         step(before).write.parquet(path)
         after = spark.read.parquet(path)
         closed = closed.unionByName(after.filter(F.coalesce(done, F.lit(False))))

@@ -58,7 +58,8 @@ def walk(nodes: list[str], edges: list[tuple[int, str, str]]) -> tuple[list[int]
 
 
 def _walked(nodes: DataFrame, edges: DataFrame, run, schema: str) -> DataFrame:
-    """run(flow_id, nodes, edges) for each flow: its nodes and edges as two ordered arrays of one row."""
+    """run(flow_id, nodes, edges) for each flow: its nodes and edges as two ordered arrays of one row; schema follows flow_id."""
+    schema = f"flow_id {nodes.schema['flow_id'].dataType.simpleString()}, {schema}"
     n = nodes.groupBy("flow_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "node_id"))), lambda x: x["node_id"]).alias("nodes"))
     e = edges.groupBy("flow_id").agg(F.array_sort(F.collect_list(F.struct("pos", "src", "dst"))).alias("edges"))
 
@@ -74,12 +75,12 @@ def _walked(nodes: DataFrame, edges: DataFrame, run, schema: str) -> DataFrame:
 
 def back_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """GRF-2: edges that close a cycle under depth-first search in declaration order."""
-    return _walked(nodes, edges, lambda f, n, e: [(f, p) for p in walk(n, e)[0]], "flow_id long, pos long")
+    return _walked(nodes, edges, lambda f, n, e: [(f, p) for p in walk(n, e)[0]], "pos long")
 
 
 def topological_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """GRF-3: first-in first-out order over forward edges; leftovers at the end, edges to unknown nodes ignored."""
-    return _walked(nodes, edges, lambda f, n, e: [(f, x, i) for i, x in enumerate(walk(n, e)[1])], "flow_id long, node_id string, place long")
+    return _walked(nodes, edges, lambda f, n, e: [(f, x, i) for i, x in enumerate(walk(n, e)[1])], "node_id string, place long")
 
 
 def reach(start: DataFrame, edges: DataFrame, src: str = "src", dst: str = "dst", max_depth: int = MAX_DEPTH) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.records import FLOW
 from . import graphs
 from .extension import CATALOG, catalog
 from .matching import unknown_output_refs
@@ -115,6 +116,27 @@ def config_issues(nodes: DataFrame) -> DataFrame:
     return n.select("flow_id", F.explode(found).alias("code"), F.col("node_id").alias("target")).select("flow_id", "code", "target", F.lit("error").alias("severity"), F.concat(F.lit("Node "), "target", F.lit(" breaks "), "code").alias("message"))
 
 
+def nested(nodes: DataFrame) -> DataFrame:
+    """(flow_id, node_id, type, child, body): definitions within configs of map, gadget and agent steps, as flows of their own."""
+    tools = F.transform(F.from_json(raw("tools"), "array<string>"), lambda t: F.when(kind(t) == "blueprint", F.get_json_object(t, "$.inline")))
+    bodies = F.when(F.col("type") == "map", F.array(raw("inline"))).when(F.col("type") == "agent_loop", tools).when(F.col("type") == "gadget", F.array(raw("inline"), F.when(~text("blueprint_json").contains("{{"), raw("blueprint_json"))))
+    n = nodes.select("flow_id", "node_id", "type", F.posexplode(bodies).alias("i", "body")).filter(F.try_parse_json("body").isNotNull())
+    n = n.filter(F.coalesce(F.json_array_length(F.get_json_object("body", "$.nodes")), F.lit(0)) > 0)
+    return n.select("flow_id", "node_id", "type", F.concat_ws("/", F.col("flow_id").cast("string"), "node_id", F.col("i").cast("string")).alias("child"), "body", "i")
+
+
+def inline_issues(nodes: DataFrame) -> DataFrame:
+    """Steps whose nested definition is broken: its structure and returns, and for gadgets its configs too."""
+    n = nested(nodes)
+    f = n.withColumn("f", F.from_json("body", FLOW))
+    inner = f.select(F.col("child").alias("flow_id"), "type", F.posexplode("f.nodes").alias("pos", "n")).select("flow_id", F.col("type").alias("of"), F.col("pos").cast("long").alias("pos"), F.col("n.id").alias("node_id"), "n.type", "n.config")
+    links = f.select(F.col("child").alias("flow_id"), F.posexplode("f.edges").alias("pos", "e")).select("flow_id", F.col("pos").cast("long").alias("pos"), F.col("e.from").alias("src"), F.col("e.to").alias("dst"), F.coalesce("e.max_traversals", F.lit(0)).alias("max_traversals"))
+    broken = graphs.structure_issues(inner.select("flow_id", "pos", "node_id", "type"), links, sorted({*CATALOG, *FIELDS})).select("flow_id")
+    broken = broken.union(config_issues(inner.filter("of = 'gadget'")).select("flow_id")).distinct().withColumnRenamed("flow_id", "child")
+    code = F.when(F.col("type") == "map", "MAP_INLINE_INVALID").when(F.col("type") == "agent_loop", "AGENT_LOOP_BLUEPRINT_TOOL_INLINE_INVALID").when(F.col("i") == 0, "GADGET_INLINE_INVALID").otherwise("GADGET_BLUEPRINT_INVALID")
+    return n.join(broken, "child").select("flow_id", code.alias("code"), F.col("node_id").alias("target"), F.lit("error").alias("severity"), F.concat(F.lit("nested definition of "), "node_id", F.lit(" is invalid")).alias("message")).distinct()
+
+
 def lint(flows: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """GRF-12: one row per flow of (flow_id, raw): valid, issue_count, first_code, first_target, issues_text; blank and unparsable text are issues."""
     blank, broken = F.trim(F.coalesce("raw", F.lit(""))) == "", F.try_parse_json("raw").isNull()
@@ -123,7 +145,7 @@ def lint(flows: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     refs = unknown_output_refs(edges, nodes, catalog(flows.sparkSession))
     refs = refs.select("flow_id", F.lit("EDGE_UNKNOWN_OUTPUT_KEY").alias("code"), "node_id", "key", "suggestion").select("flow_id", "code", F.concat_ws(".", "node_id", "key").alias("target"), F.lit("warning").alias("severity"), F.concat(F.lit("unknown output, nearest: "), "suggestion").alias("message"))
     known = sorted({*CATALOG, *FIELDS})
-    issues = own.unionByName(graphs.structure_issues(nodes, edges, known)).unionByName(config_issues(nodes)).unionByName(refs)
+    issues = own.unionByName(graphs.structure_issues(nodes, edges, known)).unionByName(config_issues(nodes)).unionByName(inline_issues(nodes)).unionByName(refs)
     summary = issue_summary(issues).join(issues.groupBy("flow_id").agg(F.bool_and(F.col("severity") == "warning").alias("valid")), "flow_id")
     j = flows.select("flow_id").join(summary, "flow_id", "left")
     return j.select("flow_id", F.coalesce("valid", F.lit(True)).alias("valid"), F.coalesce("issue_count", F.lit(0)).cast("long").alias("issue_count"), F.coalesce("first_code", F.lit("")).alias("first_code"), F.coalesce("first_target", F.lit("")).alias("first_target"), F.coalesce("issues_text", F.lit("Blueprint is valid.")).alias("issues_text"))

@@ -2,23 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.records import folder
+
 TERMINAL = ("completed", "failed", "cancelled")
 # The case status that an event type leads to.
 STATUS_OF = {"RunQueued": "queued", "RunRunning": "running", "RunWaiting": "waiting", "RunRecovered": "queued", "RunInterrupted": "queued", "RunCompleted": "completed", "RunCompletedViaReturn": "completed", "RunFailed": "failed", "RunCancelled": "cancelled"}
 
 
-def folder(df: DataFrame, label: str) -> str:
-    """A fresh folder below the shared checkpoint directory, or a local one where that is unset."""
-    base = df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-lodestack-")
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
 def drain(stream: DataFrame, mode: str = "append", timeout: int = 300) -> DataFrame:
     """Run a stream over what is there, into a table, and read that."""
     out, check = folder(stream, "sink"), folder(stream, "stream-checkpoint")

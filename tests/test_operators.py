@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestack.functions import conditions as c
-from lodestack.operators import batching, context, extension, graphs, judgments, matching
+from lodestack.operators import batching, context, extension, graphs, judgments, lint, matching
 from lodestack.sources import records
 
 
@@ -65,7 +65,7 @@ def test_graph_walks():
 
 def test_batches_keep_errors(spark):
     df = spark.createDataFrame([(1, 2), (1, 3), (2, 0)], "k int, v int")
-    got = {r["k"]: r for r in batching.apply_batches(df, ["k"], lambda p: int(10 // p["v"].min()), "result long").collect()}
+    got = {r["k"]: r for r in batching.apply_batches(df, ["k"], lambda p: 10 // int(p["v"].min()), "result long").collect()}
     assert (got[1]["result"], got[1]["status"], got[2]["status"]) == (5, "completed", "failed") and "zero" in got[2]["error"]
 
 
@@ -98,3 +98,22 @@ def test_corrupt_record_fails(spark, tmp_path):
     (tmp_path / "x.json").write_text('{"run_id": 1\n')
     with pytest.raises(Exception):
         records.read_cases(spark, str(tmp_path)).collect()
+
+
+def test_nested_definitions(spark):
+    good = {"nodes": [{"id": "a", "type": "wait"}, {"id": "r", "type": "return", "config": {"value": {"status": "success"}}}], "edges": [{"from": "a", "to": "r"}]}
+    bad = {"nodes": [{"id": "a", "type": "wait"}], "edges": []}
+    off = {"nodes": [{"id": "r", "type": "return", "config": {"value": {"status": 1}}}], "edges": []}
+    configs = {"m1": ("map", {"items_key": "x", "inline": good}), "m2": ("map", {"items_key": "x", "inline": bad}), "g1": ("gadget", {"inline": good}), "g2": ("gadget", {"blueprint_json": json.dumps(off)}), "m3": ("map", {"items_key": "x", "inline": off}),
+               "t1": ("agent_loop", {"prompt": "p", "tools": [{"name": "t", "inline": good}, {"name": "u", "inline": bad}]})}
+    nodes = spark.createDataFrame([(1, n, t, json.dumps(c)) for n, (t, c) in configs.items()], "flow_id long, node_id string, type string, config string")
+    got = {(r["target"], r["code"]) for r in lint.inline_issues(nodes).collect()}
+    assert got == {("m2", "MAP_INLINE_INVALID"), ("g2", "GADGET_BLUEPRINT_INVALID"), ("t1", "AGENT_LOOP_BLUEPRINT_TOOL_INLINE_INVALID")}
+
+
+def test_unusable_definitions_are_issues(spark):
+    flows = spark.createDataFrame([("a", ""), ("b", "{"), ("c", '{"nodes": []}'), ("d", "x" * 20000)], "flow_id string, raw string")
+    nodes = spark.createDataFrame([], "flow_id string, pos long, node_id string, type string, config string")
+    edges = spark.createDataFrame([], "flow_id string, pos long, src string, dst string, condition string, max_traversals long")
+    got = {r["flow_id"]: (r["valid"], r["first_code"]) for r in lint.lint(flows, nodes, edges).collect()}
+    assert got == {"a": (False, "BLUEPRINT_JSON_REQUIRED"), "b": (False, "BLUEPRINT_JSON_INVALID"), "c": (False, "EMPTY_BLUEPRINT"), "d": (False, "BLUEPRINT_JSON_INVALID")}
