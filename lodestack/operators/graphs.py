@@ -144,36 +144,51 @@ def policy_issues(nodes: DataFrame, edges: DataFrame, max_nodes: int, max_edges:
     return j.select("flow_id", F.when(F.col("n_nodes") > max_nodes, "too many nodes").when(F.coalesce("n_edges", F.lit(0)) > max_edges, "too many edges").when(F.col("bad_type").isNotNull(), F.concat(F.lit("type not allowed: "), "bad_type")).otherwise("").alias("violation"))
 
 
-def issue(flow: str, code: str, target: Column, message: Column | str, severity: str = "error") -> list[Column]:
-    text = F.lit(message) if isinstance(message, str) else message
-    return [F.col(flow).alias("flow_id"), F.lit(code).alias("code"), target.alias("target"), F.lit(severity).alias("severity"), text.alias("message")]
+def closure(start: Column, links: Column, a: str, b: str) -> Column:
+    """The nodes reached from an array of nodes over an array of links, by as many rounds as there are links."""
+    one = lambda seen, x: F.when(F.array_contains(seen, x[a]) & ~F.array_contains(seen, x[b]), F.array_append(seen, x[b])).otherwise(seen)
+    rounds = F.slice(F.transform(links, lambda x: x["pos"]), 1, MAX_DEPTH)
+    return F.aggregate(rounds, start, lambda seen, _: F.aggregate(links, seen, one))
 
 
 def structure_issues(nodes: DataFrame, edges: DataFrame, known_types: list[str]) -> DataFrame:
-    """GRF-6: coded issues of the structure of flows from (flow_id, pos, node_id, type) and (flow_id, pos, src, dst, max_traversals)."""
-    back = back_edges(nodes.dropDuplicates(["flow_id", "node_id"]), edges)
-    ahead, ids = forward(edges, back), nodes.select("flow_id", "node_id").distinct()
-    arrow = F.concat("src", F.lit("->"), "dst")
-    missing = lambda side: edges.join(ids.withColumnRenamed("node_id", side), ["flow_id", side], "left_anti")
-    flows, returns = nodes.select("flow_id").distinct(), nodes.filter("type = 'return'")
-    live, ending, leaf = reachable(nodes, ahead), reaches(nodes, edges), nodes.join(edges.select("flow_id", F.col("src").alias("node_id")), ["flow_id", "node_id"], "left_anti")
-    rules = [
-        nodes.groupBy("flow_id").agg(F.count("*").alias("n")).filter(F.col("n") > MAX_NODES).select(*issue("flow_id", "TOO_MANY_NODES", F.lit(""), F.concat(F.col("n").cast("string"), F.lit(" nodes")))),
-        nodes.groupBy("flow_id", "node_id").agg(F.count("*").alias("n")).filter("n > 1").select(*issue("flow_id", "DUPLICATE_NODE_ID", F.col("node_id"), "node id is used twice")),
-        nodes.filter(~F.col("type").isin(*known_types)).select(*issue("flow_id", "UNKNOWN_NODE_TYPE", F.col("node_id"), F.concat(F.lit("unknown type "), "type"))),
-        edges.filter("src = dst").select(*issue("flow_id", "SELF_LOOP", arrow, "edge to its own node")),
-        edges.groupBy("flow_id", "src", "dst").agg(F.count("*").alias("n")).filter("n > 1").select(*issue("flow_id", "DUPLICATE_EDGE", arrow, "edge is declared twice")),
-        missing("src").select(*issue("flow_id", "DANGLING_EDGE_SOURCE", arrow, "source is unknown")),
-        missing("dst").select(*issue("flow_id", "DANGLING_EDGE_TARGET", arrow, "target is unknown")),
-        edges.join(back, ["flow_id", "pos"], "left_semi").filter("max_traversals <= 0").select(*issue("flow_id", "BACK_EDGE_MISSING_MAX_TRAVERSALS", arrow, "loop without a limit")),
-        flows.join(returns, "flow_id", "left_anti").select(*issue("flow_id", "NO_RETURN_NODE", F.lit(""), "no return")),
-        flows.join(roots(nodes, ahead), "flow_id", "left_anti").select(*issue("flow_id", "NO_ROOT", F.lit(""), "no root")),
-        ids.join(live, ["flow_id", "node_id"], "left_anti").select(*issue("flow_id", "UNREACHABLE_NODE", F.col("node_id"), "no root reaches it")),
-        edges.join(returns.select("flow_id", F.col("node_id").alias("src")).distinct(), ["flow_id", "src"], "left_semi").select(*issue("flow_id", "RETURN_HAS_OUTGOING", F.col("src"), "a return ends the run")).distinct(),
-        leaf.filter("type <> 'return'").select(*issue("flow_id", "NON_RETURN_LEAF", F.col("node_id"), "a leaf must be a return")),
-        ids.join(ending, ["flow_id", "node_id"], "left_anti").join(returns, "flow_id", "left_semi").select(*issue("flow_id", "NO_RETURN_PATH", F.col("node_id"), "no path to a return")),
-    ]
-    out = rules[0]
-    for r in rules[1:]:
-        out = out.unionByName(r)
-    return out
+    """GRF-6: coded issues of the structure of flows from (flow_id, pos, node_id, type) and (flow_id, pos, src, dst, max_traversals).
+
+    A flow's nodes and edges are two arrays of one row, and a rule is an expression over them: the shuffles are
+    those that bring a flow together, however many rules there are.
+    """
+    n = nodes.groupBy("flow_id").agg(F.array_sort(F.collect_list(F.struct("pos", "node_id", "type"))).alias("n"))
+    e = edges.groupBy("flow_id").agg(F.array_sort(F.collect_list(F.struct("pos", "src", "dst", "max_traversals"))).alias("e"))
+    first = nodes.groupBy("flow_id", "node_id").agg(F.min("pos").alias("pos"))
+    back = back_edges(first, edges).groupBy("flow_id").agg(F.collect_list("pos").alias("back"))
+    none = F.array().cast("array<struct<pos:bigint,src:string,dst:string,max_traversals:bigint>>")
+    g = n.join(e, "flow_id", "left").join(back, "flow_id", "left").select("flow_id", "n", F.coalesce("e", none).alias("e"), F.coalesce("back", F.array().cast("array<bigint>")).alias("back"))
+    # Columns that several rules use; each is used twice or more, so that none is computed within a loop.
+    g = g.withColumn("ids", F.array_distinct(F.transform("n", lambda x: x["node_id"]))).withColumn("returns", F.array_distinct(F.transform(F.filter("n", lambda x: x["type"] == "return"), lambda x: x["node_id"])))
+    g = g.withColumn("ahead", F.filter("e", lambda x: ~F.array_contains("back", x["pos"]))).withColumn("sources", F.transform("e", lambda x: x["src"])).withColumn("arrows", F.transform("e", lambda x: F.concat(x["src"], F.lit("->"), x["dst"])))
+    g = g.withColumn("into", F.transform("ahead", lambda x: x["dst"])).withColumn("all_ids", F.transform("n", lambda x: x["node_id"]))
+    g = g.withColumn("roots", F.filter("ids", lambda x: ~F.array_contains("into", x)))
+
+    made = lambda targets, code, message: F.transform(targets, lambda t: F.struct(F.lit(code).alias("code"), t.alias("target"), F.lit(message).alias("message")))
+    when = lambda cond, code, message: made(F.when(cond, F.array(F.lit(""))).otherwise(F.array().cast("array<string>")), code, message)
+    on = lambda test: F.transform(F.filter("e", test), lambda x: F.concat(x["src"], F.lit("->"), x["dst"]))
+    twice = lambda col: F.filter(F.array_distinct(col), lambda x: F.size(F.filter(F.col(col), lambda y: y == x)) > 1)
+    found = F.concat(
+        when(F.size("n") > MAX_NODES, "TOO_MANY_NODES", "too many nodes"),
+        made(twice("all_ids"), "DUPLICATE_NODE_ID", "node id is used twice"),
+        made(F.transform(F.filter("n", lambda x: ~x["type"].isin(*known_types)), lambda x: x["node_id"]), "UNKNOWN_NODE_TYPE", "unknown type"),
+        made(on(lambda x: x["src"] == x["dst"]), "SELF_LOOP", "edge to its own node"),
+        made(twice("arrows"), "DUPLICATE_EDGE", "edge is declared twice"),
+        made(on(lambda x: ~F.array_contains("ids", x["src"])), "DANGLING_EDGE_SOURCE", "source is unknown"),
+        made(on(lambda x: ~F.array_contains("ids", x["dst"])), "DANGLING_EDGE_TARGET", "target is unknown"),
+        made(on(lambda x: F.array_contains("back", x["pos"]) & (x["max_traversals"] <= 0)), "BACK_EDGE_MISSING_MAX_TRAVERSALS", "loop without a limit"),
+        when(F.size("returns") == 0, "NO_RETURN_NODE", "no return"),
+        when(F.size("roots") == 0, "NO_ROOT", "no root"),
+        made(F.array_except("ids", closure(F.col("roots"), F.col("ahead"), "src", "dst")), "UNREACHABLE_NODE", "no root reaches it"),
+        made(F.array_intersect("sources", "returns"), "RETURN_HAS_OUTGOING", "a return ends the run"),
+        made(F.transform(F.filter("n", lambda x: (x["type"] != "return") & ~F.array_contains("sources", x["node_id"])), lambda x: x["node_id"]), "NON_RETURN_LEAF", "a leaf must be a return"),
+        made(F.when(F.size("returns") > 0, F.array_except("ids", closure(F.col("returns"), F.col("e"), "dst", "src"))).otherwise(F.array().cast("array<string>")), "NO_RETURN_PATH", "no path to a return"),
+    )
+    # An outer explode: Spark would compute the whole array once more to filter empty ones ahead of a plain one.
+    rows = g.select("flow_id", F.explode_outer(found).alias("i")).filter("i IS NOT NULL")
+    return rows.select("flow_id", "i.code", "i.target", F.lit("error").alias("severity"), "i.message")
