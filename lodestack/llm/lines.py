@@ -15,15 +15,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, materialize, partitions
+from .common import SPACE_BYTES, materialize, partitions
 
+SPACE_CHARS = SPACE_BYTES.decode()
 #: Null ids sort before all others.
 NULL_ID = -(2**63)
 
 
 def line_key(line) -> "F.Column":
     """A line without the white space at its ends, A-Z in lower case."""
-    return F.translate(F.regexp_replace(line, rf"\A{SPACE}+|{SPACE}+\z", ""), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    return F.translate(F.btrim(line, F.lit(SPACE_CHARS)), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def keyed_lines(docs: DataFrame, min_chars: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -64,7 +65,9 @@ def runs(part: DataFrame, min_docs: int) -> DataFrame:
 def dropped_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, **cols: str) -> DataFrame:
     """(doc_id, uid, pos): lines whose key is found in min_docs documents, but for those in its largest doc_id."""
     order = ["h1", "h2", "doc_id"]
-    spread = keyed_lines(docs, min_chars, **cols).repartitionByRange(partitions(docs.sparkSession), *order)
+    # Range partitions take a sample first: of the written hashes, so that texts are read once.
+    keyed = materialize(keyed_lines(docs, min_chars, **cols), "line-keys")
+    spread = keyed.repartitionByRange(partitions(docs.sparkSession), *order)
     rows = spread.sortWithinPartitions(*order, "uid", "pos").withColumn("pid", F.spark_partition_id())
     rows = materialize(runs(rows, min_docs), "lines")
     # A document's lines of one key lie in one partition, so documents add up. At most two keys per partition are open.
