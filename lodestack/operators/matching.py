@@ -15,6 +15,12 @@ def type_matches(wait_type: Column, signal_type: Column) -> Column:
     return (wait_type == "") | (wait_type == signal_type) | signal_type.startswith(F.concat(wait_type, F.lit(".")))
 
 
+def type_prefixes(signal_type: Column) -> Column:
+    """The wait types that take a signal: every dotted prefix of its type, and '' for waits of any type."""
+    parts = F.split(signal_type, r"\.")
+    return F.array_distinct(F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "."))))
+
+
 def match_signals(waits: DataFrame, signals: DataFrame) -> DataFrame:
     """JON-1: (wait_id, event_id) of signal waits. Waits with a key join on it, salted, since a key may be hot; waits that match any key join on their type's prefixes."""
     w = waits.filter("kind = 'signal'").select("wait_id", F.col("correlation_key").alias("key"), F.col("signal_type").alias("wtype"))
@@ -23,8 +29,7 @@ def match_signals(waits: DataFrame, signals: DataFrame) -> DataFrame:
     keyed = w.filter("key <> ''").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = s.withColumn("salt", F.pmod(F.xxhash64("event_id"), F.lit(SALTS)).cast("int"))
     on_key = keyed.join(salted, ["key", "salt"]).filter(type_matches(F.col("wtype"), F.col("stype")))
-    # Every dotted prefix of a signal's type, and '' for waits of any type.
-    prefixes = F.array_distinct(F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(F.split("stype", r"\."))), lambda n: F.array_join(F.slice(F.split("stype", r"\."), 1, n), "."))))
+    prefixes = type_prefixes(F.col("stype"))
     on_type = w.filter("key = ''").join(s.withColumn("wtype", F.explode(prefixes)), "wtype")
     return on_key.select("wait_id", "event_id").union(on_type.select("wait_id", "event_id"))
 
@@ -41,9 +46,18 @@ def candidates(waits: DataFrame, signals: DataFrame) -> DataFrame:
 
 
 def first_match(waits: DataFrame, signals: DataFrame) -> DataFrame:
-    """JON-3: for each wait the valid match with the smallest (idempotency_key, event_id). Waits do not use signals up for each other."""
-    best = F.min(F.struct("idempotency_key", "event_id"))
-    return candidates(waits, signals).groupBy("wait_id").agg(best.alias("m")).select("wait_id", "m.idempotency_key", "m.event_id")
+    """JON-3: for each wait the valid match with the smallest (idempotency_key, event_id). Waits do not use signals up for each other.
+
+    Only the smallest signal of each key and wait type counts, with and without an outcome: those are summed
+    up before the join, so that a hot key is one row and no pairs are made.
+    """
+    s = signals.select("correlation_key", F.explode(type_prefixes(F.col("signal_type"))).alias("wtype"), F.struct("idempotency_key", "event_id").alias("m"), (F.col("payload_outcome") != "").alias("full"))
+    best = [F.min("m").alias("any_m"), F.min(F.when(F.col("full"), F.col("m"))).alias("full_m")]
+    by_key = s.groupBy("correlation_key", "wtype").agg(*best).select(F.lit("key").alias("scope"), F.col("correlation_key").alias("key"), "wtype", "any_m", "full_m")
+    by_type = s.groupBy("wtype").agg(*best).select(F.lit("any").alias("scope"), F.lit("").alias("key"), "wtype", "any_m", "full_m")
+    w = waits.filter("kind = 'signal'").select("wait_id", "needs_outcome", F.when(F.col("correlation_key") == "", "any").otherwise("key").alias("scope"), F.col("correlation_key").alias("key"), F.col("signal_type").alias("wtype"))
+    j = w.join(by_key.unionByName(by_type), ["scope", "key", "wtype"]).withColumn("m", F.when(F.col("needs_outcome"), F.col("full_m")).otherwise(F.col("any_m")))
+    return j.filter("m IS NOT NULL").select("wait_id", "m.idempotency_key", "m.event_id")
 
 
 def assign_once(waits: DataFrame, signals: DataFrame) -> DataFrame:
@@ -71,10 +85,15 @@ def assign_once(waits: DataFrame, signals: DataFrame) -> DataFrame:
 
 
 def deliver(waits: DataFrame, signals: DataFrame) -> DataFrame:
-    """JON-4: per signal the waits it matches, and whether all accept its payload; one that fails rejects the delivery."""
-    m = match_signals(waits, signals).join(waits.select("wait_id", "needs_outcome"), "wait_id").join(signals.select("event_id", "payload_outcome"), "event_id")
-    ok = ~F.col("needs_outcome") | (F.col("payload_outcome") != "")
-    return m.groupBy("event_id").agg(F.count("*").alias("n_waits"), F.bool_and(ok).alias("accepted"))
+    """JON-4: per signal the waits it matches, and whether all accept its payload; one that fails rejects the delivery.
+
+    Waits are counted by key and type first; a signal looks up its type's prefixes under its key and under any key.
+    """
+    count = [F.count("*").alias("n"), F.bool_or("needs_outcome").alias("needs")]
+    w = waits.filter("kind = 'signal'").withColumns({"scope": F.when(F.col("correlation_key") == "", "any").otherwise("key"), "key": F.col("correlation_key"), "wtype": F.col("signal_type")}).groupBy("scope", "key", "wtype").agg(*count)
+    s = signals.select("event_id", (F.col("payload_outcome") != "").alias("full"), "correlation_key", F.explode(type_prefixes(F.col("signal_type"))).alias("wtype"))
+    s = s.select("event_id", "full", "wtype", F.explode(F.array(F.struct(F.lit("key").alias("scope"), F.col("correlation_key").alias("key")), F.struct(F.lit("any").alias("scope"), F.lit("").alias("key")))).alias("at")).select("event_id", "full", "wtype", "at.scope", "at.key")
+    return s.join(w, ["scope", "key", "wtype"]).groupBy("event_id").agg(F.sum("n").alias("n_waits"), F.bool_and(F.col("full") | ~F.col("needs")).alias("accepted"))
 
 
 def resume_outputs(defaults: Column, payload: Column) -> Column:
