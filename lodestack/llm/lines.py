@@ -9,6 +9,7 @@ bitmap of kept lines per document that loses some, never text.
 from __future__ import annotations
 
 import zlib
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,25 +40,39 @@ def runs(part: DataFrame, min_docs: int) -> DataFrame:
     """Stream each sorted partition of key rows: the lines to drop, and those that other partitions decide.
 
     Out come (pid, h1, h2, n, last, doc_id, uid, pos, open): n documents and the last document of the key
-    within its partition. Lines of a partition's first and last key are open unless three documents and a
-    later one are already there.
+    within its partition. Lines of a partition's first and last key are open unless min_docs documents and
+    a later one are already there; n and last are those of the whole partition for open lines. Of the key
+    in progress no more is held than the lines of its first min_docs - 1 documents, or of its latest one.
     """
 
     def run(batches):
-        cols = [[np.asarray(c) for c in b.columns] for b in batches if b.num_rows]
-        if not cols:
-            return
-        pid, h1, h2, doc, uid, pos = (np.concatenate(c) for c in zip(*cols, strict=True))
-        new = np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]
-        starts, of = np.flatnonzero(new), np.cumsum(new) - 1
-        n = np.add.reduceat(np.r_[True, doc[1:] != doc[:-1]] | new, starts, dtype=np.int64)
-        last = doc[np.r_[starts[1:], len(doc)] - 1]
-        drop = (n[of] >= min_docs) & (doc < last[of])
-        edge = ((of == 0) | (of == of[-1])) & ~drop
-        at = np.flatnonzero(drop | edge)
-        full = (pid, h1, h2, n[of], last[of], doc, uid, pos, edge)
-        for x in range(0, len(at), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c[at[x : x + 50_000]]) for c in full], names=["pid", "h1", "h2", "n", "last", "doc_id", "uid", "pos", "open"])
+        held, seen, first = None, 0, None
+        for b in chain(batches, [None]):
+            done = b is None
+            if done:
+                if held is None:
+                    return
+                cols = held
+            elif b.num_rows:
+                own = [np.asarray(c) for c in b.columns]
+                cols = own if held is None else [np.concatenate(c) for c in zip(held, own, strict=True)]
+            else:
+                continue
+            pid, h1, h2, doc, uid, pos = cols
+            first = first or (h1[0], h2[0])
+            new = np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]
+            starts, of = np.flatnonzero(new), np.cumsum(new) - 1
+            n = np.add.reduceat(np.r_[True, doc[1:] != doc[:-1]] | new, starts, dtype=np.int64)
+            n[0] += seen  # documents of the key in progress whose lines are out already
+            last = doc[np.r_[starts[1:], len(doc)] - 1]
+            drop = (n[of] >= min_docs) & (doc < last[of])
+            going_on = ~drop & (of == of[-1])
+            edge = going_on if done else ~drop & ~going_on & (h1 == first[0]) & (h2 == first[1])
+            held, seen = [c[going_on] for c in cols], int(n[-1]) - 1 if n[-1] >= min_docs else 0
+            at = np.flatnonzero(drop | edge)
+            full = (pid, h1, h2, n[of], last[of], doc, uid, pos, edge)
+            for x in range(0, len(at), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c[at[x : x + 50_000]]) for c in full], names=["pid", "h1", "h2", "n", "last", "doc_id", "uid", "pos", "open"])
 
     return part.select("pid", "h1", "h2", "doc_id", "uid", "pos").mapInArrow(run, "pid int, h1 long, h2 long, n long, last long, doc_id long, uid long, pos int, open boolean")
 
