@@ -16,6 +16,8 @@ the rest of the text and near copies of frequent texts are lost.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -77,7 +79,7 @@ def samples(keys: np.ndarray, w: np.ndarray, starts: np.ndarray, n: int) -> np.n
 
 
 def signatures(d: Deal, copies: DataFrame, damping: float) -> DataFrame:
-    """(doc_id, total, df binary, bands array<long>) of each document with words that is no exact copy."""
+    """(doc_id, uid, total, df binary, bands array<long>) of each document with words that is no exact copy; uid tells texts of one id apart."""
     n_docs, chunks_, buckets = max(1, copies.count()), d.chunks, d.buckets
     skip = chunks.only_copies(copies, d)
 
@@ -90,9 +92,10 @@ def signatures(d: Deal, copies: DataFrame, damping: float) -> DataFrame:
         ids, data, off = chunks.without(*chunks.texts(t), chunks.skipped(s))
         k, tf, ends = sets_of(data, off)
         full = np.diff(ends) > 0
+        uids = np.array([zlib.crc32(data[a:b]) for a, b in zip(off, off[1:], strict=False)], np.int64)[full]
         ids, starts = ids[full], ends[:-1][full]
         if not len(ids):
-            return pa.table({"doc_id": pa.array([], pa.int64()), "total": pa.array([], pa.float64()), "df": pa.array([], pa.binary()), "bands": pa.array([], pa.list_(pa.int64()))})
+            return pa.table({"doc_id": pa.array([], pa.int64()), "uid": pa.array([], pa.int64()), "total": pa.array([], pa.float64()), "df": pa.array([], pa.binary()), "bands": pa.array([], pa.list_(pa.int64()))})
         own = np.unique(cut(k))
         df = chunks.returned(s.filter(pa.compute.is_valid(s.column("totals"))))[np.searchsorted(own, cut(k))]
         w = weights(tf, df, n_docs, damping)
@@ -102,20 +105,20 @@ def signatures(d: Deal, copies: DataFrame, damping: float) -> DataFrame:
             band[j // ROWS] = mix(band[j // ROWS] ^ h[j] + np.uint64(j // ROWS + 1))
         stops = np.r_[starts[1:], len(k)]
         return pa.table({
-            "doc_id": pa.array(ids), "total": pa.array(np.add.reduceat(w.astype(float), starts)), "df": pa.array([squeeze(df[a:b]) for a, b in zip(starts, stops, strict=True)], pa.binary()),
+            "doc_id": pa.array(ids), "uid": pa.array(uids), "total": pa.array(np.add.reduceat(w.astype(float), starts)), "df": pa.array([squeeze(df[a:b]) for a, b in zip(starts, stops, strict=True)], pa.binary()),
             "bands": pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * BANDS), pa.array(np.ascontiguousarray(band.T).view(np.int64).ravel())),
         })
 
     parts = d.rows.groupBy("chunk").cogroup(skip.groupBy("chunk")).applyInArrow(keys_of, chunks.PARTS)
     back = chunks.totals(parts, buckets).select("chunk", F.lit(None).cast("long").alias("skip"), "bucket", "totals")
     back = back.unionByName(skip.select("chunk", "skip", F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("totals")))
-    return d.rows.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(sign, "doc_id long, total double, df binary, bands array<long>")
+    return d.rows.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(sign, "doc_id long, uid long, total double, df binary, bands array<long>")
 
 
 def payload(t: pa.Table, n_docs: int, damping: float) -> list[tuple[int, np.ndarray, np.ndarray, float]]:
-    """(doc_id, sorted shingles, weights, total) of rows (doc_id, text, df)."""
+    """(doc_id, sorted shingles, weights, total) of rows (doc_id, text, df); repeated rows once."""
     out = []
-    for i, text, df in zip(t.column("doc_id").to_pylist(), t.column("text").to_pylist(), t.column("df").to_pylist(), strict=True):
+    for i, text, df in dict.fromkeys(zip(t.column("doc_id").to_pylist(), t.column("text").to_pylist(), t.column("df").to_pylist(), strict=True)):
         data = np.frombuffer(text, np.uint8)
         k, tf, _ = sets_of(data, np.array([0, len(data)]))
         w = weights(tf, unsqueeze(df, np.uint32), n_docs, damping).astype(float)
@@ -143,9 +146,9 @@ def links(docs_rows: DataFrame, sig: DataFrame, n_docs: int, threshold: float, d
     groups = materialize(groups.groupBy("n", "leader", "x", "y").agg(F.min("bh").alias("bh")).select("bh", "n", "leader"), "buckets")
     members = materialize(bands.join(groups, "bh"), "members")
     # Texts are joined by merging at every size, so that small inputs run the plan of large ones.
-    used = members.select("doc_id").distinct().join(sig.select("doc_id", "df").hint("merge"), "doc_id")
+    used = members.select("doc_id").distinct().join(sig.select("doc_id", "uid", "df").hint("merge"), "doc_id")
     used = materialize(used, "candidates")
-    full = materialize(docs_rows.select("doc_id", "text").join(used.hint("merge"), "doc_id"), "candidate-texts")
+    full = materialize(docs_rows.select("doc_id", F.crc32("text").alias("uid"), "text").join(used.hint("merge"), ["doc_id", "uid"]), "candidate-texts")
 
     pairs = members.filter("doc_id <> leader").groupBy("leader", "doc_id").agg(F.max("n").alias("n"))
     pairs = materialize(pairs.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("n") / MEMBERS))), "pairs")
@@ -153,9 +156,9 @@ def links(docs_rows: DataFrame, sig: DataFrame, n_docs: int, threshold: float, d
     rows = pairs.select("leader", "salt", "doc_id").unionByName(heads.select("leader", "salt", "doc_id"))
 
     def star(key, t):
-        texts = {p[0]: p for p in payload(t, n_docs, damping)}
-        head = key[0].as_py()
-        found = [(head, i, similarity(texts[head], p, threshold)) for i, p in texts.items() if i != head]
+        head, texts = key[0].as_py(), payload(t, n_docs, damping)
+        own = [p for p in texts if p[0] == head]
+        found = [(head, p[0], similarity(h, p, threshold)) for p in texts if p[0] != head for h in own]
         return table_of([f for f in found if f[2] >= threshold])
 
     def table_of(found):
@@ -164,20 +167,30 @@ def links(docs_rows: DataFrame, sig: DataFrame, n_docs: int, threshold: float, d
     first = materialize(rows.join(full.hint("merge"), "doc_id").groupBy("leader", "salt").applyInArrow(star, "a long, b long, similarity double"), "star-links")
     labels = components(first)
 
-    # What is left: buckets of three or more with several components; their members in blocks, every two blocks meet.
+    # What is left: buckets of three or more with several components. Its largest component is the bucket's
+    # bulk, which no pairs are sought in: its blocks meet the blocks of the rest, and those meet each other.
+    # So a hot bucket with few strays sends each text of its bulk once.
     named = members.filter("n > 2").join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("label", F.coalesce("label", "doc_id"))
-    named = materialize(named, "named")
-    mixed = materialize(named.groupBy("bh").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("bh"), "mixed")
-    left = named.join(mixed, "bh").withColumn("blocks", F.ceil(F.col("n") / (4 * MEMBERS)).cast("int")).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    left = left.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    left = left.select("bh", "leader", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "own", "doc_id", "label").distinct()
+    named = materialize(named.select("bh", "leader", "doc_id", "label").distinct(), "named")
+    parts = named.groupBy("bh", "label").agg(F.count("*").alias("c")).groupBy("bh").agg(F.max(F.struct("c", "label")).alias("bulk"), F.sum("c").alias("all"), F.count("*").alias("labels"))
+    blocks = lambda n: F.ceil(n / (4 * MEMBERS)).cast("int")
+    mixed = materialize(parts.filter("labels > 1").select("bh", F.col("bulk.label").alias("bulk"), blocks(F.col("bulk.c")).alias("bulks"), blocks(F.col("all") - F.col("bulk.c")).alias("rests")), "mixed")
+    left = named.filter("doc_id <> leader").join(mixed, "bh").withColumn("rest", F.col("label") != F.col("bulk"))
+    left = left.withColumn("own", F.pmod(F.xxhash64("doc_id"), F.when(F.col("rest"), F.col("rests")).otherwise(F.col("bulks"))).cast("int"))
+    place = lambda inner, p, q: F.struct(F.lit(inner).alias("inner"), p.cast("int").alias("p"), q.cast("int").alias("q"))
+    upto = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    own = F.col("own")
+    across = F.when(F.col("rest"), F.transform(upto("bulks"), lambda i: place(False, i, own))).otherwise(F.transform(upto("rests"), lambda i: place(False, own, i)))
+    inner = F.when(F.col("rest"), F.transform(upto("rests"), lambda i: place(True, F.least(own, i), F.greatest(own, i))))
+    left = left.select("bh", "doc_id", "label", "own", "rest", F.explode(F.concat(across, F.coalesce(inner, F.array().cast("array<struct<inner:boolean,p:int,q:int>>")))).alias("at"))
+    left = left.select("bh", "at.*", "doc_id", "label", "own", "rest")
 
     def meet(key, t):
-        p, q = key[1].as_py(), key[2].as_py()
-        own, label = dict(zip(t.column("doc_id").to_pylist(), t.column("own").to_pylist(), strict=True)), {}
-        for i, x in zip(t.column("doc_id").to_pylist(), t.column("label").to_pylist(), strict=True):
-            label[i] = x
-        head, parent, found = t.column("leader")[0].as_py(), {x: x for x in label.values()}, []
+        inner, p, q = (k.as_py() for k in key[1:])
+        ids = t.column("doc_id").to_pylist()
+        side = dict(zip(ids, t.column("own" if inner else "rest").to_pylist(), strict=True))
+        label = dict(zip(ids, t.column("label").to_pylist(), strict=True))
+        parent, found = {x: x for x in label.values()}, []
 
         def root(x):
             while parent[x] != x:
