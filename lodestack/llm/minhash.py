@@ -200,7 +200,7 @@ def links(docs_rows: DataFrame, sig: DataFrame, n_docs: int, threshold: float, d
         texts = payload(t, n_docs, damping)
         for i, a in enumerate(texts):
             for b in texts[:i]:
-                if head in (a[0], b[0]) or (p != q and own[a[0]] == own[b[0]]):
+                if (not inner or p != q) and side[a[0]] == side[b[0]]:
                     continue
                 x, y = root(label[a[0]]), root(label[b[0]])
                 if x != y and (s := similarity(a, b, threshold)) >= threshold:
@@ -208,7 +208,7 @@ def links(docs_rows: DataFrame, sig: DataFrame, n_docs: int, threshold: float, d
                     found.append((min(a[0], b[0]), max(a[0], b[0]), s))
         return table_of(found)
 
-    second = materialize(left.join(full.hint("merge"), "doc_id").groupBy("bh", "p", "q").applyInArrow(meet, "a long, b long, similarity double"), "block-links")
+    second = materialize(left.join(full.hint("merge"), "doc_id").groupBy("bh", "inner", "p", "q").applyInArrow(meet, "a long, b long, similarity double"), "block-links")
     return first.unionByName(second)
 
 

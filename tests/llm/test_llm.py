@@ -262,6 +262,32 @@ def test_near_duplicates(spark, docs, empty):
     assert minhash.near_duplicates(empty).count() == 0
 
 
+def test_near_duplicates_of_ids_with_several_texts(spark):
+    w, v, u = ([f"{c}{i}" for i in range(200)] for c in "wvu")
+    rows = [(1, w), (2, [*w[:197], "x"]), (2, v), (3, [*v[:196], "y", "z"]), (3, [*v[:196], "y", "z"]), (None, u), (None, v[:30]), (7, [*u, "t"]), (9, u[:20])]
+    d = spark.createDataFrame([(i, " ".join(t)) for i, t in rows], "doc_id long, text string")
+    got = [(r["doc_id"], r["class_id"], r["class_size"]) for r in minhash.near_duplicates(d).collect()]
+    assert sorted(got, key=str) == sorted([(1, 1, 3), (2, 1, 3), (2, 1, 3), (3, 1, 3), (3, 1, 3), (None, None, 2), (None, None, 2), (7, None, 2), (9, 9, 1)], key=str)
+
+
+def test_buckets_of_several_components(spark, monkeypatch):
+    """Every bucket holds all documents, in blocks of four: two large groups and strays, whose leader is a stray."""
+    monkeypatch.setattr(minhash, "MEMBERS", 1)
+    rng = random.Random(3)
+    prose = lambda n: ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n)]
+    rows, family = [(0, " ".join(prose(40)))], {0: 0}
+    for f, n in ((1, 25), (2, 14), (3, 1), (4, 2)):
+        base = prose(200)
+        for _ in range(n):
+            i = len(rows)
+            family[i] = f
+            rows.append((i, " ".join([*base, f"own{i}"])))
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(minhash, "signatures", lambda deal, copies, damping, real=minhash.signatures: real(deal, copies, damping).withColumn("bands", F.array(F.lit(1).cast("long"))))
+    cls = {r["doc_id"]: r["class_id"] for r in minhash.near_duplicates(d).collect()}
+    assert cls == {i: min(j for j in family if family[j] == family[i]) for i in family}
+
+
 def test_weighted_samples_agree_as_often_as_the_sets_are_similar():
     rng = np.random.default_rng(1)
     keys = np.sort(rng.integers(0, 2**63, 300).astype(np.uint64))
@@ -313,6 +339,15 @@ def test_line_dedup(docs, empty):
     assert set(docs.columns) <= set(out.columns) and lines.dedup_lines(empty).count() == 0
 
 
+@pytest.mark.parametrize("size", [1, 3])
+def test_lines_in_small_batches(spark, docs, empty, size):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    try:
+        test_line_dedup(docs, empty)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_line_of_every_document(spark):
     n = 3000
     d = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit(LINE + "\nown line number "), F.col("id").cast("string"), F.lit(" of this table\n" + LINE)).alias("text")).repartition(4)
