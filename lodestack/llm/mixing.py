@@ -140,8 +140,20 @@ def cycle_schedule(docs: DataFrame, cycle: list[list[tuple[float, float]]], sour
     return s.select("source", F.explode(F.get(knots, F.col("k"))).alias("x")).select("source", "x.t", "x.weight")
 
 
-def in_training_order(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The rows of docs as often as the mix takes them, range-sorted by training time. docs' ids are not repeated."""
-    copies = mixed.select(F.col("doc_id").alias("mix_id"), F.posexplode("times").alias("mix_copy", "mix_time"))
-    out = docs.join(copies.hint("merge"), docs["doc_id"].eqNullSafe(copies["mix_id"]))
-    return out.repartitionByRange("mix_time", "mix_id", "mix_copy").sortWithinPartitions("mix_time", "mix_id", "mix_copy").select(*docs.columns)
+def in_training_order(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs as often as the mix takes them, range-sorted by training time.
+
+    Rows that share an id, and those with null ids, are told apart by their size and dealt to the mix's rows
+    in turn, so that each is taken as often as one row of the mix.
+    """
+    key = lambda i: F.coalesce(F.col(i).cast("string"), F.lit("null"))
+    turn = lambda k, n, by: F.row_number().over(Window.partitionBy(k, n).orderBy(by))
+    copies = mixed.filter(F.size("times") > 0).select(key("doc_id").alias("mix_key"), F.col("size").alias("mix_words"), "times")
+    copies = copies.withColumn("mix_turn", turn("mix_key", "mix_words", "times")).select("mix_key", "mix_words", "mix_turn", F.posexplode("times").alias("mix_copy", "mix_time"))
+    # One exchange of the texts serves both the numbering and the join.
+    own = docs.select(F.struct(*(F.col(c) for c in docs.columns)).alias("row"), key(id_col).alias("own_key"), word_count(F.col(text_col)).alias("own_words"), F.xxhash64(text_col).alias("own_hash"))
+    own = own.withColumn("own_turn", turn("own_key", "own_words", "own_hash"))
+    same_key = (F.col("own_key") == F.col("mix_key")) & (F.col("own_words") == F.col("mix_words"))
+    out = own.join(copies.hint("merge"), same_key & (F.col("own_turn") - F.col("mix_turn") == 0))
+    order = ["mix_time", "mix_key", "mix_words", "own_turn", "mix_copy"]
+    return out.repartitionByRange(*order).sortWithinPartitions(*order).select("row.*")

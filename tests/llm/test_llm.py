@@ -176,6 +176,19 @@ def test_mix(spark, docs, empty):
     assert mixing.mix(empty, mixing.cycle_schedule(empty, queries.CYCLE)).count() == 0
 
 
+def test_training_order_of_repeated_and_null_ids(spark):
+    text = lambda i, n: f"t{i} " * n
+    rows = [(1, text(1, 30)), (1, text(1, 30)), (1, text(2, 30)), (1, text(3, 7)), (None, text(4, 9)), (None, text(5, 9)), (2, None), (3, "")] + [(i, text(i, 20)) for i in range(10, 60)]
+    d = spark.createDataFrame([(*r, "size", "row") for r in rows], "doc_id long, text string, size string, row string").withColumn("source", F.lit("a"))
+    mixed = mixing.mix(d, mixing.cycle_schedule(d, [[(0.0, 1.0), (1.0, 1.0)]])).cache()
+    out = mixing.in_training_order(d, mixed)
+    size = lambda t: len(WORD.findall(t or ""))
+    got = sorted((r["doc_id"] or 0, size(r["text"])) for r in out.collect())
+    want = sorted((r["doc_id"] or 0, r["size"]) for r in mixed.collect() for _ in range(r["copies"]))
+    assert out.columns == d.columns and got == want
+    assert max(sum(r["text"] == t for r in out.collect()) for _, t in rows[2:6]) <= 2
+
+
 def test_time_inverts_the_integral(spark):
     knots = spark.createDataFrame([("a", 0.0, 1.0), ("a", 0.5, 3.0), ("a", 1.0, 0.0)], "source string, t double, weight double")
     shape = mixing.integrate(knots)
