@@ -5,9 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.records import folder
 from .context import referenced_fields
 
 SALTS = 8
+# Waits that assign_once takes at a time, and slices of a class of signals.
+BLOCK, SLICES = 10_000, 64
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df as a table in the shared folder."""
+    path = folder(df, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def type_matches(wait_type: Column, signal_type: Column) -> Column:
@@ -60,28 +70,86 @@ def first_match(waits: DataFrame, signals: DataFrame) -> DataFrame:
     return j.filter("m IS NOT NULL").select("wait_id", "m.idempotency_key", "m.event_id")
 
 
-def assign_once(waits: DataFrame, signals: DataFrame) -> DataFrame:
-    """JON-3 with one-use signals: within a correlation key, waits in parking order take the smallest signal that is left.
+def in_blocks(df: DataFrame, order: list[str], size: int) -> tuple[DataFrame, int]:
+    """(a table of df's rows with their block, numbered by order, each of size rows; the number of blocks)."""
+    n_shift = 33  # bits that monotonically_increasing_id gives the rows of a partition
+    sorted_rows = written(df.orderBy(*order).withColumn("at", F.monotonically_increasing_id()), "in-order")
+    part = F.shiftright("at", n_shift).cast("int")
+    counts = sorted(tuple(r) for r in sorted_rows.groupBy(part.alias("p")).count().collect())
+    starts, total = [], 0
+    for p, n in counts:
+        starts.append((p, total))
+        total += n
+    first = df.sparkSession.createDataFrame(starts, "p int, start long")
+    place = F.col("start") + F.col("at").bitwiseAND((1 << n_shift) - 1)
+    return sorted_rows.withColumn("p", part).join(F.broadcast(first), "p").withColumn("block", F.floor(place / size)).drop("p", "at", "start"), -(-total // size)
+
+
+def block_candidates(block: DataFrame, n: int, free: DataFrame) -> DataFrame:
+    """The signals that a block of n waits can use up: (event_id, idempotency_key, key, stype, full).
+
+    A wait of any key takes one of the n smallest signals of its class (type, and whether it needs an outcome).
+    A keyed wait takes one of those, or one of the m smallest others of its class, for m waits of its key.
+    """
+    e = free.withColumn("wtype", F.explode(type_prefixes(F.col("stype")))).withColumn("needs", F.explode(F.when(F.col("full"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
+    smallest = [F.col("idempotency_key"), F.col("event_id")]
+
+    def least(df, cls, most):
+        # First within slices of a class, so that a hot class is not sorted by one task.
+        for by in ([*cls, F.pmod(F.xxhash64("event_id"), F.lit(SLICES))], cls):
+            df = df.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*smallest))).filter(F.col("rank") <= most).drop("rank")
+        return df
+
+    classes = block.groupBy("key", "wtype", "needs").agg(F.count("*").alias("m"))
+    loose = classes.filter("key = ''").select("wtype", "needs")
+    shared = written(least(e.join(F.broadcast(loose), ["wtype", "needs"]), ["wtype", "needs"], F.lit(n)).select("event_id").distinct(), "shared-candidates")
+    per_key = classes.filter("key <> ''").withColumn("most", F.sum("m").over(Window.partitionBy("key"))).drop("m")
+    own = least(e.join(per_key, ["key", "wtype", "needs"]).join(shared, "event_id", "left_anti"), ["key", "wtype", "needs"], F.col("most")).select("event_id")
+    return free.join(own.union(shared).distinct(), "event_id")
+
+
+def assign_once(waits: DataFrame, signals: DataFrame, block_size: int = BLOCK) -> DataFrame:
+    """JON-3 with one-use signals: all signal waits, of one key and of any, take in parking order the smallest signal that is left.
 
-    The n waits of a key use up n signals at most, so each wait's n smallest candidates decide: a hot key
-    brings a task no more than that.
+    What a wait gets depends on all waits before it, so waits are taken in blocks of the parking order. A block's
+    candidates are picked by Spark from the signals that are left, a class of waits at a time and without pairs
+    of waits and signals; one task then assigns the block, whose size does not grow with the input.
     """
-    keyed = waits.filter("correlation_key <> ''")
-    c = candidates(keyed, signals).select("correlation_key", "wait_id", "parked_unix", "idempotency_key", "event_id")
-    rank = F.row_number().over(Window.partitionBy("wait_id").orderBy("idempotency_key", "event_id"))
-    c = c.withColumn("rank", rank).join(keyed.groupBy("correlation_key").agg(F.count("*").alias("n")), "correlation_key").filter("rank <= n").drop("rank", "n")
-
-    def run(pdf):
-        used, out = set(), []
-        for wait, group in pdf.sort_values(["parked_unix", "wait_id", "idempotency_key", "event_id"]).groupby("wait_id", sort=False):
-            for key, event in zip(group["idempotency_key"], group["event_id"], strict=True):
-                if event not in used:
-                    used.add(event)
-                    out.append((wait, key, event))
-                    break
-        return type(pdf)(out, columns=["wait_id", "idempotency_key", "event_id"])
-
-    return c.groupBy("correlation_key").applyInPandas(run, "wait_id long, idempotency_key string, event_id long")
+    w = waits.filter("kind = 'signal'").select("wait_id", "parked_unix", F.col("correlation_key").alias("key"), F.col("signal_type").alias("wtype"), F.col("needs_outcome").alias("needs"))
+    s = signals.select("event_id", "idempotency_key", F.col("correlation_key").alias("key"), F.col("signal_type").alias("stype"), (F.col("payload_outcome") != "").alias("full"))
+    w, n_blocks = in_blocks(w, ["parked_unix", "wait_id"], block_size)
+    schema = "wait_id long, idempotency_key string, event_id long"
+
+    def run(block, found):
+        found = found.sort_values(["idempotency_key", "event_id"])
+        rows = list(zip(found["event_id"], found["idempotency_key"], strict=True))
+        classes = {c: [] for c in zip(block["key"], block["wtype"], block["needs"], strict=True)}
+        for i, (key, stype, full) in enumerate(zip(found["key"], found["stype"], found["full"], strict=True)):
+            parts = stype.split(".")
+            types = {"", *(".".join(parts[:n]) for n in range(1, len(parts) + 1))}
+            for c in {(k, t, needs) for k in (key, "") for t in types for needs in ((False, True) if full else (False,))}:
+                if c in classes:
+                    classes[c].append(i)
+        at, used, out = dict.fromkeys(classes, 0), set(), []
+        block = block.sort_values(["parked_unix", "wait_id"])
+        for wait, *c in zip(block["wait_id"], block["key"], block["wtype"], block["needs"], strict=True):
+            own, c = classes[tuple(c)], tuple(c)
+            # A signal that is used stays so: a class never looks back.
+            while at[c] < len(own) and own[at[c]] in used:
+                at[c] += 1
+            if at[c] < len(own):
+                used.add(own[at[c]])
+                out.append((wait, rows[own[at[c]]][1], rows[own[at[c]]][0]))
+        return type(block)(out, columns=["wait_id", "idempotency_key", "event_id"])
+
+    done = None
+    for k in range(n_blocks):
+        block = w.filter(F.col("block") == k).drop("block")
+        free = s if done is None else s.join(done.select("event_id"), "event_id", "left_anti")
+        one = F.lit(0).alias("one")
+        got = written(block.groupBy(one).cogroup(block_candidates(block, block_size, free).groupBy(one)).applyInPandas(run, schema), "assigned")
+        done = got if done is None else done.union(got)
+    return waits.sparkSession.createDataFrame([], schema) if done is None else done
 
 
 def deliver(waits: DataFrame, signals: DataFrame) -> DataFrame:

@@ -117,3 +117,25 @@ def test_unusable_definitions_are_issues(spark):
     edges = spark.createDataFrame([], "flow_id string, pos long, src string, dst string, condition string, max_traversals long")
     got = {r["flow_id"]: (r["valid"], r["first_code"]) for r in lint.lint(flows, nodes, edges).collect()}
     assert got == {"a": (False, "BLUEPRINT_JSON_REQUIRED"), "b": (False, "BLUEPRINT_JSON_INVALID"), "c": (False, "EMPTY_BLUEPRINT"), "d": (False, "BLUEPRINT_JSON_INVALID")}
+
+
+def test_one_use_signals_serve_waits_of_any_key(spark):
+    """Against a serial run over all waits, in several blocks and in one."""
+    rng = random.Random(4)
+    types = ["", "a", "b", "a.x"]
+    waits = [(i, "timer" if i % 9 == 0 else "signal", rng.choice(["", "k1", "k2", "k3"]), rng.choice(types), rng.random() < 0.5, rng.randint(0, 30)) for i in range(60)]
+    signals = [(i, f"i{rng.randint(0, 40)}", rng.choice(["k1", "k1", "k2", "k4"]), rng.choice(["a", "a.x", "ab", "b", "b.y"]), rng.choice(["", "yes"])) for i in range(50)]
+    w = spark.createDataFrame(waits, "wait_id long, kind string, correlation_key string, signal_type string, needs_outcome boolean, parked_unix long")
+    s = spark.createDataFrame(signals, "event_id long, idempotency_key string, correlation_key string, signal_type string, payload_outcome string")
+    used, want = set(), []
+    for i, kind, key, kind_of, needs, _ in sorted(waits, key=lambda r: (r[5], r[0])):
+        fits = lambda r: key in ("", r[2]) and (kind_of in ("", r[3]) or r[3].startswith(kind_of + ".")) and (r[4] or not needs) and r[0] not in used  # noqa: B023, E731
+        best = min(((r[1], r[0]) for r in signals if fits(r)), default=None) if kind == "signal" else None
+        if best:
+            used.add(best[1])
+            want.append((i, *best))
+    any_key = {r[0] for r in waits if r[2] == ""}
+    assert any_key & {r[0] for r in want}
+    for size in (7, 25, 1000):
+        assert sorted(tuple(r) for r in matching.assign_once(w, s, size).collect()) == sorted(want), size
+    assert matching.assign_once(w.filter("false"), s).count() == 0
