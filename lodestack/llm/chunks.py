@@ -9,6 +9,7 @@ within a chunk first, so that a hot key comes once per chunk and not once per oc
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -86,13 +87,13 @@ def deal(docs: DataFrame, keys_per_byte: float, id_col: str = "doc_id", text_col
 
 
 def exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, rep): for every document the smallest doc_id that has its text."""
+    """(doc_id, rep, same, copies): for every document the smallest doc_id that has its text, and how many have it; same is the text's MD5 where that is more than one, else null."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     ids = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.md5(text).alias("h"), F.octet_length(text).alias("n"))
     ids = materialize(ids, "text-ids")
     # A table of its own, so that a text with very many copies is a skewed join, which Spark splits.
     reps = materialize(ids.groupBy("h", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).filter("copies > 1"), "text-reps")
-    return materialize(ids.join(reps, ["h", "n"], "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep")), "copies")
+    return materialize(ids.join(reps, ["h", "n"], "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"), F.when(F.col("copies") > 1, F.col("h")).alias("same"), F.coalesce("copies", F.lit(1)).alias("copies")), "copies")
 
 
 def only_copies(copies: DataFrame, d: Deal) -> DataFrame:
@@ -101,6 +102,24 @@ def only_copies(copies: DataFrame, d: Deal) -> DataFrame:
     return last.select(d.chunk("doc_id").alias("chunk"), F.col("doc_id").alias("skip"))
 
 
+def copied(copies: DataFrame, d: Deal) -> DataFrame:
+    """(chunk, counted, same, copies): of ids that only_copies leaves, each text that has copies, with the number of documents that its first id counts for; under other ids it counts none."""
+    c = copies.filter("same IS NOT NULL").groupBy("doc_id", "same").agg(F.first("rep").alias("rep"), F.first("copies").alias("copies"))
+    c = c.join(copies.groupBy("doc_id").agg(F.max("rep").alias("last")).filter("last >= doc_id").select("doc_id"), "doc_id")
+    return c.select(d.chunk("doc_id").alias("chunk"), F.col("doc_id").alias("counted"), "same", F.when(F.col("rep") == F.col("doc_id"), F.col("copies")).otherwise(0).alias("copies"))
+
+
+def multiplicity(ids: np.ndarray, data: np.ndarray, off: np.ndarray, t: pa.Table) -> np.ndarray:
+    """How many documents each text of a chunk stands for, by the rows of copied(): the first row of a text with copies for all of them, other rows for none."""
+    known = {(i, h): n for i, h, n in zip(*(t.column(c).to_pylist() for c in ("counted", "same", "copies")), strict=True) if i is not None}
+    out = np.ones(len(ids), np.int64)
+    for at in np.flatnonzero(np.isin(ids, np.array(list({i for i, _ in known}), np.int64))):
+        key = (int(ids[at]), hashlib.md5(data[off[at] : off[at + 1]].tobytes()).hexdigest())
+        if key in known:
+            out[at], known[key] = known[key], 0
+    return out
+
+
 def skipped(t: pa.Table) -> np.ndarray:
     return np.unique(t.column("skip").drop_null().to_numpy())
 

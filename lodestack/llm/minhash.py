@@ -85,7 +85,10 @@ def signatures(d: Deal, copies: DataFrame, damping: float) -> DataFrame:
 
     def keys_of(key, t, s):
         ids, data, off = chunks.without(*chunks.texts(t), chunks.skipped(s))
-        k, n = np.unique(cut(sets_of(data, off)[0]), return_counts=True)
+        found, _, ends = sets_of(data, off)
+        k, at = np.unique(cut(found), return_inverse=True)
+        # A text counts with its copies, which are skipped.
+        n = np.bincount(at, np.repeat(chunks.multiplicity(ids, data, off, s), np.diff(ends)), len(k)).astype(np.int64)
         return chunks.parts_of(key[0].as_py(), k, n, buckets)
 
     def sign(key, t, s):
@@ -109,7 +112,8 @@ def signatures(d: Deal, copies: DataFrame, damping: float) -> DataFrame:
             "bands": pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * BANDS), pa.array(np.ascontiguousarray(band.T).view(np.int64).ravel())),
         })
 
-    parts = d.rows.groupBy("chunk").cogroup(skip.groupBy("chunk")).applyInArrow(keys_of, chunks.PARTS)
+    known = skip.unionByName(chunks.copied(copies, d), allowMissingColumns=True)
+    parts = d.rows.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(keys_of, chunks.PARTS)
     back = chunks.totals(parts, buckets).select("chunk", F.lit(None).cast("long").alias("skip"), "bucket", "totals")
     back = back.unionByName(skip.select("chunk", "skip", F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("totals")))
     return d.rows.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(sign, "doc_id long, uid long, total double, df binary, bands array<long>")

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import zlib
 from collections import defaultdict
 
 import numpy as np
@@ -283,6 +284,24 @@ def test_near_duplicates_of_ids_with_several_texts(spark):
     assert sorted(got, key=str) == sorted([(1, 1, 3), (2, 1, 3), (2, 1, 3), (3, 1, 3), (3, 1, 3), (None, None, 2), (None, None, 2), (7, None, 2), (9, 9, 1)], key=str)
 
 
+def test_document_frequencies_count_exact_copies(spark, docs):
+    """Against brute force, on a text with many copies, ids with several texts, and the corpus of the other tests."""
+    w, v, u = (" ".join(f"{c}{i}" for i in range(30)) for c in "wvu")
+    rows = [(i, w) for i in range(40)] + [(100 + i, f"{w} own{i}") for i in range(3)] + [(5, v), (60, v), (60, v), (61, v), (61, u), (61, u), (None, u), (70, u + " t"), (80, "")]
+    for table in (spark.createDataFrame(rows, "doc_id long, text string").repartition(3), docs.select("doc_id", "text")):
+        copies, d = chunks.exact_copies(table), chunks.deal(table, 0.2)
+        got = {(r["doc_id"], r["uid"]): chunks.unsqueeze(r["df"], np.uint32).tolist() for r in minhash.signatures(d, copies, minhash.DAMPING).collect()}
+        sets, df = {}, defaultdict(int)
+        for r in table.collect():
+            b = (r["text"] or "").encode()
+            k = minhash.sets_of(np.frombuffer(b, np.uint8), np.array([0, len(b)]))[0]
+            sets[chunks.NULL_ID if r["doc_id"] is None else r["doc_id"], zlib.crc32(b)] = k
+            for x in k.tolist():
+                df[x] += 1
+        assert got and all(got[x] == [df[k] for k in sets[x].tolist()] for x in got)
+    assert max(df.values()) > 1
+
+
 def test_buckets_of_several_components(spark, monkeypatch):
     """Every bucket holds all documents, in blocks of four: two large groups and strays, whose leader is a stray."""
     monkeypatch.setattr(minhash, "MEMBERS", 1)
