@@ -43,15 +43,17 @@ def dedupe_signals(stream: DataFrame, key: str = "idempotency_key", time: str =
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
 
 
-def match_stream(waits: DataFrame, signals: DataFrame, delay: str = "365 days") -> DataFrame:
-    """STR-2: (wait_id, event_id) of parked waits and signals in either order of arrival: a stream-stream join keeps both sides until the watermark passes them."""
-    from ..operators.matching import type_matches
-
-    w = waits.withWatermark("parked_at", delay)
-    s = signals.withWatermark("observed_at", delay)
-    near = F.expr(f"observed_at >= parked_at - INTERVAL {delay} AND observed_at <= parked_at + INTERVAL {delay}")
-    j = w.join(s, (F.col("wait_key") == F.col("signal_key")) & near)
-    return j.filter(type_matches(F.col("wait_type"), F.col("signal_type"))).select("wait_id", "event_id")
+def match_stream(waits: DataFrame, signals: DataFrame) -> DataFrame:
+    """STR-2: (wait_id, event_id) of parked waits and signals in either order of arrival and at any distance in time. Waits with a key join on it, those that match any key on their type's prefixes.
+
+    There is no watermark, so that no row is late and none is given up: both sides stay in the state store.
+    """
+    from ..operators.matching import type_matches, type_prefixes
+
+    j = waits.filter("wait_key <> ''").join(signals, F.col("wait_key") == F.col("signal_key")).filter(type_matches(F.col("wait_type"), F.col("signal_type")))
+    prefixed = signals.select("event_id", F.explode(type_prefixes(F.col("signal_type"))).alias("prefix"))
+    loose = waits.filter("wait_key = ''").join(prefixed, F.col("wait_type") == F.col("prefix"))
+    return j.select("wait_id", "event_id").union(loose.select("wait_id", "event_id"))
 
 
 def newest(before: DataFrame | None, batch: DataFrame, key: str, order: str, value: str) -> DataFrame:

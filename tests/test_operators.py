@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lodestack.functions import conditions as c
 from lodestack.operators import batching, context, extension, graphs, judgments, lint, matching
 from lodestack.sources import records
+from lodestack.streaming import signals as streams
 
 
 def value(spark, column):
@@ -139,3 +140,17 @@ def test_one_use_signals_serve_waits_of_any_key(spark):
     for size in (7, 25, 1000):
         assert sorted(tuple(r) for r in matching.assign_once(w, s, size).collect()) == sorted(want), size
     assert matching.assign_once(w.filter("false"), s).count() == 0
+
+
+def test_streamed_matches_have_no_limit_in_time(spark, tmp_path):
+    """Signals years from their waits, before and after, late ones, and waits of any key."""
+    waits = [(1, "k", "a", "2024-01-01"), (2, "k", "", "2031-06-01"), (3, "", "a", "2024-01-02"), (4, "", "", "2020-01-01"), (5, "none", "a", "2024-01-01")]
+    signals = [(1, "k", "a.x", "2032-01-01"), (2, "k", "ab", "2016-01-01"), (3, "z", "a", "2024-01-01")]
+    sides = []
+    for name, rows, schema in (("w", waits, "wait_id long, wait_key string, wait_type string, parked_at string"), ("s", signals, "event_id long, signal_key string, signal_type string, observed_at string")):
+        df = spark.createDataFrame(rows, schema)
+        df = df.withColumn(df.columns[3], F.col(df.columns[3]).cast("timestamp"))
+        df.repartition(3).write.parquet(str(tmp_path / name))
+        sides.append(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name)))
+    got = [tuple(r) for r in streams.drain(streams.match_stream(*sides)).collect()]
+    assert sorted(got) == [(1, 1), (2, 1), (2, 2), (3, 1), (3, 3), (4, 1), (4, 2), (4, 3)]
