@@ -127,10 +127,49 @@ def to_double(c: Column) -> Column:
     return c.try_cast("double")
 
 
+def to_uint(c: Column) -> Column:
+    """An integer of 64 bits without a sign, as a decimal; null where it is negative, too large or no number."""
+    n = c.try_cast("decimal(20,0)")
+    return F.when(n.between(0, F.lit(str(2**64 - 1)).cast("decimal(20,0)")), n)
+
+
 def to_bool(c: Column) -> Column:
     return F.when(c == "true", True).when(c == "false", False)
 
 
+def to_string(c: Column) -> Column:
+    return c.cast("string")
+
+
+def to_bytes(c: Column) -> Column:
+    return c.cast("string").cast("binary")
+
+
+def to_timestamp(c: Column) -> Column:
+    """RFC 3339 text; null where it is none."""
+    return F.try_to_timestamp(c)
+
+
+# The units of durations in seconds.
+UNITS = {"h": 3600.0, "m": 60.0, "s": 1.0, "ms": 0.001, "us": 0.000001, "ns": 0.000000001}
+
+
+def to_duration(c: Column) -> Column:
+    """Seconds of a duration like 1h30m or -1.5s; null where it is none."""
+    amount = lambda unit: F.coalesce(F.regexp_extract(c, rf"(\d+(?:\.\d+)?){unit}(?![a-z])", 1).try_cast("double"), F.lit(0.0))
+    total = sum((amount(u) * F.lit(s) for u, s in UNITS.items()), F.lit(0.0))
+    return F.when(c.rlike(r"\A[+-]?(?:\d+(?:\.\d+)?(?:h|ms|m|s|us|ns))+\z"), F.when(c.startswith("-"), -total).otherwise(total))
+
+
+def type_of(c: Column) -> Column:
+    """The name of a column's type in conditions."""
+    names = {"bigint": "int", "int": "int", "double": "double", "float": "double", "boolean": "bool", "string": "string", "binary": "bytes", "void": "null_type"}
+    out = F.when(F.typeof(c).startswith("array"), "list").when(F.typeof(c).startswith("map") | F.typeof(c).startswith("struct"), "map")
+    for k, v in names.items():
+        out = out.when(F.typeof(c) == k, v)
+    return out.otherwise(F.typeof(c))
+
+
 def truthy(c: Column, kind: str) -> Column:
     """A boolean itself; text unless blank or 'false' in any case; null is false; any other value, 0 too, is true."""
     if kind == "boolean":

@@ -24,19 +24,37 @@ def batch(df: DataFrame, key: list[str], order: list[str], size: int = 1) -> Dat
     return d.groupBy(*key, "batch_index").agg(F.min("__i").cast("long").alias("batch_start_index"), F.max("__i").cast("long").alias("batch_end_index"), F.count("*").alias("batch_item_count"))
 
 
-def apply_batches(df: DataFrame, keys: list[str], fn, returns: str = "result string") -> DataFrame:
-    """BAT-3: fn(pandas frame) -> value for every group of keys; a batch ends completed or failed with the error's text."""
+def apply_batches(df: DataFrame, keys: list[str], fn, returns: str = "result string", on_error: str = "continue", concurrency: int = 0) -> DataFrame:
+    """BAT-3: fn(pandas frame) -> value, or (value, input tokens, output tokens), for every batch, a group of keys.
+
+    A batch ends completed, or failed with the error's text and no value; its tokens are counted by what fn
+    gives, or by the error's `usage`. With on_error="fail" the batches of the same keys[:-1] that come after
+    the first failed one, by the last key, are skipped. concurrency is the number of tasks at work at once, 0
+    for as many as Spark has.
+    """
+    if on_error not in ("continue", "fail"):
+        raise ValueError(f"on_error must be continue or fail, not {on_error}")
     name = returns.split()[0]
 
     def run(key, pdf):
         try:
-            row = {name: fn(pdf), "status": "completed", "error": ""}
+            out = fn(pdf)
+            value, used = (out[0], out[1:]) if isinstance(out, tuple) else (out, (0, 0))
+            row = {name: value, "status": "completed", "error": "", "input_tokens": used[0], "output_tokens": used[1]}
         except Exception as e:  # a user's error is a result of its batch
-            row = {name: None, "status": "failed", "error": str(e)}
+            used = getattr(e, "usage", (0, 0))
+            row = {name: None, "status": "failed", "error": str(e), "input_tokens": used[0], "output_tokens": used[1]}
         return pd.DataFrame([dict(zip(keys, key, strict=True)) | row])
 
     types = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
-    return df.groupBy(*keys).applyInPandas(run, f"{types}, {returns}, status string, error string")
+    spread = df.repartition(concurrency, *keys) if concurrency else df
+    out = spread.groupBy(*keys).applyInPandas(run, f"{types}, {returns}, status string, error string, input_tokens long, output_tokens long")
+    if on_error == "continue":
+        return out
+    before = Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    out = out.withColumn("__skip", F.coalesce(F.max(F.col("status") == "failed").over(before), F.lit(False)))
+    blank = {name: F.lit(None), "status": F.lit("skipped"), "error": F.lit(""), "input_tokens": F.lit(0), "output_tokens": F.lit(0)}
+    return out.select(*keys, *(F.when(F.col("__skip"), v).otherwise(F.col(k)).alias(k) for k, v in blank.items()))
 
 
 def skip_after_failure(batches: DataFrame, key: str, index: str) -> DataFrame:
@@ -55,13 +73,12 @@ def batch_rollup(batches: DataFrame, key: str, index: str, usage: str) -> DataFr
 
 
 def nested_explode(df: DataFrame, cols: list[str], max_depth: int = 4, max_items: int = 100) -> DataFrame:
-    """BAT-6: arrays within items, level by level: cols names the JSON field of each level below the first."""
+    """BAT-6: arrays within items, level by level: cols names the JSON field of each level below the first. A row that fails at some level stays as one row with its error."""
     if len(cols) > max_depth:
         raise ValueError(f"more than {max_depth} levels")
-    out = df
-    for depth, c in enumerate(cols):
-        source = c if depth == 0 else f"__below{depth}"
-        if depth:
-            out = out.withColumn(source, F.get_json_object("item", f"$.{c}")).drop("pos", "item", "error")
-        out = explode_items(out, source, max_items)
+    out = explode_items(df, cols[0], max_items)
+    for c in cols[1:]:
+        failed = out.filter("error <> ''")
+        deeper = out.filter("error = ''").withColumn("__below", F.get_json_object("item", f"$.{c}")).drop("pos", "item", "error")
+        out = failed.unionByName(explode_items(deeper, "__below", max_items).drop("__below"))
     return out

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import conditions as c
 
+# What makes a key look secret.
 SECRET = ["secret", "password", "token", "api_key", "apikey", "private_key"]
 
 
@@ -81,16 +82,25 @@ def infer_typed(text: Column) -> Column:
     return F.when(F.substring(text, 1, 1).isin("[", "{"), F.try_parse_json(text))
 
 
-# Names in conditions that are no fields.
-RESERVED = "true false null in has all exists exists_one map filter size int uint double string bool bytes type timestamp duration matches contains startsWith endsWith charAt format indexOf lastIndexOf lowerAscii upperAscii replace split substring trim reverse join".split()
+# Words in conditions that are no fields, and the methods that may end a dotted one.
+RESERVED = [
+    "true", "false", "null", "in", "int", "uint", "double", "bool", "string", "bytes", "list", "map", "type", "has", "size",
+    "contains", "startsWith", "endsWith", "matches", "exists", "all", "filter", "timestamp", "duration",
+]
+METHODS = [
+    "contains", "startsWith", "endsWith", "matches", "exists", "all", "filter", "size", "has", "charAt", "format", "indexOf",
+    "lastIndexOf", "lowerAscii", "replace", "split", "substring", "trim", "upperAscii", "reverse", "join",
+]
 
 
 def referenced_fields(condition: Column) -> Column:
-    """PRJ-9: the distinct dotted identifiers of a condition: no quoted text, reserved words, numbers; a method's name is cut off."""
-    bare = F.regexp_replace(condition, r"'(?:[^'\\]|\\.)*'|\"(?:[^\"\\]|\\.)*\"", " ")
-    names = F.regexp_extract_all(bare, F.lit(r"(?<![\w.])[A-Za-z_]\w*(?:\.\w+)*(?:\s*\()?"), 0)
-    cut = F.transform(names, lambda n: F.when(n.endswith("("), F.regexp_replace(n, r"\.?\w+\s*\($", "")).otherwise(n))
-    return F.array_distinct(F.filter(cut, lambda n: (n != "") & ~n.isin(*RESERVED)))
+    """PRJ-9: the distinct identifiers of a condition, in order: runs of letters, digits, _ and dots outside of quotes that are no
+    reserved word and begin with neither a digit nor a dot; a method's name at the end is cut off."""
+    bare = F.regexp_replace(condition, r"'[^']*(?:'|$)|\"[^\"]*(?:\"|$)", " ")
+    names = F.regexp_extract_all(bare, F.lit(r"[A-Za-z0-9_.]+"), 0)
+    names = F.filter(names, lambda n: ~n.isin(*RESERVED) & ~n.rlike(r"^[0-9.]"))
+    cut = F.transform(names, lambda n: F.regexp_replace(n, rf"(?<=.)\.(?:{'|'.join(METHODS)})$", ""))
+    return F.array_distinct(F.filter(cut, lambda n: n != ""))
 
 
 def readable(inputs: Column, allow: list[str] | None = None) -> Column:
@@ -148,12 +158,31 @@ def ready_at(anchor: Column, duration: Column, now: Column, mode: str = "defer")
     return at, at <= n, F.greatest(at - n, F.lit(0)).cast("long"), error
 
 
+def defer_waits(waits: DataFrame, start_from: Column, duration: Column, deadline: Column, pending_since: Column, now: Column) -> DataFrame:
+    """PRJ-17 with its anchor: deadline by default, or resolution_pending_since; now is refused, since it moves. Adds start_from,
+    ready_at, elapsed, remaining and error; rows with an error have none of the others."""
+    start = F.coalesce(F.nullif(F.trim(start_from), F.lit("")), F.lit("deadline"))
+    anchor = F.when(start == "deadline", deadline.cast("string")).when(start == "resolution_pending_since", pending_since.cast("string"))
+    at, elapsed, remaining, error = ready_at(anchor, duration, now)
+    error = F.when(start == "now", "a deferred wait needs an anchor that does not move").otherwise(error)
+    ok = error == ""
+    return waits.select("*", start.alias("start_from"), F.when(ok, at).alias("ready_at"), F.when(ok, elapsed).alias("elapsed"), F.when(ok, remaining).alias("remaining"), error.alias("error"))
+
+
 def wait_spec(waits: DataFrame, default_timeout: int = 172_800) -> DataFrame:
-    """PRJ-18: correlation key, deadline and error of a wait; blank and 'auto' keys become <run>:<node>."""
+    """PRJ-18: key, deadline, reason, required keys, timeout outputs and error of a wait. Blank and 'auto' keys become <run>:<node>;
+    reason, required_payload and timeout_outputs are read where waits has them, and have defaults."""
     key = F.when(F.trim("correlation_key").isin("", "auto"), F.concat_ws(":", F.col("run_id").cast("string"), "node_id")).otherwise(F.trim("correlation_key"))
     timeout = F.when(F.col("timeout_seconds") > 0, F.col("timeout_seconds")).otherwise(default_timeout)
     error = F.when(F.trim("signal_type") == "", "signal type is required").otherwise("")
-    return waits.select("*", key.alias("wait_key"), (F.col("parked_unix") + timeout).cast("long").alias("deadline_unix"), error.alias("error"))
+    has = lambda name, kind: F.col(name) if name in waits.columns else F.lit(None).cast(kind)
+    reason = F.coalesce(F.nullif(F.trim(has("reason", "string")), F.lit("")), F.lit("await signal"))
+    given = has("timeout_outputs", "map<string,string>")
+    outputs = F.when(F.coalesce(F.size(given), F.lit(0)) > 0, given).otherwise(F.create_map(F.lit("status"), F.lit("timeout")))
+    required = F.coalesce(has("required_payload", "array<string>"), F.array().cast("array<string>"))
+    required = F.array_sort(F.array_distinct(F.filter(F.transform(required, lambda k: F.trim(k)), lambda k: k != "")))
+    own = [c for c in waits.columns if c not in ("reason", "timeout_outputs", "required_payload")]
+    return waits.select(*own, key.alias("wait_key"), (F.col("parked_unix") + timeout).cast("long").alias("deadline_unix"), reason.alias("reason"), required.alias("required_payload"), outputs.alias("timeout_outputs"), error.alias("error"))
 
 
 # Model name prefixes of providers.
@@ -170,11 +199,18 @@ def provider_of(model: Column, provider: Column, prefixes: dict[str, str] = PROV
 
 
 def cancel_cases(cases: DataFrame, ids: DataFrame) -> DataFrame:
-    """PRJ-20: requested cases that have not ended become cancelled; unknown ids come out as not_found."""
+    """PRJ-20: requested cases that have not ended become cancelled, and lose what they return (return_json, where cases has it); unknown ids come out as not_found."""
     j = cases.join(ids.select("run_id", F.lit(True).alias("asked")).distinct(), "run_id", "full_outer")
     ended = F.col("status").isin("completed", "failed", "cancelled")
     hit = F.coalesce("asked", F.lit(False)) & ~ended
-    return j.select("run_id", F.when(F.col("status").isNull(), "not_found").when(hit, "cancelled").otherwise(F.col("status")).alias("status"), F.when(hit & F.col("status").isNotNull(), "run cancelled").otherwise("").alias("error"))
+    status = F.when(F.col("status").isNull(), "not_found").when(hit, "cancelled").otherwise(F.col("status"))
+    kept = [F.when(~F.coalesce(hit, F.lit(False)), F.col("return_json")).alias("return_json")] if "return_json" in cases.columns else []
+    return j.select("run_id", status.alias("status"), F.when(hit & F.col("status").isNotNull(), "run cancelled").otherwise("").alias("error"), *kept)
+
+
+def drop_waits(waits: DataFrame, cancelled: DataFrame) -> DataFrame:
+    """PRJ-20: the waits that stay parked when the runs that cancel_cases gives are cancelled."""
+    return waits.join(cancelled.filter("error = 'run cancelled'").select("run_id"), "run_id", "left_anti").select(*waits.columns)
 
 
 def case_status(cases: DataFrame, ids: DataFrame) -> DataFrame:

@@ -32,22 +32,63 @@ class Operators:
         return df
 
 
-# Step types and the output keys that they declare or give, in order.
+# Step types and the output keys that they declare, then those that they also give, in order.
 CATALOG = {
-    "api_fetch": ["outcome", "raw_body", "json_path_value", "http_status", "extracted", "status_code", "content_type", "error"],
-    "await_signal": ["outcome", "reason", "signal_type"],
-    "wait": ["waited_seconds", "remaining_seconds", "ready_at", "elapsed"],
-    "map": ["results", "total_items", "total_batches", "completed_batches", "failed_batches", "skipped_batches", "first_error"],
-    "return": [],
+    "api_fetch": ["status", "outcome", "raw", "json_path_value", "error", "http_status", "status_code", "content_type", "extracted"],
+    "llm_call": ["status", "outcome", "reasoning", "confidence", "raw", "citations_json", "error", "citations_count"],
+    "agent_loop": [
+        "status", "error", "outcome", "summary", "text", "output_json", "raw", "resolution_status", "confidence", "reasoning",
+        "citations_json", "citations_count", "tool_calls_count", "tool_calls_json", "steps_json", "transcript_tail", "output",
+    ],
+    "return": ["status"],
+    "await_signal": ["status"],
+    "wait": ["status", "waited", "mode", "start_from", "anchor_ts", "ready_at", "remaining_seconds"],
+    "map": ["status", "results", "total_items", "total_batches", "completed_batches", "failed_batches", "skipped_batches", "first_error"],
+    "gadget": [
+        "status", "error", "run_status", "child_run_id", "return_json",
+        "first_issue_code", "first_issue_message", "first_issue_target",
+    ],
+    "validate_blueprint": [
+        "status", "valid", "issue_count", "issues_json", "issues_text", "blueprint_json",
+        "first_issue_code", "first_issue_message", "first_issue_target",
+    ],
+    "cel_eval": [],
+}
+# The fields of each step type's config.
+FIELDS = {
+    "api_fetch": "url method headers body basic_auth json_path outcome_mapping timeout_seconds",
+    "llm_call": "provider model prompt timeout_seconds web_search allowed_outcomes_key",
+    "await_signal": "reason signal_type correlation_key timeout_seconds required_payload default_outputs timeout_outputs",
+    "wait": "duration_seconds mode start_from max_inline_seconds",
+    "return": "value from_key",
+    "cel_eval": "expressions",
+    "map": "items_key inline batch_size batch_input_key batch_index_input_key batch_start_index_input_key batch_end_index_input_key batch_item_count_input_key max_concurrency on_error max_items max_depth per_batch_timeout_seconds input_mappings",
+    "gadget": "blueprint_json blueprint_json_key inline timeout_seconds max_depth dynamic_blueprint_policy input_mappings",
+    "validate_blueprint": "blueprint_json_key",
+    "agent_loop": "prompt system_prompt provider model output_mode output_tool tools timeout_seconds tool_timeout_seconds max_steps max_tool_calls max_tool_result_bytes max_tokens allowed_outcomes_key enable_dynamic_blueprints dynamic_blueprint_policy async",
+}
+# Config fields that are no text.
+KINDS = {
+    "integer": "timeout_seconds duration_seconds max_inline_seconds batch_size max_concurrency max_items max_depth per_batch_timeout_seconds tool_timeout_seconds max_steps max_tool_calls max_tool_result_bytes max_tokens".split(),
+    "boolean": "web_search enable_dynamic_blueprints async".split(),
+    "array": "required_payload tools".split(),
+    "object": "headers basic_auth outcome_mapping default_outputs timeout_outputs value expressions inline input_mappings dynamic_blueprint_policy output_tool".split(),
 }
 
 
 def catalog(spark: SparkSession) -> DataFrame:
-    """UDF-2: (type, rank, key) of the declared output keys; a fixed, small table."""
+    """UDF-2: (type, rank, key) of the output keys; a fixed, small table. Types whose keys their config names have none."""
     rows = [(t, i, k) for t, keys in CATALOG.items() for i, k in enumerate(keys)]
     return spark.createDataFrame(rows, "type string, rank int, key string")
 
 
+def config_schema(spark: SparkSession) -> DataFrame:
+    """UDF-2: (type, rank, field, kind) of the config fields of all step types."""
+    kind = {f: k for k, fields in KINDS.items() for f in fields}
+    rows = [(t, i, f, kind.get(f, "text")) for t, fields in FIELDS.items() for i, f in enumerate(fields.split())]
+    return spark.createDataFrame(rows, "type string, rank int, field string, kind string")
+
+
 def refine(df: DataFrame, step: Callable[[DataFrame], DataFrame], done: Column, value: str, max_passes: int) -> DataFrame:
     """UDF-3: rows that are not done go through step again, at most max_passes times; history has their earlier values.
 

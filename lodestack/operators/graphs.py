@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .outcomes import loop_first
 
-MAX_NODES, MAX_BYTES, MAX_DEPTH = 16, 16_384, 64
+MAX_NODES, MAX_BYTES, INLINE_CAP = 16, 16_384, 20
 
 
 def forward(edges: DataFrame, back: DataFrame) -> DataFrame:
@@ -83,19 +85,33 @@ def topological_order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return _walked(nodes, edges, lambda f, n, e: [(f, x, i) for i, x in enumerate(walk(n, e)[1])], "node_id string, place long")
 
 
-def reach(start: DataFrame, edges: DataFrame, src: str = "src", dst: str = "dst", max_depth: int = MAX_DEPTH) -> DataFrame:
-    """(flow_id, node_id) reachable from start, by doubling frontiers within one row per flow: the closure needs no loop over jobs.
+def reached(start: list[str], links: list[tuple[str, str]]) -> list[str]:
+    """The nodes that start reaches over links (a, b), start included, in the order of a breadth-first search."""
+    ahead: dict[str, list[str]] = {}
+    for a, b in links:
+        ahead.setdefault(a, []).append(b)
+    seen = dict.fromkeys(start)
+    queue = list(seen)
+    for node in queue:
+        for to in ahead.get(node, ()):
+            if to not in seen:
+                seen[to] = None
+                queue.append(to)
+    return queue
 
-    A flow's edges are one small array; a fold over them, repeated for as many rounds as it has edges, is the
-    fixpoint.
-    """
-    s = start.groupBy("flow_id").agg(F.array_distinct(F.collect_list("node_id")).alias("seen"))
-    e = edges.groupBy("flow_id").agg(F.array_sort(F.collect_list(F.struct(F.col(src).alias("a"), F.col(dst).alias("b")))).alias("e"))
-    one = lambda seen, x: F.when(F.array_contains(seen, x["a"]) & ~F.array_contains(seen, x["b"]), F.array_append(seen, x["b"])).otherwise(seen)
-    rounds = F.sequence(F.lit(1), F.greatest(F.least(F.size("e"), F.lit(max_depth)), F.lit(1)))
-    full = F.aggregate(rounds, F.col("seen"), lambda seen, _: F.aggregate(F.col("e"), seen, one))
-    j = s.join(e, "flow_id", "left").withColumn("seen", F.when(F.col("e").isNull(), F.col("seen")).otherwise(full))
-    return j.select("flow_id", F.explode("seen").alias("node_id"))
+
+def reach(start: DataFrame, edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+    """(flow_id, node_id) reachable from start. A flow's start and edges are two arrays of one row, walked once."""
+    s = start.groupBy("flow_id").agg(F.array_sort(F.collect_set("node_id")).alias("nodes"))
+    e = edges.groupBy("flow_id").agg(F.collect_list(F.struct(F.col(src).alias("src"), F.col(dst).alias("dst"))).alias("edges"))
+
+    def batches(frames):
+        for pdf in frames:
+            links = [[] if x is None else [(y["src"], y["dst"]) for y in x] for x in pdf["edges"]]
+            rows = [(f, n) for f, own, x in zip(pdf["flow_id"], pdf["nodes"], links, strict=True) for n in reached(list(own), x)]
+            yield type(pdf)(rows, columns=["flow_id", "node_id"])
+
+    return s.join(e, "flow_id", "left").mapInPandas(batches, f"flow_id {start.schema['flow_id'].dataType.simpleString()}, node_id string")
 
 
 def reachable(nodes: DataFrame, forward_edges: DataFrame) -> DataFrame:
@@ -119,76 +135,152 @@ def routed_hops(hops: DataFrame) -> DataFrame:
     return loop_first(hops).filter("fires")
 
 
-def frontier_report(nodes: DataFrame, forward_edges: DataFrame, states: DataFrame) -> DataFrame:
-    """GRF-11: each node without a state is ready, blocked, or skipped (a join, of several incoming edges, with a failed or skipped parent)."""
+def frontier_report(nodes: DataFrame, forward_edges: DataFrame, states: DataFrame, waits: DataFrame | None = None) -> DataFrame:
+    """GRF-11: what each step of a stalled case is.
+
+    A step with a state other than pending keeps it. Others are waiting (a parked wait of waits), ready (no
+    parent, or all completed), skipped (a join, of several incoming edges, with a failed or skipped parent),
+    orphaned (activated, that is with a pending state, where nothing failed), or blocked.
+    """
     s = states.select(F.col("run_id").alias("flow_id"), "node_id", "status")
+    parked = states.select(F.col("run_id").alias("flow_id"), "node_id").limit(0) if waits is None else waits.select(F.col("run_id").alias("flow_id"), "node_id")
+    parked = parked.distinct().withColumn("parked", F.lit(True))
+    broken = s.groupBy("flow_id").agg(F.bool_or(F.col("status") == "failed").alias("any_failure"))
     parents = forward_edges.select("flow_id", F.col("src").alias("parent"), F.col("dst").alias("node_id"))
     p = parents.join(s.withColumnsRenamed({"node_id": "parent", "status": "parent_status"}), ["flow_id", "parent"], "left")
-    p = p.groupBy("flow_id", "node_id").agg(F.count("*").alias("n_in"), F.bool_and(F.coalesce(F.col("parent_status") == "completed", F.lit(False))).alias("all_done"), F.bool_or(F.coalesce(F.col("parent_status").isin("failed", "skipped"), F.lit(False))).alias("any_failed"))
+    p = p.groupBy("flow_id", "node_id").agg(
+        F.count("*").alias("n_in"),
+        F.bool_and(F.coalesce(F.col("parent_status") == "completed", F.lit(False))).alias("all_done"),
+        F.bool_or(F.coalesce(F.col("parent_status").isin("failed", "skipped"), F.lit(False))).alias("any_failed"),
+    )
     j = nodes.select("flow_id", "node_id").join(s, ["flow_id", "node_id"], "left").join(p, ["flow_id", "node_id"], "left")
-    state = F.when(F.col("status").isNotNull(), F.col("status")).when(F.col("n_in").isNull() | F.col("all_done"), "ready").when(F.col("any_failed") & (F.col("n_in") > 1), "skipped").otherwise("blocked")
+    j = j.join(parked, ["flow_id", "node_id"], "left").join(broken, "flow_id", "left")
+    state = (
+        F.when(F.col("status") != "pending", F.col("status"))
+        .when(F.col("parked"), "waiting")
+        .when(F.col("n_in").isNull() | F.col("all_done"), "ready")
+        .when(F.col("any_failed") & (F.col("n_in") > 1), "skipped")
+        .when((F.col("status") == "pending") & ~F.coalesce("any_failure", F.lit(False)), "orphaned")
+        .otherwise("blocked")
+    )
     return j.select("flow_id", "node_id", state.alias("state"))
 
 
-def suspending_nodes(nodes: DataFrame, inline_cap: int = 20) -> DataFrame:
-    """GRF-9: await_signal always, wait beyond the inline cap; the offenders of each flow, sorted."""
-    bad = nodes.filter((F.col("type") == "await_signal") | ((F.col("type") == "wait") & (F.col("duration_seconds") > max(inline_cap, 0))))
-    return bad.groupBy("flow_id").agg(F.array_join(F.array_sort(F.collect_list("node_id")), ",").alias("offenders"))
+def suspending_nodes(nodes: DataFrame) -> DataFrame:
+    """GRF-9: the steps of each flow that may suspend, sorted, from (flow_id, node_id, type, config JSON).
 
-
-def policy_issues(nodes: DataFrame, edges: DataFrame, max_nodes: int, max_edges: int, allowed: list[str]) -> DataFrame:
-    """GRF-8: the first violation of each flow: nodes, edges, then types; '' for none."""
-    n = nodes.groupBy("flow_id").agg(F.count("*").alias("n_nodes"), F.min(F.when(~F.col("type").isin(*allowed), F.col("type"))).alias("bad_type"))
+    await_signal always does; agent_loop when async; wait in any mode but sleep, or for longer than its inline
+    cap: max_inline_seconds, where 0 or none means INLINE_CAP and a negative one 0. A wait whose config does
+    not parse counts, an agent_loop's does not.
+    """
+    at = lambda k: F.get_json_object("config", f"$.{k}")
+    number = lambda k: F.coalesce(at(k).try_cast("bigint"), F.lit(0))
+    mode, cap = F.trim(F.coalesce(at("mode"), F.lit(""))), number("max_inline_seconds")
+    cap = F.when(cap < 0, 0).when(cap == 0, INLINE_CAP).otherwise(cap)
+    broken = F.try_parse_json(F.coalesce("config", F.lit("{}"))).isNull()
+    waits = broken | ~mode.isin("", "sleep") | ((number("duration_seconds") > 0) & (number("duration_seconds") > cap))
+    bad = (F.col("type") == "await_signal") | ((F.col("type") == "wait") & waits) | ((F.col("type") == "agent_loop") & F.coalesce(at("async") == "true", F.lit(False)))
+    return nodes.filter(bad).groupBy("flow_id").agg(F.array_join(F.array_sort(F.collect_list("node_id")), ",").alias("offenders"))
+
+
+@dataclass
+class Policy:
+    """What a definition made at run time may hold; 0 and an empty list are no limit."""
+
+    max_nodes: int = 8
+    max_edges: int = 12
+    allowed: tuple[str, ...] = ("api_fetch", "cel_eval", "wait", "return")
+    allow_agent_loop: bool = False
+    max_total_time_seconds: int = 30
+    max_total_tokens: int = 0
+
+
+def policy_issues(nodes: DataFrame, edges: DataFrame, policy: Policy, budgets: DataFrame | None = None) -> DataFrame:
+    """GRF-8: the first violation of each flow, '' for none: nodes, edges, then step by step in declared order agent_loop and
+    other types, then the time and token budgets of budgets (flow_id, max_total_time_seconds, max_total_tokens), which must be set
+    and within the policy."""
+    allowed = [a.strip() for a in policy.allowed if a.strip()]
+    agent = (F.col("type") == "agent_loop") & F.lit(not policy.allow_agent_loop)
+    off = F.when(agent, "agent_loop is not allowed").when(F.lit(bool(allowed)) & ~F.col("type").isin(*allowed), F.concat(F.lit("type not allowed: "), "type"))
+    n = nodes.groupBy("flow_id").agg(F.count("*").alias("n_nodes"), F.min(F.when(off.isNotNull(), F.struct(F.col("pos"), off.alias("off")))).alias("off"))
     e = edges.groupBy("flow_id").agg(F.count("*").alias("n_edges"))
     j = n.join(e, "flow_id", "left")
-    return j.select("flow_id", F.when(F.col("n_nodes") > max_nodes, "too many nodes").when(F.coalesce("n_edges", F.lit(0)) > max_edges, "too many edges").when(F.col("bad_type").isNotNull(), F.concat(F.lit("type not allowed: "), "bad_type")).otherwise("").alias("violation"))
-
-
-def closure(start: Column, links: Column, a: str, b: str) -> Column:
-    """The nodes reached from an array of nodes over an array of links, by as many rounds as there are links."""
-    one = lambda seen, x: F.when(F.array_contains(seen, x[a]) & ~F.array_contains(seen, x[b]), F.array_append(seen, x[b])).otherwise(seen)
-    rounds = F.slice(F.transform(links, lambda x: x["pos"]), 1, MAX_DEPTH)
-    return F.aggregate(rounds, start, lambda seen, _: F.aggregate(links, seen, one))
+    if budgets is None:
+        j = j.withColumns({"max_total_time_seconds": F.lit(0), "max_total_tokens": F.lit(0)})
+    else:
+        j = j.join(budgets.select("flow_id", "max_total_time_seconds", "max_total_tokens"), "flow_id", "left")
+    over = lambda value, most: F.lit(most > 0) & ((F.coalesce(value, F.lit(0)) <= 0) | (F.coalesce(value, F.lit(0)) > most))
+    violation = (
+        F.when(F.lit(policy.max_nodes > 0) & (F.col("n_nodes") > policy.max_nodes), "too many nodes")
+        .when(F.lit(policy.max_edges > 0) & (F.coalesce("n_edges", F.lit(0)) > policy.max_edges), "too many edges")
+        .when(F.col("off").isNotNull(), F.col("off.off"))
+        .when(over(F.col("max_total_time_seconds"), policy.max_total_time_seconds), f"max_total_time_seconds must be set and at most {policy.max_total_time_seconds}")
+        .when(over(F.col("max_total_tokens"), policy.max_total_tokens), f"max_total_tokens must be set and at most {policy.max_total_tokens}")
+        .otherwise("")
+    )
+    return j.select("flow_id", violation.alias("violation"))
+
+
+#: Stages of the rules, in the order in which issues are listed.
+WHOLE, NODE, EDGE, LOOP, CONTRACT, REFERENCE = range(6)
+
+
+def issues_of(nodes: list[tuple[int, str, str]], edges: list[tuple[int, str, str, int]], known: set[str]) -> list[tuple[int, int, str, str, str]]:
+    """(stage, position, code, target, message) of one flow's nodes (pos, id, type) and edges (pos, src, dst, max_traversals), in order."""
+    out, ids = [], dict.fromkeys(n for _, n, _ in nodes)
+    if len(nodes) > MAX_NODES:
+        out.append((WHOLE, 0, "TOO_MANY_NODES", "", "too many nodes"))
+    seen, arrows = set(), set()
+    for pos, n, kind in nodes:
+        if n in seen:
+            out.append((NODE, pos, "DUPLICATE_NODE_ID", n, "node id is used before"))
+        seen.add(n)
+        if kind not in known:
+            out.append((NODE, pos, "UNKNOWN_NODE_TYPE", n, "unknown type"))
+    for pos, a, b, _ in edges:
+        arrow = f"{a}->{b}"
+        found = [("SELF_LOOP", "edge to its own node")] if a == b else []
+        found += [("DUPLICATE_EDGE", "edge is declared before")] if arrow in arrows else []
+        found += [("DANGLING_EDGE_SOURCE", "source is unknown")] if a not in ids else []
+        found += [("DANGLING_EDGE_TARGET", "target is unknown")] if b not in ids else []
+        arrows.add(arrow)
+        out += [(EDGE, pos, code, arrow, message) for code, message in found]
+    back = set(walk(list(ids), [e[:3] for e in edges])[0])
+    out += [(LOOP, pos, "BACK_EDGE_MISSING_MAX_TRAVERSALS", f"{a}->{b}", "loop without a limit") for pos, a, b, m in edges if pos in back and m <= 0]
+    # The contract of returns.
+    returns, sources = {n for _, n, t in nodes if t == "return"}, {a for _, a, _, _ in edges}
+    ahead = [(a, b) for pos, a, b, _ in edges if pos not in back]
+    into = {b for _, b in ahead}
+    roots = [n for n in ids if n not in into]
+    contract = [] if returns else [("NO_RETURN_NODE", "", "no return")]
+    contract += [] if roots else [("NO_ROOT", "", "no root")]
+    first = set(reached(roots, ahead))
+    contract += [("UNREACHABLE_NODE", n, "no root reaches it") for n in ids if n not in first]
+    contract += [("RETURN_HAS_OUTGOING", n, "a return ends the run") for n in ids if n in returns and n in sources]
+    contract += [("NON_RETURN_LEAF", n, "a leaf must be a return") for n in ids if n not in returns and n not in sources]
+    if returns:
+        ends = set(reached(sorted(returns), [(b, a) for _, a, b, _ in edges]))
+        contract += [("NO_RETURN_PATH", n, "no path to a return") for n in ids if n not in ends]
+    return out + [(CONTRACT, i, *c) for i, c in enumerate(contract)]
 
 
 def structure_issues(nodes: DataFrame, edges: DataFrame, known_types: list[str]) -> DataFrame:
     """GRF-6: coded issues of the structure of flows from (flow_id, pos, node_id, type) and (flow_id, pos, src, dst, max_traversals).
 
-    A flow's nodes and edges are two arrays of one row, and a rule is an expression over them: the shuffles are
-    those that bring a flow together, however many rules there are.
+    A flow's nodes and edges are two arrays of one row, and one walk over that row applies all rules, in time
+    linear in the flow's size. stage and place give the order of the rules and the position that each looked at.
     """
     n = nodes.groupBy("flow_id").agg(F.array_sort(F.collect_list(F.struct("pos", "node_id", "type"))).alias("n"))
     e = edges.groupBy("flow_id").agg(F.array_sort(F.collect_list(F.struct("pos", "src", "dst", "max_traversals"))).alias("e"))
-    first = nodes.groupBy("flow_id", "node_id").agg(F.min("pos").alias("pos"))
-    back = back_edges(first, edges).groupBy("flow_id").agg(F.collect_list("pos").alias("back"))
-    none = F.array().cast("array<struct<pos:bigint,src:string,dst:string,max_traversals:bigint>>")
-    g = n.join(e, "flow_id", "left").join(back, "flow_id", "left").select("flow_id", "n", F.coalesce("e", none).alias("e"), F.coalesce("back", F.array().cast("array<bigint>")).alias("back"))
-    # Columns that several rules use; each is used twice or more, so that none is computed within a loop.
-    g = g.withColumn("ids", F.array_distinct(F.transform("n", lambda x: x["node_id"]))).withColumn("returns", F.array_distinct(F.transform(F.filter("n", lambda x: x["type"] == "return"), lambda x: x["node_id"])))
-    g = g.withColumn("ahead", F.filter("e", lambda x: ~F.array_contains("back", x["pos"]))).withColumn("sources", F.transform("e", lambda x: x["src"])).withColumn("arrows", F.transform("e", lambda x: F.concat(x["src"], F.lit("->"), x["dst"])))
-    g = g.withColumn("into", F.transform("ahead", lambda x: x["dst"])).withColumn("all_ids", F.transform("n", lambda x: x["node_id"]))
-    g = g.withColumn("roots", F.filter("ids", lambda x: ~F.array_contains("into", x)))
-
-    made = lambda targets, code, message: F.transform(targets, lambda t: F.struct(F.lit(code).alias("code"), t.alias("target"), F.lit(message).alias("message")))
-    when = lambda cond, code, message: made(F.when(cond, F.array(F.lit(""))).otherwise(F.array().cast("array<string>")), code, message)
-    on = lambda test: F.transform(F.filter("e", test), lambda x: F.concat(x["src"], F.lit("->"), x["dst"]))
-    twice = lambda col: F.filter(F.array_distinct(col), lambda x: F.size(F.filter(F.col(col), lambda y: y == x)) > 1)
-    found = F.concat(
-        when(F.size("n") > MAX_NODES, "TOO_MANY_NODES", "too many nodes"),
-        made(twice("all_ids"), "DUPLICATE_NODE_ID", "node id is used twice"),
-        made(F.transform(F.filter("n", lambda x: ~x["type"].isin(*known_types)), lambda x: x["node_id"]), "UNKNOWN_NODE_TYPE", "unknown type"),
-        made(on(lambda x: x["src"] == x["dst"]), "SELF_LOOP", "edge to its own node"),
-        made(twice("arrows"), "DUPLICATE_EDGE", "edge is declared twice"),
-        made(on(lambda x: ~F.array_contains("ids", x["src"])), "DANGLING_EDGE_SOURCE", "source is unknown"),
-        made(on(lambda x: ~F.array_contains("ids", x["dst"])), "DANGLING_EDGE_TARGET", "target is unknown"),
-        made(on(lambda x: F.array_contains("back", x["pos"]) & (x["max_traversals"] <= 0)), "BACK_EDGE_MISSING_MAX_TRAVERSALS", "loop without a limit"),
-        when(F.size("returns") == 0, "NO_RETURN_NODE", "no return"),
-        when(F.size("roots") == 0, "NO_ROOT", "no root"),
-        made(F.array_except("ids", closure(F.col("roots"), F.col("ahead"), "src", "dst")), "UNREACHABLE_NODE", "no root reaches it"),
-        made(F.array_intersect("sources", "returns"), "RETURN_HAS_OUTGOING", "a return ends the run"),
-        made(F.transform(F.filter("n", lambda x: (x["type"] != "return") & ~F.array_contains("sources", x["node_id"])), lambda x: x["node_id"]), "NON_RETURN_LEAF", "a leaf must be a return"),
-        made(F.when(F.size("returns") > 0, F.array_except("ids", closure(F.col("returns"), F.col("e"), "dst", "src"))).otherwise(F.array().cast("array<string>")), "NO_RETURN_PATH", "no path to a return"),
-    )
-    # An outer explode: Spark would compute the whole array once more to filter empty ones ahead of a plain one.
-    rows = g.select("flow_id", F.explode_outer(found).alias("i")).filter("i IS NOT NULL")
-    return rows.select("flow_id", "i.code", "i.target", F.lit("error").alias("severity"), "i.message")
+    known = set(known_types)
+
+    def batches(frames):
+        for pdf in frames:
+            rows = []
+            for flow, own, links in zip(pdf["flow_id"], pdf["n"], pdf["e"], strict=True):
+                links = [] if links is None else [(x["pos"], x["src"], x["dst"], x["max_traversals"]) for x in links]
+                rows += [(flow, code, target, "error", message, stage, place) for stage, place, code, target, message in issues_of([(x["pos"], x["node_id"], x["type"]) for x in own], links, known)]
+            yield type(pdf)(rows, columns=["flow_id", "code", "target", "severity", "message", "stage", "place"])
+
+    schema = f"flow_id {nodes.schema['flow_id'].dataType.simpleString()}, code string, target string, severity string, message string, stage int, place long"
+    return n.join(e, "flow_id", "left").mapInPandas(batches, schema)

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..sources.records import folder
 from .context import referenced_fields
 
-SALTS = 8
+# Signals of one key that one task joins; keys with more are salted.
+PER_SALT = 1_000_000
 # Waits that assign_once takes at a time, and slices of a class of signals.
 BLOCK, SLICES = 10_000, 64
 
@@ -25,25 +26,64 @@ def type_matches(wait_type: Column, signal_type: Column) -> Column:
     return (wait_type == "") | (wait_type == signal_type) | signal_type.startswith(F.concat(wait_type, F.lit(".")))
 
 
+def dotted_match(wait_type: str, signal_type: str) -> bool:
+    """type_matches for values."""
+    return wait_type in ("", signal_type) or signal_type.startswith(f"{wait_type}.")
+
+
 def type_prefixes(signal_type: Column) -> Column:
     """The wait types that take a signal: every dotted prefix of its type, and '' for waits of any type."""
     parts = F.split(signal_type, r"\.")
     return F.array_distinct(F.concat(F.array(F.lit("")), F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "."))))
 
 
-def match_signals(waits: DataFrame, signals: DataFrame) -> DataFrame:
-    """JON-1: (wait_id, event_id) of signal waits. Waits with a key join on it, salted, since a key may be hot; waits that match any key join on their type's prefixes."""
+def match_signals(waits: DataFrame, signals: DataFrame, per_salt: int = PER_SALT) -> DataFrame:
+    """JON-1: (wait_id, event_id) of all pairs of signal waits and their signals.
+
+    Waits with a key join on it, waits of any key on the prefixes of a signal's type. Keys and types of more
+    than per_salt signals are salted by their number; those are at most one for so many signals, so that the
+    table of them, which is broadcast, stays small. match_totals and first_match make no pairs.
+    """
     w = waits.filter("kind = 'signal'").select("wait_id", F.col("correlation_key").alias("key"), F.col("signal_type").alias("wtype"))
     s = signals.select("event_id", F.col("correlation_key").alias("key"), F.col("signal_type").alias("stype"))
-    # A signal takes one salt by its id, a wait all of them.
-    keyed = w.filter("key <> ''").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    salted = s.withColumn("salt", F.pmod(F.xxhash64("event_id"), F.lit(SALTS)).cast("int"))
-    on_key = keyed.join(salted, ["key", "salt"]).filter(type_matches(F.col("wtype"), F.col("stype")))
-    prefixes = type_prefixes(F.col("stype"))
-    on_type = w.filter("key = ''").join(s.withColumn("wtype", F.explode(prefixes)), "wtype")
+
+    def salted(left, right, on):
+        hot = right.groupBy(on).agg(F.ceil(F.count("*") / per_salt).cast("int").alias("salts")).filter("salts > 1")
+        salts = F.coalesce("salts", F.lit(1))
+        every = left.join(F.broadcast(hot), on, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1))).drop("salts")
+        one = right.join(F.broadcast(hot), on, "left").withColumn("salt", F.pmod(F.xxhash64("event_id"), salts).cast("int")).drop("salts")
+        return every.join(one, [on, "salt"])
+
+    on_key = salted(w.filter("key <> ''"), s, "key").filter(type_matches(F.col("wtype"), F.col("stype")))
+    prefixed = s.select("event_id", F.explode(type_prefixes(F.col("stype"))).alias("wtype"))
+    on_type = salted(w.filter("key = ''").select("wait_id", "wtype"), prefixed, "wtype")
     return on_key.select("wait_id", "event_id").union(on_type.select("wait_id", "event_id"))
 
 
+def by_class(signals: DataFrame, *aggs: Column, extra: list[str] = ()) -> DataFrame:
+    """Signals summed up by the classes of waits that take them: (scope, key, wtype, ...), scope being key or any. Columns of aggs and
+    extra must be in signals; extra are more columns of a class."""
+    s = signals.withColumn("wtype", F.explode(type_prefixes(F.col("signal_type"))))
+    keyed = s.groupBy(*extra, F.col("correlation_key").alias("key"), "wtype").agg(*aggs).withColumn("scope", F.lit("key"))
+    loose = s.groupBy(*extra, "wtype").agg(*aggs).withColumns({"scope": F.lit("any"), "key": F.lit("")})
+    return keyed.unionByName(loose)
+
+
+def classed(waits: DataFrame) -> DataFrame:
+    """Signal waits with the class (scope, key, wtype) whose signals they take."""
+    scope = F.when(F.col("correlation_key") == "", "any").otherwise("key")
+    return waits.filter("kind = 'signal'").withColumns({"scope": scope, "key": F.col("correlation_key"), "wtype": F.col("signal_type")})
+
+
+CLASS = ["scope", "key", "wtype"]
+
+
+def match_totals(waits: DataFrame, signals: DataFrame) -> DataFrame:
+    """JON-1 without pairs: (wait_id, n, first_event, events), the number of a wait's matches, the smallest event_id and their sum. Signals are summed up by class before the join, so a wait of any key costs one row."""
+    per = by_class(signals, F.count("*").alias("n"), F.min("event_id").alias("first_event"), F.sum("event_id").alias("events"))
+    return classed(waits).select("wait_id", *CLASS).join(per, CLASS).select("wait_id", "n", "first_event", "events")
+
+
 def payload_ok(required: Column, payload: Column) -> Column:
     """JON-2: '' or the first required key that is missing or blank."""
     return F.coalesce(F.try_element_at(F.filter(required, lambda k: F.trim(F.coalesce(F.try_element_at(payload, k), F.lit(""))) == ""), F.lit(1)), F.lit(""))
@@ -58,18 +98,25 @@ def candidates(waits: DataFrame, signals: DataFrame) -> DataFrame:
 def first_match(waits: DataFrame, signals: DataFrame) -> DataFrame:
     """JON-3: for each wait the valid match with the smallest (idempotency_key, event_id). Waits do not use signals up for each other.
 
-    Only the smallest signal of each key and wait type counts, with and without an outcome: those are summed
-    up before the join, so that a hot key is one row and no pairs are made.
+    Only the smallest signal of each class counts, with and without an outcome: those are summed up before the
+    join, so that a hot key is one row and no pairs are made.
     """
-    s = signals.select("correlation_key", F.explode(type_prefixes(F.col("signal_type"))).alias("wtype"), F.struct("idempotency_key", "event_id").alias("m"), (F.col("payload_outcome") != "").alias("full"))
-    best = [F.min("m").alias("any_m"), F.min(F.when(F.col("full"), F.col("m"))).alias("full_m")]
-    by_key = s.groupBy("correlation_key", "wtype").agg(*best).select(F.lit("key").alias("scope"), F.col("correlation_key").alias("key"), "wtype", "any_m", "full_m")
-    by_type = s.groupBy("wtype").agg(*best).select(F.lit("any").alias("scope"), F.lit("").alias("key"), "wtype", "any_m", "full_m")
-    w = waits.filter("kind = 'signal'").select("wait_id", "needs_outcome", F.when(F.col("correlation_key") == "", "any").otherwise("key").alias("scope"), F.col("correlation_key").alias("key"), F.col("signal_type").alias("wtype"))
-    j = w.join(by_key.unionByName(by_type), ["scope", "key", "wtype"]).withColumn("m", F.when(F.col("needs_outcome"), F.col("full_m")).otherwise(F.col("any_m")))
+    m, full = F.struct("idempotency_key", "event_id"), F.col("payload_outcome") != ""
+    per = by_class(signals, F.min(m).alias("any_m"), F.min(F.when(full, m)).alias("full_m"))
+    j = classed(waits).select("wait_id", "needs_outcome", *CLASS).join(per, CLASS)
+    j = j.withColumn("m", F.when(F.col("needs_outcome"), F.col("full_m")).otherwise(F.col("any_m")))
     return j.filter("m IS NOT NULL").select("wait_id", "m.idempotency_key", "m.event_id")
 
 
+def answered_in_time(waits: DataFrame, signals: DataFrame) -> DataFrame:
+    """(wait_id, first_unix): waits with a valid match that was observed by their deadline, or at any time if they have none."""
+    full = F.col("payload_outcome") != ""
+    per = by_class(signals, F.min("observed_unix").alias("any_t"), F.min(F.when(full, F.col("observed_unix"))).alias("full_t"))
+    j = classed(waits).select("wait_id", "needs_outcome", "resume_unix", *CLASS).join(per, CLASS)
+    j = j.withColumn("first_unix", F.when(F.col("needs_outcome"), F.col("full_t")).otherwise(F.col("any_t")))
+    return j.filter((F.col("resume_unix") <= 0) & F.col("first_unix").isNotNull() | (F.col("first_unix") <= F.col("resume_unix"))).select("wait_id", "first_unix")
+
+
 def in_blocks(df: DataFrame, order: list[str], size: int) -> tuple[DataFrame, int]:
     """(a table of df's rows with their block, numbered by order, each of size rows; the number of blocks)."""
     n_shift = 33  # bits that monotonically_increasing_id gives the rows of a partition
@@ -153,33 +200,62 @@ def assign_once(waits: DataFrame, signals: DataFrame, block_size: int = BLOCK) -
 
 
 def deliver(waits: DataFrame, signals: DataFrame) -> DataFrame:
-    """JON-4: per signal the waits it matches, and whether all accept its payload; one that fails rejects the delivery.
+    """JON-4: per signal (with run_id, the run that it goes to) the waits parked in that run that it matches, and whether all accept its
+    payload; one that does not rejects the delivery.
 
-    Waits are counted by key and type first; a signal looks up its type's prefixes under its key and under any key.
+    Waits are counted by run, key and type first; a signal looks up its type's prefixes under its key and under any key.
     """
-    count = [F.count("*").alias("n"), F.bool_or("needs_outcome").alias("needs")]
-    w = waits.filter("kind = 'signal'").withColumns({"scope": F.when(F.col("correlation_key") == "", "any").otherwise("key"), "key": F.col("correlation_key"), "wtype": F.col("signal_type")}).groupBy("scope", "key", "wtype").agg(*count)
-    s = signals.select("event_id", (F.col("payload_outcome") != "").alias("full"), "correlation_key", F.explode(type_prefixes(F.col("signal_type"))).alias("wtype"))
-    s = s.select("event_id", "full", "wtype", F.explode(F.array(F.struct(F.lit("key").alias("scope"), F.col("correlation_key").alias("key")), F.struct(F.lit("any").alias("scope"), F.lit("").alias("key")))).alias("at")).select("event_id", "full", "wtype", "at.scope", "at.key")
-    return s.join(w, ["scope", "key", "wtype"]).groupBy("event_id").agg(F.sum("n").alias("n_waits"), F.bool_and(F.col("full") | ~F.col("needs")).alias("accepted"))
+    w = classed(waits).groupBy("run_id", *CLASS).agg(F.count("*").alias("n"), F.bool_or("needs_outcome").alias("needs"))
+    s = looked_up(signals.select("event_id", "run_id", (F.col("payload_outcome") != "").alias("full"), "correlation_key", "signal_type"))
+    return s.join(w, ["run_id", *CLASS]).groupBy("event_id").agg(F.sum("n").alias("n_waits"), F.bool_and(F.col("full") | ~F.col("needs")).alias("accepted"))
+
+
+def looked_up(signals: DataFrame) -> DataFrame:
+    """Signals once for every class of waits that takes them."""
+    s = signals.withColumn("wtype", F.explode(type_prefixes(F.col("signal_type"))))
+    at = F.array(F.struct(F.lit("key").alias("scope"), F.col("correlation_key").alias("key")), F.struct(F.lit("any").alias("scope"), F.lit("").alias("key")))
+    return s.withColumn("at", F.explode(at)).select(*s.columns, "at.scope", "at.key").drop("correlation_key", "signal_type")
 
 
-def resume_outputs(defaults: Column, payload: Column) -> Column:
+def overlaid(defaults: Column, payload: Column) -> Column:
     """JON-5: defaults overlaid by the payload, status success by default."""
     base = F.map_zip_with(F.create_map(F.lit("status"), F.lit("success")), defaults, lambda _, a, b: F.coalesce(b, a))
     return F.map_zip_with(base, payload, lambda _, a, b: F.coalesce(b, a))
 
 
+def resume_outputs(matched: DataFrame, defaults: str, payload: str) -> DataFrame:
+    """JON-5: matches of waits and signals with outputs, the payload over the wait's defaults, and the usage of both: input_tokens and
+    output_tokens are the sums of wait_* and signal_*."""
+    no = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
+    usage = {f"{k}_tokens": no(f"wait_{k}_tokens") + no(f"signal_{k}_tokens") for k in ("input", "output")}
+    return matched.withColumns({"outputs": overlaid(F.col(defaults), F.col(payload)), **usage})
+
+
 def timeouts(waits: DataFrame, matched: DataFrame, now: int) -> DataFrame:
-    """JON-6: unmatched waits whose deadline has come; timer waits give success, signal waits timeout."""
+    """JON-6: (wait_id, kind, result) of unmatched waits whose deadline has come. Signal waits give their timeout_outputs if there are any,
+    else their outputs, timer waits their outputs; a wait that has neither stays parked."""
     due = waits.join(matched.select("wait_id"), "wait_id", "left_anti").filter((F.col("resume_unix") > 0) & (F.col("resume_unix") <= now))
-    return due.select("wait_id", "kind", F.when(F.col("kind") == "timer", "success").otherwise("timeout").alias("status"))
+    timed = (F.col("kind") == "signal") & (F.coalesce(F.size("timeout_outputs"), F.lit(0)) > 0)
+    out = due.select("wait_id", "kind", F.when(timed, F.col("timeout_outputs")).otherwise(F.col("outputs")).alias("result"))
+    return out.filter("result IS NOT NULL")
+
 
+def signal_target(signals: DataFrame, cases: DataFrame, waits: DataFrame) -> DataFrame:
+    """JON-7: (event_id, target) of signals (event_id, run_id, app_id, correlation_key, signal_type): the run that a signal names, if there
+    is one; else of its app's active runs, or of all active ones where app_id is 0 or less, the smallest that holds a matching wait; else -1.
 
-def signal_target(signals: DataFrame, cases: DataFrame) -> DataFrame:
-    """JON-7: the smallest active run of a signal's app, or -1 where it has none."""
-    active = cases.filter(~F.col("status").isin("completed", "failed", "cancelled")).groupBy("app_id").agg(F.min("run_id").alias("target"))
-    return signals.select("event_id", "app_id").join(active, "app_id", "left").select("event_id", F.coalesce("target", F.lit(-1)).cast("long").alias("target"))
+    The smallest runs are found by app and class of wait before the join: no pairs of signals and waits.
+    """
+    active = cases.filter(~F.col("status").isin("completed", "failed", "cancelled")).select("run_id", "app_id")
+    w = classed(waits).select("run_id", *CLASS).join(active, "run_id")
+    per_app = w.groupBy("app_id", *CLASS).agg(F.min("run_id").alias("held"))
+    everywhere = w.groupBy(*CLASS).agg(F.min("run_id").alias("held")).withColumn("app_id", F.lit(0).cast("long"))
+    open_ = signals.filter("run_id IS NULL").select("event_id", F.greatest("app_id", F.lit(0)).cast("long").alias("app_id"), "correlation_key", "signal_type")
+    found = looked_up(open_).join(per_app.filter("app_id > 0").unionByName(everywhere), ["app_id", *CLASS])
+    found = found.groupBy("event_id").agg(F.min("held").alias("target"))
+    named = signals.filter("run_id IS NOT NULL").select("event_id", "run_id").join(cases.select("run_id"), "run_id").select("event_id", F.col("run_id").alias("target"))
+    out = signals.select("event_id").join(found.unionByName(named), "event_id", "left")
+    return out.select("event_id", F.coalesce("target", F.lit(-1)).cast("long").alias("target"))
 
 
 def reject_duplicates(submissions: DataFrame, cases: DataFrame) -> DataFrame:
@@ -190,11 +266,22 @@ def reject_duplicates(submissions: DataFrame, cases: DataFrame) -> DataFrame:
     return j.select(*submissions.columns, why.alias("rejected"), F.coalesce("active_run", F.lit(-1)).cast("long").alias("active_run"))
 
 
-def snapshot_asof(attempts: DataFrame, node: str) -> DataFrame:
-    """JON-9: the latest tokens of one node that were there when each attempt started."""
-    w = Window.partitionBy("run_id").orderBy("started_at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    own = F.when((F.col("node_id") == node) & (F.col("status") == "completed"), F.struct("started_at", "part_id", "source_id", "output_tokens"))
-    return attempts.withColumn("seen", F.max(own).over(w)["output_tokens"])
+def snapshot_asof(attempts: DataFrame, value: str) -> DataFrame:
+    """JON-9: the state that each attempt saw: (run_id, node_id, iteration, seen_node, seen) with the latest value of every other step of
+    its run that was completed when it started; a row per step that it saw.
+
+    Attempts are asked once for each step of their run, completions are added, and the last value is carried on
+    by time within a run and step: rows grow with attempts times steps of a run, not with pairs of attempts.
+    """
+    done = attempts.filter("status = 'completed'")
+    steps = done.select("run_id", F.col("node_id").alias("seen_node")).distinct()
+    ask = attempts.select("run_id", "node_id", "iteration", F.col("started_at").alias("at")).join(steps, "run_id").filter("node_id <> seen_node")
+    tell = done.select("run_id", F.col("node_id").alias("seen_node"), F.col("completed_at").alias("at"), F.struct(F.col("iteration").alias("i"), F.col(value).alias("v")).alias("told"))
+    both = tell.unionByName(ask, allowMissingColumns=True)
+    # Of completions at one time the last iteration counts; all of them come before attempts that start then.
+    w = Window.partitionBy("run_id", "seen_node").orderBy("at", F.col("told").isNull(), F.col("told.i")).rowsBetween(Window.unboundedPreceding, 0)
+    seen = both.withColumn("seen", F.last("told", ignorenulls=True).over(w)["v"]).filter("node_id IS NOT NULL AND seen IS NOT NULL")
+    return seen.select("run_id", "node_id", "iteration", "seen_node", "seen")
 
 
 def unknown_output_refs(edges: DataFrame, nodes: DataFrame, catalog: DataFrame) -> DataFrame:

@@ -74,23 +74,41 @@ def time_budget(attempts: DataFrame, seconds: int) -> DataFrame:
 # Rollups
 
 
-def usage_totals(attempts: DataFrame) -> DataFrame:
-    """AGG-1: tokens per run; failed steps count nothing."""
-    ok = F.col("status") != "failed"
-    total = lambda c: F.sum(F.when(ok, F.col(c)).otherwise(0)).alias(c)
+def usage_totals(attempts: DataFrame, over_budget: Column | None = None) -> DataFrame:
+    """AGG-1: tokens per run; steps that failed by themselves count nothing, those that went over the budget (over_budget) count."""
+    counts = F.col("status") != "failed"
+    if over_budget is not None:
+        counts = counts | F.coalesce(over_budget, F.lit(False))
+    total = lambda c: F.sum(F.when(counts, F.col(c)).otherwise(0)).alias(c)
     return attempts.groupBy("run_id").agg(total("input_tokens"), total("output_tokens"))
 
 
-def case_outcome(cases: DataFrame, attempts: DataFrame) -> DataFrame:
-    """AGG-2: cancelled; a return fired; a failed step that is not to continue (first in node order); a return that never fired; completed."""
+def case_outcome(cases: DataFrame, attempts: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """AGG-2, the first that holds: cancelled; a return fired; a failed step that is not to continue (first in node order); activated
+    steps left pending; a return step of the flow (of nodes, or else of the attempts) that never fired; completed."""
     failed = (F.col("status") == "failed") & (F.col("on_error") != "continue")
     returned = (F.col("node_type") == "return") & (F.col("status") == "completed")
-    a = attempts.groupBy("run_id").agg(F.bool_or(returned).alias("returned"), F.bool_or(failed).alias("failed"), F.min(F.when(failed, F.col("node_id"))).alias("first_failed"), F.bool_or(F.col("node_type") == "return").alias("has_return"))
+    a = attempts.groupBy("run_id").agg(
+        F.bool_or(returned).alias("returned"),
+        F.min(F.when(failed, F.col("node_id"))).alias("first_failed"),
+        F.array_sort(F.collect_set(F.when(F.col("status") == "pending", F.col("node_id")))).alias("pending"),
+        F.bool_or(F.col("node_type") == "return").alias("has_return"),
+    )
     c = cases.select("run_id", F.col("status").alias("case_status")).join(a, "run_id", "left")
+    if nodes is not None:
+        own = nodes.groupBy(F.col("flow_id").alias("run_id")).agg(F.bool_or(F.col("type") == "return").alias("has_return"))
+        c = c.drop("has_return").join(own, "run_id", "left")
     no = lambda x: F.coalesce(F.col(x), F.lit(False))
-    outcome = F.when(F.col("case_status") == "cancelled", "cancelled").when(no("returned"), "completed").when(no("failed") | no("has_return"), "failed").otherwise("completed")
-    error = F.when(outcome != "failed", "").when(no("failed"), F.concat(F.lit("step failed: "), "first_failed")).otherwise("blueprint completed without firing return")
-    return c.select("run_id", outcome.alias("outcome"), error.alias("error"))
+    left = F.coalesce(F.size("pending"), F.lit(0)) > 0
+    error = (
+        F.when((F.col("case_status") == "cancelled") | no("returned"), "")
+        .when(F.col("first_failed").isNotNull(), F.concat(F.lit("step failed: "), "first_failed"))
+        .when(left, F.concat(F.lit("orphaned pending nodes: ["), F.array_join("pending", " "), F.lit("]")))
+        .when(no("has_return"), "blueprint completed without firing return")
+        .otherwise("")
+    )
+    outcome = F.when(F.col("case_status") == "cancelled", "cancelled").when(F.col("error") != "", "failed").otherwise("completed")
+    return c.withColumn("error", error).select("run_id", outcome.alias("outcome"), "error")
 
 
 def status_counts(cases: DataFrame) -> DataFrame:
@@ -103,17 +121,26 @@ def earliest_timer(waits: DataFrame, key: str = "run_id") -> DataFrame:
     return waits.groupBy(key).agg(F.coalesce(F.min(F.when(F.col("resume_unix") > 0, F.col("resume_unix"))), F.lit(0)).cast("long").alias("earliest"))
 
 
-def latest_revision(revisions: DataFrame) -> DataFrame:
-    """AGG-5: the newest revision of each run."""
-    return revisions.groupBy("run_id").agg(F.max("revision").alias("revision"), F.max_by("status", "revision").alias("status"))
+def latest_revision(revisions: DataFrame, written: str | None = None) -> DataFrame:
+    """AGG-5: the newest revision of each run; of equal ones the one with the largest `written` (a column), the later write."""
+    by = F.struct("revision", *([written] if written else []))
+    return revisions.groupBy("run_id").agg(F.max("revision").alias("revision"), F.max_by("status", by).alias("status"))
 
 
 def issue_summary(issues: DataFrame) -> DataFrame:
-    """AGG-6: count, first issue and numbered text of each flow's issues."""
-    items = F.array_sort(F.collect_list(F.struct("code", "target", "message")))
+    """AGG-6 and AGG-7: each flow's number of issues, first issue, numbered text, JSON, and whether all are warnings.
+
+    Issues of union_issues are listed in the order of the rules, others by code.
+    """
+    order = [c for c in ("stage", "place", "rule", "k") if c in issues.columns]
+    items = F.array_sort(F.collect_list(F.struct(*order, "code", "target", "message", "severity")))
     one = lambda x, i: F.concat((i + 1).cast("string"), F.lit(". ["), x["code"], F.lit("] "), x["message"], F.lit(" (target: "), x["target"], F.lit(")"))
     g = issues.groupBy("flow_id").agg(F.count("*").alias("issue_count"), items.alias("i"))
-    return g.select("flow_id", "issue_count", F.get("i", F.lit(0))["code"].alias("first_code"), F.get("i", F.lit(0))["target"].alias("first_target"), F.array_join(F.transform("i", one), "\n").alias("issues_text"))
+    as_json = F.to_json(F.transform("i", lambda x: F.struct(x["code"].alias("code"), x["message"].alias("message"), x["target"].alias("target"), x["severity"].alias("severity"))))
+    return g.select(
+        "flow_id", "issue_count", F.get("i", F.lit(0))["code"].alias("first_code"), F.get("i", F.lit(0))["target"].alias("first_target"),
+        F.array_join(F.transform("i", one), "\n").alias("issues_text"), as_json.alias("issues_json"), F.forall("i", lambda x: x["severity"] == "warning").alias("valid"),
+    )
 
 
 def is_valid(issues: DataFrame) -> DataFrame:
@@ -135,9 +162,14 @@ def node_state(attempts: DataFrame) -> DataFrame:
     return g.select("run_id", "node_id", "iteration", F.coalesce("s.status", F.lit("completed")).alias("status"), "s.started_at", "s.input_tokens", "s.output_tokens")
 
 
-def merged_outputs(attempts: DataFrame, fields: list[str]) -> DataFrame:
-    """AGG-10: each field's last non-null value over a node's attempts."""
-    return attempts.groupBy("run_id", "node_id").agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), F.col("iteration"))).alias(c) for c in fields))
+def merged_outputs(attempts: DataFrame, fields: list[str], activation: str | None = None) -> DataFrame:
+    """AGG-10: each field's last non-null value over a node's attempts; of its last activation only, if a column tells them apart, since a loop that enters a node again resets its outputs."""
+    keys = ["run_id", "node_id", *([activation] if activation else [])]
+    per = attempts.groupBy(*keys).agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), F.col("iteration"))).alias(c) for c in fields))
+    if not activation:
+        return per
+    last = per.groupBy("run_id", "node_id").agg(F.max_by(F.struct(*fields), activation).alias("o"))
+    return last.select("run_id", "node_id", *(F.col(f"o.{c}").alias(c) for c in fields))
 
 
 # Orders
@@ -175,23 +207,51 @@ def closest_key(df: DataFrame, word: Column, keys: list[str], within: int = 3) -
 # Sets
 
 
+def union_issues(*rules: DataFrame) -> DataFrame:
+    """SET-1: the issues (flow_id, code, target, severity, message) of all rules, duplicates kept, with rule, the rule's place in the
+    call. A rule may give stage, place and k, by which its issues are listed; without a stage a rule is a stage of its own."""
+    out = None
+    for n, r in enumerate(rules):
+        given = {"stage": F.lit(n), "place": F.lit(0), "k": F.lit(0)} | {c: F.col(c) for c in ("stage", "place", "k") if c in r.columns}
+        r = r.select("flow_id", "code", "target", "severity", "message", given["stage"].cast("int").alias("stage"), given["place"].cast("long").alias("place"), F.lit(n).alias("rule"), given["k"].cast("int").alias("k"))
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
 def normalize_keys(keys: Column) -> Column:
     """SET-2: trimmed, without blanks, distinct, sorted."""
     return F.array_sort(F.array_distinct(F.filter(F.transform(keys, lambda k: F.trim(k)), lambda k: k != "")))
 
 
-def except_allowed(nodes: DataFrame, allowed: list[str]) -> DataFrame:
-    """SET-3: nodes of a type that is not allowed; an empty list allows all."""
-    return nodes.filter(~F.col("type").isin(*allowed)) if allowed else nodes.limit(0)
+def except_allowed(nodes: DataFrame, allowed: list[str], allow_agent_loop: bool = True) -> DataFrame:
+    """SET-3: nodes of a type that is not allowed; an empty list allows all. agent_loop has a switch of its own besides."""
+    off = ~F.col("type").isin(*allowed) if allowed else F.lit(False)
+    return nodes.filter(off | (F.col("type") == "agent_loop") & F.lit(not allow_agent_loop))
+
+
+# Names that are never fetched.
+NAMES = ["localhost", "metadata.google.internal"]
+
+
+def private_ipv4(a: Column, b: Column) -> Column:
+    """Loopback, private and link-local addresses, by their first two numbers; 0.0.0.0/8 is loopback to most systems."""
+    return (a.isin(0, 10, 127)) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 169) & (b == 254)) | ((a == 224) & (b == 0))
 
 
 def blocked_urls(df: DataFrame, url: str = "url") -> DataFrame:
-    """SET-4: the host, and whether it is to be screened out: none, localhost, metadata hosts, loopback, private and link-local literals."""
-    # Names that are never fetched.
-    names = ["localhost", "metadata.google.internal"]
+    """SET-4: the host, and whether it is to be screened out: none, localhost, metadata hosts, and literals of loopback, private and
+    link-local addresses, IPv6 and IPv4 within IPv6 too. Names are not looked up."""
     host = F.lower(F.coalesce(F.try_parse_url(F.col(url), F.lit("HOST")), F.lit("")))
     d = df.withColumn("host", host)
-    ip = F.col("host").rlike(r"^\d{1,3}(\.\d{1,3}){3}$")
-    part = lambda i: F.element_at(F.split("host", r"\."), i).try_cast("int")
-    private = (part(1) == 10) | (part(1) == 127) | (part(1) == 0) | ((part(1) == 172) & part(2).between(16, 31)) | ((part(1) == 192) & (part(2) == 168)) | ((part(1) == 169) & (part(2) == 254))
-    return d.withColumn("blocked", (F.col("host") == "") | F.col("host").isin(*names) | F.col("host").startswith("[::1") | F.coalesce(F.when(ip, private), F.lit(False)))
+    number = lambda c, i: F.regexp_extract(c, r"(?:^|:)(\d{1,3})\.(\d{1,3})\.\d{1,3}\.\d{1,3}$", i).try_cast("int")
+    v6 = F.when(F.col("host").startswith("["), F.regexp_replace("host", r"^\[|\]$|%.*", ""))
+    first = F.conv(F.when(v6.startswith(":"), "0").otherwise(F.regexp_extract(v6, "^([0-9a-f]{1,4}):", 1)), 16, 10).try_cast("int")
+    loop6 = v6.rlike(r"^(?:0{0,4}:){1,7}0{0,3}1$") & ~v6.rlike("[2-9a-f]") | (v6 == "::") | v6.rlike(r"^(?:0{1,4}:){7}0{1,4}$")
+    # fc00::/7, fe80::/10, ff02::/16
+    private6 = first.between(0xFC00, 0xFDFF) | first.between(0xFE80, 0xFEBF) | (first == 0xFF02)
+    # ::ffff:127.0.0.1, also as ::ffff:7f00:1
+    mapped = F.conv(F.regexp_extract(v6, r"^(?:0{1,4}:){0,5}:{0,2}ffff:([0-9a-f]{1,4}):[0-9a-f]{1,4}$", 1), 16, 10).try_cast("int")
+    v4 = F.col("host").rlike(r"^\d{1,3}(\.\d{1,3}){3}$") & private_ipv4(number(F.col("host"), 1), number(F.col("host"), 2))
+    in6 = private_ipv4(number(v6, 1), number(v6, 2)) & v6.rlike(r"^[0:]*(?:ffff:)?\d") | private_ipv4(F.shiftright(mapped, 8), mapped.bitwiseAND(255))
+    no = lambda x: F.coalesce(x, F.lit(False))
+    return d.withColumn("blocked", (F.col("host") == "") | F.col("host").isin(*NAMES) | no(v4) | no(loop6) | no(private6) | no(in6))

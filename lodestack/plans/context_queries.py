@@ -84,8 +84,30 @@ def _ready(w):
 
 
 add("prj_17_ready_at", over("v_waits", _ready), "SELECT wait_id, a AS ready_at, a <= 1706000000 AS elapsed, greatest(a - 1706000000, 0) AS remaining, '' AS error FROM (SELECT wait_id, parked_unix + wait_id % 7 * 86400 AS a FROM v_waits) AS x")
-add("prj_18_wait_spec", over("v_waits", lambda w: x.wait_spec(w.withColumn("timeout_seconds", F.col("wait_id") % 3 * 100)).select("wait_id", "wait_key", "deadline_unix", "error")),
-    "SELECT wait_id, CASE WHEN correlation_key = '' THEN concat(run_id, ':', node_id) ELSE correlation_key END AS wait_key, parked_unix + CASE WHEN wait_id % 3 > 0 THEN wait_id % 3 * 100 ELSE 172800 END AS deadline_unix, CASE WHEN signal_type = '' THEN 'signal type is required' ELSE '' END AS error FROM v_waits")
+
+
+def _deferred(w):
+    start = F.element_at(F.array(*map(F.lit, ["", "deadline", "resolution_pending_since", "now", "elsewhere"])), (F.col("wait_id") % 5 + 1).cast("int"))
+    since = F.when(F.col("wait_id") % 3 == 0, F.lit(None)).otherwise(F.col("parked_unix")).cast("string")
+    return x.defer_waits(w, start, F.col("wait_id") % 9 * 3600, F.col("resume_unix"), since, F.lit(1705000000)).select("wait_id", "start_from", "ready_at", "elapsed", "remaining", "error")
+
+
+add("prj_17b_defer_waits", over("v_waits", _deferred), """SELECT wait_id, s AS start_from, CASE WHEN e = '' THEN z END AS ready_at, CASE WHEN e = '' THEN z <= 1705000000 END AS elapsed, CASE WHEN e = '' THEN greatest(z - 1705000000, 0) END AS remaining, e AS error
+    FROM (SELECT wait_id, s, a + wait_id % 9 * 3600 AS z, CASE WHEN s = 'now' THEN 'a deferred wait needs an anchor that does not move' WHEN a IS NULL THEN 'anchor is missing or no integer' ELSE '' END AS e
+      FROM (SELECT wait_id, CASE wait_id % 5 WHEN 2 THEN 'resolution_pending_since' WHEN 3 THEN 'now' WHEN 4 THEN 'elsewhere' ELSE 'deadline' END AS s,
+          CASE wait_id % 5 WHEN 0 THEN resume_unix WHEN 1 THEN resume_unix WHEN 2 THEN CASE WHEN wait_id % 3 <> 0 THEN parked_unix END END AS a FROM v_waits) AS x) AS y""")
+
+
+def _spec(w):
+    w = w.withColumns({"timeout_seconds": F.col("wait_id") % 3 * 100, "reason": F.when(F.col("wait_id") % 2 == 0, " on hold ").otherwise(" "), "required_payload": F.array(F.lit(" outcome "), F.lit(""), F.col("signal_type"))})
+    w = w.withColumn("timeout_outputs", F.when(F.col("wait_id") % 5 == 0, F.create_map(F.lit("status"), F.lit("late"))))
+    return x.wait_spec(w).select("wait_id", "wait_key", "deadline_unix", "reason", F.array_join("required_payload", ",").alias("required"), F.col("timeout_outputs")["status"].alias("at_timeout"), "error")
+
+
+add("prj_18_wait_spec", over("v_waits", _spec),
+    """SELECT wait_id, CASE WHEN correlation_key = '' THEN concat(run_id, ':', node_id) ELSE correlation_key END AS wait_key, parked_unix + CASE WHEN wait_id % 3 > 0 THEN wait_id % 3 * 100 ELSE 172800 END AS deadline_unix,
+       CASE WHEN wait_id % 2 = 0 THEN 'on hold' ELSE 'await signal' END AS reason, array_to_string(list_sort(list_filter(['outcome', signal_type], lambda k: k <> '')), ',') AS required, CASE WHEN wait_id % 5 = 0 THEN 'late' ELSE 'timeout' END AS at_timeout,
+       CASE WHEN signal_type = '' THEN 'signal type is required' ELSE '' END AS error FROM v_waits""")
 
 
 def _provider(p):
@@ -97,9 +119,12 @@ def _provider(p):
 add("prj_19_provider_of", table("part", _provider), """SELECT p_partkey, CASE WHEN g THEN 'google' ELSE f END AS provider, CASE WHEN f = '' THEN 'unknown model' WHEN g AND f <> 'google' THEN 'provider mismatch' ELSE '' END AS error
     FROM (SELECT p_partkey, p_partkey % 7 = 0 AS g, CASE p_partkey % 5 WHEN 0 THEN 'anthropic' WHEN 2 THEN 'google' WHEN 3 THEN '' ELSE 'openai' END AS f FROM part) AS x""")
 ASK = "SELECT CAST(c_custkey * 7 AS BIGINT) AS run_id FROM customer"
-add("prj_20_cancel_cases", lambda s, d: x.cancel_cases(view(s, d, "v_cases"), query(s, d, ASK)),
-    f"""SELECT coalesce(c.run_id, a.run_id) AS run_id, CASE WHEN c.run_id IS NULL THEN 'not_found' WHEN a.run_id IS NOT NULL AND status NOT IN ('completed', 'failed', 'cancelled') THEN 'cancelled' ELSE status END AS status,
-        CASE WHEN c.run_id IS NOT NULL AND a.run_id IS NOT NULL AND status NOT IN ('completed', 'failed', 'cancelled') THEN 'run cancelled' ELSE '' END AS error FROM v_cases c FULL JOIN ({ASK}) a ON c.run_id = a.run_id""")
+CANCELLED = f"""SELECT coalesce(c.run_id, a.run_id) AS run_id, CASE WHEN c.run_id IS NULL THEN 'not_found' WHEN a.run_id IS NOT NULL AND status NOT IN ('completed', 'failed', 'cancelled') THEN 'cancelled' ELSE status END AS status,
+        CASE WHEN c.run_id IS NOT NULL AND a.run_id IS NOT NULL AND status NOT IN ('completed', 'failed', 'cancelled') THEN 'run cancelled' ELSE '' END AS error,
+        CASE WHEN a.run_id IS NULL OR status IN ('completed', 'failed', 'cancelled') THEN label END AS return_json FROM v_cases c FULL JOIN ({ASK}) a ON c.run_id = a.run_id"""
+add("prj_20_cancel_cases", lambda s, d: x.cancel_cases(view(s, d, "v_cases").withColumnRenamed("label", "return_json"), query(s, d, ASK)), CANCELLED)
+add("prj_20b_drop_waits", lambda s, d: x.drop_waits(view(s, d, "v_waits").select("wait_id", "run_id"), x.cancel_cases(view(s, d, "v_cases"), query(s, d, ASK))),
+    f"SELECT wait_id, run_id FROM v_waits WHERE run_id NOT IN (SELECT run_id FROM ({CANCELLED}) AS gone WHERE error = 'run cancelled')")
 add("prj_21_case_status", lambda s, d: x.case_status(view(s, d, "v_cases"), query(s, d, ASK)), f"SELECT a.run_id, coalesce(c.status, 'not_found') AS status FROM ({ASK}) a LEFT JOIN v_cases c ON c.run_id = a.run_id")
 
 # Condition functions over texts and events. Texts are cut by functions, not by the queries.
@@ -137,3 +162,17 @@ doc("fn_18_trim_reverse", lambda t: c.reverse(c.trim(F.concat(F.lit(" \t"), t, F
 doc("fn_19_join", lambda t: c.join(c.split(t, " "), "_"), "replace(text, ' ', '_')")
 evt("fn_20_algebra", lambda e: F.when((e["value"] > 50) & ~(e["event_type"] == "error"), F.concat(e["event_type"], F.lit("+"))).otherwise(F.lit("-")), "CASE WHEN value > 50 AND NOT event_type = 'error' THEN concat(event_type, '+') ELSE '-' END")
 evt("fn_21_conversions", lambda e: F.coalesce(c.to_int(c.field(e["props"], "k")), F.lit(-1)) + F.coalesce(c.to_int(e["event_type"]), F.lit(1)), "CAST(json_extract(props, '$.k') AS BIGINT) + 1")
+
+
+def _converted(e):
+    n = c.field(F.col("props"), "k")
+    stamp = F.when(F.col("event_id") % 3 == 0, "no time").otherwise(F.concat(F.lit("2024-01-01T00:00:"), F.lpad(F.col("event_id") % 60, 2, "0"), F.lit("Z")))
+    span = F.when(F.col("event_id") % 4 == 0, "soon").otherwise(F.concat((F.col("event_id") % 5).cast("string"), F.lit("h30m1.5s")))
+    return e.select(
+        "event_id", F.coalesce(c.to_uint(F.concat(F.when(F.col("event_id") % 2 == 0, "-").otherwise(""), n)).cast("string"), F.lit("none")).alias("uint"), F.octet_length(c.to_bytes(F.col("event_type"))).cast("long").alias("n_bytes"),
+        F.unix_timestamp(c.to_timestamp(stamp)).alias("at"), c.to_duration(span).alias("seconds"), F.concat_ws(",", c.type_of(F.col("event_id")), c.type_of(F.col("value")), c.type_of(F.col("event_type")), c.type_of(F.col("value") > 1), c.type_of(F.array("value"))).alias("types"),
+    )
+
+
+add("fn_21b_conversions", table("events", _converted), """SELECT event_id, CASE WHEN event_id % 2 = 1 OR CAST(json_extract_string(props, '$.k') AS BIGINT) = 0 THEN json_extract_string(props, '$.k') ELSE 'none' END AS uint, strlen(event_type) AS n_bytes,
+    CASE WHEN event_id % 3 <> 0 THEN 1704067200 + event_id % 60 END AS at, CASE WHEN event_id % 4 <> 0 THEN CAST(event_id % 5 * 3600 + 1801.5 AS DOUBLE) END AS seconds, 'int,double,string,bool,list' AS types FROM events""")

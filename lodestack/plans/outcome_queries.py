@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import extension
+from ..operators import matching as m
 from ..operators import outcomes as o
-from .views import view, with_views
+from .views import query, view, with_views
 
 NOW = 1704067200 + 30 * 86400
 Q, SQL = {}, {}
@@ -39,21 +42,27 @@ add("win_7_retry_schedule", over("v_callbacks", lambda c: o.retry_schedule(c).se
     "SELECT run_id, d AS delay_seconds, last_attempt_unix + d AS next_unix FROM (SELECT *, CAST(CASE WHEN delivered THEN 0 ELSE least(attempts, 60) END AS BIGINT) AS d FROM v_callbacks) AS x")
 add("win_8_time_budget", over("v_attempts", lambda a: o.time_budget(a, 30 * 86400).select("run_id", "node_id", "iteration", "cut")),
     "SELECT run_id, node_id, iteration, started_at > min(started_at) OVER (PARTITION BY run_id) + INTERVAL 30 DAY AS cut FROM v_attempts")
-add("agg_1_usage_totals", over("v_attempts", o.usage_totals),
-    "SELECT run_id, CAST(sum(CASE WHEN status <> 'failed' THEN input_tokens ELSE 0 END) AS BIGINT) AS input_tokens, CAST(sum(CASE WHEN status <> 'failed' THEN output_tokens ELSE 0 END) AS BIGINT) AS output_tokens FROM v_attempts GROUP BY run_id")
-OUTCOME = """SELECT run_id, outcome, CASE WHEN outcome <> 'failed' THEN '' WHEN failed THEN concat('step failed: ', first_failed) ELSE 'blueprint completed without firing return' END AS error FROM (
-    SELECT c.run_id, failed, first_failed, CASE WHEN c.status = 'cancelled' THEN 'cancelled' WHEN coalesce(returned, false) THEN 'completed' WHEN coalesce(failed, false) OR coalesce(has_return, false) THEN 'failed' ELSE 'completed' END AS outcome
-    FROM v_cases c LEFT JOIN (SELECT run_id, bool_or(node_type = 'return' AND status = 'completed') AS returned, bool_or(status = 'failed' AND on_error <> 'continue') AS failed,
-      min(CASE WHEN status = 'failed' AND on_error <> 'continue' THEN node_id END) AS first_failed, bool_or(node_type = 'return') AS has_return FROM v_attempts GROUP BY run_id) a ON c.run_id = a.run_id) AS x"""
-add("agg_2_case_outcome", lambda s, d: o.case_outcome(view(s, d, "v_cases"), view(s, d, "v_attempts")), OUTCOME)
+add("agg_1_usage_totals", over("v_attempts", lambda a: o.usage_totals(o.token_budget(a, 1000).withColumn("status", F.when(F.col("budget") == "ok", F.col("status")).otherwise("failed")), F.col("budget") == "exceeded")),
+    """SELECT run_id, CAST(sum(CASE WHEN counts THEN input_tokens ELSE 0 END) AS BIGINT) AS input_tokens, CAST(sum(CASE WHEN counts THEN output_tokens ELSE 0 END) AS BIGINT) AS output_tokens FROM (
+         SELECT *, CASE WHEN running <= 1000 THEN status <> 'failed' ELSE running - input_tokens - output_tokens <= 1000 END AS counts
+         FROM (SELECT *, sum(input_tokens + output_tokens) OVER (PARTITION BY run_id ORDER BY started_at, part_id, source_id, node_id ROWS UNBOUNDED PRECEDING) AS running FROM v_attempts) AS x) AS y GROUP BY run_id""")
+STALLED = "SELECT run_id, node_id, node_type, on_error, CASE WHEN status = 'completed' AND part_id % 4 = 0 THEN 'pending' ELSE status END AS status FROM v_attempts"
+OUTCOME = f"""SELECT run_id, CASE WHEN case_status = 'cancelled' THEN 'cancelled' WHEN error <> '' THEN 'failed' ELSE 'completed' END AS outcome, error FROM (
+    SELECT c.run_id, c.status AS case_status, CASE WHEN c.status = 'cancelled' OR coalesce(returned, false) THEN '' WHEN first_failed IS NOT NULL THEN concat('step failed: ', first_failed)
+      WHEN pending IS NOT NULL THEN concat('orphaned pending nodes: [', pending, ']') WHEN coalesce(has_return, false) THEN 'blueprint completed without firing return' ELSE '' END AS error
+    FROM v_cases c LEFT JOIN (SELECT run_id, bool_or(node_type = 'return' AND status = 'completed') AS returned, min(CASE WHEN status = 'failed' AND on_error <> 'continue' THEN node_id END) AS first_failed,
+      string_agg(DISTINCT CASE WHEN status = 'pending' THEN node_id END, ' ' ORDER BY CASE WHEN status = 'pending' THEN node_id END) AS pending FROM ({STALLED}) AS st GROUP BY run_id) a ON c.run_id = a.run_id
+    LEFT JOIN (SELECT flow_id, bool_or(type = 'return') AS has_return FROM v_flow_nodes GROUP BY flow_id) f ON f.flow_id = c.run_id) AS x"""
+add("agg_2_case_outcome", lambda s, d: o.case_outcome(view(s, d, "v_cases"), query(s, d, STALLED), view(s, d, "v_flow_nodes")), OUTCOME)
 add("agg_3_status_counts", over("v_cases", o.status_counts),
     "SELECT status, count(*) AS n, CAST(sum(CASE WHEN status = 'queued' THEN 1 ELSE 0 END) AS BIGINT) AS queued, CAST(sum(CASE WHEN status NOT IN ('completed', 'failed', 'cancelled') THEN 1 ELSE 0 END) AS BIGINT) AS active FROM v_cases GROUP BY status")
 add("agg_4_earliest_timer", over("v_waits", lambda w: o.earliest_timer(w, "node_id")),
     "SELECT node_id, coalesce(min(CASE WHEN resume_unix > 0 THEN resume_unix END), 0) AS earliest FROM v_waits GROUP BY node_id")
-add("agg_5_latest_revision", over("v_revisions", o.latest_revision),
-    "SELECT run_id, revision, status FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY revision DESC) AS k FROM v_revisions) AS x WHERE k = 1")
+add("agg_5_latest_revision", over("v_revisions", lambda r: o.latest_revision(r.withColumns({"written": F.col("revision"), "revision": F.floor((F.col("revision") + 1) / 2).cast("long")}), "written")),
+    "SELECT run_id, (revision + 1) // 2 AS revision, status FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY revision DESC) AS k FROM v_revisions) AS x WHERE k = 1")
 add("agg_6_issue_summary", over("v_issues", o.issue_summary),
-    """SELECT flow_id, count(*) AS issue_count, min_by(code, k) AS first_code, min_by(target, k) AS first_target, string_agg(concat(k, '. [', code, '] ', message, ' (target: ', target, ')'), chr(10) ORDER BY k) AS issues_text
+    """SELECT flow_id, count(*) AS issue_count, min_by(code, k) AS first_code, min_by(target, k) AS first_target, string_agg(concat(k, '. [', code, '] ', message, ' (target: ', target, ')'), chr(10) ORDER BY k) AS issues_text,
+         concat('[', string_agg(concat('{"code":"', code, '","message":"', replace(message, '"', '\\"'), '","target":"', target, '","severity":"', severity, '"}'), ',' ORDER BY k), ']') AS issues_json, bool_and(severity = 'warning') AS valid
        FROM (SELECT *, row_number() OVER (PARTITION BY flow_id ORDER BY code, target, message) AS k FROM v_issues) AS x GROUP BY flow_id""")
 add("agg_7_is_valid", over("v_issues", o.is_valid), "SELECT flow_id, bool_and(severity = 'warning') AS valid FROM v_issues GROUP BY flow_id")
 add("agg_8_source_agreement", over("v_sources", o.source_agreement),
@@ -62,8 +71,9 @@ add("agg_8_source_agreement", over("v_sources", o.source_agreement),
 add("agg_9_node_state", over("v_attempts", o.node_state),
     "SELECT run_id, node_id, iteration, status, started_at, input_tokens, output_tokens FROM (SELECT *, row_number() OVER (PARTITION BY run_id, node_id ORDER BY iteration DESC) AS k FROM v_attempts) AS x WHERE k = 1")
 ODD = "SELECT *, CASE WHEN input_tokens % 2 = 0 THEN input_tokens END AS even_tokens FROM v_attempts"
-add("agg_10_merged_outputs", over("v_attempts", lambda a: o.merged_outputs(a.withColumn("even_tokens", F.when(F.col("input_tokens") % 2 == 0, F.col("input_tokens"))), ["output_tokens", "even_tokens"])),
-    f"SELECT run_id, node_id, max_by(output_tokens, iteration) AS output_tokens, max_by(even_tokens, CASE WHEN even_tokens IS NOT NULL THEN iteration END) AS even_tokens FROM ({ODD}) AS x GROUP BY run_id, node_id")
+add("agg_10_merged_outputs", over("v_attempts", lambda a: o.merged_outputs(a.withColumns({"even_tokens": F.when(F.col("input_tokens") % 2 == 0, F.col("input_tokens")), "activation": F.floor((F.col("iteration") + 1) / 2)}), ["output_tokens", "even_tokens"], "activation")),
+    f"""SELECT run_id, node_id, max_by(output_tokens, iteration) AS output_tokens, max_by(even_tokens, CASE WHEN even_tokens IS NOT NULL THEN iteration END) AS even_tokens
+        FROM (SELECT *, max((iteration + 1) // 2) OVER (PARTITION BY run_id, node_id) AS last FROM ({ODD}) AS x) AS y WHERE (iteration + 1) // 2 = last GROUP BY run_id, node_id""")
 add("ord_1_stable_order", over("v_attempts", lambda a: o.stable_order(a).select("run_id", "node_id", "iteration", "place")),
     "SELECT run_id, node_id, iteration, row_number() OVER (PARTITION BY run_id ORDER BY CASE WHEN node_type = 'return' THEN 1 ELSE 0 END, node_id, iteration) AS place FROM v_attempts")
 add("ord_2_admit", over("v_cases", lambda c: o.admit(c, 10, "app_id").select("run_id", "app_id", "admitted")),
@@ -75,10 +85,31 @@ add("ord_4_pending_callbacks", over("v_callbacks", lambda c: o.pending_callbacks
 KEYS = ["STANDARD", "SMALL", "MEDIUM", "LARGE", "ECONOMY", "PROMO"]
 add("ord_5_closest_key", lambda s, d: o.closest_key(s.read.parquet(f"{d}/part.parquet").select("p_partkey", "p_type"), F.substring("p_type", 2, 6), KEYS).select("p_partkey", F.coalesce("closest", F.lit("")).alias("closest")),
     "SELECT p_partkey, coalesce((SELECT min_by(k, dist * 10 + i) FROM (SELECT k, i, levenshtein(substr(p_type, 2, 6), k) AS dist FROM (VALUES " + ", ".join(f"('{k}', {i})" for i, k in enumerate(KEYS)) + ") AS t(k, i)) AS u WHERE dist <= 3), '') AS closest FROM part")
-add("set_1_union_issues", over("v_issues", lambda i: i.select("flow_id", "code", "target", "severity", "message")), "SELECT flow_id, code, target, severity, message FROM v_issues")
+
+
+def _union(s, d):
+    """Two rules over nodes, one of them twice, and one over edges, as the library's operators give them."""
+    n, e = view(s, d, "v_flow_nodes"), view(s, d, "v_flow_edges")
+    off = lambda code: o.except_allowed(n, ["api_fetch", "await_signal", "wait", "map", "return"]).select("flow_id", F.lit(code).alias("code"), F.col("node_id").alias("target"), F.lit("error").alias("severity"), F.col("type").alias("message"), F.col("pos").alias("place"))
+    refs = m.unknown_output_refs(e, n, extension.catalog(s)).select("flow_id", F.lit("EDGE").alias("code"), F.concat_ws(".", "node_id", "key").alias("target"), F.lit("warning").alias("severity"), F.col("suggestion").alias("message"), F.col("pos").alias("place"))
+    nth = F.row_number().over(Window.partitionBy("flow_id").orderBy("stage", "place", "rule", "k", "code", "target"))
+    return o.union_issues(off("TYPE"), refs, off("TYPE")).select("flow_id", "code", "target", "severity", "message", nth.alias("nth"))
+
+
+RULES = """SELECT flow_id, 0 AS rule, pos, 'TYPE' AS code, node_id AS target, 'error' AS severity, type AS message FROM v_flow_nodes WHERE type = 'mystery'
+  UNION ALL SELECT e.flow_id, 1, e.pos, 'EDGE', concat(n.node_id, '.outcom'), 'warning', CASE WHEN n.type = 'api_fetch' THEN 'outcome' ELSE '' END FROM v_flow_edges e JOIN v_flow_nodes n ON e.flow_id = n.flow_id AND e.src = n.node_id WHERE loop_edge = 1 AND n.type <> 'mystery'
+  UNION ALL SELECT flow_id, 2, pos, 'TYPE', node_id, 'error', type FROM v_flow_nodes WHERE type = 'mystery'"""
+add("set_1_union_issues", _union, f"SELECT flow_id, code, target, severity, message, CAST(row_number() OVER (PARTITION BY flow_id ORDER BY rule, pos, code, target) AS INTEGER) AS nth FROM ({RULES}) AS r")
 add("set_2_normalize_keys", over("v_waits", lambda w: w.select("wait_id", F.array_join(o.normalize_keys(F.array(F.concat(F.lit(" "), "signal_type", F.lit(" ")), F.col("correlation_key"), F.lit("  "), F.col("signal_type"))), ",").alias("keys"))),
     "SELECT wait_id, array_to_string(list_sort(list_distinct(list_filter([trim(signal_type), correlation_key], lambda x: x <> ''))), ',') AS keys FROM v_waits")
-add("set_3_except_allowed", over("v_flow_nodes", lambda n: o.except_allowed(n, ["api_fetch", "return", "wait"]).select("flow_id", "node_id", "type")),
-    "SELECT flow_id, node_id, type FROM v_flow_nodes WHERE type NOT IN ('api_fetch', 'return', 'wait')")
-add("set_4_blocked_urls", over("v_urls", lambda u: o.blocked_urls(u).select("page_id", "blocked")),
-    "SELECT page_id, page_id % 6 < 4 AS blocked FROM v_urls")
+WITH_AGENTS = "SELECT flow_id, pos, node_id, duration_seconds, CASE WHEN type = 'mystery' THEN 'agent_loop' ELSE type END AS type FROM v_flow_nodes"
+add("set_3_except_allowed", lambda s, d: o.except_allowed(query(s, d, WITH_AGENTS), ["api_fetch", "return", "wait", "agent_loop"], allow_agent_loop=False).select("flow_id", "node_id", "type"),
+    f"SELECT flow_id, node_id, type FROM ({WITH_AGENTS}) AS a WHERE type NOT IN ('api_fetch', 'return', 'wait')")
+HOSTS = [
+    ("localhost:8080", True), ("10.1.2.3", True), ("169.254.169.254", True), ("172.20.0.1", True), ("[::1]:80", True), ("[fd00::1]", True), ("[fe80::1]", True), ("[::ffff:127.0.0.1]", True),
+    ("[::ffff:c0a8:101]", True), ("metadata.google.internal", True), ("8.8.8.8", False), ("[2001:db8::1]", False), ("172.32.0.1", False), ("localhost.example", False), ("[::ffff:8.8.8.8]", False), ("[fec1::1]", False),
+]
+PICKED = f"CASE page_id % {len(HOSTS) + 2} " + " ".join(f"WHEN {i} THEN '{{}}'" for i in range(len(HOSTS))) + f" WHEN {len(HOSTS)} THEN {{}} ELSE {{}} END"
+URLS = "SELECT page_id, " + PICKED.format(*(f"http://{h}/x" for h, _ in HOSTS), "'not a url'", "url") + " AS url FROM pages"
+SCREENED = "SELECT page_id, CAST(" + PICKED.format(*(str(b).lower() for _, b in HOSTS), "'true'", "'false'") + " AS BOOLEAN) AS blocked FROM pages"
+add("set_4_blocked_urls", lambda s, d: o.blocked_urls(query(s, d, URLS)).select("page_id", "blocked"), SCREENED)

@@ -31,6 +31,11 @@ def stream(df, label):
     return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 4).parquet(path)
 
 
+def one_batch(df, label):
+    """df as a stream of one batch, for results that hang on the order of arrival."""
+    return df.sparkSession.readStream.schema(df.schema).option("maxFilesPerTrigger", 1_000_000).parquet(written(df, label))
+
+
 def _cases(spark, d):
     df = view(spark, d, "v_cases").select("run_id", "app_id", "status", F.lit("").alias("error"))
     full = df.join(results(view(spark, d, "v_attempts")), "run_id", "left")
@@ -59,15 +64,20 @@ def _append(spark, d):
     path = s.folder(e, "append")
     r.append_events(e.filter("id % 3 <> 0"), path)
     r.append_events(e.union(e.filter("id % 2 = 0")), path)
-    return spark.read.schema(e.schema).parquet(path)
+    return spark.read.schema(e.schema).parquet(path).select("id", "type")
 
 
 add("src_6_append_events", _append, "SELECT event_id AS id, event_type AS type FROM events")
-STORED = "SELECT run_id, CAST(run_id % 4 AS BIGINT) AS revision, status FROM v_cases WHERE run_id % 5 <> 0"
-INCOMING = "SELECT run_id, CAST(run_id % 3 AS BIGINT) AS revision, 'completed' AS status FROM v_cases WHERE run_id % 2 = 0"
-UPSERT = f"SELECT coalesce(c.run_id, i.run_id) AS run_id, c.revision AS cr, c.status AS cs, i.revision AS ir, i.status AS ist, coalesce(i.revision = coalesce(c.revision, 0) AND NOT coalesce(c.status IN ('completed', 'failed', 'cancelled') AND c.status <> i.status, false), false) AS ok FROM ({STORED}) c FULL JOIN ({INCOMING}) i ON c.run_id = i.run_id"
-add("src_7_upsert", lambda sp, d: r.upsert_revisions(query(sp, d, STORED), query(sp, d, INCOMING))[0], f"SELECT run_id, CASE WHEN ok THEN ir + 1 ELSE cr END AS revision, CASE WHEN ok THEN ist ELSE cs END AS status FROM ({UPSERT}) AS u WHERE cr IS NOT NULL OR ok")
-add("src_7b_rejects", lambda sp, d: r.upsert_revisions(query(sp, d, STORED), query(sp, d, INCOMING))[1], f"SELECT run_id, ir AS revision, ist AS status, 'stale' AS reason FROM ({UPSERT}) AS u WHERE ir IS NOT NULL AND NOT ok")
+STORED = "SELECT run_id, CAST(run_id % 3 AS BIGINT) AS revision, status FROM v_cases WHERE status <> 'queued'"
+# Several rows of one run, at stored, older and newer revisions, some of them equal.
+INCOMING = "SELECT run_id, revision % 3 AS revision, status, revision // 2 AS seq FROM v_revisions UNION ALL SELECT run_id, CAST(run_id % 3 AS BIGINT), status, CAST(1 AS BIGINT) FROM v_cases UNION ALL SELECT run_id, CAST(run_id % 3 AS BIGINT), status, CAST(1 AS BIGINT) FROM v_cases"
+JUDGED = f"""SELECT i.*, c.revision AS cr, c.status AS cs, coalesce(i.revision = coalesce(c.revision, 0) AND NOT coalesce(c.status IN ('completed', 'failed', 'cancelled') AND c.status <> i.status, false), false) AS ok
+  FROM (SELECT *, row_number() OVER (PARTITION BY run_id, revision, status, seq ORDER BY seq) AS copy FROM ({INCOMING}) AS r) i LEFT JOIN ({STORED}) c ON c.run_id = i.run_id"""
+RANKED = f"SELECT *, CASE WHEN ok THEN row_number() OVER (PARTITION BY run_id, ok ORDER BY seq, status, copy) END AS turn FROM ({JUDGED}) AS u"
+SPARK_INCOMING = INCOMING.replace("revision // 2", "revision DIV 2")
+add("src_7_upsert", lambda sp, d: r.upsert_revisions(query(sp, d, STORED), query(sp, d, SPARK_INCOMING), "seq")[0],
+    f"SELECT coalesce(c.run_id, w.run_id) AS run_id, coalesce(w.revision + 1, c.revision) AS revision, coalesce(w.status, c.status) AS status FROM ({STORED}) c FULL JOIN (SELECT * FROM ({RANKED}) AS x WHERE turn = 1) w ON c.run_id = w.run_id")
+add("src_7b_rejects", lambda sp, d: r.upsert_revisions(query(sp, d, STORED), query(sp, d, SPARK_INCOMING), "seq")[1], f"SELECT run_id, revision, status, 'stale' AS reason FROM ({RANKED}) AS x WHERE turn IS NULL OR turn > 1")
 
 
 def _evidence(spark, d):
@@ -78,21 +88,31 @@ def _evidence(spark, d):
 
 
 add("src_8_write_evidence", _evidence, "SELECT app_id % 20 AS app_id, run_id, status FROM v_cases")
-add("src_9_snapshots", lambda sp, d: r.snapshots(view(sp, d, "v_revisions")), "SELECT run_id, revision, concat('runs/', run_id, '.json') AS path, concat('{\"run_id\":', run_id, ',\"revision\":', revision, ',\"status\":\"', status, '\"}') AS run FROM v_revisions")
+ENVELOPED = "SELECT v.run_id, v.revision, v.status, c.app_id, concat('user-', c.app_id) AS initiator FROM v_revisions v JOIN v_cases c ON c.run_id = v.run_id"
+ENVELOPES = f"SELECT app_id, concat('runs/', run_id, '.json') AS path, initiator, run_id, revision, concat('{{\"run_id\":', run_id, ',\"revision\":', revision, ',\"status\":\"', status, '\"}}') AS run FROM ({ENVELOPED}) AS x"
+add("src_9_snapshots", lambda sp, d: r.snapshots(query(sp, d, ENVELOPED)), ENVELOPES)
+add("src_9b_stream_snapshots", lambda sp, d: s.drain(r.snapshots(stream(query(sp, d, ENVELOPED), "envelopes"))), ENVELOPES)
 add("str_1_dedupe_signals", lambda sp, d: s.drain(s.dedupe_signals(stream(query(sp, d, "SELECT event_id, concat('k-', user_id, '-', CAST(floor(value) AS BIGINT)) AS idempotency_key, CAST(ts AS TIMESTAMP) AS ts FROM events"), "signals"))).select("idempotency_key"),
     "SELECT DISTINCT idempotency_key FROM v_signals")
-WAITS = "SELECT wait_id, correlation_key AS wait_key, signal_type AS wait_type, CAST(timestamp_seconds(parked_unix) AS TIMESTAMP) AS parked_at FROM v_waits WHERE kind = 'signal' AND correlation_key <> ''"
-SIGNALS = "SELECT event_id, correlation_key AS signal_key, signal_type, CAST(timestamp_seconds(observed_unix) AS TIMESTAMP) AS observed_at FROM v_signals"
+WAITS = "SELECT wait_id, correlation_key AS wait_key, signal_type AS wait_type FROM v_waits WHERE kind = 'signal'"
+SIGNALS = "SELECT event_id, correlation_key AS signal_key, signal_type FROM v_signals"
 add("str_2_match_stream", lambda sp, d: s.drain(s.match_stream(stream(query(sp, d, WAITS), "waits"), stream(query(sp, d, SIGNALS), "signals"))),
-    "SELECT wait_id, event_id FROM v_waits w JOIN v_signals s ON w.kind = 'signal' AND w.correlation_key = s.correlation_key AND (w.signal_type = '' OR w.signal_type = s.signal_type OR starts_with(s.signal_type, concat(w.signal_type, '.'))) WHERE w.correlation_key <> ''")
+    "SELECT wait_id, event_id FROM v_waits w JOIN v_signals s ON w.kind = 'signal' AND (w.correlation_key = '' OR w.correlation_key = s.correlation_key) AND (w.signal_type = '' OR w.signal_type = s.signal_type OR starts_with(s.signal_type, concat(w.signal_type, '.')))")
+# Runs that park many waits and get many signals; a clock row ends each.
+RUN_ROWS = f"""SELECT wait_id % 97 AS run_id, parked_unix AS at, 'wait' AS kind, wait_id AS id, correlation_key AS key, signal_type AS type, needs_outcome, '' AS outcome, '' AS idempotency_key, CASE WHEN resume_unix > 0 THEN resume_unix END AS deadline FROM v_waits WHERE kind = 'signal'
+  UNION ALL SELECT app_id % 97, observed_unix, 'signal', event_id, correlation_key, signal_type, false, payload_outcome, idempotency_key, CAST(NULL AS BIGINT) FROM v_signals
+  UNION ALL SELECT DISTINCT wait_id % 97, CAST({NOW * 2} AS BIGINT), 'clock', CAST(0 AS BIGINT), '', '', false, '', '', CAST(NULL AS BIGINT) FROM v_waits"""
+add("str_2b_match_stateful", lambda sp, d: s.drain(s.match_stateful(one_batch(query(sp, d, RUN_ROWS), "runs"))))
 LIFE = "SELECT user_id AS run_id, event_id AS seq, CASE WHEN event_id % 17 = 0 THEN 'failed' WHEN event_id % 13 = 0 THEN 'completed' WHEN event_type = 'click' THEN 'queued' WHEN event_type = 'view' THEN 'waiting' ELSE 'running' END AS status FROM events"
 add("str_3_lifecycle", lambda sp, d: s.lifecycle(stream(query(sp, d, LIFE), "life")).select("run_id", "status"),
     f"SELECT run_id, coalesce(arg_min(CASE WHEN status IN ('completed', 'failed') THEN status END, CASE WHEN status IN ('completed', 'failed') THEN seq END), arg_max(status, seq)) AS status FROM ({LIFE}) AS x GROUP BY run_id")
 add("str_4_drop_after_terminal", lambda sp, d: s.drop_after_terminal(query(sp, d, LIFE)),
     f"SELECT x.run_id, seq, status FROM ({LIFE}) AS x LEFT JOIN (SELECT run_id, min(seq) AS e FROM ({LIFE}) AS y WHERE status IN ('completed', 'failed') GROUP BY run_id) z ON x.run_id = z.run_id WHERE e IS NULL OR seq <= e")
-add("str_5_fire_timers", lambda sp, d: s.fire_timers(stream(view(sp, d, "v_waits").select("wait_id", "resume_unix").union(view(sp, d, "v_waits").filter("wait_id % 3 = 0").select("wait_id", "resume_unix")), "timers"), NOW), f"SELECT wait_id, resume_unix FROM v_waits WHERE resume_unix > 0 AND resume_unix <= {NOW}")
+add("str_4b_stream_drop", lambda sp, d: s.drain(s.stream_drop_after_terminal(one_batch(query(sp, d, LIFE), "life"))),
+    f"SELECT x.run_id, seq, status FROM ({LIFE}) AS x LEFT JOIN (SELECT run_id, min(seq) AS e FROM ({LIFE}) AS y WHERE status IN ('completed', 'failed') GROUP BY run_id) z ON x.run_id = z.run_id WHERE e IS NULL OR seq <= e")
+add("str_5_fire_timers", lambda sp, d: s.drain(s.fire_timers(stream(view(sp, d, "v_waits").select("wait_id", "resume_unix").union(view(sp, d, "v_waits").filter("wait_id % 3 = 0").select("wait_id", "resume_unix")), "timers"), NOW)), f"SELECT wait_id, resume_unix FROM v_waits WHERE resume_unix > 0 AND resume_unix <= {NOW}")
 add("str_6_snapshot_upsert", lambda sp, d: s.snapshot_upsert(stream(view(sp, d, "v_revisions"), "revisions")), "SELECT run_id, max(revision) AS revision, arg_max(status, revision) AS status FROM v_revisions GROUP BY run_id")
-add("str_7_outbox", lambda sp, d: s.outbox(stream(view(sp, d, "v_callbacks"), "callbacks"), NOW), f"SELECT run_id, attempts, last_attempt_unix + least(attempts, 60) AS next_unix FROM v_callbacks WHERE status IN ('completed', 'failed', 'cancelled') AND url <> '' AND NOT delivered AND last_attempt_unix + least(attempts, 60) <= {NOW}")
+add("str_7_outbox", lambda sp, d: s.drain(s.outbox(stream(view(sp, d, "v_callbacks").union(view(sp, d, "v_callbacks")), "callbacks"), NOW)), f"SELECT run_id, attempts, last_attempt_unix + least(attempts, 60) AS next_unix FROM v_callbacks WHERE status IN ('completed', 'failed', 'cancelled') AND url <> '' AND NOT delivered AND last_attempt_unix + least(attempts, 60) <= {NOW}")
 add("str_8_interrupt_recovery", lambda sp, d: s.interrupt_recovery(query(sp, d, "SELECT run_id, CASE WHEN run_id % 3 = 0 THEN 'running' ELSE status END AS status FROM v_cases"), query(sp, d, "SELECT run_id, wait_id % 2 = 0 AS owned FROM v_waits")),
     """SELECT c.run_id, CASE WHEN h AND st = 'waiting' THEN 'failed' WHEN st = 'running' THEN 'queued' ELSE st END AS status, CASE WHEN h AND st = 'waiting' THEN 'inconclusive' ELSE '' END AS outcome
        FROM (SELECT run_id, CASE WHEN run_id % 3 = 0 THEN 'running' ELSE status END AS st FROM v_cases) c LEFT JOIN (SELECT DISTINCT run_id AS r, true AS h FROM v_waits WHERE wait_id % 2 = 0) w ON c.run_id = w.r""")

@@ -59,17 +59,19 @@ add("txt_9_flatten", over("v_reports", lambda r: r.select("report_id", F.explode
        UNION ALL SELECT report_id, 'output.status', '   ' FROM v_reports WHERE report_id % 6 = 1
        UNION ALL SELECT report_id, unnest(['output.decision', 'output.confidence', 'output.reasoning', 'output.extra']), unnest(['cancel', 'low', '', 'true']) FROM v_reports WHERE report_id % 6 = 4
        UNION ALL SELECT report_id, unnest(['output.status', 'output.decision']), unnest(['5', 'reaffirm']) FROM v_reports WHERE report_id % 6 = 5""")
-add("txt_10_finalize", over("v_responses", lambda r: j.finalize_resolution(j.extract_json(r.withColumn("t", j.trim_code_fence(F.col("raw"))), "t").filter(F.col("doc_id") % 5 != 0), "json", F.lit(ALLOWED)).select("doc_id", "status", "outcome", "error")),
-    """SELECT doc_id, CASE WHEN idx >= 3 THEN 'failed' ELSE 'success' END AS status, CASE WHEN idx >= 3 THEN 'inconclusive' ELSE CAST(idx AS VARCHAR) END AS outcome, CASE WHEN idx >= 3 THEN 'outcome out of range' ELSE '' END AS error
-       FROM (SELECT doc_id, CASE doc_id % 5 WHEN 3 THEN 9 WHEN 4 THEN doc_id % 3 ELSE doc_id % 4 END AS idx FROM documents WHERE doc_id % 5 <> 0) AS x""")
+add("txt_10_finalize", over("v_responses", lambda r: j.finalize_resolution(j.extract_json(r.withColumn("t", j.trim_code_fence(F.col("raw"))), "t"), "json", F.lit(ALLOWED)).select("doc_id", "status", "outcome", "error")),
+    """SELECT doc_id, CASE WHEN idx IS NULL OR idx >= 3 THEN 'failed' ELSE 'success' END AS status, CASE WHEN idx IS NULL OR idx >= 3 THEN 'inconclusive' ELSE CAST(idx AS VARCHAR) END AS outcome,
+         CASE WHEN idx IS NULL THEN 'the resolution is no JSON object' WHEN idx >= 3 THEN 'outcome out of range' ELSE '' END AS error
+       FROM (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN NULL WHEN 3 THEN 9 WHEN 4 THEN doc_id % 3 ELSE doc_id % 4 END AS idx FROM documents) AS x""")
 add("txt_11_normalize_return", over("v_reports", lambda r: r.select("report_id", j.normalize_return(F.col("body")).alias("error"))),
     "SELECT report_id, CASE report_id % 6 WHEN 0 THEN '' WHEN 1 THEN 'status is blank' WHEN 2 THEN 'not an object' WHEN 3 THEN 'invalid JSON' ELSE 'status must be text' END AS error FROM v_reports")
-add("txt_12_truncate", table("documents", lambda d: d.select("doc_id", "text", j.truncate_payload(F.col("text"), 1000).alias("p")).select("doc_id", (F.col("p") == F.col("text")).alias("whole"), F.coalesce(F.get_json_object("p", "$.original_bytes").try_cast("bigint"), F.lit(0)).alias("original_bytes"))),
-    "SELECT doc_id, strlen(text) <= 1000 AS whole, CASE WHEN strlen(text) > 1000 THEN strlen(text) ELSE 0 END AS original_bytes FROM documents")
+add("txt_12_truncate", table("documents", lambda d: d.select("doc_id", "text", j.truncate_payload(F.col("text"), 1000).alias("p")).select("doc_id", (F.col("p") == F.col("text")).alias("whole"), F.coalesce(F.get_json_object("p", "$.original_bytes").try_cast("bigint"), F.lit(0)).alias("original_bytes"), F.coalesce(F.when(F.col("p") != F.col("text"), F.get_json_object("p", "$.content")), F.lit("")).alias("content"))),
+    """SELECT doc_id, strlen(text) <= 1000 AS whole, CASE WHEN strlen(text) > 1000 THEN strlen(text) ELSE 0 END AS original_bytes,
+         CASE WHEN strlen(text) > 1000 THEN left(text, CAST(list_max(list_filter(range(0, 745), lambda k: strlen(left(text, k)) <= 744)) AS BIGINT)) ELSE '' END AS content FROM documents""")
 add("txt_13_message_text", table("conversations", lambda m: m.select("conv_id", "turn", j.message_text(F.array(F.concat(F.lit("["), "role", F.lit("]")), F.lit("  "), F.col("text"))).alias("t"))),
     "SELECT conv_id, turn, CASE WHEN regexp_full_match(text, '\\s*') THEN concat('[', role, ']') ELSE concat('[', role, ']', chr(10), text) END AS t FROM conversations")
 add("txt_14_tail", table("conversations", lambda m: j.transcript_tail(m, 60)),
-    "SELECT conv_id, right(arg_max(text, turn), 60) AS tail FROM conversations WHERE NOT regexp_full_match(text, '\\s*') GROUP BY conv_id")
+    f"SELECT conv_id, right(b, CAST(list_max(list_filter(range(0, 61), lambda k: strlen(right(b, k)) <= 60)) AS BIGINT)) AS tail FROM (SELECT conv_id, arg_max({WS % 'text'}, turn) AS b FROM conversations WHERE NOT regexp_full_match(text, '\\s*') GROUP BY conv_id) AS x")
 add("txt_15_compact", table("conversations", lambda m: j.compact_transcript(m, 3, pairs=False).select("conv_id", "turn")),
     "SELECT conv_id, turn FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations) AS x WHERE k <= 3")
 add("txt_15b_compact_pairs", table("conversations", lambda m: j.compact_transcript(m, 4).select("conv_id", "turn")), None)
@@ -91,14 +93,31 @@ add("bat_2_batch", table("orders", lambda o: b.batch(o, ["o_custkey"], ["o_order
     "SELECT o_custkey, CAST(i // 4 AS BIGINT) AS batch_index, CAST(min(i) AS BIGINT) AS batch_start_index, CAST(max(i) AS BIGINT) AS batch_end_index, count(*) AS batch_item_count FROM (SELECT o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS i FROM orders) AS x GROUP BY o_custkey, i // 4")
 
 
+class StepsFailed(ValueError):
+    """All steps of a batch failed; what they used counts."""
+
+    def __init__(self, pdf):
+        super().__init__("all steps failed")
+        self.usage = (int(pdf["input_tokens"].sum()), 0)
+
+
 def _tokens(pdf):
     if (pdf["status"] == "failed").all():
-        raise ValueError("all steps failed")
-    return int(pdf["output_tokens"].sum())
+        raise StepsFailed(pdf)
+    return int(pdf["output_tokens"].sum()), int(pdf["input_tokens"].sum()), int(pdf["output_tokens"].sum())
+
 
+def _apply(on_error, concurrency=0):
+    return over("v_attempts", lambda a: b.apply_batches(a.select("run_id", "node_id", "status", "input_tokens", "output_tokens"), ["run_id", "node_id"], _tokens, "result long", on_error, concurrency))
 
-add("bat_3_apply_batches", over("v_attempts", lambda a: b.apply_batches(a.select("run_id", "node_id", "status", "output_tokens"), ["run_id", "node_id"], _tokens, "result long")),
-    "SELECT run_id, node_id, CASE WHEN bool_and(status = 'failed') THEN NULL ELSE CAST(sum(output_tokens) AS BIGINT) END AS result, CASE WHEN bool_and(status = 'failed') THEN 'failed' ELSE 'completed' END AS status, CASE WHEN bool_and(status = 'failed') THEN 'all steps failed' ELSE '' END AS error FROM v_attempts GROUP BY run_id, node_id")
+
+APPLIED = """SELECT run_id, node_id, bool_and(status = 'failed') AS bad, CAST(sum(output_tokens) AS BIGINT) AS out_tokens, CAST(sum(input_tokens) AS BIGINT) AS in_tokens FROM v_attempts GROUP BY run_id, node_id"""
+add("bat_3_apply_batches", _apply("continue"),
+    f"SELECT run_id, node_id, CASE WHEN NOT bad THEN out_tokens END AS result, CASE WHEN bad THEN 'failed' ELSE 'completed' END AS status, CASE WHEN bad THEN 'all steps failed' ELSE '' END AS error, in_tokens AS input_tokens, CASE WHEN bad THEN 0 ELSE out_tokens END AS output_tokens FROM ({APPLIED}) AS x")
+add("bat_3b_fail_fast", _apply("fail", 4),
+    f"""SELECT run_id, node_id, CASE WHEN NOT bad AND NOT off THEN out_tokens END AS result, CASE WHEN off THEN 'skipped' WHEN bad THEN 'failed' ELSE 'completed' END AS status, CASE WHEN bad AND NOT off THEN 'all steps failed' ELSE '' END AS error,
+        CASE WHEN off THEN 0 ELSE in_tokens END AS input_tokens, CASE WHEN bad OR off THEN 0 ELSE out_tokens END AS output_tokens
+        FROM (SELECT *, coalesce(bool_or(bad) OVER (PARTITION BY run_id ORDER BY node_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS off FROM ({APPLIED}) AS x) AS y""")
 BATCHES = "SELECT run_id, CAST(row_number() OVER (PARTITION BY run_id ORDER BY node_id, iteration) AS BIGINT) AS idx, status, CASE WHEN status = 'failed' THEN concat('e-', node_id) ELSE '' END AS error, output_tokens FROM v_attempts"
 SKIP = f"SELECT run_id, idx, error, output_tokens, CASE WHEN max(CASE WHEN status = 'failed' THEN 1 ELSE 0 END) OVER (PARTITION BY run_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = 1 THEN 'skipped' ELSE status END AS status FROM ({BATCHES}) AS x"
 add("bat_4_skip_after_failure", lambda s, d: b.skip_after_failure(query(s, d, BATCHES), "run_id", "idx").select("run_id", "idx", "status"), f"SELECT run_id, idx, status FROM ({SKIP}) AS y")
@@ -108,10 +127,17 @@ add("bat_5_rollup", lambda s, d: b.batch_rollup(b.skip_after_failure(query(s, d,
 
 
 def _nested(spark, d):
+    """Orders of a customer, with the lines of each, as JSON: groups that stay small."""
     t = lambda n: spark.read.parquet(f"{d}/{n}.parquet")
-    nations = t("customer").groupBy("c_nationkey").agg(F.count("*").alias("n"), F.sort_array(F.collect_list(F.when(F.col("c_custkey") % 10 == 0, F.col("c_custkey")))).alias("keys"))
-    nations = t("nation").join(nations, F.col("n_nationkey") == F.col("c_nationkey")).groupBy("n_regionkey").agg(F.to_json(F.sort_array(F.collect_list(F.struct("n_nationkey", "keys")))).alias("nations"))
-    return b.nested_explode(nations, ["nations", "keys"], max_items=100_000).select("n_regionkey", F.col("item").try_cast("bigint").alias("c_custkey"))
-
-
-add("bat_6_nested_explode", _nested, "SELECT CAST(n_regionkey AS BIGINT) AS n_regionkey, c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 10 = 0")
+    lines = t("lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sort_array(F.collect_list("l_partkey")).alias("parts"))
+    orders = t("orders").join(lines, "o_orderkey", "left").groupBy("o_custkey").agg(F.to_json(F.sort_array(F.collect_list(F.struct("o_orderkey", "parts")))).alias("orders"))
+    rows = t("customer").join(orders, F.col("c_custkey") == F.col("o_custkey"), "left").select("c_custkey", "orders")
+    out = b.nested_explode(rows, ["orders", "parts"], max_items=12)
+    return out.select("c_custkey", F.col("pos").cast("long").alias("pos"), F.col("item").try_cast("bigint").alias("part"), "error")
+
+
+add("bat_6_nested_explode", _nested, """WITH o AS (SELECT c_custkey, o_orderkey, count(*) OVER (PARTITION BY c_custkey) AS n FROM customer JOIN orders ON c_custkey = o_custkey),
+  l AS (SELECT l_orderkey, l_partkey, count(*) OVER (PARTITION BY l_orderkey) AS m, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey) - 1 AS pos FROM lineitem)
+  SELECT DISTINCT c_custkey, CAST(0 AS BIGINT) AS pos, CAST(NULL AS BIGINT) AS part, 'too many items' AS error FROM o WHERE n > 12
+  UNION ALL SELECT c_custkey, pos, l_partkey, '' FROM o JOIN l ON o_orderkey = l_orderkey WHERE n <= 12 AND m <= 12
+  UNION ALL SELECT c_custkey, 0, NULL, 'too many items' FROM o JOIN (SELECT DISTINCT l_orderkey FROM l WHERE m > 12) AS x ON o_orderkey = l_orderkey WHERE n <= 12""")

@@ -57,27 +57,49 @@ def stream_event_log(spark: SparkSession, path: str, schema: str = EVENT, fmt: s
     return spark.readStream.schema(schema).format(fmt).option("maxFilesPerTrigger", files).load(path)
 
 
-def append_events(events: DataFrame, path: str, key: str = "id") -> DataFrame:
-    """SRC-6: append the events whose id is not there yet; returns those."""
+def append_events(events: DataFrame, path: str, key: str = "id", shard: int = 1_000_000) -> DataFrame:
+    """SRC-6: append the events whose id is not there yet; returns those.
+
+    The log is partitioned by ranges of `shard` ids, so that an append looks for known ids only in the ranges
+    that its own ids span, not in the whole log.
+    """
     spark = events.sparkSession
-    fresh = events.dropDuplicates([key])
+    fresh = events.dropDuplicates([key]).withColumn("shard", F.floor(F.col(key) / shard))
+    span = fresh.agg(F.min("shard").alias("lo"), F.max("shard").alias("hi")).first()
     try:
-        fresh = fresh.join(spark.read.schema(events.schema).parquet(path).select(key), key, "left_anti").select(*events.columns)
+        log = spark.read.schema(fresh.schema).parquet(path).filter(F.col("shard").between(span["lo"], span["hi"]))
+        fresh = fresh.join(log.select(key), key, "left_anti").select(*events.columns, "shard")
     except Exception as e:  # the first append finds no table
         if "PATH_NOT_FOUND" not in str(e):
             raise
-    fresh.write.mode("append").parquet(path)
-    return fresh
+    fresh.write.mode("append").partitionBy("shard").parquet(path)
+    return fresh.drop("shard")
+
 
+def upsert_revisions(current: DataFrame, incoming: DataFrame, order: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """SRC-7: (table, rejects). An incoming row (run_id, revision, status) may be taken if its revision is the stored one, or 0 for
+    a new run, and the stored run has not ended otherwise. Of several of one run the first one by order (a column; else by status)
+    is taken, its revision goes up, and all others are stale.
 
-def upsert_revisions(current: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """SRC-7: (table, rejects). An incoming row (run_id, revision, status) counts if its revision is the stored one, or 0 for a new run, and the stored run has not ended otherwise; its revision then goes up."""
+    Equal rows are counted before they meet the table, so that a run with very many of them is one row.
+    """
+    keys = ["run_id", "revision", "status", *([order] if order else [])]
+    i = incoming.groupBy(*keys).agg(F.count("*").alias("n"))
+    i = i.select("run_id", F.col("revision").alias("i_rev"), F.col("status").alias("i_status"), F.struct(F.col(order) if order else F.lit(0), F.col("status")).alias("turn"), "n")
     c = current.select("run_id", F.col("revision").alias("c_rev"), F.col("status").alias("c_status"))
-    j = c.join(incoming.select("run_id", F.col("revision").alias("i_rev"), F.col("status").alias("i_status")), "run_id", "full_outer")
+    j = i.join(c, "run_id", "left")
     ended = F.col("c_status").isin(*TERMINAL) & (F.col("c_status") != F.col("i_status"))
     ok = F.coalesce((F.col("i_rev") == F.coalesce("c_rev", F.lit(0))) & ~F.coalesce(ended, F.lit(False)), F.lit(False))
-    table = j.filter(F.col("c_rev").isNotNull() | ok).select("run_id", F.when(ok, F.col("i_rev") + 1).otherwise(F.col("c_rev")).alias("revision"), F.when(ok, F.col("i_status")).otherwise(F.col("c_status")).alias("status"))
-    return table, j.filter(F.col("i_rev").isNotNull() & ~ok).select("run_id", F.col("i_rev").alias("revision"), F.col("i_status").alias("status"), F.lit("stale").alias("reason"))
+    j = j.withColumn("ok", ok)
+    won = j.filter("ok").groupBy("run_id").agg(F.min(F.struct("turn", "i_rev")).alias("won"))
+    w = won.select("run_id", F.col("won.i_rev").alias("w_rev"), F.col("won.turn.status").alias("w_status"))
+    table = c.join(w, "run_id", "full_outer")
+    table = table.select("run_id", F.coalesce(F.col("w_rev") + 1, "c_rev").alias("revision"), F.coalesce("w_status", "c_status").alias("status"))
+    r = j.join(won, "run_id", "left")
+    taken = F.coalesce(F.col("ok") & (F.col("turn") == F.col("won.turn")), F.lit(False)).cast("int")
+    r = r.withColumn("left", F.col("n") - taken).filter("left > 0")
+    r = r.select("run_id", F.col("i_rev").alias("revision"), F.col("i_status").alias("status"), F.explode(F.sequence(F.lit(1).cast("long"), "left")))
+    return table, r.select("run_id", "revision", "status", F.lit("stale").alias("reason"))
 
 
 def write_evidence(cases: DataFrame, path: str) -> None:
@@ -86,5 +108,10 @@ def write_evidence(cases: DataFrame, path: str) -> None:
 
 
 def snapshots(revisions: DataFrame) -> DataFrame:
-    """SRC-9: an envelope per revision: app, path, revision and the run as JSON."""
-    return revisions.select("run_id", "revision", F.concat(F.lit("runs/"), F.col("run_id").cast("string"), F.lit(".json")).alias("path"), F.to_json(F.struct("run_id", "revision", "status")).alias("run"))
+    """SRC-9: an envelope per revision of a table or a stream: app, path, initiator, revision and the run as JSON.
+
+    A stream of envelopes is written by streaming.signals.drain, or any writeStream.
+    """
+    path = F.concat(F.lit("runs/"), F.col("run_id").cast("string"), F.lit(".json"))
+    run = F.to_json(F.struct("run_id", "revision", "status"))
+    return revisions.select("app_id", path.alias("path"), "initiator", "run_id", "revision", run.alias("run"))

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.records import folder
 
@@ -12,30 +17,39 @@ TERMINAL = ("completed", "failed", "cancelled")
 STATUS_OF = {"RunQueued": "queued", "RunRunning": "running", "RunWaiting": "waiting", "RunRecovered": "queued", "RunInterrupted": "queued", "RunCompleted": "completed", "RunCompletedViaReturn": "completed", "RunFailed": "failed", "RunCancelled": "cancelled"}
 
 
-def drain(stream: DataFrame, mode: str = "append", timeout: int = 300) -> DataFrame:
-    """Run a stream over what is there, into a table, and read that."""
-    out, check = folder(stream, "sink"), folder(stream, "stream-checkpoint")
-    q = stream.writeStream.format("parquet").outputMode(mode).option("path", out).option("checkpointLocation", check).trigger(availableNow=True).start()
-    if not q.awaitTermination(timeout):
-        q.stop()
-        raise TimeoutError("the stream did not end")
+def drain(stream: DataFrame, out: str | None = None, checkpoint: str | None = None) -> DataFrame:
+    """Run a stream over what is there, append its rows to a table, and read that. With out and checkpoint given, a later run goes on
+    where this one ended; else both are fresh folders."""
+    out, checkpoint = out or folder(stream, "sink"), checkpoint or folder(stream, "stream-checkpoint")
+    q = stream.writeStream.format("parquet").outputMode("append").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(out)
 
 
-def collect_batches(stream: DataFrame, fold, timeout: int = 300) -> DataFrame:
-    """Run a stream over what is there; fold(table so far or None, batch) -> table is written after each batch, the last one is read."""
-    spark, base, seen = stream.sparkSession, folder(stream, "folded"), {"n": None}
+def changes(stream: DataFrame, out: str | None = None, checkpoint: str | None = None) -> DataFrame:
+    """Run an aggregation over what is there; each batch writes the keys that it changed under its own number, and nothing else is
+    written again. Gives (columns, epoch); an epoch that is run again after a failure replaces itself."""
+    spark = stream.sparkSession
+    out, checkpoint = out or folder(stream, "changes"), checkpoint or folder(stream, "stream-checkpoint")
 
     def each(batch: DataFrame, epoch: int) -> None:
-        before = spark.read.parquet(f"{base}/{seen['n']}") if seen["n"] is not None else None
-        fold(before, batch).write.mode("overwrite").parquet(f"{base}/{epoch}")
-        seen["n"] = epoch
+        batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
+
+    q = stream.writeStream.foreachBatch(each).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    fields = T.StructType([*stream.schema.fields, T.StructField("epoch", T.LongType())])
+    try:
+        return spark.read.schema(fields).option("basePath", out).parquet(out)
+    except AnalysisException as e:  # an empty stream has no batch
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return spark.createDataFrame([], fields)
 
-    q = stream.writeStream.foreachBatch(each).option("checkpointLocation", folder(stream, "stream-checkpoint")).trigger(availableNow=True).start()
-    if not q.awaitTermination(timeout):
-        q.stop()
-        raise TimeoutError("the stream did not end")
-    return spark.read.parquet(f"{base}/{seen['n']}")
+
+def latest(changed: DataFrame, key: str) -> DataFrame:
+    """The last row of each key of changes()."""
+    values = [c for c in changed.columns if c not in (key, "epoch")]
+    return changed.groupBy(key).agg(F.max_by(F.struct(*values), "epoch").alias("s")).select(key, "s.*")
 
 
 def dedupe_signals(stream: DataFrame, key: str = "idempotency_key", time: str = "ts", delay: str = "365 days") -> DataFrame:
@@ -56,51 +70,111 @@ def match_stream(waits: DataFrame, signals: DataFrame) -> DataFrame:
     return j.select("wait_id", "event_id").union(loose.select("wait_id", "event_id"))
 
 
-def newest(before: DataFrame | None, batch: DataFrame, key: str, order: str, value: str) -> DataFrame:
-    both = batch if before is None else before.unionByName(batch)
-    return both.groupBy(key).agg(F.max(order).alias(order), F.max_by(value, order).alias(value))
+MATCHED = "run_id long, wait_id long, event_id long, status string, outcome string"
+STATE = "waits string, signals string"
 
 
-def lifecycle(stream: DataFrame) -> DataFrame:
-    """STR-3 and STR-4: each run's status from (run_id, seq, status): the latest one, but the first terminal one stays."""
+RANK = {"signal": 0, "wait": 1, "clock": 2}
+
+
+def match_stateful(events: DataFrame) -> DataFrame:
+    """STR-2 with state: (run_id, wait_id, event_id, status, outcome) of a stream of parked waits and signals of runs.
+
+    events has run_id, at (seconds), kind (wait, signal or clock), id, key, type, needs_outcome, outcome,
+    idempotency_key and deadline (seconds, or null). State is kept per run: waits until their signal or their
+    deadline, signals until a wait takes them, in whatever order they arrive and at any distance in time. A
+    wait takes the smallest (idempotency_key, id) of the unused signals that match its key and type and have
+    the outcome that it needs; each signal is used once, waits of any key among them. Time goes on with a
+    run's rows; a clock row does nothing else, so that idle runs time out too. A wait whose deadline has come
+    gives status timeout and no signal. Within a batch a run's rows are taken by (at, kind, id).
+    """
+    from ..operators.matching import dotted_match
+
+    def run(key, frames, state):
+        waits, signals = (json.loads(x) for x in state.get) if state.exists else ([], [])
+        out = []
+
+        def settle(w):
+            fits = [s for s in signals if w["key"] in ("", s["key"]) and dotted_match(w["type"], s["type"]) and (s["outcome"] or not w["needs"])]
+            if not fits:
+                return False
+            s = min(fits, key=lambda s: (s["idem"], s["id"]))
+            signals.remove(s)
+            out.append((key[0], w["id"], s["id"], "success", s["outcome"]))
+            return True
+
+        rows = pd.concat(list(frames))
+        rows = rows.assign(rank=rows["kind"].map(RANK)).sort_values(["at", "rank", "id"])
+        for r in rows.to_dict("records"):
+            for w in [w for w in waits if w["deadline"] is not None and w["deadline"] <= r["at"]]:
+                waits.remove(w)
+                out.append((key[0], w["id"], None, "timeout", ""))
+            if r["kind"] == "signal":
+                signals.append({"id": int(r["id"]), "key": r["key"], "type": r["type"], "outcome": r["outcome"] or "", "idem": r["idempotency_key"]})
+                taken = next((w for w in waits if settle(w)), None)
+                if taken:
+                    waits.remove(taken)
+            elif r["kind"] == "wait":
+                due = None if pd.isna(r["deadline"]) else int(r["deadline"])
+                w = {"id": int(r["id"]), "key": r["key"], "type": r["type"], "needs": bool(r["needs_outcome"]), "deadline": due}
+                if not settle(w):
+                    waits.append(w)
+        state.update((json.dumps(waits), json.dumps(signals)))
+        yield pd.DataFrame(out, columns=["run_id", "wait_id", "event_id", "status", "outcome"]).astype({"event_id": "Int64"})
+
+    return events.groupBy("run_id").applyInPandasWithState(run, MATCHED, STATE, "append", "NoTimeout")
 
-    def fold(before: DataFrame | None, batch: DataFrame) -> DataFrame:
-        b = batch.select("run_id", "seq", "status")
-        both = b if before is None else before.unionByName(b)
-        end = F.min(F.when(F.col("status").isin(*TERMINAL), F.struct("seq", "status")))
-        last = F.max(F.struct("seq", "status"))
-        return both.groupBy("run_id").agg(F.coalesce(end, last).alias("s")).select("run_id", "s.seq", "s.status")
 
-    return collect_batches(stream, fold)
+def lifecycle(stream: DataFrame) -> DataFrame:
+    """STR-3: each run's status from a stream of (run_id, seq, status): the latest one, but the first terminal one stays. The two are
+    the state that Spark keeps per run; each batch writes the runs that changed."""
+    end = F.min(F.when(F.col("status").isin(*TERMINAL), F.struct("seq", "status")))
+    last = F.max(F.struct("seq", "status"))
+    s = stream.groupBy("run_id").agg(F.coalesce(end, last).alias("s")).select("run_id", "s.seq", "s.status")
+    return latest(changes(s), "run_id")
 
 
 def drop_after_terminal(events: DataFrame) -> DataFrame:
-    """STR-4: events up to their run's first terminal status."""
+    """STR-4: events of a table up to their run's first terminal status."""
     w = Window.partitionBy("run_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     over = F.max(F.col("status").isin(*TERMINAL)).over(w)
     return events.withColumn("over", F.coalesce(over, F.lit(False))).filter("NOT over").drop("over")
 
 
-def fire_timers(stream: DataFrame, now: int) -> DataFrame:
-    """STR-5: parked waits whose deadline has come, each once however often it arrives."""
-    def fold(before: DataFrame | None, batch: DataFrame) -> DataFrame:
-        due = batch.filter((F.col("resume_unix") > 0) & (F.col("resume_unix") <= now)).select("wait_id", "resume_unix").dropDuplicates(["wait_id"])
-        return due if before is None else before.unionByName(due.join(before, "wait_id", "left_anti"))
+def stream_drop_after_terminal(stream: DataFrame) -> DataFrame:
+    """STR-4 as a stream of (run_id, seq, status): what arrives after a run's terminal status is ignored; by seq within a batch."""
+
+    def run(key, frames, state):
+        over = state.exists
+        rows = pd.concat(list(frames)).sort_values("seq")
+        if over:
+            return
+        ends = rows["status"].isin(TERMINAL).to_numpy().nonzero()[0]
+        if len(ends):
+            state.update((True,))
+            rows = rows.iloc[: ends[0] + 1]
+        yield rows[["run_id", "seq", "status"]]
 
-    return collect_batches(stream, fold)
+    return stream.groupBy("run_id").applyInPandasWithState(run, "run_id long, seq long, status string", "over boolean", "append", "NoTimeout")
+
+
+def fire_timers(stream: DataFrame, now: int) -> DataFrame:
+    """STR-5: a stream of parked waits whose deadline has come, each once however often it arrives, restarts included."""
+    due = stream.filter((F.col("resume_unix") > 0) & (F.col("resume_unix") <= now))
+    return due.select("wait_id", "resume_unix").dropDuplicates(["wait_id"])
 
 
 def snapshot_upsert(stream: DataFrame) -> DataFrame:
-    """STR-6: the newest revision of each run; older ones that come late are dropped."""
-    return collect_batches(stream.select("run_id", "revision", "status"), lambda before, batch: newest(before, batch, "run_id", "revision", "status"))
+    """STR-6: the newest revision of each run; older ones that come late are dropped. Each batch writes the runs that changed."""
+    s = stream.groupBy("run_id").agg(F.max("revision").alias("revision"), F.max_by("status", "revision").alias("status"))
+    return latest(changes(s), "run_id")
 
 
 def outbox(stream: DataFrame, now: int) -> DataFrame:
-    """STR-7: callbacks to deliver now, with their number of attempts and next time."""
+    """STR-7: a stream of the callbacks to deliver now, with their number of attempts and next time; each attempt of a run comes out once."""
     from ..operators.outcomes import pending_callbacks
 
-    pick = lambda batch: pending_callbacks(batch, now).select("run_id", "attempts", "next_unix")
-    return collect_batches(stream, lambda before, batch: pick(batch) if before is None else before.unionByName(pick(batch)))
+    return pending_callbacks(stream, now).select("run_id", "attempts", "next_unix").dropDuplicates(["run_id", "attempts"])
 
 
 def interrupt_recovery(cases: DataFrame, waits: DataFrame) -> DataFrame:

@@ -154,3 +154,141 @@ def test_streamed_matches_have_no_limit_in_time(spark, tmp_path):
         sides.append(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name)))
     got = [tuple(r) for r in streams.drain(streams.match_stream(*sides)).collect()]
     assert sorted(got) == [(1, 1), (2, 1), (2, 2), (3, 1), (3, 3), (4, 1), (4, 2), (4, 3)]
+
+
+@pytest.mark.parametrize("turned", [False, True])
+def test_long_chains_are_walked_to_their_end(spark, turned):
+    n = 500
+    order = range(n - 1) if not turned else range(n - 2, -1, -1)
+    nodes = spark.createDataFrame([(1, i, f"n{i}", "return" if i == n - 1 else "wait") for i in range(n)], "flow_id long, pos long, node_id string, type string")
+    edges = spark.createDataFrame([(1, p, f"n{i}", f"n{i + 1}", 0) for p, i in enumerate(order)], "flow_id long, pos long, src string, dst string, max_traversals long")
+    assert {r["code"] for r in graphs.structure_issues(nodes, edges, ["wait", "return"]).collect()} == {"TOO_MANY_NODES"}
+    assert graphs.reaches(nodes, edges).count() == graphs.reachable(nodes, edges).count() == n
+
+
+def test_issues_come_in_the_order_of_the_rules():
+    nodes = [(0, "a", "wait"), (1, "a", "odd"), (2, "b", "return")]
+    edges = [(0, "a", "b", 0), (1, "a", "b", 0), (2, "b", "b", 0), (3, "x", "y", 0)]
+    got = [(i[2], i[3]) for i in graphs.issues_of(nodes, edges, {"wait", "return"})]
+    assert got == [
+        ("DUPLICATE_NODE_ID", "a"), ("UNKNOWN_NODE_TYPE", "a"), ("DUPLICATE_EDGE", "a->b"), ("SELF_LOOP", "b->b"), ("DANGLING_EDGE_SOURCE", "x->y"), ("DANGLING_EDGE_TARGET", "x->y"),
+        ("BACK_EDGE_MISSING_MAX_TRAVERSALS", "b->b"), ("RETURN_HAS_OUTGOING", "b"),
+    ]
+
+
+def test_one_of_several_rows_of_a_run_is_taken(spark):
+    stored = spark.createDataFrame([(1, 4, "running"), (2, 1, "failed"), (3, 0, "running")], "run_id long, revision long, status string")
+    rows = [(1, 4, "completed", 2), (1, 4, "failed", 1), (1, 4, "failed", 1), (1, 3, "running", 0), (2, 1, "running", 0), (9, 0, "queued", 5), (9, 0, "queued", 4), (9, 1, "running", 0)]
+    table, rejects = records.upsert_revisions(stored, spark.createDataFrame(rows, "run_id long, revision long, status string, seq long"), "seq")
+    assert sorted(tuple(r) for r in table.collect()) == [(1, 5, "failed"), (2, 1, "failed"), (3, 0, "running"), (9, 1, "queued")]
+    got = sorted((r["run_id"], r["revision"], r["status"]) for r in rejects.collect())
+    assert got == [(1, 3, "running"), (1, 4, "completed"), (1, 4, "failed"), (2, 1, "running"), (9, 0, "queued"), (9, 1, "running")]
+
+
+@pytest.mark.parametrize("text, want", [
+    ("{" * 500_000 + "}" * 500_000, "{}"), ("}" * 1_000_000, None), ("{a}" * 300_000, None), ("[" * 200_000, None), ('{"a":' * 200_000 + "1" + "}" * 200_000, None), ('he said "hi {"a": "}"} there', '{"a": "}"}'), ("{a {\"b\": 1} }", '{"b": 1}'), ('{"a": NaN}', None),
+], ids=["nested", "closers", "broken", "brackets", "deep", "quotes", "inner", "nan"])
+def test_hostile_text(text, want):
+    import time
+
+    began = time.time()
+    assert judgments.last_object(text) == (text if want is None else want)
+    assert time.time() - began < 20
+
+
+def test_definitions_nested_in_gadgets(spark):
+    """A broken map body three levels down breaks every gadget above it; a broken body within a map's nodes does not."""
+    ends = lambda *nodes: {"nodes": [*nodes, {"id": "r", "type": "return", "config": {"value": {"status": "success"}}}], "edges": [{"from": n["id"], "to": "r"} for n in nodes]}
+    bad = {"nodes": [{"id": "a", "type": "wait"}], "edges": []}
+    broken = {"id": "m", "type": "map", "config": {"items_key": "x", "inline": bad}}
+    gadget = lambda body: {"id": "g", "type": "gadget", "config": {"inline": body}}
+    top = {"deep": ("gadget", gadget(ends(gadget(ends(broken))))["config"]), "fine": ("gadget", gadget(ends(gadget(ends())))["config"]), "body": ("map", {"items_key": "x", "inline": ends(broken)})}
+    nodes = spark.createDataFrame([(1, n, t, json.dumps(c)) for n, (t, c) in top.items()], "flow_id long, node_id string, type string, config string")
+    assert [(r["target"], r["code"]) for r in lint.inline_issues(nodes).collect()] == [("deep", "GADGET_INLINE_INVALID")]
+
+
+def run_rows(rng, runs=6, n=40):
+    types, rows = ["", "a", "b", "a.x"], []
+    for i in range(n * runs):
+        run, at = rng.randrange(runs), rng.randint(0, 300)
+        if rng.random() < 0.5:
+            rows.append((run, at, "wait", i, rng.choice(["", "k1", "k2"]), rng.choice(types), rng.random() < 0.5, "", "", rng.choice([None, at + rng.randint(0, 100)])))
+        else:
+            rows.append((run, at, "signal", i, rng.choice(["k1", "k2", "k3"]), rng.choice(["a", "a.x", "ab", "b"]), False, rng.choice(["", "yes"]), f"i{rng.randint(0, 9)}", None))
+    return rows + [(run, 1000, "clock", 0, "", "", False, "", "", None) for run in range(runs)]
+
+
+def serial_match(rows):
+    out, waits, signals = [], {}, {}
+    for run, at, kind, i, key, typ, needs, outcome, idem, due in sorted(rows, key=lambda r: (r[1], {"signal": 0, "wait": 1, "clock": 2}[r[2]], r[3])):
+        w, s = waits.setdefault(run, []), signals.setdefault(run, [])
+        out += [(run, x[0], None, "timeout") for x in w if x[4] is not None and x[4] <= at]
+        w[:] = [x for x in w if x[4] is None or x[4] > at]
+        if kind == "wait":
+            w.append((i, key, typ, needs, due))
+        elif kind == "signal":
+            s.append((idem, i, key, typ, outcome))
+        for x in list(w):
+            fits = sorted(y for y in s if x[1] in ("", y[2]) and (x[2] in ("", y[3]) or y[3].startswith(x[2] + ".")) and (y[4] or not x[3]))
+            if fits:
+                w.remove(x)
+                s.remove(fits[0])
+                out.append((run, x[0], fits[0][1], "success"))
+    return sorted(out, key=str)
+
+
+RUNS = "run_id long, at long, kind string, id long, key string, type string, needs_outcome boolean, outcome string, idempotency_key string, deadline long"
+
+
+def test_stateful_matches(spark, tmp_path):
+    """Against a serial run, and once more in two runs that go on from one checkpoint."""
+    rows = run_rows(random.Random(7))
+    for name, cuts in (("one", [rows]), ("two", [[r for r in rows if r[1] <= 150], [r for r in rows if r[1] > 150]])):
+        at = str(tmp_path / name)
+        for part in cuts:
+            spark.createDataFrame(part, RUNS).coalesce(1).write.mode("append").parquet(at)
+            stream = spark.readStream.schema(RUNS).parquet(at)
+            got = streams.drain(streams.match_stateful(stream), f"{at}-out", f"{at}-checkpoint")
+        assert sorted(((r["run_id"], r["wait_id"], r["event_id"], r["status"]) for r in got.collect()), key=str) == serial_match(rows)
+    assert {r[3] for r in serial_match(rows)} == {"success", "timeout"}
+
+
+def test_streams_go_on_after_a_restart(spark, tmp_path):
+    at = str(tmp_path / "timers")
+    for ids in ([1, 2, 2], [2, 3]):
+        spark.createDataFrame([(i, 5) for i in ids], "wait_id long, resume_unix long").write.mode("append").parquet(at)
+        timers = streams.fire_timers(spark.readStream.schema("wait_id long, resume_unix long").parquet(at), 10)
+        out = streams.drain(timers, f"{at}-out", f"{at}-checkpoint")
+    assert sorted(r["wait_id"] for r in out.collect()) == [1, 2, 3]
+    (tmp_path / "nothing").mkdir()
+    empty = spark.readStream.schema("run_id long, seq long, status string").parquet(str(tmp_path / "nothing"))
+    assert streams.lifecycle(empty).count() == 0
+
+
+def test_pairs_of_hot_keys(spark):
+    """Salted or not, the pairs are those of a plain comparison, and their totals those of match_totals."""
+    rng = random.Random(5)
+    waits = [(i, "signal", rng.choice(["", "k1", "k2"]), rng.choice(["", "a", "a.x"])) for i in range(30)]
+    signals = [(i, rng.choice(["k1", "k1", "k2"]), rng.choice(["a", "a.x", "ab"])) for i in range(60)]
+    w = spark.createDataFrame(waits, "wait_id long, kind string, correlation_key string, signal_type string")
+    s = spark.createDataFrame(signals, "event_id long, correlation_key string, signal_type string")
+    want = sorted((i, j) for i, _, k, t in waits for j, key, typ in signals if k in ("", key) and matching.dotted_match(t, typ))
+    for per_salt in (7, 1000):
+        assert sorted(tuple(r) for r in matching.match_signals(w, s, per_salt).collect()) == want
+    totals = {r["wait_id"]: (r["n"], r["first_event"], r["events"]) for r in matching.match_totals(w, s).collect()}
+    for i in {a for a, _ in want}:
+        own = [b for a, b in want if a == i]
+        assert totals[i] == (len(own), min(own), sum(own))
+
+
+@pytest.mark.parametrize("host, want", [("[::1]", True), ("[0:0:0:0:0:0:0:1]", True), ("[fd12:3456::1]", True), ("[fe80::1]", True), ("[::ffff:10.0.0.1]", True), ("[::ffff:7f00:1]", True), ("[2001:db8::7f00:1]", False), ("127.9.9.9", True), ("11.0.0.1", False), ("LOCALHOST", True)])
+def test_screened_hosts(spark, host, want):
+    from lodestack.operators import outcomes
+
+    assert outcomes.blocked_urls(spark.createDataFrame([(f"http://{host}/x",)], "url string")).first()["blocked"] == want
+
+
+def test_identifiers_of_conditions(spark):
+    text = "results.a.list.size() > 1 && status in list && 'x.y' != fetch.value.split(' ')[0] && .odd 3x trim matches exists_one"
+    got = spark.createDataFrame([(text,)], "c string").select(context.referenced_fields(F.col("c")).alias("v")).first()["v"]
+    assert got == ["results.a.list", "status", "fetch.value", "trim", "exists_one"]
