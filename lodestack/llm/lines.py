@@ -9,10 +9,12 @@ bitmap of kept lines per document that loses some, never text.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +23,8 @@ from .common import SPACE_BYTES, materialize, partitions
 SPACE_CHARS = SPACE_BYTES.decode()
 #: Null ids sort before all others.
 NULL_ID = -(2**63)
+#: Texts are cut in slices of so many bytes, so that a worker's memory does not hang on the size of a batch.
+SLICE_BYTES = 4_000_000
 
 
 def line_key(line) -> "F.Column":
@@ -109,6 +113,42 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, **cols
     return lost.mapInArrow(run, "doc_id long, uid long, bitmap binary")
 
 
+def slices(b: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about SLICE_BYTES of the text column at; a text that is longer is a part of its own."""
+    size = np.cumsum(pa.compute.binary_length(b.column(at)).fill_null(0).to_numpy(zero_copy_only=False))
+    stops = np.flatnonzero(np.diff(size // SLICE_BYTES)) + 1
+    start = 0
+    for stop in [*stops.tolist(), b.num_rows]:
+        if stop > start:
+            yield b.slice(start, stop - start)
+        start = stop
+
+
+def without_lines(texts: pa.Array, maps: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(the texts without the lines that their bitmaps drop, their lines before, the lines dropped), by one mask over all bytes."""
+    texts = texts.fill_null("")
+    off = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(texts.buffers()[2], np.uint8)[off[0] : off[-1]] if texts.buffers()[2] is not None else np.zeros(0, np.uint8)
+    off -= off[0]
+    breaks = np.flatnonzero(data == 10)
+    ends = np.searchsorted(breaks, off)
+    n, lost = np.diff(ends) + 1, np.zeros(len(texts), np.int64)
+    keep = np.ones(len(data), bool)
+    for i in np.flatnonzero(maps.is_valid().to_numpy(zero_copy_only=False)):
+        bits = np.ones(n[i], bool)
+        own = np.unpackbits(np.frombuffer(zlib.decompress(maps[i].as_py()), np.uint8), bitorder="little")[: n[i]]
+        bits[: len(own)] = own
+        lost[i] = n[i] - np.count_nonzero(bits)
+        # A line goes with the break behind it; the last line that stays has none.
+        stops = np.r_[breaks[ends[i] : ends[i + 1]] + 1, off[i + 1]]
+        keep[off[i] : off[i + 1]] = np.repeat(bits, np.diff(np.r_[off[i], stops]))
+        if bits.any() and not bits[-1]:
+            keep[stops[np.flatnonzero(bits)[-1]] - 1] = False
+    total = np.concatenate([[0], np.cumsum(keep)])
+    buffers = [None, pa.py_buffer(total[off].astype(np.int32)), pa.py_buffer(data[keep])]
+    return pa.Array.from_buffers(pa.string(), len(texts), buffers), n, lost
+
+
 def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the repeated lines taken out of the text, and n_lines (before), n_dropped.
 
@@ -126,22 +166,10 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, id_col:
 
     def run(batches):
         for b in batches:
-            out, n, lost = [], [], []
-            for t, m in zip(b.column(at).to_pylist(), b.column(len(cols)).to_pylist(), strict=True):
-                t = t or ""
-                if m is None:
-                    out.append(t)
-                    n.append(t.count("\n") + 1)
-                    lost.append(0)
-                    continue
-                lines = t.split("\n")
-                keep = np.unpackbits(np.frombuffer(zlib.decompress(m), np.uint8), bitorder="little")
-                gone = set(np.flatnonzero(keep == 0).tolist())
-                out.append("\n".join(x for i, x in enumerate(lines) if i not in gone))
-                n.append(len(lines))
-                lost.append(len(gone))
-            arrays = [pa.array(out, pa.string()) if i == at else b.column(i) for i in range(len(cols))]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(n, pa.int64()), pa.array(lost, pa.int64())], names=[*cols, "n_lines", "n_dropped"])
+            for part in slices(b, at):
+                texts, n, lost = without_lines(part.column(at), part.column(len(cols)))
+                arrays = [texts if i == at else part.column(i) for i in range(len(cols))]
+                yield pa.RecordBatch.from_arrays([*arrays, pa.array(n, pa.int64()), pa.array(lost, pa.int64())], names=[*cols, "n_lines", "n_dropped"])
 
     types = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return both.select(*cols, "__keep").mapInArrow(run, f"{types}, n_lines long, n_dropped long")

@@ -1,33 +1,48 @@
 """Token counts by a separator scan of flat, unindexed token files.
 
 A shard is a run of 16-bit little-endian token ids in which an end-of-document id closes every document.
-The scan looks at blocks of a shard on their own: where separators lie, how many tokens come before the
-first and after the last. A prefix scan over a shard's blocks then gives the number of documents before each
-block and the open tokens that its first document inherits.
+Spark's text reader looks for the two bytes of that id in byte ranges of the files, several tasks to a file,
+and gives the length of what lies between two finds; no token leaves the reader. A range knows neither how
+many documents come before it nor whether its first byte is the first of a token. A prefix scan over the
+lengths of a file's ranges tells where each range begins; finds at odd places are no separators; a second
+prefix scan, over the separators of each range, numbers the documents across ranges.
 """
 
 from __future__ import annotations
 
-import gzip
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import materialize
 from .piece_codec import ChunkTable, blocks, load
 
-#: The vocabulary's end-of-sentence id closes documents; Spark's text writer puts it behind every row as its line separator.
-EOD, SEPARATOR = 2, "\x02\x00"
-SHARD_TOKENS, BLOCK_TOKENS = 8_000_000, 1 << 20
+#: The end-of-sentence id of the vocabularies at hand.
+EOD, SHARD_TOKENS = 2, 8_000_000
+
 
+def separator(eod: int) -> str:
+    """The two bytes of an id as text, for Spark's line separator; ids with a byte above 127 have none."""
+    low, high = eod & 255, eod >> 8
+    if not 0 <= eod < 1 << 16 or max(low, high) > 127:
+        raise ValueError(f"id {eod} cannot separate documents")
+    return chr(low) + chr(high)
 
-def write_token_files(docs: DataFrame, path: str, model_path: str, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = SHARD_TOKENS, compression: str = "gzip") -> None:
+
+def write_token_files(docs: DataFrame, path: str, model_path: str, id_col: str = "doc_id", text_col: str = "text", shard_tokens: int = SHARD_TOKENS, compression: str = "none") -> None:
     """Encode documents into shards path/kind=tokens/shard=..., with the ids of each shard's documents, in order, in path/kind=ids/shard=....
 
-    Null and empty texts are documents of no tokens; a null id is written as nothing. Each shard is one row
-    of the task that made it, so that no order of rows is needed. The vocabulary must fit 16 bits.
+    Null and empty texts are documents of no tokens; a null id is written as nothing; repeated rows are written
+    as often as they come; an empty table leaves a folder without shards. Each shard is one row of the task
+    that made it, so that no order of rows is needed. A vocabulary that does not fit 16 bits is an error.
+    Plain files can be scanned by several tasks each, compressed ones by one.
     """
+    sp = load(model_path)
+    if sp.get_piece_size() > 1 << 16:
+        raise ValueError(f"{sp.get_piece_size()} pieces do not fit 16 bits")
+    eod = sp.eos_id()
+    end = separator(eod)
 
     def run(batches):
         from pyspark import TaskContext
@@ -45,7 +60,7 @@ def write_token_files(docs: DataFrame, path: str, model_path: str, id_col: str =
             own, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
             for s in blocks(texts):
                 flat, lens = tab.encode(texts[s])
-                body.append(np.insert(flat, np.cumsum(lens), EOD))
+                body.append(np.insert(flat, np.cumsum(lens), eod))
                 ids += own[s]
                 n += len(body[-1])
                 if n >= shard_tokens:
@@ -55,54 +70,48 @@ def write_token_files(docs: DataFrame, path: str, model_path: str, id_col: str =
             yield shard()
 
     rows = docs.select(id_col, text_col).mapInArrow(run, "kind string, shard string, value binary")
-    rows.select("kind", "shard", F.col("value").cast("string").alias("value")).write.partitionBy("kind", "shard").option("lineSep", SEPARATOR).option("compression", compression).text(path)
+    rows.select("kind", "shard", F.col("value").cast("string").alias("value")).write.partitionBy("kind", "shard").option("lineSep", end).option("compression", compression).text(path)
 
 
-def scan(spark: SparkSession, path: str, eod: int = EOD, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """(shard, block, n_tokens, head, lens array<long>, tail): tokens before a block's first separator, between separators, and after the last one; head is null without any."""
+def files_of(spark: SparkSession, path: str, kind: str, **options) -> DataFrame:
+    """(value, shard, block) of the files of a kind; block is where the reader's byte range begins. A folder without files gives no rows."""
+    rows = spark.read.option("recursiveFileLookup", "true").text(path, **options)
+    rows = rows.filter(F.col("_metadata.file_path").contains(f"/kind={kind}/"))
+    return rows.select("value", F.regexp_extract("_metadata.file_path", r"shard=([^/]+)/", 1).alias("shard"), F.col("_metadata.file_block_start").alias("block"))
 
-    def run(batches):
-        for b in batches:
-            for shard, name, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                raw = data.as_buffer()
-                flat = np.frombuffer(gzip.decompress(raw) if name.endswith(".gz") else raw, "<u2")
-                rows = []
-                for k, x in enumerate(range(0, len(flat), block_tokens)):
-                    block = flat[x : x + block_tokens]
-                    at = np.flatnonzero(block == eod)
-                    rows.append((shard, k, len(block), int(at[0]) if len(at) else None, np.diff(at) - 1, len(block) - 1 - int(at[-1]) if len(at) else len(block)))
-                if rows:
-                    cols = list(zip(*rows, strict=True))
-                    lens = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, cols[4])]), pa.int32()), pa.array(np.concatenate(cols[4]), pa.int64()))
-                    yield pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()), lens, pa.array(cols[5], pa.int64())], names=["shard", "block", "n_tokens", "head", "lens", "tail"])
-
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{path}/kind=tokens")
-    shard = F.regexp_extract("path", r"shard=([^/]+)/", 1)
-    return files.select(shard.alias("shard"), "path", "content").mapInArrow(run, "shard string, block int, n_tokens long, head long, lens array<long>, tail long")
+
+def scan(spark: SparkSession, path: str, eod: int = EOD) -> DataFrame:
+    """(shard, block, at, n): the bytes before each find of the separator's two bytes, in the order at within a byte range; behind the last find come the rest of the file, if any."""
+    found = files_of(spark, path, "tokens", lineSep=separator(eod))
+    return found.select("shard", "block", F.monotonically_increasing_id().alias("at"), F.octet_length("value").cast("long").alias("n"))
 
 
 def stitch(scanned: DataFrame) -> DataFrame:
-    """(shard, ordinal, n_tokens): every document, in its shard's order. Tokens behind the last separator are a document too."""
-    w = Window.partitionBy("shard").orderBy("block")
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    has = F.col("head").isNotNull()
-    s = scanned.withColumns({"docs": F.when(has, F.size("lens") + 1).otherwise(0), "run": F.coalesce(F.sum("tail").over(before), F.lit(0))})
-    # Open tokens: the tails since the last block with a separator, from running sums of tails.
-    since = F.coalesce(F.last(F.when(has, F.col("run")), ignorenulls=True).over(before), F.lit(0))
-    s = s.withColumns({"first": F.coalesce(F.sum("docs").over(before), F.lit(0)), "open": F.col("run") - since, "next": F.lead("block").over(w)})
-    closed = F.when(has, F.concat(F.array(F.col("open") + F.col("head")), "lens")).otherwise(F.array().cast("array<bigint>"))
-    rest = F.when(has, F.col("tail")).otherwise(F.col("open") + F.col("tail"))
-    closed = F.concat(closed, F.when(F.col("next").isNull() & (rest > 0), F.array(rest)).otherwise(F.array().cast("array<bigint>")))
-    return s.select("shard", "first", F.posexplode(closed).alias("i", "n_tokens")).select("shard", (F.col("first") + F.col("i")).cast("long").alias("ordinal"), "n_tokens")
-
-
-def shard_ids(spark: SparkSession, path: str) -> DataFrame:
+    """(shard, ordinal, n_tokens): every document, in its shard's order. Tokens behind the last separator are a document too.
+
+    One range is a window of its own; windows over a shard have one row per range.
+    """
+    rows = materialize(scanned, "token-finds")
+    ranges = Window.partitionBy("shard").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("shard", "block").orderBy("at")
+    begins = rows.groupBy("shard", "block").agg(F.sum(F.col("n") + 2).alias("bytes")).select("shard", "block", F.coalesce(F.sum("bytes").over(ranges), F.lit(0)).alias("base"))
+    end = F.col("base") + F.sum(F.col("n") + 2).over(inside) - 2
+    marked = materialize(rows.join(begins, ["shard", "block"]).select("shard", "block", "at", "n", (end % 2 == 0).alias("closes")), "token-ends")
+    closed = marked.groupBy("shard", "block").agg(F.count_if("closes").alias("docs")).select("shard", "block", F.coalesce(F.sum("docs").over(ranges), F.lit(0)).alias("first"))
+    before = F.coalesce(F.sum(F.col("closes").cast("int")).over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = marked.join(closed, ["shard", "block"]).withColumn("ordinal", F.col("first") + before)
+    # A find at an odd place is part of two tokens: its two bytes count.
+    size = F.col("n") + F.when(F.col("closes"), 0).otherwise(2)
+    return numbered.groupBy("shard", "ordinal").agg((F.sum(size) / 2).cast("long").alias("n_tokens"))
+
+
+def shard_ids(spark: SparkSession, path: str, eod: int = EOD) -> DataFrame:
     """(shard, ordinal, doc_id) of the shards' documents."""
-    files = spark.read.option("recursiveFileLookup", "true").text(f"{path}/kind=ids", wholetext=True).select("value", F.regexp_extract(F.col("_metadata.file_path"), r"shard=([^/]+)/", 1).alias("shard"))
-    ids = F.split(F.regexp_replace("value", "\x02\x00\\z", ""), "\n", -1)
+    files = files_of(spark, path, "ids", wholetext=True)
+    ids = F.split(F.regexp_replace("value", f"{separator(eod)}\\z", ""), "\n", -1)
     return files.select("shard", F.posexplode(ids).alias("ordinal", "id")).select("shard", F.col("ordinal").cast("long").alias("ordinal"), F.col("id").try_cast("long").alias("doc_id"))
 
 
-def token_counts(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, n_tokens) of all documents of the token files below path."""
-    return stitch(scan(spark, path)).join(shard_ids(spark, path), ["shard", "ordinal"]).select("doc_id", "n_tokens")
+def token_counts(spark: SparkSession, path: str, eod: int = EOD) -> DataFrame:
+    """(doc_id, n_tokens) of all documents of the token files below path; a document of an empty or null text has 0, a null id stays null, a folder without shards gives no rows."""
+    return stitch(scan(spark, path, eod)).join(shard_ids(spark, path, eod), ["shard", "ordinal"]).select("doc_id", "n_tokens")

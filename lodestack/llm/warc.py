@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from .common import materialize
 
 VERSION, END = "WARC/1.1", "\r\n\r\n"
+#: Rows with one page_id and payload that one task writes.
+COPIES = 1000
 #: The pages have no capture time.
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -32,17 +34,20 @@ def base32_sha1(data) -> "F.Column":
     return F.translate(F.concat(*groups), HEX32, RFC32)
 
 
-def roles(pages: DataFrame, min_bytes: int) -> DataFrame:
-    """(page_id, url, payload, bytes, digest, keeper): keeper is the largest page_id with the payload; null for payloads below min_bytes."""
+def roles(pages: DataFrame, min_bytes: int) -> tuple[DataFrame, DataFrame]:
+    """(pages, keepers): (page_id, url, payload, bytes, digest) of every page, and (digest, bytes, keeper, n_keepers, first_url) of every payload
+    of min_bytes or more: the largest page_id that has it, how many rows have both, and the least url of those."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     p = pages.select("page_id", "url", payload.alias("payload")).withColumns({"bytes": F.octet_length("payload").cast("long"), "digest": base32_sha1(F.col("payload"))})
-    # One row per payload, as a table of its own: a frequent payload is then a skewed join, which Spark splits.
-    best = materialize(p.filter(F.col("bytes") >= min_bytes).groupBy("digest", "bytes").agg(F.max("page_id").alias("keeper")), "payloads")
-    return p.join(best, ["digest", "bytes"], "left")
+    # A row per payload, as a table of its own: a frequent payload is then a skewed join, which Spark splits. Null page_ids are smaller than all.
+    one = p.filter(F.col("bytes") >= min_bytes).groupBy("digest", "bytes", "page_id").agg(F.count("*").alias("n"), F.min("url").alias("u"))
+    last = F.max(F.struct(F.col("page_id").isNotNull(), "page_id", "n", "u"))
+    best = one.groupBy("digest", "bytes").agg(last.alias("k")).select("digest", "bytes", F.col("k.page_id").alias("keeper"), F.col("k.n").alias("n_keepers"), F.col("k.u").alias("first_url"))
+    return p, materialize(best, "payloads")
 
 
-def record_id(kind: str, page: str = "page_id") -> "F.Column":
-    h = F.md5(F.concat_ws(" ", F.lit(kind), F.coalesce(F.col(page).cast("string"), F.lit("null")), "digest"))
+def urn(*parts) -> "F.Column":
+    h = F.md5(F.concat_ws(" ", *(F.coalesce(x.cast("string"), F.lit("null")) for x in parts)))
     return F.concat(F.lit("<urn:uuid:"), F.substring(h, 1, 8), F.lit("-"), F.substring(h, 9, 4), F.lit("-"), F.substring(h, 13, 4), F.lit("-"), F.substring(h, 17, 4), F.lit("-"), F.substring(h, 21, 12), F.lit(">"))
 
 
@@ -57,17 +62,33 @@ def record(kind: str, rid, content_type: str, block, *headers) -> "F.Column":
 
 
 def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, compression: str = "gzip") -> None:
-    """Write (page_id, url, html) as WARC archives below path, one per partition.
+    """Write (page_id, url, html) as WARC archives below path, one per partition: three records per row.
 
     Null html is an empty payload, null urls give no target URI; white space and control characters in urls
-    are left out. Of equal payloads of min_bytes or more the largest page_id is the response and the others
-    revisit it (null page_ids are smaller than all); rows with equal page_id and payload are one capture,
-    written as often as they come, with the same record ids.
+    are left out. Of equal payloads of min_bytes or more the rows with the largest page_id are responses and the others
+    revisit one of them (null page_ids are smaller than all); shorter payloads are all responses. Rows that are equal in
+    page_id and payload are captures of their own. An empty table leaves a folder without records.
     """
-    p = roles(pages, min_bytes)
-    main = F.when(F.col("keeper").isNull() | F.col("page_id").eqNullSafe(F.col("keeper")), F.lit("response")).otherwise(F.lit("revisit"))
-    p = p.withColumns({"kind": main, "uri": F.regexp_replace("url", r"[\x00-\x20\x7F]", "")})
-    p = p.withColumns({"own": F.when(F.col("kind") == "response", record_id("response")).otherwise(record_id("revisit")), "of": record_id("response", "keeper")})
+    p, best = roles(pages, min_bytes)
+    best_cols = ["keeper", "n_keepers", "first_url"]
+    kept = F.col("n_keepers").isNull() | F.col("page_id").eqNullSafe(F.col("keeper"))
+    p = p.join(best, ["digest", "bytes"], "left").withColumn("kind", F.when(kept, F.lit("response")).otherwise(F.lit("revisit")))
+    # What others refer to is named by its payload and page; any other record by its place in the job, which nothing refers to.
+    place = F.concat_ws("-", F.lit("at"), F.monotonically_increasing_id().cast("string"))
+    single = F.when((F.col("kind") == "response") & (F.col("n_keepers") == 1), F.lit("0")).otherwise(place)
+    repeated = best.filter("n_keepers > 1")
+    if repeated.isEmpty():
+        rows = p.withColumn("nonce", single)
+    else:
+        # Rows that share the keeper's page_id and payload are counted first, so that very many of them are one row in a task, and
+        # written as often as they come, in blocks; the first one of the least url is what revisits refer to.
+        rows = p.filter(~((F.col("kind") == "response") & F.coalesce(F.col("n_keepers") > 1, F.lit(False)))).withColumn("nonce", single)
+        same = p.filter((F.col("kind") == "response") & (F.col("n_keepers") > 1)).groupBy("digest", "bytes", "page_id", "url", *best_cols, "kind").agg(F.first("payload").alias("payload"), F.count("*").alias("n"))
+        same = same.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / COPIES)))).repartition("digest", "url", "block")
+        same = same.withColumn("copy", F.explode(F.sequence(F.col("block") * COPIES, F.least(F.col("n"), (F.col("block") + 1) * COPIES) - 1)))
+        first = (F.col("copy") == 0) & F.col("url").eqNullSafe(F.col("first_url"))
+        rows = rows.unionByName(same.withColumn("nonce", F.when(first, F.lit("0")).otherwise(F.concat_ws("-", F.lit("copy"), F.coalesce("url", F.lit("null")), F.col("copy").cast("string")))).drop("n", "block", "copy"))
+    p = rows.withColumns({"uri": F.regexp_replace("url", r"[\x00-\x20\x7F]", ""), "own": urn(F.col("kind"), F.col("page_id"), F.col("digest"), F.col("nonce")), "of": urn(F.lit("response"), F.col("keeper"), F.col("digest"), F.lit("0"))})
     target, to = F.concat(F.lit("WARC-Target-URI: "), "uri"), F.concat(F.lit("WARC-Concurrent-To: "), "own")
     digest = F.concat(F.lit("WARC-Payload-Digest: sha1:"), "digest")
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes").cast("string"), F.lit(END)).cast("binary")
@@ -75,7 +96,8 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, compression:
     about = F.concat(F.lit("page-id: "), F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.lit("\r\n")).cast("binary")
     response = record("response", F.col("own"), "application/http; msgtype=response", F.concat(http, "payload"), target, digest)
     revisit = record("revisit", F.col("own"), "application/http; msgtype=response", http, target, digest, F.lit(f"WARC-Profile: {PROFILE}"), F.concat(F.lit("WARC-Refers-To: "), "of"))
-    rows = p.select(F.explode(F.array(record("request", record_id("request"), "application/http; msgtype=request", get, target, to), F.when(F.col("kind") == "response", response).otherwise(revisit), record("metadata", record_id("metadata"), "application/warc-fields", about, target, to))).alias("r"))
+    side = lambda kind: urn(F.lit(kind), F.col("own"))
+    rows = p.select(F.explode(F.array(record("request", side("request"), "application/http; msgtype=request", get, target, to), F.when(F.col("kind") == "response", response).otherwise(revisit), record("metadata", side("metadata"), "application/warc-fields", about, target, to))).alias("r"))
     rows.select(F.col("r").cast("string").alias("value")).write.option("lineSep", END).option("compression", compression).text(path)
 
 
@@ -139,7 +161,7 @@ def captures(records: DataFrame) -> DataFrame:
     """One nested row per capture: (record_id, type, refers_to, uri, date, payload_bytes, payload_digest, payload, request, metadata).
 
     request and metadata are structs, joined by WARC-Concurrent-To, or null where the archive has none; of
-    records that share an id one counts.
+    records that share an id one counts; archives without records give no rows.
     """
     records = records.dropDuplicates(["record_id"])
     main = records.filter(F.col("type").isin("response", "revisit")).select("record_id", "type", "refers_to", "uri", "date", "payload_bytes", "payload_digest", "payload")

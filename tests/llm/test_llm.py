@@ -133,23 +133,38 @@ def test_thresholds_reject_junk_and_keep_good(spark, empty):
 
 def test_token_files(spark, docs, empty, tmp_path):
     sp = piece_codec.load(queries.tokenizer_path())
-    tokenfiles.write_token_files(docs, f"{tmp_path}/t", queries.tokenizer_path(), shard_tokens=3000)
-    got = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["n_tokens"]) for r in tokenfiles.token_counts(spark, f"{tmp_path}/t").collect())
-    assert got == sorted((-1 if i is None else i, len(sp.encode(t))) for i, t in plain(corpus()))
-
-
-@pytest.mark.parametrize("block", [1, 2, 3, 7, 100])
-def test_stitching(spark, tmp_path, block):
-    rng, want = random.Random(block), []
+    want = sorted((-1 if i is None else i, len(sp.encode(t))) for i, t in plain(corpus()))
+    for how in ("none", "gzip"):
+        tokenfiles.write_token_files(docs, f"{tmp_path}/{how}", queries.tokenizer_path(), shard_tokens=3000, compression=how)
+        got = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["n_tokens"]) for r in tokenfiles.token_counts(spark, f"{tmp_path}/{how}").collect())
+        assert got == want
+    tokenfiles.write_token_files(empty, f"{tmp_path}/nothing", queries.tokenizer_path())
+    assert tokenfiles.token_counts(spark, f"{tmp_path}/nothing").count() == 0
+
+
+@pytest.mark.parametrize("split", [7, 30, 1000])
+def test_stitching(spark, tmp_path, split):
+    """Files in byte ranges of a few bytes, several tasks each; ids whose bytes look like a separator at odd places."""
+    rng, want = random.Random(split), []
     for s in range(3):
-        flat = [2 if rng.random() < 0.2 else rng.randint(3, 9) for _ in range(50)]
+        flat = [2 if rng.random() < 0.2 else rng.choice([3, 512, 514, 0, 515, 9]) for _ in range(50)]
         (tmp_path / f"kind=tokens/shard=s{s}").mkdir(parents=True)
         (tmp_path / f"kind=tokens/shard=s{s}/part.bin").write_bytes(np.array(flat, "<u2").tobytes())
         parts, run = [], 0
         for x in flat:
             parts, run = ([*parts, run], 0) if x == 2 else (parts, run + 1)
         want += [(f"s{s}", i, n) for i, n in enumerate([*parts, run] if run else parts)]
-    assert sorted(tuple(r) for r in tokenfiles.stitch(tokenfiles.scan(spark, str(tmp_path), block_tokens=block)).collect()) == sorted(want)
+    conf = {"spark.sql.files.maxPartitionBytes": str(split), "spark.sql.files.openCostInBytes": "1"}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        found = tokenfiles.scan(spark, str(tmp_path))
+        assert split > 300 or found.select("shard", "block").distinct().count() > 3
+        got = sorted(tuple(r) for r in tokenfiles.stitch(found).collect())
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+    assert got == sorted(want)
 
 
 def test_mix(spark, docs, empty):
@@ -202,23 +217,35 @@ def test_time_inverts_the_integral(spark):
 
 def test_warc(spark, tmp_path):
     html = ["<p>a</p>", "<p>a</p>", None, "", "x\r\n\r\ny\r\n\r\nWARC/1.1\r\n", "é" * 1000, "<p>a</p>"]
-    rows = [(i, None if i == 3 else f"http://h/{i} x", h, 1) for i, h in enumerate(html)] + [(5, "http://h/5 x", html[5], 1)]
+    rows = [(i, None if i == 3 else f"http://h/{i} x", h, 1) for i, h in enumerate(html)]
+    # Repeated rows: of a response, of a revisit, with other urls, with null ids, and one payload that only null ids have.
+    rows += [rows[5], rows[5], rows[1], (6, "http://other/", html[6], 1), (6, None, html[6], 1), (None, "http://n/", html[0], 1), (None, "http://n/", html[0], 1)] + [(None, None, "only", 1)] * 3
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, bytes int").repartition(3)
-    warc.write_archive(pages, f"{tmp_path}/w")
-    got = warc.captures(warc.read_records(spark, f"{tmp_path}/w")).collect()
-    assert len(got) == len(html)
-    ids = {r["record_id"]: int(re.search(r"page-id: (\d+)", r["metadata"]["fields"])[1]) for r in got}
-    for r in got:
-        page = ids[r["record_id"]]
-        data = (html[page] or "").encode()
-        last = max(i for i, h in enumerate(html) if (h or "") == (html[page] or ""))
-        assert r["type"] == ("response" if page == last else "revisit") and r["request"]["fields"].startswith("GET ")
-        assert (r["payload_bytes"], r["payload_digest"]) == (len(data), base64.b32encode(hashlib.sha1(data).digest()).decode())
-        assert bytes(r["payload"]) == data if page == last else ids[r["refers_to"]] == last
+    for name, p in (("repeated", pages), ("plain", spark.createDataFrame(rows[:7], pages.schema))):
+        source = p.collect()
+        warc.write_archive(p, f"{tmp_path}/{name}")
+        got = warc.captures(warc.read_records(spark, f"{tmp_path}/{name}")).collect()
+        assert len(got) == len(source) == len({r["record_id"] for r in got})
+        page_of = {r["record_id"]: int(x[1]) if (x := re.search(r"page-id: (\d+)", r["metadata"]["fields"])) else None for r in got}
+        best = defaultdict(lambda: -1)
+        for r in source:
+            best[r["html"] or ""] = max(best[r["html"] or ""], -1 if r["page_id"] is None else r["page_id"])
+        seen = []
+        for r in got:
+            assert r["request"]["fields"].startswith("GET ")
+            at = r["refers_to"] if r["type"] == "revisit" else r["record_id"]
+            data = bytes(next(x["payload"] for x in got if x["record_id"] == at))
+            page = page_of[r["record_id"]]
+            last = best[data.decode()]
+            assert r["type"] == ("response" if (-1 if page is None else page) == last else "revisit")
+            assert (r["payload_bytes"], r["payload_digest"]) == (len(data), base64.b32encode(hashlib.sha1(data).digest()).decode())
+            assert r["type"] == "response" or page_of[r["refers_to"]] == last
+            seen.append((page, r["uri"], data.decode()))
+        assert sorted(seen, key=str) == sorted(((r["page_id"], r["url"] and r["url"].replace(" ", ""), r["html"] or "") for r in source), key=str)
     warc.write_archive(pages, f"{tmp_path}/all", min_bytes=10**6)
-    assert warc.captures(warc.read_records(spark, f"{tmp_path}/all")).filter("type <> 'response'").count() == 0
+    assert warc.captures(warc.read_records(spark, f"{tmp_path}/all")).filter("type = 'response'").count() == len(rows)
     warc.write_archive(pages.limit(0), f"{tmp_path}/none")
-    assert warc.read_records(spark, f"{tmp_path}/none").count() == 0
+    assert warc.captures(warc.read_records(spark, f"{tmp_path}/none")).count() == 0
 
 
 def test_licenses(docs, empty):
