@@ -5,6 +5,11 @@ shingles, of anchors, ...) are sorted and split into buckets by their leading bi
 binary row of byte-packed differences, so that a key costs three bytes or so instead of a row. A bucket adds
 up its keys over all chunks and sends each chunk the totals in the chunk's own order. Keys are made distinct
 within a chunk first, so that a hot key comes once per chunk and not once per occurrence.
+
+A blob needs some hundred keys to be worth a row, and both chunks and buckets grow with the input, so that
+blobs of a direct exchange get smaller. Where they would hold fewer than BLOB_KEYS the exchange has two hops:
+chunks send one blob per zone of buckets, a region of chunks merges the blobs of a zone and exchanges the
+merged keys with the buckets, and hands the totals back to its chunks. A hot key then comes once per region.
 """
 
 from __future__ import annotations
@@ -21,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import materialize, partitions
 from .lines import NULL_ID
 
-CHUNK_BYTES, BUCKET_KEYS, KEY_BITS = 2_000_000, 1_000_000, 40
+CHUNK_BYTES, BUCKET_KEYS, KEY_BITS, BLOB_KEYS = 2_000_000, 1_000_000, 40, 128
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -63,50 +68,58 @@ def unpack(b: bytes) -> np.ndarray:
     return np.cumsum(d, dtype=np.uint64)
 
 
+def place(chunks: int, doc_id, text_hash) -> "F.Column":
+    """A document's chunk. Its text takes part, so that texts of one id, or of none, are spread."""
+    return F.pmod(F.xxhash64(doc_id, text_hash), F.lit(chunks)).cast("int")
+
+
 @dataclass
 class Deal:
-    """Documents dealt into chunks: (chunk, doc_id, text binary), and by how much keys are to be split."""
+    """Documents dealt into chunks: (chunk, doc_id, text binary), and by how much keys are to be split; stride is the number of buckets of a zone, 1 for a direct exchange."""
 
     rows: DataFrame
     chunks: int
     buckets: int
-
-    def chunk(self, doc_id) -> "F.Column":
-        return F.pmod(F.xxhash64(doc_id), F.lit(self.chunks)).cast("int")
+    stride: int = 1
 
 
 def deal(docs: DataFrame, keys_per_byte: float, id_col: str = "doc_id", text_col: str = "text") -> Deal:
     """Null ids become NULL_ID, null texts empty. The number of chunks and buckets follows the size of all texts."""
     size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
-    n = partitions(docs.sparkSession)
-    chunks, buckets = max(2 * n, -(-size // CHUNK_BYTES)), max(n, int(size * keys_per_byte) // BUCKET_KEYS)
-    out = Deal(docs, chunks, buckets)
-    ids = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
-    out.rows = ids.select(out.chunk("doc_id").alias("chunk"), "doc_id", "text")
-    return out
+    n, keys = partitions(docs.sparkSession), int(size * keys_per_byte)
+    chunks, buckets = max(2 * n, -(-size // CHUNK_BYTES)), max(n, keys // BUCKET_KEYS)
+    # Small inputs have small blobs as well, but few of them.
+    direct = chunks * buckets <= max(keys // BLOB_KEYS, 4 * n * n)
+    zones = buckets if direct else max(1, min(buckets, keys // (chunks * BLOB_KEYS)))
+    stride = -(-buckets // zones)
+    buckets = stride * -(-buckets // stride)
+    ids = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = ids.select(place(chunks, "doc_id", F.xxhash64("text")).alias("chunk"), "doc_id", F.col("text").cast("binary").alias("text"))
+    return Deal(rows, chunks, buckets, stride)
 
 
 def exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, rep, same, copies): for every document the smallest doc_id that has its text, and how many have it; same is the text's MD5 where that is more than one, else null."""
+    """(doc_id, rep, same, copies, u): for every document the smallest doc_id that has its text, and how many have it; same is the text's MD5 where that is more than one, else null; u is a hash of the text."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    ids = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.md5(text).alias("h"), F.octet_length(text).alias("n"))
+    ids = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("doc_id"), F.md5(text).alias("h"), F.octet_length(text).alias("n"), F.xxhash64(text).alias("u"))
     ids = materialize(ids, "text-ids")
     # A table of its own, so that a text with very many copies is a skewed join, which Spark splits.
     reps = materialize(ids.groupBy("h", "n").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")).filter("copies > 1"), "text-reps")
-    return materialize(ids.join(reps, ["h", "n"], "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"), F.when(F.col("copies") > 1, F.col("h")).alias("same"), F.coalesce("copies", F.lit(1)).alias("copies")), "copies")
+    return materialize(ids.join(reps, ["h", "n"], "left").select("doc_id", F.coalesce("rep", "doc_id").alias("rep"), F.when(F.col("copies") > 1, F.col("h")).alias("same"), F.coalesce("copies", F.lit(1)).alias("copies"), "u"), "copies")
 
 
 def only_copies(copies: DataFrame, d: Deal) -> DataFrame:
-    """(chunk, skip): ids whose every text is found under a smaller id."""
-    last = copies.groupBy("doc_id").agg(F.max("rep").alias("rep")).filter("rep < doc_id")
-    return last.select(d.chunk("doc_id").alias("chunk"), F.col("doc_id").alias("skip"))
+    """(chunk, skip): ids whose every text is found under a smaller id, in the chunks of these texts."""
+    last = copies.groupBy("doc_id").agg(F.max("rep").alias("rep")).filter("rep < doc_id").select("doc_id")
+    at = copies.filter("rep < doc_id").join(last, "doc_id").select(place(d.chunks, "doc_id", F.col("u")).alias("chunk"), F.col("doc_id").alias("skip"))
+    return at.distinct()
 
 
 def copied(copies: DataFrame, d: Deal) -> DataFrame:
     """(chunk, counted, same, copies): of ids that only_copies leaves, each text that has copies, with the number of documents that its first id counts for; under other ids it counts none."""
-    c = copies.filter("same IS NOT NULL").groupBy("doc_id", "same").agg(F.first("rep").alias("rep"), F.first("copies").alias("copies"))
+    c = copies.filter("same IS NOT NULL").groupBy("doc_id", "same", "u").agg(F.first("rep").alias("rep"), F.first("copies").alias("copies"))
     c = c.join(copies.groupBy("doc_id").agg(F.max("rep").alias("last")).filter("last >= doc_id").select("doc_id"), "doc_id")
-    return c.select(d.chunk("doc_id").alias("chunk"), F.col("doc_id").alias("counted"), "same", F.when(F.col("rep") == F.col("doc_id"), F.col("copies")).otherwise(0).alias("copies"))
+    return c.select(place(d.chunks, "doc_id", F.col("u")).alias("chunk"), F.col("doc_id").alias("counted"), "same", F.when(F.col("rep") == F.col("doc_id"), F.col("copies")).otherwise(0).alias("copies"))
 
 
 def multiplicity(ids: np.ndarray, data: np.ndarray, off: np.ndarray, t: pa.Table) -> np.ndarray:
@@ -153,27 +166,47 @@ def cut(keys: np.ndarray) -> np.ndarray:
     return keys >> np.uint64(64 - KEY_BITS)
 
 
-def totals(parts: DataFrame, buckets: int) -> DataFrame:
+def sums(blobs: list, counts: list) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(distinct keys of all blobs, sorted; their summed counts; where each blob's keys are among them)."""
+    keys = [unpack(b) for b in blobs]
+    every, at = np.unique(np.concatenate(keys), return_inverse=True)
+    # Doubles count exactly up to 2^53.
+    total = np.bincount(at, np.concatenate([unsqueeze(c, np.uint32) for c in counts]), len(every))
+    ends = np.cumsum([0, *map(len, keys)])
+    return every, total.clip(max=2**32 - 1).astype(np.uint32), [at[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+
+
+def totals(parts: DataFrame, d: Deal) -> DataFrame:
     """(chunk, bucket, totals binary) from (chunk, bucket, keys binary, counts binary): counts of each key over all chunks, in the chunk's order."""
 
     def run(key, t):
-        keys = [unpack(b) for b in t.column("keys").to_pylist()]
-        counts = np.concatenate([unsqueeze(b, np.uint32) for b in t.column("counts").to_pylist()])
-        lens, keys = [len(k) for k in keys], np.concatenate(keys)
-        order = np.argsort(keys)
-        keys, counts = keys[order], counts[order]
-        first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-        total = np.empty(len(keys), np.uint32)
-        total[order] = np.repeat(np.add.reduceat(counts, first, dtype=np.uint64).clip(max=2**32 - 1).astype(np.uint32), np.diff(np.r_[first, len(keys)]))
-        ends = np.cumsum([0, *lens])
-        return pa.table({"chunk": t.column("chunk"), "bucket": t.column("bucket"), "totals": pa.array([squeeze(total[a:b]) for a, b in zip(ends, ends[1:], strict=False)], pa.binary())})
-
-    return parts.groupBy("bucket").applyInArrow(run, "chunk int, bucket int, totals binary")
-
-
-def parts_of(chunk: int, keys: np.ndarray, counts: np.ndarray, buckets: int) -> pa.Table:
-    """The rows that a chunk sends to the buckets; keys are sorted and distinct."""
-    b = bounds(keys, buckets)
+        _, total, places = sums(t.column("keys").to_pylist(), t.column("counts").to_pylist())
+        return pa.table({"chunk": t.column("chunk"), "bucket": t.column("bucket"), "totals": pa.array([squeeze(total[p]) for p in places], pa.binary())})
+
+    if d.stride == 1:
+        return parts.groupBy("bucket").applyInArrow(run, "chunk int, bucket int, totals binary")
+
+    # Two hops: what chunks send is a blob per zone, named by its place among the zones. A region has as many chunks as a zone has buckets.
+    buckets, stride = d.buckets, d.stride
+    parts = parts.withColumn("region", F.floor(F.col("chunk") / stride).cast("int")).withColumnRenamed("bucket", "zone")
+    parts = materialize(parts, "zone-keys")
+
+    def merge(key, t):
+        every, total, _ = sums(t.column("keys").to_pylist(), t.column("counts").to_pylist())
+        return parts_of(key[0].as_py(), every, total, buckets)
+
+    def spread(key, t, back):
+        found, (_, _, places) = returned(back), sums(t.column("keys").to_pylist(), t.column("counts").to_pylist())
+        return pa.table({"chunk": t.column("chunk"), "bucket": t.column("zone"), "totals": pa.array([squeeze(found[p]) for p in places], pa.binary())})
+
+    back = parts.groupBy("region", "zone").applyInArrow(merge, PARTS).groupBy("bucket").applyInArrow(run, "chunk int, bucket int, totals binary")
+    back = back.select(F.col("chunk").alias("region"), F.floor(F.col("bucket") / stride).cast("int").alias("zone"), "bucket", "totals")
+    return parts.groupBy("region", "zone").cogroup(back.groupBy("region", "zone")).applyInArrow(spread, "chunk int, bucket int, totals binary")
+
+
+def parts_of(chunk: int, keys: np.ndarray, counts: np.ndarray, buckets: int, stride: int = 1) -> pa.Table:
+    """The rows that a chunk sends to the buckets, or to zones of stride buckets; keys are sorted and distinct."""
+    b = bounds(keys, buckets)[::stride]
     full = np.flatnonzero(np.diff(b))
     return pa.table({"chunk": pa.array(np.full(len(full), chunk, np.int32)), "bucket": pa.array(full.astype(np.int32)), "keys": pa.array([pack(keys[b[i] : b[i + 1]]) for i in full], pa.binary()), "counts": pa.array([squeeze(counts[b[i] : b[i + 1]].astype(np.uint32)) for i in full], pa.binary())})
 

@@ -80,7 +80,7 @@ def samples(keys: np.ndarray, w: np.ndarray, starts: np.ndarray, n: int) -> np.n
 
 def signatures(d: Deal, copies: DataFrame, damping: float) -> DataFrame:
     """(doc_id, uid, total, df binary, bands array<long>) of each document with words that is no exact copy; uid tells texts of one id apart."""
-    n_docs, chunks_, buckets = max(1, copies.count()), d.chunks, d.buckets
+    n_docs, buckets, stride = max(1, copies.count()), d.buckets, d.stride
     skip = chunks.only_copies(copies, d)
 
     def keys_of(key, t, s):
@@ -89,7 +89,7 @@ def signatures(d: Deal, copies: DataFrame, damping: float) -> DataFrame:
         k, at = np.unique(cut(found), return_inverse=True)
         # A text counts with its copies, which are skipped.
         n = np.bincount(at, np.repeat(chunks.multiplicity(ids, data, off, s), np.diff(ends)), len(k)).astype(np.int64)
-        return chunks.parts_of(key[0].as_py(), k, n, buckets)
+        return chunks.parts_of(key[0].as_py(), k, n, buckets, stride)
 
     def sign(key, t, s):
         ids, data, off = chunks.without(*chunks.texts(t), chunks.skipped(s))
@@ -114,7 +114,7 @@ def signatures(d: Deal, copies: DataFrame, damping: float) -> DataFrame:
 
     known = skip.unionByName(chunks.copied(copies, d), allowMissingColumns=True)
     parts = d.rows.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(keys_of, chunks.PARTS)
-    back = chunks.totals(parts, buckets).select("chunk", F.lit(None).cast("long").alias("skip"), "bucket", "totals")
+    back = chunks.totals(parts, d).select("chunk", F.lit(None).cast("long").alias("skip"), "bucket", "totals")
     back = back.unionByName(skip.select("chunk", "skip", F.lit(None).cast("int").alias("bucket"), F.lit(None).cast("binary").alias("totals")))
     return d.rows.groupBy("chunk").cogroup(back.groupBy("chunk")).applyInArrow(sign, "doc_id long, uid long, total double, df binary, bands array<long>")
 

@@ -26,20 +26,20 @@ def targets(totals: DataFrame, weights: DataFrame, ratio: float = 1.5, cap: floa
     """(source, source_size, weight, target) from (source, source_size) and (source, weight).
 
     Of ratio * all words each source gets a share by weight, at most cap times its own size; the excess is
-    shared again by weight until no target is above. In closed form: sources whose cap over weight lies
-    below the water level are full. One row per source, so the running sums are small.
+    shared again by weight until no target is above. Each round sums up the sources that are full, two
+    numbers, and shares what is left among the others; a source that is full stays so, and rounds end when
+    none is added. So there may be as many sources as hosts.
     """
     t = totals.join(weights, totals["source"].eqNullSafe(weights["source"])).select(totals["source"], "source_size", "weight")
-    everything = Window.partitionBy()
-    upto = Window.orderBy("level", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    t = t.withColumn("cap", F.lit(cap) * F.col("source_size")).withColumn("level", F.col("cap") / F.col("weight"))
-    t = t.withColumns({"demand": ratio * F.sum("source_size").over(everything), "all_w": F.sum("weight").over(everything), "cap_sum": F.sum("cap").over(upto), "w_sum": F.sum("weight").over(upto)})
-    # The level if exactly this source and those before it are full; the water level is that of the last source that is.
-    before = (F.col("demand") - (F.col("cap_sum") - F.col("cap"))) / (F.col("all_w") - (F.col("w_sum") - F.col("weight")))
-    t = t.withColumn("before", before).withColumn("full", F.col("level") <= F.col("before"))
-    water = (F.col("demand") - F.sum(F.when(F.col("full"), F.col("cap")).otherwise(0.0)).over(everything)) / (F.col("all_w") - F.sum(F.when(F.col("full"), F.col("weight")).otherwise(0.0)).over(everything))
-    water = F.when(~F.col("full"), water)
-    return t.withColumn("target", F.when(F.col("full"), F.col("cap")).otherwise(water * F.col("weight"))).select("source", "source_size", "weight", "target")
+    t = materialize(t.withColumn("cap", F.lit(float(cap)) * F.col("source_size")), "mix-sources")
+    demand, every = t.agg(F.coalesce(F.sum("source_size"), F.lit(0)) * float(ratio), F.coalesce(F.sum("weight"), F.lit(0.0))).first()
+    level, full = demand / every if every else 0.0, 0
+    while True:
+        over = F.col("cap") <= F.lit(level) * F.col("weight")
+        n, caps, taken = t.filter(over).agg(F.count("*"), F.coalesce(F.sum("cap"), F.lit(0.0)), F.coalesce(F.sum("weight"), F.lit(0.0))).first()
+        if n == full or taken >= every:
+            return t.select("source", "source_size", "weight", F.when(over, F.col("cap")).otherwise(F.lit(level) * F.col("weight")).alias("target"))
+        level, full = (demand - caps) / (every - taken), n
 
 
 def integrate(schedule: DataFrame) -> DataFrame:
@@ -91,17 +91,19 @@ def same(a: str, b: str):
 def mix(docs: DataFrame, schedule: DataFrame, ratio: float = 1.5, cap: float = 2.0, **cols: str) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, copies, taken, times array<double>.
 
-    docs are documents; schedule has knots (source, t, weight) for each source of docs. Documents are taken
-    whole, in an order by hash: each floor(target / source_size) times, those in front of the order once
-    more while they fit, and then the one that comes nearest to what is left. times has the training time
-    (0..1) of each copy by the inverse of the source's schedule.
+    docs are documents; schedule has knots (source, t, weight) for each source of docs. A source's demand runs
+    through its documents, in an order by hash, pass after pass. Documents are taken whole: a copy whose last
+    word lies within the target is taken, and then the one that comes nearest to what is left. times has the
+    position (0..1 of the training) of each copy by the inverse of the source's schedule; rows are range-sorted
+    by the first one.
 
     Empty and null texts have size 0 and are not needed for any target; null is a source like others;
     repeated rows count as rows of their own; an empty table gives no rows; other columns are left out.
     """
     n = partitions(docs.sparkSession)
     order = ["source", "order", "doc_id", "size"]
-    base = sizes(docs, **cols).repartitionByRange(n, *order).sortWithinPartitions(*order)
+    # Range partitions take a sample first: of the sizes, so that texts are read once.
+    base = materialize(sizes(docs, **cols), "mix-sizes").repartitionByRange(n, *order).sortWithinPartitions(*order)
     rows = materialize(running(base.withColumn("pid", F.spark_partition_id())), "mix-order")
 
     # A row per source and partition; within the order these are at most partitions + sources.
@@ -111,31 +113,46 @@ def mix(docs: DataFrame, schedule: DataFrame, ratio: float = 1.5, cap: float = 2
     shape = integrate(schedule)
     want = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), shape.select("source", "weight"), ratio, cap)
     full = F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0)).cast("long")
-    want = want.withColumn("full", full).withColumn("rest", F.col("target") - F.col("full") * F.col("source_size"))
+    want = want.withColumn("full", full)
     plan = parts.alias("p").join(want.alias("w"), same("p", "w")).join(shape.alias("k"), same("p", "k")).select("w.*", "pid", "offset", "segments")
     plan = materialize(plan, "mix-plan")
 
     on = (F.col("r.pid") == F.col("s.pid")) & same("r", "s")
-    placed = rows.alias("r").join(plan.alias("s"), on).select("r.doc_id", "r.source", "size", "source_size", "target", "weight", "segments", "full", "rest", (F.col("offset") + F.col("upto")).alias("upto"))
-    fits = F.col("upto") <= F.col("rest")
-    left = placed.groupBy("source").agg((F.first("rest") - F.coalesce(F.sum(F.when(fits, F.col("size"))), F.lit(0))).alias("left"))
+    placed = rows.alias("r").join(plan.alias("s"), on).select("r.doc_id", "r.source", "size", "source_size", "target", "weight", "segments", "full", (F.col("offset") + F.col("upto")).alias("upto"))
+    # The demand of a source runs through its documents again and again; a copy that is over before the target is taken.
+    passes = F.sequence(F.lit(0).cast("long"), F.col("full"))
+    ends = F.filter(F.transform(passes, lambda e: e * F.col("source_size") + F.col("upto")), lambda x: (x <= F.col("target")) & (F.col("size") > 0))
+    placed = placed.withColumn("ends", ends)
+    left = placed.groupBy("source").agg((F.first("target") - F.coalesce(F.sum(F.col("size") * F.size("ends")), F.lit(0))).alias("left"))
     left = materialize(left, "mix-left")
+    # What no copy of the order fits is filled by the one that comes nearest, if that is nearer than nothing.
     off = F.abs(F.col("left") - F.col("size"))
-    best = placed.filter(~fits).alias("d").join(left.alias("l"), same("d", "l")).filter(off < F.col("left")).groupBy("d.source").agg(F.min(F.struct(off.alias("off"), "upto")).alias("best"))
+    best = placed.filter(F.size("ends") <= F.col("full")).alias("d").join(left.alias("l"), same("d", "l")).filter(off < F.col("left")).groupBy("d.source").agg(F.min(F.struct(off.alias("off"), "upto")).alias("best"))
     best = materialize(best.select("source", F.col("best.upto").alias("best")), "mix-best")
 
     out = placed.alias("d").join(best.alias("b"), same("d", "b"), "left")
-    more = (F.col("size") > 0) & (fits | F.coalesce(F.col("upto") == F.col("best"), F.lit(False)))
-    out = out.select("d.*", (F.col("full") * (F.col("size") > 0).cast("long") + more.cast("long")).alias("copies"))
-    share = lambda e: F.least((e * F.col("source_size") + F.col("upto") - F.col("size")) / F.col("target"), F.lit(1.0))
-    times = F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0), F.col("copies").cast("int") - 1), lambda e: time_of(share(e))))
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"), F.coalesce(times, F.array().cast("array<double>")).alias("times"))
+    more = (F.col("size") > 0) & F.coalesce(F.col("upto") == F.col("best"), F.lit(False)) & (F.size("ends") <= F.col("full"))
+    out = out.select("d.*", F.when(more, F.concat(F.col("ends").cast("array<double>"), F.array(F.col("target") + F.col("size")))).otherwise(F.col("ends").cast("array<double>")).alias("taken_at"))
+    # The position of a copy is where its first word falls in the integral of its source's weight, inverted.
+    times = F.transform("taken_at", lambda x: time_of(F.least((x - F.col("size")) / F.col("target"), F.lit(1.0))))
+    out = out.select("doc_id", "source", "size", "source_size", "target", F.size("taken_at").cast("long").alias("copies"), (F.col("size") * F.size("taken_at")).alias("taken"), times.alias("times"))
+    # Range-sorted by the first position; documents that are not taken come last.
+    out = materialize(out, "mix-taken")
+    position = F.get("times", F.lit(0)).asc_nulls_last()
+    return out.repartitionByRange(n, position, "source", "doc_id").sortWithinPartitions(position, "source", "doc_id")
 
 
 def cycle_schedule(docs: DataFrame, cycle: list[list[tuple[float, float]]], source_col: str = "source") -> DataFrame:
-    """Knots (source, t, weight): the schedules of cycle dealt in turn to the sources by code point, null last."""
-    s = docs.select(F.col(source_col).alias("source")).distinct()
-    s = s.withColumn("k", (F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % len(cycle))
+    """Knots (source, t, weight): the schedules of cycle dealt in turn to the sources by code point, null last; an empty table has none.
+
+    Sources are numbered by range partitions and the number of sources in each, a row per partition.
+    """
+    n = partitions(docs.sparkSession)
+    s = docs.select(F.col(source_col).alias("source")).distinct().repartitionByRange(n, F.col("source").asc_nulls_last()).sortWithinPartitions(F.col("source").asc_nulls_last())
+    s = materialize(s.withColumns({"pid": F.spark_partition_id(), "at": F.monotonically_increasing_id()}), "source-order")
+    parts = s.groupBy("pid").agg(F.count("*").alias("here"), F.min("at").alias("start"))
+    parts = parts.withColumn("before", F.sum("here").over(Window.orderBy("pid")) - F.col("here"))
+    s = s.join(parts, "pid").select("source", ((F.col("before") + F.col("at") - F.col("start")) % len(cycle)).cast("int").alias("k"))
     knots = F.array(*(F.array(*(F.struct(F.lit(float(t)).alias("t"), F.lit(float(w)).alias("weight")) for t, w in c)) for c in cycle))
     return s.select("source", F.explode(F.get(knots, F.col("k"))).alias("x")).select("source", "x.t", "x.weight")
 

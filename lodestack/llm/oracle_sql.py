@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .licenses import TEMPLATES
-from .quality import DELTA, EPSILON, MIN_GAIN, RULES
+from .quality import DELTA, EPSILON, PATH, RULES
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANKS = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
@@ -22,7 +22,8 @@ SELECT doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(removed,
 """
 
 FEATURE = {"symbols": "n_symbols / n_words", "repeats": "n_repeat_words / n_words", "dup_lines": "n_dup_lines / n_words", "long_words": "word_chars / n_words", "short_words": "word_chars / n_words"}
-GRID = ", ".join(f"('{r}', {side}, CAST({c} AS DOUBLE))" for r, (_, side, cuts) in RULES.items() for c in cuts)
+SIDE = {r: side for r, (_, side, _) in RULES.items()}
+STEPS = ", ".join(f"({i}, '{r}', {SIDE[r]}, CAST({c} AS DOUBLE))" for i, r, c in PATH)
 VALUE = "CASE rule " + " ".join(f"WHEN '{r}' THEN {x}" for r, x in FEATURE.items()) + " END"
 FAILS = f"coalesce(CASE WHEN side > 0 THEN {VALUE} > cutoff ELSE {VALUE} < cutoff END, false)"
 
@@ -35,11 +36,16 @@ ln AS (SELECT doc_id, count(*) - count(DISTINCT l) AS n FROM (SELECT doc_id, unn
 f AS (SELECT doc_id, lang, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
   CAST(coalesce(ln.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words FROM d LEFT JOIN ln USING (doc_id) LEFT JOIN rep USING (doc_id)),
 m AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f),
-grid(rule, side, cutoff) AS (VALUES {GRID}),
-k AS (SELECT lang, rule, side, cutoff, count(*) FILTER (quality = 1) AS ng, count(*) FILTER (quality = 0) AS nb, count(*) FILTER (quality = 1 AND {FAILS}) AS kg, count(*) FILTER (quality = 0 AND {FAILS}) AS kb
-  FROM m JOIN (SELECT DISTINCT doc_id, quality FROM labels WHERE quality IS NOT NULL) AS l USING (doc_id) CROSS JOIN grid WHERE NOT base_failed GROUP BY lang, rule, side, cutoff),
-p AS (SELECT *, CASE WHEN kg >= ng * {EPSILON} THEN 1.0 ELSE list_sum(list_transform(range(0, kg + 1), lambda i: exp(lgamma(ng + 1) - lgamma(i + 1) - lgamma(ng - i + 1) + i * ln({EPSILON}) + (ng - i) * ln(1 - {EPSILON})))) END AS risk, count(*) OVER () AS tests, coalesce(kb / nullif(nb, 0), 0.0) - kg / ng AS gain FROM k),
-cut AS (SELECT lang, rule, side, max_by(cutoff, (gain, side * cutoff)) AS cutoff FROM p WHERE risk <= {DELTA} / tests AND gain >= {MIN_GAIN} GROUP BY lang, rule, side),
+path(step, rule, side, cutoff) AS (VALUES {STEPS}),
+lab AS (SELECT doc_id, min(quality) AS quality FROM labels WHERE quality IS NOT NULL GROUP BY doc_id HAVING min(quality) = max(quality)),
+held AS (SELECT m.lang, m.doc_id, quality, min(CASE WHEN {FAILS} THEN step END) AS failed FROM m JOIN lab USING (doc_id) CROSS JOIN path WHERE NOT base_failed GROUP BY m.lang, m.doc_id, quality),
+k AS (SELECT lang, step, count(*) FILTER (quality = 1) AS ng, count(*) FILTER (quality = 0) AS nb, count(*) FILTER (quality = 1 AND failed <= step) AS kg, count(*) FILTER (quality = 0 AND failed <= step) AS kb FROM held CROSS JOIN path GROUP BY lang, step),
+strata AS (SELECT count(DISTINCT coalesce(lang, '')) AS s FROM k WHERE ng > 0),
+p AS (SELECT *, coalesce(kb / nullif(nb, 0), 0.0) - coalesce(kg / nullif(ng, 0), 0.0) AS gain, CASE WHEN ng = 0 OR kg >= ng * {EPSILON} THEN 1.0
+  ELSE list_sum(list_transform(range(0, kg + 1), lambda i: exp(lgamma(ng + 1) - lgamma(i + 1) - lgamma(ng - i + 1) + i * ln({EPSILON}) + (ng - i) * ln(1 - {EPSILON})))) END AS risk FROM k),
+sure AS (SELECT lang, step, gain, bool_and(risk <= {DELTA} / s) OVER (PARTITION BY lang ORDER BY step) AS ok FROM p CROSS JOIN strata),
+best AS (SELECT lang, max_by(step, (gain, -step)) AS upto FROM sure WHERE ok AND gain > 0 GROUP BY lang),
+cut AS (SELECT lang, rule, side, max_by(cutoff, step) AS cutoff FROM best JOIN path ON step <= upto GROUP BY lang, rule, side),
 bad AS (SELECT DISTINCT doc_id FROM m JOIN cut ON m.lang IS NOT DISTINCT FROM cut.lang WHERE {FAILS})
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND doc_id NOT IN (SELECT doc_id FROM bad) AS kept FROM m
 """

@@ -1,30 +1,34 @@
 """Quality rules with risk-controlled thresholds.
 
-A rule rejects a document whose feature lies beyond a cutoff. For every stratum, rule and cutoff of a fixed
-grid the labelled documents of good quality are a holdout: with k of n rejected, the cutoff is certified if
-P(Binomial(n, epsilon) <= k) <= delta / tests, the exact one-sided test with Bonferroni's correction over
-all strata, rules and cutoffs. With probability 1 - delta no certified cutoff rejects more than epsilon of
-the good documents of its stratum, whichever of them is then chosen. All of it is DataFrame functions.
+A document is rejected if one of five features lies beyond its cutoff. Cutoffs are certified together: a fixed
+path of steps goes from loose to strict, each step tightening one rule by one notch, and a step's risk is the
+share of good documents that its whole set of cutoffs rejects. The labelled documents of good quality of a
+stratum are the holdout: with k of n rejected, a step passes if P(Binomial(n, epsilon) <= k) <= delta / strata,
+the exact one-sided test with Bonferroni's correction over strata. Within a stratum steps are tested in order
+and the first one that does not pass ends the path, which needs no further correction. So with probability
+1 - delta no stratum's verdict rejects more than epsilon of its good documents, all rules together, whichever
+certified step is then chosen. All of it is DataFrame functions.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from .common import NOT_SPACE, SPACE, materialize
 
 WINDOW = 8
-EPSILON, DELTA, MIN_GAIN = 0.01, 0.05, 0.01
-# Each rule's feature, its direction (+1: fails above the cutoff, -1: below) and its grid.
+EPSILON, DELTA = 0.03, 0.05
+# Each rule's feature, its direction (+1: fails above the cutoff, -1: below) and its grid, loose to strict.
 RULES = {
-    "symbols": (lambda: F.try_divide("n_symbols", "n_words"), 1, [0.02, 0.05, 0.1, 0.2, 0.3, 0.5, 1.0]),
-    "repeats": (lambda: F.try_divide("n_repeat_words", "n_words"), 1, [0.05, 0.1, 0.15, 0.2, 0.25]),
-    "dup_lines": (lambda: F.try_divide("n_dup_lines", "n_words"), 1, [0.005, 0.01, 0.02, 0.05]),
-    "long_words": (lambda: F.try_divide("word_chars", "n_words"), 1, [6.0, 6.5, 7.0, 7.5, 8.0, 9.0, 10.0]),
+    "symbols": (lambda: F.try_divide("n_symbols", "n_words"), 1, [1.0, 0.5, 0.3, 0.2, 0.1, 0.05, 0.02]),
+    "long_words": (lambda: F.try_divide("word_chars", "n_words"), 1, [10.0, 9.0, 8.0, 7.5, 7.0, 6.5, 6.0]),
     "short_words": (lambda: F.try_divide("word_chars", "n_words"), -1, [2.0, 2.5, 3.0, 3.5, 4.0]),
+    "dup_lines": (lambda: F.try_divide("n_dup_lines", "n_words"), 1, [0.05, 0.02, 0.01, 0.005]),
+    "repeats": (lambda: F.try_divide("n_repeat_words", "n_words"), 1, [0.25, 0.2, 0.15, 0.1, 0.05]),
 }
+#: The path: (step, rule, cutoff), a notch of each rule in turn.
+PATH = [(i + 1, r, c) for i, (r, c) in enumerate((r, cs[n]) for n in range(max(len(cs) for _, _, cs in RULES.values())) for r, (_, _, cs) in RULES.items() if n < len(cs))]
 
 
 def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -35,13 +39,13 @@ def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     kept = [c for c in docs.columns if c not in (*names, text_col)]
     text = F.coalesce(F.col(text_col), F.lit(""))
-    d = docs.select(*kept, text.alias("_text"))
-    lines = F.filter(F.split("_text", "\n", -1), lambda x: x.rlike(NOT_SPACE))
+    d = docs.select(*kept, text.alias("_body"))
+    lines = F.filter(F.split("_body", "\n", -1), lambda x: x.rlike(NOT_SPACE))
     d = d.select(
         *kept,
-        F.transform(F.regexp_extract_all("_text", F.lit(f"{NOT_SPACE}+"), 0), lambda w: F.xxhash64(w)).alias("_words"),
-        F.char_length(F.regexp_replace("_text", f"{SPACE}+", "")).cast("long").alias("word_chars"),
-        F.regexp_count("_text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
+        F.transform(F.regexp_extract_all("_body", F.lit(f"{NOT_SPACE}+"), 0), lambda w: F.xxhash64(w)).alias("_words"),
+        F.char_length(F.regexp_replace("_body", f"{SPACE}+", "")).cast("long").alias("word_chars"),
+        F.regexp_count("_body", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         lines.alias("_lines"),
     )
     n = F.size("_words")
@@ -72,48 +76,71 @@ def binomial_cdf(k: Column, n: Column, p: float) -> Column:
     return F.when(k >= n * p, F.lit(1.0)).otherwise(upto)
 
 
+def first_failed_step() -> Column:
+    """The first step of the path that rejects a document, or null; all later steps do too."""
+    hits = {r: F.coalesce(*(F.when(fails(r, F.lit(float(c))), F.lit(i)) for i, own, c in PATH if own == r)) for r in RULES}
+    return F.least(*hits.values())
+
+
 def certify(measured: DataFrame, labels: DataFrame, stratum: str, epsilon: float = EPSILON, delta: float = DELTA) -> DataFrame:
-    """(stratum, rule, cutoff, n_good, k_good, n_bad, k_bad, risk_p, certified) for the whole grid, from features and (doc_id, quality)."""
-    lab = labels.select(F.col("doc_id").alias("_id"), F.col("quality").alias("_quality")).filter("_quality IS NOT NULL").distinct()
-    x = measured.filter("NOT base_failed").join(lab, measured["doc_id"] == F.col("_id"))
-    good, bad = F.col("_quality") == 1, F.col("_quality") == 0
-    grid = [(r, c) for r, (_, _, cs) in RULES.items() for c in cs]
-    sums = [F.struct(F.lit(r).alias("rule"), F.lit(float(c)).alias("cutoff"), F.count_if(good & fails(r, F.lit(c))).alias("k_good"), F.count_if(bad & fails(r, F.lit(c))).alias("k_bad")) for r, c in grid]
-    per = x.groupBy(F.col(stratum).alias("stratum")).agg(F.count_if(good).alias("n_good"), F.count_if(bad).alias("n_bad"), F.array(*sums).alias("g"))
-    per = per.select("stratum", "n_good", "n_bad", F.explode("g").alias("g")).select("stratum", "g.rule", "g.cutoff", "n_good", "g.k_good", "n_bad", "g.k_bad")
-    p = binomial_cdf(F.col("k_good"), F.col("n_good"), epsilon)
-    # One row per stratum and grid point.
-    return per.withColumn("risk_p", p).withColumn("certified", F.col("risk_p") <= F.lit(delta) / F.count("*").over(Window.partitionBy()))
-
-
-def cutoffs(certified: DataFrame, min_gain: float = MIN_GAIN) -> DataFrame:
-    """One row per stratum with a column cut_<rule>: the certified cutoff that rejects most more of the bad than of the good, or null; ties to the looser one."""
-    gain = F.coalesce(F.try_divide("k_bad", "n_bad"), F.lit(0.0)) - F.col("k_good") / F.col("n_good")
-    ok = F.col("certified") & (gain >= min_gain)
-    best = [F.max_by(F.when(ok & (F.col("rule") == r), F.col("cutoff")), F.when(ok & (F.col("rule") == r), F.struct(gain.alias("g"), (side * F.col("cutoff")).alias("c")))).alias(f"cut_{r}") for r, (_, side, _) in RULES.items()]
-    return certified.groupBy("stratum").agg(*best)
+    """(stratum, step, rule, cutoff, n_good, k_good, n_bad, k_bad, risk_p, certified) of the whole path, from features and (doc_id, quality).
+
+    A doc_id counts once, rejected if one of its rows is; ids that are labelled both good and bad, and null
+    ids, do not count.
+    """
+    lab = labels.filter("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").alias("_quality"), F.max("quality").alias("_other"))
+    lab = lab.filter("_quality = _other").select("_id", "_quality")
+    x = measured.filter("NOT base_failed").select(F.col("doc_id").alias("_id"), F.col(stratum).alias("stratum"), first_failed_step().alias("_step")).join(lab, "_id")
+    x = x.groupBy("stratum", "_id", "_quality").agg(F.min("_step").alias("_step"))
+    good = F.col("_quality") == 1
+    per = x.groupBy("stratum").agg(
+        F.count_if(good).alias("n_good"), F.count_if(~good).alias("n_bad"),
+        *(F.count_if(q & (F.col("_step") <= i)).alias(f"{k}{i}") for i, _, _ in PATH for k, q in (("g", good), ("b", ~good))),
+    )
+    per = materialize(per, "strata")
+    level = delta / max(1, per.filter("n_good > 0").count())
+    steps = F.array(*(F.struct(F.lit(i).alias("step"), F.lit(r).alias("rule"), F.lit(float(c)).alias("cutoff"), F.col(f"g{i}").alias("k_good"), F.col(f"b{i}").alias("k_bad")) for i, r, c in PATH))
+    # A row per stratum: its steps are an array, cut at the first one whose risk is not certified.
+    per = per.select("stratum", "n_good", "n_bad", steps.alias("s"))
+    risk = F.transform("s", lambda x: F.when(F.col("n_good") > 0, binomial_cdf(x["k_good"], F.col("n_good"), epsilon)).otherwise(F.lit(1.0)))
+    per = per.withColumn("p", risk).withColumn("passed", F.transform("p", lambda q: q <= level))
+    one = F.explode(F.transform("s", lambda x, i: F.struct(x["step"], x["rule"], x["cutoff"], x["k_good"], x["k_bad"], F.get("p", i).alias("risk_p"), F.forall(F.slice("passed", 1, i + 1), lambda q: q).alias("certified")))).alias("x")
+    return per.select("stratum", "n_good", "n_bad", one).select("stratum", "x.step", "x.rule", "x.cutoff", "n_good", "x.k_good", "n_bad", "x.k_bad", "x.risk_p", "x.certified")
+
+
+def cutoffs(certified: DataFrame) -> DataFrame:
+    """One row per stratum with a column cut_<rule>: the cutoffs of the certified step that rejects most more of the bad than of the good
+    (ties to the looser one), or null for rules that it does not use and strata without such a step."""
+    gain = F.coalesce(F.try_divide("k_bad", "n_bad"), F.lit(0.0)) - F.coalesce(F.try_divide("k_good", "n_good"), F.lit(0.0))
+    ok = F.col("certified") & (gain > 0)
+    best = certified.groupBy("stratum").agg(F.max_by(F.when(ok, F.col("step")), F.when(ok, F.struct(gain.alias("g"), (-F.col("step")).alias("i")))).alias("upto"))
+    cut_at = lambda r: F.coalesce(*(F.when(F.col("upto") >= i, F.lit(float(c))) for i, own, c in reversed(PATH) if own == r))
+    return best.select("stratum", *(cut_at(r).alias(f"cut_{r}") for r in RULES))
 
 
 def verdicts(measured: DataFrame, cuts: DataFrame, stratum: str) -> DataFrame:
-    """measured with kept and failed_rules array<string>; strata without labels have the base rules only."""
-    names = measured.columns
-    x = measured.join(cuts, measured[stratum].eqNullSafe(cuts["stratum"]), "left")
-    failed = F.array_compact(F.array(*(F.when(fails(r, F.col(f"cut_{r}")), F.lit(r)) for r in RULES)))
-    return x.select(*(measured[c] for c in names), failed.alias("failed_rules"), (~F.col("base_failed") & (F.size(failed) == 0)).alias("kept"))
+    """measured with failed_rules array<string> and kept, which replace own columns of these names; strata without labels have the base rules only."""
+    names = [c for c in measured.columns if c not in ("failed_rules", "kept")]
+    own = cuts.select(F.col("stratum").alias("_cut_stratum"), *(F.col(f"cut_{r}").alias(f"_cut_{r}") for r in RULES))
+    x = measured.select(*names).join(own, F.col(stratum).eqNullSafe(F.col("_cut_stratum")), "left")
+    failed = F.array_compact(F.array(*(F.when(fails(r, F.col(f"_cut_{r}")), F.lit(r)) for r in RULES)))
+    return x.select(*names, failed.alias("failed_rules"), (~F.col("base_failed") & (F.size(failed) == 0)).alias("kept"))
 
 
 def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", text_col: str = "text", epsilon: float = EPSILON, delta: float = DELTA) -> DataFrame:
-    """docs without the text, with features, failed_rules and kept. Repeated rows are judged alike; null strata are a stratum; an empty table gives no rows."""
-    measured = materialize(features(docs, text_col), "features")
+    """docs without the text, with features, failed_rules and kept, which replace own columns of these names. Repeated rows are judged alike; null strata are a stratum; without labels the base rules decide alone; an empty table gives no rows."""
+    measured = materialize(features(docs.drop("failed_rules", "kept"), text_col), "features")
     cuts = materialize(cutoffs(certify(measured, labels, stratum, epsilon, delta)), "cutoffs")
     return verdicts(measured, cuts, stratum)
 
 
 def keep(docs: DataFrame, labels: DataFrame, stratum: str = "lang", text_col: str = "text", epsilon: float = EPSILON, delta: float = DELTA) -> DataFrame:
-    """The rows of docs that are kept, with all their columns. Features are computed again rather than joined: texts stay where they are."""
-    cuts = materialize(cutoffs(certify(materialize(features(docs.select("doc_id", text_col, stratum), text_col), "features"), labels, stratum, epsilon, delta)), "cutoffs")
+    """The rows of docs that are kept, with all their columns, whatever their names. Features are computed again rather than joined: texts
+    stay where they are. Null and empty texts go, since they fail the base rules; an empty table gives no rows."""
+    part = docs.select("doc_id", F.col(text_col).alias("_text"), F.col(stratum).alias("_stratum"))
+    cuts = materialize(cutoffs(certify(materialize(features(part, "_text"), "features"), labels, "_stratum", epsilon, delta)), "cutoffs")
     own = F.struct(*(F.col(c) for c in docs.columns)).alias("_row")
-    measured = features(docs.select(own, F.col(text_col).alias(text_col), F.col(stratum).alias("_stratum")), text_col)
+    measured = features(docs.select(own, F.col(text_col).alias("_text"), F.col(stratum).alias("_stratum")), "_text")
     # A filter does not pass a column that is not deterministic; below the features it would compute them again and again.
     judged = verdicts(measured.withColumn("_at", F.monotonically_increasing_id()), cuts, "_stratum")
     return judged.filter("kept AND _at >= 0").select("_row.*")

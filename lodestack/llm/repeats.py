@@ -23,6 +23,8 @@ from . import chunks
 from .chunks import NULL_ID, cut, mix, squeeze, unsqueeze
 
 ANCHOR = 24
+#: A chunk may have 2^34 bytes; 30 bits of a hash choose the anchor.
+PLACE_BITS = 34
 SPAN = "array<struct<start:long,end:long>>"
 
 
@@ -59,9 +61,11 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
         h *= np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(29)
     del w
-    bits = np.uint64(max(1, int(n).bit_length()))
-    low = (np.uint64(1) << bits) - np.uint64(1)
-    at = least((h & ~low) | np.arange(n, dtype=np.uint64), length - ANCHOR + 1) & low  # the leftmost of equal hashes
+    # Places take the low bits, as many for every chunk, so that ties break alike in all of them: the leftmost of equal hashes.
+    low = (np.uint64(1) << np.uint64(PLACE_BITS)) - np.uint64(1)
+    if n > low:
+        raise ValueError(f"a chunk of {len(data)} bytes is too large")
+    at = least((h & ~low) | np.arange(n, dtype=np.uint64), length - ANCHOR + 1) & low
     at = at.astype(np.int64)
     text = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(at)]
     inside = np.flatnonzero(np.arange(len(at)) + length <= offsets[1:][text])
@@ -74,18 +78,28 @@ def anchors(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndar
 
 
 def surroundings(data: np.ndarray, at, first, last, length: int) -> np.ndarray:
-    """Rows of bytes from length - ANCHOR before an anchor to as many behind it, zero outside its windows, and two bytes for their range."""
+    """Rows of bytes from length - ANCHOR before an anchor to as many behind it, zero outside its windows, and two times two bytes for their range."""
     side = length - ANCHOR
     cols = np.arange(2 * side + ANCHOR)
     pos = at[:, None] - side + cols
-    out = np.zeros((len(at), 8 * (-(-(2 * side + ANCHOR + 2) // 8))), np.uint8)
+    out = np.zeros((len(at), row_width(length)), np.uint8)
     ok = (pos >= first[:, None]) & (pos < last[:, None] + length)
     out[:, : len(cols)] = np.where(ok, data[np.clip(pos, 0, len(data) - 1)], 0)
-    out[:, len(cols)] = at - first
-    out[:, len(cols) + 1] = at - last
+    out[:, len(cols) : len(cols) + 4] = np.stack([at - first, at - last], 1).astype("<u2").view(np.uint8)
     return out
 
 
+def row_width(length: int) -> int:
+    return 8 * (-(-(2 * length - ANCHOR + 4) // 8))
+
+
+def offsets_of(rows: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """How far before the anchor the first and the last window of each row start."""
+    at = 2 * length - ANCHOR
+    both = np.ascontiguousarray(rows[:, at : at + 4]).view("<u2").astype(np.int64)
+    return both[:, 0], both[:, 1]
+
+
 def order_by(rows: np.ndarray, head: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(places in order of head and then rows, by digits of eight bytes; how many bytes of rows each shares with the one before it, -1 if head differs)."""
     n, width = rows.shape
@@ -117,7 +131,7 @@ def later(rows: np.ndarray, docs: np.ndarray, length: int) -> np.ndarray:
     head = np.ascontiguousarray(rows[:, side : side + ANCHOR])
     right, shared_r = order_by(np.ascontiguousarray(rows[:, side + ANCHOR : 2 * side + ANCHOR]), head)
     left, shared_l = order_by(np.ascontiguousarray(rows[:, :side][:, ::-1]), head)
-    lo, hi = rows[:, 2 * side + ANCHOR].astype(int), rows[:, 2 * side + ANCHOR + 1].astype(int)
+    lo, hi = offsets_of(rows, length)
     out = np.zeros((len(rows), side + 1), bool)
     group_l, group_r = np.empty(len(rows), np.int64), np.empty(len(rows), np.int64)
     for s in range(side + 1):  # the window starts s bytes into the row: side - s bytes to the left of the anchor, s to its right
@@ -162,9 +176,12 @@ def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
     A byte goes if a string of `length` bytes that covers it also starts in a document with a smaller id.
     Strings do not cross documents. Null texts are empty; a null id is smaller than all others; rows that
     share an id do not take bytes from each other; shorter texts stay whole; an empty table gives no rows.
+    length is from 24 to 65,536.
     """
+    if not ANCHOR <= length <= 1 << 16:
+        raise ValueError(f"length must be from {ANCHOR} to {1 << 16}, not {length}")
     d = chunks.deal(docs, 0.2, id_col, text_col)
-    buckets = d.buckets
+    buckets, stride = d.buckets, d.stride
     skip = chunks.only_copies(chunks.exact_copies(docs, id_col, text_col), d)
 
     def keys_of(key, t, s):
@@ -174,7 +191,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
         o = np.lexsort((doc, k := cut(h)))
         k, doc = k[o], doc[o]
         k = k[np.r_[True, (k[1:] != k[:-1]) | (doc[1:] != doc[:-1])]] if len(k) else k
-        return chunks.parts_of(key[0].as_py(), *np.unique(k, return_counts=True), buckets)
+        return chunks.parts_of(key[0].as_py(), *np.unique(k, return_counts=True), buckets, stride)
 
     def meet(key, t, s):
         ids, data, off = chunks.without(*chunks.texts(t), chunks.skipped(s))
@@ -203,7 +220,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
         return pa.table({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(kinds)})
 
     def sort(key, t):
-        width = 8 * (-(-(2 * length - ANCHOR + 2) // 8))
+        width = row_width(length)
         out = [(c, s) for c, s in zip(t.column("chunk").to_pylist(), t.column("starts").to_pylist(), strict=True) if s is not None]
         t = t.filter(pa.compute.is_valid(t.column("rows")))
         if t.num_rows:
@@ -212,7 +229,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
             ends = np.cumsum([0, *map(len, rows)])
             rows = np.concatenate(rows)
             hit = later(rows, docs_, length)
-            shift = rows[:, 2 * length - ANCHOR].astype(np.int64) - (length - ANCHOR)
+            shift = offsets_of(rows, length)[0] - (length - ANCHOR)
             for c, f, a, b in zip(t.column("chunk").to_pylist(), t.column("first").to_pylist(), ends, ends[1:], strict=False):
                 r, s = np.nonzero(hit[a:b])
                 if len(r):
@@ -253,7 +270,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
         both = df.unionByName(skip, allowMissingColumns=True)
         return both.select("chunk", *(F.col(c).cast(k).alias(c) if c in both.columns else F.lit(None).cast(k).alias(c) for c, k in gaps.items())).groupBy("chunk")
 
-    counted = chunks.totals(dealt.cogroup(skip.groupBy("chunk")).applyInArrow(keys_of, chunks.PARTS), buckets)
+    counted = chunks.totals(dealt.cogroup(skip.groupBy("chunk")).applyInArrow(keys_of, chunks.PARTS), d)
     met = dealt.cogroup(with_skips(counted)).applyInArrow(meet, "bucket int, chunk int, rows binary, docs binary, first binary, starts binary")
     found = met.groupBy("bucket").applyInArrow(sort, "chunk int, starts binary")
     out = dealt.cogroup(with_skips(found)).applyInArrow(remove, f"doc_id long, n_bytes long, spans {SPAN}, kept binary")
