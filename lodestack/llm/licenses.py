@@ -5,7 +5,9 @@ for in windows of 2 b shingles at every b-th place, b the power of two from m on
 lies wholly in one window. A window that holds 0.8 of the template's shingles has a Jaccard similarity of at
 least 0.8 m / (2 b + 0.2 m) >= 0.19 with it, and one of BANDS bands of a single MinHash agrees with
 probability 1 - (1 - 0.19)^32 > 0.998 (0.9999 for a whole template). Minima of blocks are shared by all
-window sizes. Retrieved windows are verified by the exact share of the template's shingles in them.
+window sizes. A template that some window retrieves is verified by the exact share of its shingles in the
+whole text, so that the containment does not hang on where windows lie; shingles that are strewn over more
+than a window are not retrieved.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import mix
+from .license_texts import TEXTS
 from .piece_codec import BLOCK_CHARS
 from .shingles import shingles, words
 
@@ -38,6 +41,7 @@ TEMPLATES = [
     *(("AGPL", f"AGPL-{v}", f"This work is licensed under the GNU Affero General Public License, version {v}.") for v in VERSIONS["AGPL"]),
     *(("MPL", f"MPL-{v}", f"This Source Code Form is subject to the terms of the Mozilla Public License, v. {v}.") for v in VERSIONS["MPL"]),
     *((f"CC-{k}", f"CC-{k}-{v}", f"Licensed under CC {k} {v}.") for k in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND") for v in VERSIONS["CC"]),
+    *TEXTS,
 ]
 
 FOLD = np.full(256, 0x20, np.uint8)
@@ -94,28 +98,34 @@ class Matcher:
                 level *= 2
         return out
 
-    def match(self, x: np.ndarray, ends: np.ndarray) -> dict[int, dict[str, tuple[str, float]]]:
-        """text -> family -> (license, containment), the best of each family: by containment, then length, then name."""
-        best: dict[int, dict[str, tuple[float, int, str]]] = {}
+    def match(self, x: np.ndarray, ends: np.ndarray) -> dict[int, list[tuple[str, float]]]:
+        """text -> (license, containment) by name: of each family those that are wholly contained, or else the best one, by containment, length and name."""
+        met: set[tuple[int, int]] = set()
         for i, a, b in self.windows(x):
-            b = min(b, len(x))
             hit = np.flatnonzero(np.isin(x[a:b], self.sets[i])) + a
-            text = np.searchsorted(ends, hit, "right") - 1
-            for t in np.unique(text).tolist():
-                share = len(np.unique(x[hit[text == t]])) / len(self.sets[i])
-                family, name, _ = self.templates[i]
-                if share >= self.least:
-                    rank = (-share, -len(self.sets[i]), name)
-                    own = best.setdefault(t, {})
-                    own[family] = min(rank, own.get(family, rank))
-        return {t: {f: (name, -share) for f, (share, _, name) in own.items()} for t, own in best.items()}
+            met.update((int(t), i) for t in np.unique(np.searchsorted(ends, hit, "right") - 1))
+        best: dict[int, dict[str, dict[str, tuple[float, int]]]] = {}
+        for t, i in met:
+            share = np.count_nonzero(np.isin(self.sets[i], x[ends[t] : ends[t + 1]])) / len(self.sets[i])
+            family, name, _ = self.templates[i]
+            if share >= self.least:
+                own = best.setdefault(t, {}).setdefault(family, {})
+                own[name] = max((share, len(self.sets[i])), own.get(name, (0.0, 0)))
+        out = {}
+        for t, families in best.items():
+            out[t] = []
+            for own in families.values():
+                whole = [n for n, (share, _) in own.items() if share == 1.0]
+                out[t] += [(n, own[n][0]) for n in whole or [min(own, key=lambda n: (-own[n][0], -own[n][1], n))]]
+        return {t: sorted(found) for t, found in out.items()}
 
 
 def scan_licenses(docs: DataFrame, templates: list[tuple[str, str, str]] = TEMPLATES, least: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, licenses array<struct<license, containment>>) of every document, by license name; empty where none is found.
 
-    Of licenses of one family (versions) the best contained one counts, the longer one at ties. Null and empty texts have none;
-    repeated rows are scanned alike; texts are scanned whole.
+    Of licenses of one family (versions) all that are wholly contained count, or else the best contained one, the longer one at
+    ties. A license of several wordings has its best one. Null and empty texts have none; repeated rows are scanned alike; texts
+    are scanned whole; an empty table gives no rows.
     """
 
     def run(batches):
@@ -129,7 +139,7 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str, str]] = TEMPL
                     continue
                 part = texts[start : i + 1]
                 found = m.match(*shingled(np.frombuffer(b"".join(part), np.uint8), np.cumsum([0, *map(len, part)])))
-                rows = [sorted(found.get(k, {}).values()) for k in range(len(part))]
+                rows = [found.get(k, []) for k in range(len(part))]
                 flat = [x for r in rows for x in r]
                 pairs = pa.StructArray.from_arrays([pa.array([x[0] for x in flat], pa.string()), pa.array([x[1] for x in flat], pa.float64())], names=["license", "containment"])
                 yield pa.RecordBatch.from_arrays([b.column(0)[start : i + 1], pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), pairs)], names=[id_col, "licenses"])

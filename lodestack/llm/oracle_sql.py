@@ -66,8 +66,9 @@ WITH t(id, family, name, notice) AS (VALUES {TEMPLATE_ROWS}),
 tw AS (SELECT id, {FOLDED % 'notice'} AS w FROM t), ts AS ({CUT % ('id', 'id', 'tw')}), tn AS (SELECT id, count(*) AS n FROM ts GROUP BY id),
 dw AS (SELECT doc_id, {FOLDED % "coalesce(text, '')"} AS w FROM documents), ds AS ({CUT % ('doc_id', 'doc_id', 'dw')}),
 hit AS (SELECT doc_id, id, count(*) AS k FROM ds JOIN ts USING (s) GROUP BY doc_id, id),
-best AS (SELECT doc_id, family, name, k / n AS share, row_number() OVER (PARTITION BY doc_id, family ORDER BY k / n DESC, n DESC, name) AS r FROM hit JOIN tn USING (id) JOIN t USING (id) WHERE k / n >= 0.8)
-SELECT d.doc_id, count(name) AS n_licenses, coalesce(string_agg(name, ',' ORDER BY name), '') AS licenses, max(share) AS containment FROM documents d LEFT JOIN (SELECT * FROM best WHERE r = 1) b ON d.doc_id = b.doc_id GROUP BY d.doc_id
+found AS (SELECT doc_id, family, name, max(k / n) AS share, max_by(n, (k / n, n)) AS size FROM hit JOIN tn USING (id) JOIN t USING (id) WHERE k / n >= 0.8 GROUP BY doc_id, family, name),
+best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, family ORDER BY share DESC, size DESC, name) AS r FROM found)
+SELECT d.doc_id, count(name) AS n_licenses, coalesce(string_agg(name, ',' ORDER BY name), '') AS licenses, max(share) AS containment FROM documents d LEFT JOIN (SELECT * FROM best WHERE r = 1 OR share = 1) b ON d.doc_id = b.doc_id GROUP BY d.doc_id
 """
 
 OP9 = f"""

@@ -12,7 +12,7 @@ certified step is then chosen. All of it is DataFrame functions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import NOT_SPACE, SPACE, materialize
@@ -31,12 +31,15 @@ RULES = {
 PATH = [(i + 1, r, c) for i, (r, c) in enumerate((r, cs[n]) for n in range(max(len(cs) for _, _, cs in RULES.values())) for r, (_, _, cs) in RULES.items() if n < len(cs))]
 
 
+FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+
+
 def features(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs without the text, with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed.
 
     Null and empty texts have no words and fail the base rules. Own columns of these names are replaced.
     """
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    names = FEATURES
     kept = [c for c in docs.columns if c not in (*names, text_col)]
     text = F.coalesce(F.col(text_col), F.lit(""))
     d = docs.select(*kept, text.alias("_body"))
@@ -100,12 +103,11 @@ def certify(measured: DataFrame, labels: DataFrame, stratum: str, epsilon: float
     per = materialize(per, "strata")
     level = delta / max(1, per.filter("n_good > 0").count())
     steps = F.array(*(F.struct(F.lit(i).alias("step"), F.lit(r).alias("rule"), F.lit(float(c)).alias("cutoff"), F.col(f"g{i}").alias("k_good"), F.col(f"b{i}").alias("k_bad")) for i, r, c in PATH))
-    # A row per stratum: its steps are an array, cut at the first one whose risk is not certified.
-    per = per.select("stratum", "n_good", "n_bad", steps.alias("s"))
-    risk = F.transform("s", lambda x: F.when(F.col("n_good") > 0, binomial_cdf(x["k_good"], F.col("n_good"), epsilon)).otherwise(F.lit(1.0)))
-    per = per.withColumn("p", risk).withColumn("passed", F.transform("p", lambda q: q <= level))
-    one = F.explode(F.transform("s", lambda x, i: F.struct(x["step"], x["rule"], x["cutoff"], x["k_good"], x["k_bad"], F.get("p", i).alias("risk_p"), F.forall(F.slice("passed", 1, i + 1), lambda q: q).alias("certified")))).alias("x")
-    return per.select("stratum", "n_good", "n_bad", one).select("stratum", "x.step", "x.rule", "x.cutoff", "n_good", "x.k_good", "n_bad", "x.k_bad", "x.risk_p", "x.certified")
+    per = per.select("stratum", "n_good", "n_bad", F.explode(steps).alias("x")).select("stratum", "x.step", "x.rule", "x.cutoff", "n_good", "x.k_good", "n_bad", "x.k_bad")
+    risk = F.when(F.col("n_good") > 0, binomial_cdf(F.col("k_good"), F.col("n_good"), epsilon)).otherwise(F.lit(1.0))
+    # A stratum's path ends at the first step whose risk is not certified.
+    upto = Window.partitionBy("stratum").orderBy("step")
+    return per.withColumn("risk_p", risk).withColumn("certified", F.min(F.col("risk_p") <= level).over(upto))
 
 
 def cutoffs(certified: DataFrame) -> DataFrame:
@@ -129,9 +131,11 @@ def verdicts(measured: DataFrame, cuts: DataFrame, stratum: str) -> DataFrame:
 
 def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", text_col: str = "text", epsilon: float = EPSILON, delta: float = DELTA) -> DataFrame:
     """docs without the text, with features, failed_rules and kept, which replace own columns of these names. Repeated rows are judged alike; null strata are a stratum; without labels the base rules decide alone; an empty table gives no rows."""
-    measured = materialize(features(docs.drop("failed_rules", "kept"), text_col), "features")
-    cuts = materialize(cutoffs(certify(measured, labels, stratum, epsilon, delta)), "cutoffs")
-    return verdicts(measured, cuts, stratum)
+    own = F.struct(*(F.col(c) for c in docs.columns if c not in (text_col, *FEATURES, "failed_rules", "kept")))
+    part = docs.select(own.alias("_row"), "doc_id", F.col(text_col).alias("_text"), F.col(stratum).alias("_stratum"))
+    measured = materialize(features(part, "_text"), "features")
+    cuts = materialize(cutoffs(certify(measured, labels, "_stratum", epsilon, delta)), "cutoffs")
+    return verdicts(measured, cuts, "_stratum").select("_row.*", *FEATURES, "failed_rules", "kept")
 
 
 def keep(docs: DataFrame, labels: DataFrame, stratum: str = "lang", text_col: str = "text", epsilon: float = EPSILON, delta: float = DELTA) -> DataFrame:
