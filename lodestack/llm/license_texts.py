@@ -85,7 +85,6 @@ COMMONS = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-NC": "Att
 # Whole texts of short licenses, and the notices that the longer ones ask for.
 TEXTS = [
     ("MIT", "MIT", f"{GRANT}, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. {WARRANTY}"),
-    ("MIT", "MIT-0", f"{GRANT}, and to permit persons to whom the Software is furnished to do so. {WARRANTY}"),
     ("BSD", "BSD-2-Clause", f"{BSD_HEAD} {BSD_TAIL}"),
     ("BSD", "BSD-3-Clause", f"{BSD_HEAD} {BSD_THIRD} {BSD_TAIL}"),
     ("ISC", "ISC", f"{ISC} {ISC_TAIL}"),
@@ -93,9 +92,9 @@ TEXTS = [
     ("Boost", "BSL-1.0", BOOST),
     ("Unlicense", "Unlicense", UNLICENSE),
     ("Apache", "Apache-2.0", APACHE),
-    *(("GPL", f"GPL-{v}", GNU.format(what="program", colon=c, name="GNU General Public License", v=v)) for v, c in (("2", ";"), ("3", ":"))),
-    *(("LGPL", f"LGPL-{v}", GNU.format(what="library", colon=";", name="GNU Lesser General Public License", v=v)) for v in ("2.1", "3")),
-    ("AGPL", "AGPL-3", GNU.format(what="program", colon=":", name="GNU Affero General Public License", v="3")),
+    *(("GNU", f"GPL-{v}", GNU.format(what="program", colon=c, name="GNU General Public License", v=v)) for v, c in (("2", ";"), ("3", ":"))),
+    *(("GNU", f"LGPL-{v}", GNU.format(what="library", colon=";", name="GNU Lesser General Public License", v=v)) for v in ("2.1", "3")),
+    ("GNU", "AGPL-3", GNU.format(what="program", colon=":", name="GNU Affero General Public License", v="3")),
     ("MPL", "MPL-2.0", MOZILLA),
     *((f"CC-{k}", f"CC-{k}-{v}", f"This work is licensed under a Creative Commons {name} {v} International License.") for k, name in COMMONS.items() for v in ("4.0",)),
     *((f"CC-{k}", f"CC-{k}-{v}", f"This work is licensed under a Creative Commons {name} {v} Unported License.") for k, name in COMMONS.items() for v in ("3.0",)),

@@ -7,7 +7,7 @@ least 0.8 m / (2 b + 0.2 m) >= 0.19 with it, and one of BANDS bands of a single
 probability 1 - (1 - 0.19)^32 > 0.998 (0.9999 for a whole template). Minima of blocks are shared by all
 window sizes. A template that some window retrieves is verified by the exact share of its shingles in the
 whole text, so that the containment does not hang on where windows lie; shingles that are strewn over more
-than a window are not retrieved.
+than a window need not be retrieved.
 """
 
 from __future__ import annotations
@@ -36,9 +36,9 @@ TEMPLATES = [
     ("ISC", "ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
     ("CC0", "CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
     *(("Apache", f"Apache-{v}", f"Licensed under the Apache License, Version {v}.") for v in VERSIONS["Apache"]),
-    *(("GPL", f"GPL-{v}", f"This work is licensed under the GNU General Public License, version {v}.") for v in VERSIONS["GPL"]),
-    *(("LGPL", f"LGPL-{v}", f"This work is licensed under the GNU Lesser General Public License, version {v}.") for v in VERSIONS["LGPL"]),
-    *(("AGPL", f"AGPL-{v}", f"This work is licensed under the GNU Affero General Public License, version {v}.") for v in VERSIONS["AGPL"]),
+    *(("GNU", f"GPL-{v}", f"This work is licensed under the GNU General Public License, version {v}.") for v in VERSIONS["GPL"]),
+    *(("GNU", f"LGPL-{v}", f"This work is licensed under the GNU Lesser General Public License, version {v}.") for v in VERSIONS["LGPL"]),
+    *(("GNU", f"AGPL-{v}", f"This work is licensed under the GNU Affero General Public License, version {v}.") for v in VERSIONS["AGPL"]),
     *(("MPL", f"MPL-{v}", f"This Source Code Form is subject to the terms of the Mozilla Public License, v. {v}.") for v in VERSIONS["MPL"]),
     *((f"CC-{k}", f"CC-{k}-{v}", f"Licensed under CC {k} {v}.") for k in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND") for v in VERSIONS["CC"]),
     *TEXTS,
