@@ -439,8 +439,13 @@ def test_exchange_in_two_hops(spark, docs, monkeypatch):
     sent = []
     for n in (1, 4):
         d = chunks.deal(spark.createDataFrame([(i, " ".join(f"{i}w{k}" for k in range(120))) for i in range(100 * n)], "doc_id long, text string"), 0.2)
-        parts = d.rows.groupBy("chunk").applyInArrow(lambda key, t, d=d: chunks.parts_of(key[0].as_py(), k := np.unique(np.random.default_rng(key[0].as_py()).integers(0, 2**40, 600).astype(np.uint64)), np.ones(len(k)), d.buckets, d.stride), chunks.PARTS)
-        sent.append(parts.count())
+        buckets, stride = d.buckets, d.stride
+
+        def keys_of(key, t):
+            k = np.unique(np.random.default_rng(key[0].as_py()).integers(0, 2**40, 600).astype(np.uint64))
+            return chunks.parts_of(key[0].as_py(), k, np.ones(len(k)), buckets, stride)  # noqa: B023
+
+        sent.append(d.rows.groupBy("chunk").applyInArrow(keys_of, chunks.PARTS).count())
     assert sent[1] < 4.6 * sent[0]
 
 
