@@ -124,10 +124,20 @@ def reaches(nodes: DataFrame, edges: DataFrame, type_: str = "return") -> DataFr
     return reach(nodes.filter(F.col("type") == type_).select("flow_id", "node_id"), edges, "dst", "src")
 
 
-def route(df: DataFrame, branches: dict[str, Column]) -> DataFrame:
-    """GRF-10: one row per satisfied branch, from one scan; None is always satisfied."""
+def route(df: DataFrame, branches: dict[str, Column], errors: dict[str, Column] | None = None) -> DataFrame:
+    """GRF-10: one row per satisfied branch, from one scan; None is always satisfied.
+
+    errors holds, by branch, why its condition has no value (null or '': it has one). A step with such a
+    branch fails: it takes no branch, and comes out once, with a null branch and the first error in `error`.
+    """
     arms = F.array(*(F.struct(F.lit(k).alias("branch"), (F.lit(True) if cond is None else F.coalesce(cond, F.lit(False))).alias("go")) for k, cond in branches.items()))
-    return df.select("*", F.explode(F.filter(arms, lambda a: a["go"])).alias("__arm")).select(*df.columns, F.col("__arm.branch").alias("branch"))
+    taken = F.filter(arms, lambda a: a["go"])
+    if not errors:
+        return df.select("*", F.explode(taken).alias("__arm")).select(*df.columns, F.col("__arm.branch").alias("branch"))
+    first = F.coalesce(*(F.nullif(errors[k], F.lit("")) for k in branches if k in errors), F.lit(""))
+    failed = F.array(F.struct(F.lit(None).cast("string").alias("branch"), F.lit(True).alias("go")))
+    out = df.select("*", first.alias("__error"), F.explode(F.when(first == "", taken).otherwise(failed)).alias("__arm"))
+    return out.select(*df.columns, F.col("__arm.branch").alias("branch"), F.col("__error").alias("error"))
 
 
 def routed_hops(hops: DataFrame) -> DataFrame:

@@ -135,6 +135,19 @@ add("grf_9_suspending_nodes", lambda s, d: g.suspending_nodes(query(s, d, CONFIG
         OR (type = 'wait' AND (d % 17 = 0 OR (d % 3 = 2 AND pos % 2 = 0) OR (d > 10 AND d - 10 > CASE d % 4 WHEN 0 THEN 0 WHEN 1 THEN 20 ELSE (d % 4 - 1) * 10 END))) GROUP BY flow_id""")
 add("grf_10_route", lambda s, d: g.route(view(s, d, "v_cases").select("run_id", "status", "amount"), {"paid": F.col("amount") > 100000, "closed": F.col("status") == "completed", "log": None}).select("run_id", "branch"),
     "SELECT run_id, 'paid' AS branch FROM v_cases WHERE amount > 100000 UNION ALL SELECT run_id, 'closed' FROM v_cases WHERE status = 'completed' UNION ALL SELECT run_id, 'log' FROM v_cases")
+# Users' ids as text, of which those of errors are no integers: conditions on them fail.
+NAMED = "SELECT event_id, event_type, concat(CASE WHEN event_type = 'error' THEN 'u' ELSE '' END, user_id) AS name FROM events"
+
+
+def _failing(s, d):
+    n = F.col("name").try_cast("long")
+    wrong = F.when(n.isNull(), F.concat(F.lit("no integer: "), F.col("name")))
+    return g.route(query(s, d, NAMED), {"early": n < 100, "bought": F.col("event_type") == "purchase", "log": None}, {"early": wrong}).select("event_id", "branch", "error")
+
+
+add("grf_10b_failing_conditions", _failing,
+    f"""SELECT event_id, unnest(CASE WHEN event_type = 'error' THEN [NULL] ELSE list_filter([CASE WHEN TRY_CAST(name AS BIGINT) < 100 THEN 'early' END, CASE WHEN event_type = 'purchase' THEN 'bought' END, 'log'], lambda b: b IS NOT NULL) END) AS branch,
+       CASE WHEN event_type = 'error' THEN concat('no integer: ', name) ELSE '' END AS error FROM ({NAMED}) AS x""")
 # Cases as they stood 300 days after they began: what began later is not there yet, what began in the last 200 days is pending.
 STATES = """SELECT a.run_id, a.node_id, max_by(CASE WHEN a.started_at > c.started_at + INTERVAL '100' DAY THEN 'pending' ELSE a.status END, a.iteration) AS status
   FROM v_attempts a JOIN v_cases c ON a.run_id = c.run_id WHERE a.started_at <= c.started_at + INTERVAL '300' DAY GROUP BY a.run_id, a.node_id"""
