@@ -31,8 +31,10 @@ def matrix(lists: pa.Array, dim: int) -> np.ndarray:
 
 
 def product(c: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Integer inner products, candidates by queries; by floats where they are exact."""
-    most = float(np.abs(c).max(initial=0)) * float(np.abs(q).max(initial=0)) * max(1, c.shape[1])
+    """Integer inner products, candidates by queries; by floats where they are exact. Raises where one could pass 64 bits."""
+    most = float(np.abs(c.astype(float)).max(initial=0)) * float(np.abs(q.astype(float)).max(initial=0)) * max(1, c.shape[1])
+    if most >= 2**63:
+        raise OverflowError("inner products of these vectors may not fit into 64 bits")
     return (c.astype(float) @ q.T.astype(float)).astype(np.int64) if most < 2**53 else c @ q.T
 
 
@@ -78,7 +80,7 @@ def search(queries: DataFrame, candidates: DataFrame, k: int = 10) -> DataFrame:
 
     Both sides are (vec_id long, v array<long>). A query's own vec_id and candidates of another length take
     no part; a query id that is repeated is answered for its smallest vector; repeated candidates rank as
-    rows of their own; fewer candidates than k give all; empty tables give none.
+    rows of their own; fewer candidates than k give all; empty tables give none. Products that may pass 64 bits are an error.
     """
     queries = queries.groupBy("vec_id").agg(F.min("v").alias("v"))
     size = candidates.agg(F.count("*").alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)).alias("norm")).first()

@@ -606,6 +606,39 @@ def test_pipeline_stages(spark, data):
     assert out.count() == taken and out.filter("n_tokens <> size(token_ids)").isEmpty()
 
 
+def test_products_past_64_bits_are_an_error():
+    big = np.full((1, 2), 2**31, np.int64)
+    with pytest.raises(OverflowError):
+        topk.product(big, big)
+    assert topk.product(big - 1, np.full((1, 2), 2**30, np.int64))[0, 0] == 2**31 * (2**31 - 1)
+
+
+@pytest.mark.parametrize("kind", ["empty", "null", "odd"])
+def test_pipeline_stages_on_odd_tables(spark, data, docs, empty, kind):
+    """Each stage by itself on an empty table, on rows of nulls alone, and on repeated rows with a long text and clashing columns."""
+    import corpus_pipeline as p
+
+    d = {"empty": empty, "null": spark.createDataFrame([(None,) * 8] * 3, SCHEMA), "odd": docs}[kind]
+    rows, n = {}, d.count()
+    for name, stage in p.STAGES[:-1]:
+        out = common.materialize(stage(spark, d, data), "t")
+        assert out.columns == d.columns, name
+        rows[name] = out.collect()
+    out = p.STAGES[-1][1](spark, d, data).collect()
+    assert len(out) == n == len(rows["line dedup"])
+    if kind == "empty":
+        assert not any(rows.values())
+    if kind == "null":
+        assert not rows["quality rules"] and not rows["source mixing"] and len(rows["minhash near-dedup"]) == 3
+        assert all(r["n_tokens"] == 0 and r["doc_id"] is None for r in out)
+    if kind == "odd":
+        kept = rows["minhash near-dedup"]
+        long = next(r["text"] for r in docs.collect() if r["text"] and len(r["text"]) > 10_000)
+        assert all(long in [r["text"] for r in rows[s]] for s in rows)
+        assert 0 < len({r["doc_id"] for r in kept}) < len({r["doc_id"] for r in docs.collect()})
+        assert {r["kept"] for r in kept} == {"z", None}
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_same_rows_as_sql(spark, data, name):
     import oracle
