@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # What separates words, as a Java/Python regex class and as byte values.
@@ -45,3 +45,27 @@ def partitions(spark: SparkSession) -> int:
 def word_count(text) -> "F.Column":
     """Words of a text (null: 0)."""
     return F.coalesce(F.regexp_count(text, F.lit(f"{NOT_SPACE}+")), F.lit(0)).cast("long")
+
+
+def numbered(df: DataFrame, order: list, name: str, group: str | None = None, label: str = "numbered") -> DataFrame:
+    """df with the column name: the place of each row in the order (columns or names), within its group if one is given, from 0 and without gaps.
+
+    Rows are written, range-partitioned by (group, order) and sorted within partitions; the rows of a group in each
+    partition, at most partitions + groups counts, tell where the next partition begins. A row number of its own breaks ties,
+    so that rows which are equal in all are dealt over several partitions too. df should be narrow. It must not have
+    columns whose names begin with two underscores.
+    """
+    n = partitions(df.sparkSession)
+    # Written first: ranges are sampled from the table, and the row numbers hold when executors are lost.
+    rows = materialize(df.withColumn("__row", F.monotonically_increasing_id()), label)
+    by = [*([F.col(group)] if group else []), *order, F.col("__row")]
+    rows = rows.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumns({"__pid": F.spark_partition_id(), "__at": F.monotonically_increasing_id()})
+    rows = materialize(rows, label)
+    kind = F.col(group) if group else F.lit(0)
+    parts = rows.groupBy(F.col("__pid").alias("__part"), kind.alias("__kind")).agg(F.count("*").alias("__here"), F.min("__at").alias("__first"))
+    # One row per partition, and one more per group: as many as the setting says, however large the table.
+    whole = Window.partitionBy("__kind").orderBy("__part")
+    parts = parts.withColumn("__before", F.sum("__here").over(whole) - F.col("__here")).drop("__here")
+    out = rows.join(F.broadcast(parts), (F.col("__pid") == F.col("__part")) & kind.eqNullSafe(F.col("__kind")))
+    place = F.col("__before") + F.col("__at") - F.col("__first")
+    return out.select(*df.columns, place.alias(name))

@@ -85,4 +85,36 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.v, c.v) AS
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) AS x WHERE rank <= 10
 """
 
-ORACLE_SQL = {"op1_suffix_dedup": OP1, "op3_quality_rules": OP3, "op6_warc": OP6, "op7_license_scan": OP7, "op9_line_dedup": OP9, "op10_topk_search": OP10}
+#: The 256 entries of CRC32 by its rule, and the checksum of the bytes in the hexadecimal text {h}.
+CRC_TABLE = "tab AS MATERIALIZED (SELECT list(CAST(c AS BIGINT) ORDER BY i) AS t FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i)))"
+CRC32 = "xor(list_reduce([CAST(4294967295 AS BIGINT)] || list_transform(range(length({h}) // 2), lambda i: CAST('0x' || substr({h}, 2 * i + 1, 2) AS BIGINT)), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295)"
+
+
+def drawn_shard(shards: int) -> str:
+    draw = "-ln((CAST('0x' || substr(md5(doc_id || ':{i}'), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0)"
+    return f"list_position([{', '.join(draw.format(i=i) for i in range(shards))}], list_min([{', '.join(draw.format(i=i) for i in range(shards))}])) - 1"
+
+
+OP11 = f"""
+WITH {CRC_TABLE},
+d AS (SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, hex(encode(coalesce(text, ''))) AS h FROM documents),
+s AS (SELECT doc_id, size, {CRC32.format(h="h")} AS text_crc32, CAST({drawn_shard(8)} AS INTEGER) AS shard, CAST({drawn_shard(9)} AS INTEGER) AS grown_shard FROM d, tab)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id, text_crc32, size) - 1 AS slot, grown_shard FROM s
+"""
+
+OP12 = rf"""
+WITH {CRC_TABLE},
+w AS (SELECT doc_id, 0 AS target, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+  UNION ALL SELECT item_id, 1, regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') FROM benchmark),
+f AS (SELECT doc_id, target, unnest(w || list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS f FROM w),
+u AS (SELECT f, {CRC32.format(h="h")} % 10000 AS bucket FROM (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM f)), tab),
+b AS (SELECT bucket, count(*) FILTER (target = 0) AS s, count(*) FILTER (target = 1) AS t FROM f JOIN u USING (f) GROUP BY bucket),
+g AS (SELECT bucket, CAST(floor(1000 * ln((t + 1)::DOUBLE * (sum(s) OVER () + 10000)::DOUBLE / ((s + 1)::DOUBLE * (sum(t) OVER () + 10000)::DOUBLE))) AS BIGINT) AS gain FROM b),
+m AS (SELECT doc_id, count(*) AS n_features, CAST(sum(gain) AS BIGINT) AS total FROM f JOIN u USING (f) JOIN g USING (bucket) WHERE target = 0 GROUP BY doc_id),
+r AS (SELECT w.doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, coalesce((total - (total % n_features + n_features) % n_features) // n_features, 0) AS weight, CAST('0x' || substr(sha256('7:' || w.doc_id), 1, 8) AS BIGINT) AS h FROM w LEFT JOIN m ON w.doc_id = m.doc_id WHERE target = 0),
+x AS (SELECT doc_id, n_words, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5) / 4294967296.0))) AS BIGINT) AS score FROM r),
+k AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS k, count(*) OVER (PARTITION BY n_words >= 20) AS n FROM x)
+SELECT doc_id, n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGINT) AS score, CASE WHEN n_words >= 20 AND k <= 25 * n // 100 THEN k END AS rank FROM k
+"""
+
+ORACLE_SQL = {"op1_suffix_dedup": OP1, "op3_quality_rules": OP3, "op6_warc": OP6, "op7_license_scan": OP7, "op9_line_dedup": OP9, "op10_topk_search": OP10, "op11_sharding": OP11, "op12_importance_resampling": OP12}

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, lines, minhash, mixing, piece_codec, quality, repeats, tokenfiles, topk, warc
+from . import align, licenses, lines, minhash, mixing, piece_codec, quality, repeats, resample, sharding, tokenfiles, topk, warc
 from .common import documents, materialize, shared_dir, table
 from .oracle_sql import ORACLE_SQL  # noqa: F401
 
@@ -81,6 +81,23 @@ def op10_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(vectors.filter("vec_id % 100 = 0"), vectors, 10)
 
 
+#: Weights of op11's shards 0 to 7; the one that is added has weight 1 too.
+SHARDS = [1.0] * 8
+
+
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.assign(documents(spark, sf_dir), SHARDS)
+    return out.withColumn("law", F.lit("key"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(documents(spark, sf_dir), tokenizer_path("byte_bpe_50k.json"), tokenizer_path())
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_sentencepiece": op2_sentencepiece,
@@ -92,4 +109,7 @@ QUERIES = {
     "op8_minhash_near_dedup": op8_minhash_near_dedup,
     "op9_line_dedup": op9_line_dedup,
     "op10_topk_search": op10_topk_search,
+    "op11_sharding": op11_sharding,
+    "op12_importance_resampling": op12_importance_resampling,
+    "op13_token_alignment": op13_token_alignment,
 }
