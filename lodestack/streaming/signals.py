@@ -1,16 +1,13 @@
-"""Signals, lifecycles and timers as streams. State is kept per key by Spark; batch operators give the same rows."""
+"""Signals and lifecycles as streams. What needs state per run, with timers, is in state.py."""
 
 from __future__ import annotations
 
-import json
-
 import pandas as pd
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..sources.records import folder
+from ..sources.tables import merge_stream
 
 TERMINAL = ("completed", "failed", "cancelled")
 # The case status that an event type leads to.
@@ -26,37 +23,6 @@ def drain(stream: DataFrame, out: str | None = None, checkpoint: str | None = No
     return stream.sparkSession.read.schema(stream.schema).parquet(out)
 
 
-def changes(stream: DataFrame, out: str | None = None, checkpoint: str | None = None) -> DataFrame:
-    """Run an aggregation over what is there; each batch writes the keys that it changed under its own number, and nothing else is
-    written again. Gives (columns, epoch); an epoch that is run again after a failure replaces itself."""
-    spark = stream.sparkSession
-    out, checkpoint = out or folder(stream, "changes"), checkpoint or folder(stream, "stream-checkpoint")
-
-    def each(batch: DataFrame, epoch: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
-
-    q = stream.writeStream.foreachBatch(each).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    fields = T.StructType([*stream.schema.fields, T.StructField("epoch", T.LongType())])
-    try:
-        return spark.read.schema(fields).option("basePath", out).parquet(out)
-    except AnalysisException as e:  # an empty stream has no batch
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        return spark.createDataFrame([], fields)
-
-
-def latest(changed: DataFrame, key: str) -> DataFrame:
-    """The last row of each key of changes()."""
-    values = [c for c in changed.columns if c not in (key, "epoch")]
-    return changed.groupBy(key).agg(F.max_by(F.struct(*values), "epoch").alias("s")).select(key, "s.*")
-
-
-def dedupe_signals(stream: DataFrame, key: str = "idempotency_key", time: str = "ts", delay: str = "365 days") -> DataFrame:
-    """STR-1: the first signal of each key within the watermark."""
-    return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
-
-
 def match_stream(waits: DataFrame, signals: DataFrame) -> DataFrame:
     """STR-2: (wait_id, event_id) of parked waits and signals in either order of arrival and at any distance in time. Waits with a key join on it, those that match any key on their type's prefixes.
 
@@ -70,68 +36,28 @@ def match_stream(waits: DataFrame, signals: DataFrame) -> DataFrame:
     return j.select("wait_id", "event_id").union(loose.select("wait_id", "event_id"))
 
 
-MATCHED = "run_id long, wait_id long, event_id long, status string, outcome string"
-STATE = "waits string, signals string"
+def status_of(event_type) -> Column:
+    """The case status that an event type leads to; null for events of steps and of the outbox, and unknown ones."""
+    return F.create_map(*(F.lit(x) for kv in STATUS_OF.items() for x in kv))[event_type]
 
 
-RANK = {"signal": 0, "wait": 1, "clock": 2}
+def fold(events: DataFrame) -> DataFrame:
+    """(run_id, seq, status, ended) of each run from rows of the same columns: the first terminal status, else the latest one; folds of folds are folds."""
+    last = F.struct("seq", "status")
+    s = events.groupBy("run_id").agg(F.min(F.when(F.col("ended"), last)).alias("end"), F.max(last).alias("last"))
+    s = s.withColumn("s", F.coalesce("end", "last"))
+    return s.select("run_id", "s.seq", "s.status", F.col("end").isNotNull().alias("ended"))
 
 
-def match_stateful(events: DataFrame) -> DataFrame:
-    """STR-2 with state: (run_id, wait_id, event_id, status, outcome) of a stream of parked waits and signals of runs.
+def lifecycle(stream: DataFrame, path: str | None = None, checkpoint: str | None = None) -> DataFrame:
+    """STR-3: (run_id, seq, status) of each run, folded from a stream of events (run_id, seq, type) in any order of arrival.
 
-    events has run_id, at (seconds), kind (wait, signal or clock), id, key, type, needs_outcome, outcome,
-    idempotency_key and deadline (seconds, or null). State is kept per run: waits until their signal or their
-    deadline, signals until a wait takes them, in whatever order they arrive and at any distance in time. A
-    wait takes the smallest (idempotency_key, id) of the unused signals that match its key and type and have
-    the outcome that it needs; each signal is used once, waits of any key among them. Time goes on with a
-    run's rows; a clock row does nothing else, so that idle runs time out too. A wait whose deadline has come
-    gives status timeout and no signal. Within a batch a run's rows are taken by (at, kind, id).
+    A terminal status is final; events of steps change nothing. The result table is the state: a batch rewrites
+    the buckets of its runs. With path and checkpoint given, a later run goes on.
     """
-    from ..operators.matching import dotted_match
-
-    def run(key, frames, state):
-        waits, signals = (json.loads(x) for x in state.get) if state.exists else ([], [])
-        out = []
-
-        def settle(w):
-            fits = [s for s in signals if w["key"] in ("", s["key"]) and dotted_match(w["type"], s["type"]) and (s["outcome"] or not w["needs"])]
-            if not fits:
-                return False
-            s = min(fits, key=lambda s: (s["idem"], s["id"]))
-            signals.remove(s)
-            out.append((key[0], w["id"], s["id"], "success", s["outcome"]))
-            return True
-
-        rows = pd.concat(list(frames))
-        rows = rows.assign(rank=rows["kind"].map(RANK)).sort_values(["at", "rank", "id"])
-        for r in rows.to_dict("records"):
-            for w in [w for w in waits if w["deadline"] is not None and w["deadline"] <= r["at"]]:
-                waits.remove(w)
-                out.append((key[0], w["id"], None, "timeout", ""))
-            if r["kind"] == "signal":
-                signals.append({"id": int(r["id"]), "key": r["key"], "type": r["type"], "outcome": r["outcome"] or "", "idem": r["idempotency_key"]})
-                taken = next((w for w in waits if settle(w)), None)
-                if taken:
-                    waits.remove(taken)
-            elif r["kind"] == "wait":
-                due = None if pd.isna(r["deadline"]) else int(r["deadline"])
-                w = {"id": int(r["id"]), "key": r["key"], "type": r["type"], "needs": bool(r["needs_outcome"]), "deadline": due}
-                if not settle(w):
-                    waits.append(w)
-        state.update((json.dumps(waits), json.dumps(signals)))
-        yield pd.DataFrame(out, columns=["run_id", "wait_id", "event_id", "status", "outcome"]).astype({"event_id": "Int64"})
-
-    return events.groupBy("run_id").applyInPandasWithState(run, MATCHED, STATE, "append", "NoTimeout")
-
-
-def lifecycle(stream: DataFrame) -> DataFrame:
-    """STR-3: each run's status from a stream of (run_id, seq, status): the latest one, but the first terminal one stays. The two are
-    the state that Spark keeps per run; each batch writes the runs that changed."""
-    end = F.min(F.when(F.col("status").isin(*TERMINAL), F.struct("seq", "status")))
-    last = F.max(F.struct("seq", "status"))
-    s = stream.groupBy("run_id").agg(F.coalesce(end, last).alias("s")).select("run_id", "s.seq", "s.status")
-    return latest(changes(s), "run_id")
+    e = stream.select("run_id", "seq", status_of(F.col("type")).alias("status")).filter("status IS NOT NULL")
+    e = e.withColumn("ended", F.col("status").isin(*TERMINAL))
+    return merge_stream(e, path or folder(stream, "lifecycle"), checkpoint or folder(stream, "stream-checkpoint"), "run_id", fold).select("run_id", "seq", "status")
 
 
 def drop_after_terminal(events: DataFrame) -> DataFrame:
@@ -158,23 +84,15 @@ def stream_drop_after_terminal(stream: DataFrame) -> DataFrame:
     return stream.groupBy("run_id").applyInPandasWithState(run, "run_id long, seq long, status string", "over boolean", "append", "NoTimeout")
 
 
-def fire_timers(stream: DataFrame, now: int) -> DataFrame:
-    """STR-5: a stream of parked waits whose deadline has come, each once however often it arrives, restarts included."""
-    due = stream.filter((F.col("resume_unix") > 0) & (F.col("resume_unix") <= now))
-    return due.select("wait_id", "resume_unix").dropDuplicates(["wait_id"])
-
-
-def snapshot_upsert(stream: DataFrame) -> DataFrame:
-    """STR-6: the newest revision of each run; older ones that come late are dropped. Each batch writes the runs that changed."""
-    s = stream.groupBy("run_id").agg(F.max("revision").alias("revision"), F.max_by("status", "revision").alias("status"))
-    return latest(changes(s), "run_id")
-
+def newest(revisions: DataFrame) -> DataFrame:
+    """(run_id, revision, status): the newest revision of each run; of equal ones the largest status."""
+    return revisions.groupBy("run_id").agg(F.max(F.struct("revision", "status")).alias("s")).select("run_id", "s.revision", "s.status")
 
-def outbox(stream: DataFrame, now: int) -> DataFrame:
-    """STR-7: a stream of the callbacks to deliver now, with their number of attempts and next time; each attempt of a run comes out once."""
-    from ..operators.outcomes import pending_callbacks
 
-    return pending_callbacks(stream, now).select("run_id", "attempts", "next_unix").dropDuplicates(["run_id", "attempts"])
+def snapshot_upsert(stream: DataFrame, path: str | None = None, checkpoint: str | None = None) -> DataFrame:
+    """STR-6: the newest revision of each run of a stream (run_id, revision, status); older ones that come late are dropped. A batch rewrites the buckets of its runs, and reading costs the table, not its history."""
+    rows = stream.select("run_id", "revision", "status")
+    return merge_stream(rows, path or folder(stream, "snapshots"), checkpoint or folder(stream, "stream-checkpoint"), "run_id", newest)
 
 
 def interrupt_recovery(cases: DataFrame, waits: DataFrame) -> DataFrame:

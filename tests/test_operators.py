@@ -207,64 +207,6 @@ def test_definitions_nested_in_gadgets(spark):
     assert [(r["target"], r["code"]) for r in lint.inline_issues(nodes).collect()] == [("deep", "GADGET_INLINE_INVALID")]
 
 
-def run_rows(rng, runs=6, n=40):
-    types, rows = ["", "a", "b", "a.x"], []
-    for i in range(n * runs):
-        run, at = rng.randrange(runs), rng.randint(0, 300)
-        if rng.random() < 0.5:
-            rows.append((run, at, "wait", i, rng.choice(["", "k1", "k2"]), rng.choice(types), rng.random() < 0.5, "", "", rng.choice([None, at + rng.randint(0, 100)])))
-        else:
-            rows.append((run, at, "signal", i, rng.choice(["k1", "k2", "k3"]), rng.choice(["a", "a.x", "ab", "b"]), False, rng.choice(["", "yes"]), f"i{rng.randint(0, 9)}", None))
-    return rows + [(run, 1000, "clock", 0, "", "", False, "", "", None) for run in range(runs)]
-
-
-def serial_match(rows):
-    out, waits, signals = [], {}, {}
-    for run, at, kind, i, key, typ, needs, outcome, idem, due in sorted(rows, key=lambda r: (r[1], {"signal": 0, "wait": 1, "clock": 2}[r[2]], r[3])):
-        w, s = waits.setdefault(run, []), signals.setdefault(run, [])
-        out += [(run, x[0], None, "timeout") for x in w if x[4] is not None and x[4] <= at]
-        w[:] = [x for x in w if x[4] is None or x[4] > at]
-        if kind == "wait":
-            w.append((i, key, typ, needs, due))
-        elif kind == "signal":
-            s.append((idem, i, key, typ, outcome))
-        for x in list(w):
-            fits = sorted(y for y in s if x[1] in ("", y[2]) and (x[2] in ("", y[3]) or y[3].startswith(x[2] + ".")) and (y[4] or not x[3]))
-            if fits:
-                w.remove(x)
-                s.remove(fits[0])
-                out.append((run, x[0], fits[0][1], "success"))
-    return sorted(out, key=str)
-
-
-RUNS = "run_id long, at long, kind string, id long, key string, type string, needs_outcome boolean, outcome string, idempotency_key string, deadline long"
-
-
-def test_stateful_matches(spark, tmp_path):
-    """Against a serial run, and once more in two runs that go on from one checkpoint."""
-    rows = run_rows(random.Random(7))
-    for name, cuts in (("one", [rows]), ("two", [[r for r in rows if r[1] <= 150], [r for r in rows if r[1] > 150]])):
-        at = str(tmp_path / name)
-        for part in cuts:
-            spark.createDataFrame(part, RUNS).coalesce(1).write.mode("append").parquet(at)
-            stream = spark.readStream.schema(RUNS).parquet(at)
-            got = streams.drain(streams.match_stateful(stream), f"{at}-out", f"{at}-checkpoint")
-        assert sorted(((r["run_id"], r["wait_id"], r["event_id"], r["status"]) for r in got.collect()), key=str) == serial_match(rows)
-    assert {r[3] for r in serial_match(rows)} == {"success", "timeout"}
-
-
-def test_streams_go_on_after_a_restart(spark, tmp_path):
-    at = str(tmp_path / "timers")
-    for ids in ([1, 2, 2], [2, 3]):
-        spark.createDataFrame([(i, 5) for i in ids], "wait_id long, resume_unix long").write.mode("append").parquet(at)
-        timers = streams.fire_timers(spark.readStream.schema("wait_id long, resume_unix long").parquet(at), 10)
-        out = streams.drain(timers, f"{at}-out", f"{at}-checkpoint")
-    assert sorted(r["wait_id"] for r in out.collect()) == [1, 2, 3]
-    (tmp_path / "nothing").mkdir()
-    empty = spark.readStream.schema("run_id long, seq long, status string").parquet(str(tmp_path / "nothing"))
-    assert streams.lifecycle(empty).count() == 0
-
-
 def test_pairs_of_hot_keys(spark):
     """Salted or not, the pairs are those of a plain comparison, and their totals those of match_totals."""
     rng = random.Random(5)
