@@ -652,3 +652,24 @@ def test_queries_give_one_row_per_document(spark, data):
         df = f(spark, data)
         if "doc_id" in df.columns:
             assert df.count() == n, name
+
+
+def test_topk_of_large_components(spark):
+    """Products near the ends of 64 bits are exact, the one that passes them is an error, and so is a component that does."""
+    rng, big = random.Random(9), 2_000_000_000
+    rows = [(i, [rng.choice([-1, 1]) * rng.randint(0, big) for _ in range(2)]) for i in range(0, 60)] + [(100, [4_096_000_000, 1]), (200, [big, big]), (300, [-big, big]), (301, [-big, -2_600_000_000])]
+    df = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    got = topk.search(df.filter("vec_id % 100 = 0"), df, 5).collect()
+    want = []
+    for i, q in rows:
+        if i % 100 == 0:
+            best = sorted(((-sum(a * b for a, b in zip(q, c, strict=True)), j) for j, c in rows if j != i))[:5]
+            want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(best)]
+    assert sorted(map(tuple, got)) == sorted(want)
+    vectors = spark.createDataFrame([(0, [4e6, 4e6]), (1, [4e6, -4e6])], "vec_id long, x array<double>")
+    assert [tuple(r) for r in topk.search(topk.quantize(vectors, "vec_id", "x").filter("vec_id = 0"), topk.quantize(vectors, "vec_id", "x")).collect()] == [(0, 1, 1, 0)]
+    over = spark.createDataFrame([(0, [2**40]), (1, [2**40])], "vec_id long, v array<long>")
+    with pytest.raises(Exception, match="passes 64 bits"):
+        topk.search(over, over).collect()
+    with pytest.raises(Exception, match="component out of 64 bits"):
+        topk.quantize(spark.createDataFrame([(0, [1e300])], "vec_id long, x array<double>"), "vec_id", "x").collect()
