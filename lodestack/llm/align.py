@@ -34,7 +34,7 @@ from .piece_codec import MARK
 #: A pair of ids is one number: A's id above so many bits for B's.
 B_BITS = 24
 #: A block has about so many characters of text; a task's table starts anew at so many chunks or characters; texts are encoded so many characters at a time.
-BLOCK_CHARS, TABLE_CHUNKS, TABLE_CHARS, STEP_CHARS = 16_000_000, 200_000, 20_000_000, 1_000_000
+BLOCK_CHARS, TABLE_CHUNKS, TABLE_CHARS, STEP_CHARS = 16_000_000, 400_000, 20_000_000, 1_000_000
 #: Where a text may be cut: before a space that follows no space and precedes no white space. Python's \\s is wider than the tokenizer's, so that cuts are too few rather than too many.
 CUT = re.compile(r"(?<! ) (?=\S)")
 
@@ -81,6 +81,16 @@ class Forms:
         ends = np.cumsum(n)
         return self.flat[np.repeat(self.starts[ids] - (ends - n), n) + np.arange(ends[-1] if len(n) else 0)]
 
+    def gives(self, raw: list[bytes], ids: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Whether each text's ids, n of them, join to its bytes; no text is empty."""
+        upto, size = np.concatenate([[0], np.cumsum(self.lens[ids])]), np.array([len(r) for r in raw], np.int64)
+        ends = np.cumsum(n)
+        good = upto[ends] - upto[ends - n] == size
+        if good.any():
+            differ = self.join(ids[np.repeat(good, n)]) != np.frombuffer(b"".join([r for r, g in zip(raw, good.tolist(), strict=True) if g]), np.uint8)
+            good[good] = np.add.reduceat(differ, np.cumsum(size[good]) - size[good], dtype=np.int64) == 0
+        return good
+
 
 def farthest(ends_a: np.ndarray, ends_b: np.ndarray) -> np.ndarray:
     """Each token's farthest-right overlapping token, of nodes A then B; of two that end together B's is the last, and points to itself."""
@@ -118,6 +128,7 @@ class Aligner:
         if len(forms_b) > 1 << B_BITS:
             raise ValueError(f"vocabularies of over {1 << B_BITS} pieces are not supported")
         self.a, self.b, self.most = Forms(forms_a), Forms(forms_b), most
+        self.digits = [str(i) for i in range(max(len(forms_a), len(forms_b)))]
         # A piece that holds a marker after another character, or white space, would join over cuts.
         names = [self.sp.id_to_piece(i) for i in range(self.sp.get_piece_size())]
         self.splits = not any(re.search(f"[^{MARK}]{MARK}| ", p) for p in names) and self.sp.encode(" ") == self.sp.encode(MARK)
@@ -150,10 +161,8 @@ class Aligner:
         ids_b = self.sp.encode(new, num_threads=1)
         n_a, n_b = np.array([len(x) for x in ids_a], np.int64), np.array([len(x) for x in ids_b], np.int64)
         flat_a, flat_b = np.fromiter(chain.from_iterable(ids_a), np.int64), np.fromiter(chain.from_iterable(ids_b), np.int64)
-        raw = [(" " + c).encode() for c in new]
-        size = np.array([len(r) for r in raw], np.int64)
-        edges_a, edges_b = np.cumsum(n_a), np.cumsum(n_b)
-        good = np.array([self.same(r, flat_a[ea - na : ea], flat_b[eb - nb : eb]) for r, ea, na, eb, nb in zip(raw, edges_a, n_a, edges_b, n_b, strict=True)], bool)
+        raw = [b" " + c.encode() for c in new]
+        good = self.a.gives(raw, flat_a, n_a) & self.b.gives(raw, flat_b, n_b)
 
         # All good chunks at once: they lie one after the other, and every chunk's end is an end on both sides.
         keep_a, keep_b = flat_a[np.repeat(good, n_a)], flat_b[np.repeat(good, n_b)]
@@ -173,20 +182,17 @@ class Aligner:
         counts[good, 3] = np.bincount(chunk_of_a[x], minlength=len(token))
 
         # Groups as text: tokens of one terminal are neighbours on either side.
-        cut_b = np.flatnonzero(np.diff(of_b, prepend=-1))
-        groups = list(zip(np.split(keep_a, heads[1:]), np.split(keep_b, cut_b[1:]), strict=True)) if len(heads) else []
-        forms = [",".join(map(str, g.tolist())) + "|" + ",".join(map(str, h.tolist())) for g, h in groups]
-        upto = np.cumsum(counts[:, 2])
+        name_a, name_b = [self.digits[i] for i in keep_a.tolist()], [self.digits[i] for i in keep_b.tolist()]
+        cut_a, cut_b = [*heads.tolist(), len(keep_a)], [*np.flatnonzero(np.diff(of_b, prepend=-1)).tolist(), len(keep_b)]
+        forms = [f"{name_a[p] if q - p == 1 else ','.join(name_a[p:q])}|{name_b[x] if y - x == 1 else ','.join(name_b[x:y])}" for p, q, x, y in zip(cut_a, cut_a[1:], cut_b, cut_b[1:], strict=False)]
+        upto = [0, *np.cumsum(counts[:, 2]).tolist()]
         self.chars += sum(map(len, new))
-        self.text += [";".join(forms[e - n : e]) for e, n in zip(upto, counts[:, 2], strict=True)]
+        self.text += [forms[p] if q - p == 1 else ";".join(forms[p:q]) for p, q in zip(upto, upto[1:], strict=False)]
         self.at.update(zip(new, range(len(self.good), len(self.good) + len(new)), strict=True))
         self.starts = np.concatenate([self.starts, len(self.pairs) + np.cumsum(counts[:, 3]) - counts[:, 3]])
         self.counts, self.good = np.concatenate([self.counts, counts]), np.concatenate([self.good, good])
         self.pairs = np.concatenate([self.pairs, (keep_a[x] << B_BITS) | keep_b[y]])
 
-    def same(self, raw: bytes, ids_a: np.ndarray, ids_b: np.ndarray) -> bool:
-        return self.a.join(ids_a).tobytes() == raw and self.b.join(ids_b).tobytes() == raw
-
     def align(self, texts: list[str]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
         """Of each text (tokens of A, of B, groups, links) and its groups as text; and of all: text, pair and number of its links, by text and pair."""
         lists = [self.chunks(t) for t in texts]
