@@ -654,6 +654,33 @@ def test_queries_give_one_row_per_document(spark, data):
             assert df.count() == n, name
 
 
+@pytest.mark.parametrize("eod, width", [(50256, 2), (151643, 4), (2, 4), (32000, 2), (65279, 2)])
+def test_token_files_of_any_end_id(spark, docs, tmp_path, eod, width):
+    """End ids with bytes above 127 and tokens of 32 bits, over byte ranges that cut tokens and separators."""
+    model, path = queries.tokenizer_path(), str(tmp_path / "files")
+    sp = piece_codec.load(model)
+    tokenfiles.write_token_files(docs, path, model, shard_tokens=3000, eod=eod, width=width)
+    raw = b"".join(f.read_bytes() for f in tmp_path.rglob("kind=tokens/*/part-*"))
+    assert np.count_nonzero(np.frombuffer(raw, f"<u{width}") == eod) == len(corpus())
+    want = sorted((-1 if i is None else i, len(sp.encode(t))) for i, t in plain(corpus()))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for most in (old, "777b"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", most)
+            got = tokenfiles.token_counts(spark, path, eod, width).collect()
+            assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["n_tokens"]) for r in got) == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_end_ids_that_cannot_separate(docs, tmp_path):
+    for eod, width in ((0x0202, 2), (0, 4), (1 << 16, 2), (5, 3)):
+        with pytest.raises(ValueError, match="id"):
+            tokenfiles.separator(eod, width)
+    with pytest.raises(ValueError, match="stands for text"):
+        tokenfiles.write_token_files(docs, str(tmp_path), queries.tokenizer_path(), eod=300)
+
+
 def test_topk_of_large_components(spark):
     """Products near the ends of 64 bits are exact, the one that passes them is an error, and so is a component that does."""
     rng, big = random.Random(9), 2_000_000_000
