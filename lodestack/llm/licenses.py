@@ -61,6 +61,12 @@ class Matcher:
         raw = [t[2].encode() for t in templates]
         flat, ends = shingled(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
         self.sets = [np.unique(flat[a:b]) for a, b in pairwise(ends)]
+        # Wordings that lie within a longer one of another license of their family, with what that one has besides.
+        self.within: dict[int, list[tuple[int, np.ndarray]]] = {}
+        for i, (family, name, _) in enumerate(templates):
+            for j, (other, title, _) in enumerate(templates):
+                if family == other and name != title and len(self.sets[j]) > len(self.sets[i]) and np.isin(self.sets[i], self.sets[j]).mean() >= least:
+                    self.within.setdefault(i, []).append((j, np.setdiff1d(self.sets[j], self.sets[i])))
         self.factor = mix(np.arange(1, BANDS + 1, dtype=np.uint64)) | np.uint64(1)
         self.by_level: dict[int, list[int]] = {}
         for i, s in enumerate(self.sets):
@@ -99,18 +105,20 @@ class Matcher:
         return out
 
     def match(self, x: np.ndarray, ends: np.ndarray) -> dict[int, list[tuple[str, float]]]:
-        """text -> (license, containment) by name: of each family those that are wholly contained, or else the best one, by containment, length and name."""
+        """text -> (license, containment) by name: of each family those that are wholly contained, or else the best one, by containment, length and name, without the wordings that a longer one accounts for."""
         met: set[tuple[int, int]] = set()
         for i, a, b in self.windows(x):
             hit = np.flatnonzero(np.isin(x[a:b], self.sets[i])) + a
             met.update((int(t), i) for t in np.unique(np.searchsorted(ends, hit, "right") - 1))
+        share = {(t, i): np.count_nonzero(np.isin(self.sets[i], x[ends[t] : ends[t + 1]])) / len(self.sets[i]) for t, i in met}
+        share = {k: v for k, v in share.items() if v >= self.least}
         best: dict[int, dict[str, dict[str, tuple[float, int]]]] = {}
-        for t, i in met:
-            share = np.count_nonzero(np.isin(self.sets[i], x[ends[t] : ends[t + 1]])) / len(self.sets[i])
+        for (t, i), part in share.items():
+            if any((t, j) in share and 2 * np.count_nonzero(np.isin(more, x[ends[t] : ends[t + 1]])) > len(more) for j, more in self.within.get(i, ())):
+                continue
             family, name, _ = self.templates[i]
-            if share >= self.least:
-                own = best.setdefault(t, {}).setdefault(family, {})
-                own[name] = max((share, len(self.sets[i])), own.get(name, (0.0, 0)))
+            own = best.setdefault(t, {}).setdefault(family, {})
+            own[name] = max((part, len(self.sets[i])), own.get(name, (0.0, 0)))
         out = {}
         for t, families in best.items():
             out[t] = []
@@ -124,8 +132,9 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str, str]] = TEMPL
     """(id, licenses array<struct<license, containment>>) of every document, by license name; empty where none is found.
 
     Of licenses of one family (versions) all that are wholly contained count, or else the best contained one, the longer one at
-    ties. A license of several wordings has its best one. Null and empty texts have none; repeated rows are scanned alike; texts
-    are scanned whole; an empty table gives no rows.
+    ties. A wording that lies within a longer one of its family, to the share `least`, does not count where that one is found
+    with more than half of what it has besides: a 3-clause text is no 2-clause one, whoever holds it. A license of several wordings has its best one. Null and empty texts have none; repeated rows are scanned alike; texts
+    are scanned whole; an empty table gives no rows; other columns are left out, whatever their names.
     """
 
     def run(batches):

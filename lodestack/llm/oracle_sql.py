@@ -66,7 +66,11 @@ WITH t(id, family, name, notice) AS (VALUES {TEMPLATE_ROWS}),
 tw AS (SELECT id, {FOLDED % 'notice'} AS w FROM t), ts AS ({CUT % ('id', 'id', 'tw')}), tn AS (SELECT id, count(*) AS n FROM ts GROUP BY id),
 dw AS (SELECT doc_id, {FOLDED % "coalesce(text, '')"} AS w FROM documents), ds AS ({CUT % ('doc_id', 'doc_id', 'dw')}),
 hit AS (SELECT doc_id, id, count(*) AS k FROM ds JOIN ts USING (s) GROUP BY doc_id, id),
-found AS (SELECT doc_id, family, name, max(k / n) AS share, max_by(n, (k / n, n)) AS size FROM hit JOIN tn USING (id) JOIN t USING (id) WHERE k / n >= 0.8 GROUP BY doc_id, family, name),
+good AS (SELECT doc_id, id, family, name, k, n FROM hit JOIN tn USING (id) JOIN t USING (id) WHERE k / n >= 0.8),
+within AS (SELECT a.id AS i, b.id AS j FROM ts a JOIN ts b USING (s) JOIN t x ON x.id = a.id JOIN t y ON y.id = b.id AND x.family = y.family AND x.name <> y.name JOIN tn m ON m.id = a.id JOIN tn n ON n.id = b.id AND n.n > m.n GROUP BY a.id, b.id, m.n HAVING count(*) / m.n >= 0.8),
+more AS (SELECT i, j, ts.s FROM within JOIN ts ON ts.id = j LEFT JOIN ts own ON own.id = i AND own.s = ts.s WHERE own.s IS NULL),
+gone AS (SELECT doc_id, i FROM ds JOIN more USING (s) JOIN (SELECT i, j, count(*) AS more_n FROM more GROUP BY i, j) AS c USING (i, j) JOIN good g USING (doc_id) WHERE g.id = j GROUP BY doc_id, i, j, more_n HAVING 2 * count(*) > more_n),
+found AS (SELECT doc_id, family, name, max(k / n) AS share, max_by(n, (k / n, n)) AS size FROM good WHERE (doc_id, id) NOT IN (SELECT doc_id, i FROM gone) GROUP BY doc_id, family, name),
 best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, family ORDER BY share DESC, size DESC, name) AS r FROM found)
 SELECT d.doc_id, count(name) AS n_licenses, coalesce(string_agg(name, ',' ORDER BY name), '') AS licenses, max(share) AS containment FROM documents d LEFT JOIN (SELECT * FROM best WHERE r = 1 OR share = 1) b ON d.doc_id = b.doc_id GROUP BY d.doc_id
 """
