@@ -150,15 +150,17 @@ def to_timestamp(c: Column) -> Column:
     return F.try_to_timestamp(c)
 
 
-# The units of durations in seconds.
-UNITS = {"h": 3600.0, "m": 60.0, "s": 1.0, "ms": 0.001, "us": 0.000001, "ns": 0.000000001}
+# The units of durations in seconds; microseconds are written in three ways.
+UNITS = {"h": 3600.0, "m": 60.0, "s": 1.0, "ms": 0.001, "us|\u00b5s|\u03bcs": 0.000001, "ns": 0.000000001}
+AMOUNT = r"\d+(?:\.\d*)?|\.\d+"
 
 
 def to_duration(c: Column) -> Column:
-    """Seconds of a duration like 1h30m or -1.5s; null where it is none."""
-    amount = lambda unit: F.coalesce(F.regexp_extract(c, rf"(\d+(?:\.\d+)?){unit}(?![a-z])", 1).try_cast("double"), F.lit(0.0))
-    total = sum((amount(u) * F.lit(s) for u, s in UNITS.items()), F.lit(0.0))
-    return F.when(c.rlike(r"\A[+-]?(?:\d+(?:\.\d+)?(?:h|ms|m|s|us|ns))+\z"), F.when(c.startswith("-"), -total).otherwise(total))
+    """Seconds of a duration like 1h30m or -1.5s, all amounts of a unit added up; 0 needs no unit; null where it is none."""
+    amounts = lambda unit: F.regexp_extract_all(c, F.lit(rf"({AMOUNT})(?:{unit})(?![a-z\u00b5\u03bc])"), 1)
+    total = sum((F.aggregate(amounts(u), F.lit(0.0), lambda a, x: a + F.coalesce(x.try_cast("double"), F.lit(0.0))) * F.lit(s) for u, s in UNITS.items()), F.lit(0.0))
+    whole = c.rlike(rf"\A[+-]?(?:0|(?:(?:{AMOUNT})(?:{'|'.join(UNITS)}))+)\z")
+    return F.when(whole, F.when(c.startswith("-"), -total).otherwise(total))
 
 
 def type_of(c: Column) -> Column:
@@ -179,10 +181,26 @@ def truthy(c: Column, kind: str) -> Column:
     return c.isNotNull()
 
 
+def plain_decimal(c: Column) -> Column:
+    """A double as the shortest decimal that reads back, without an exponent: 0.5, 0.000000000001, 1000000; NaN, +Inf and -Inf by name."""
+    t = c.cast("string")
+    part = lambda i: F.regexp_extract(t, r"\A-?(\d+)\.(\d+)(?:E(-?\d+))?\z", i)
+    # The digits and where the point stands among them; a fraction of 0 alone is none.
+    fraction = F.when(part(2) == "0", "").otherwise(part(2))
+    digits, point = F.concat(part(1), fraction), F.length(part(1)) + F.coalesce(part(3).try_cast("int"), F.lit(0))
+    body = (
+        F.when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
+        .when(point >= F.length(digits), F.concat(digits, F.repeat(F.lit("0"), point - F.length(digits))))
+        .otherwise(F.concat(F.substring(digits, F.lit(1), point), F.lit("."), F.substring(digits, point + 1, F.length(digits))))
+    )
+    named = F.when(F.isnan(c), "NaN").when(c == float("inf"), "+Inf").when(c == float("-inf"), "-Inf")
+    return F.when(c.isNotNull(), F.coalesce(named, F.concat(F.when(t.startswith("-"), "-").otherwise(""), body)))
+
+
 def to_text(c: Column, kind: str) -> Column:
-    """Null is '', booleans true/false, whole numbers plain, containers JSON. Doubles are plain decimals."""
+    """Null is '', booleans true/false, whole numbers plain, containers JSON. Doubles are the shortest plain decimals that read back."""
     if kind in ("string", "boolean", "int", "bigint"):
         return text(c.cast("string"))
     if kind in ("double", "float"):
-        return text(F.when(c == F.floor(c), F.floor(c).cast("decimal(38,0)").cast("string")).otherwise(c.cast("decimal(38,10)").cast("string")))
+        return text(plain_decimal(c))
     return text(F.to_json(c))

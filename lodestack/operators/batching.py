@@ -24,19 +24,20 @@ def batch(df: DataFrame, key: list[str], order: list[str], size: int = 1) -> Dat
     return d.groupBy(*key, "batch_index").agg(F.min("__i").cast("long").alias("batch_start_index"), F.max("__i").cast("long").alias("batch_end_index"), F.count("*").alias("batch_item_count"))
 
 
-def apply_batches(df: DataFrame, keys: list[str], fn, returns: str = "result string", on_error: str = "continue", concurrency: int = 0) -> DataFrame:
+def apply_batches(df: DataFrame, keys: list[str], fn, returns: str = "result string", on_error: str = "continue", concurrency: int = 1) -> DataFrame:
     """BAT-3: fn(pandas frame) -> value, or (value, input tokens, output tokens), for every batch, a group of keys.
 
     A batch ends completed, or failed with the error's text and no value; its tokens are counted by what fn
-    gives, or by the error's `usage`. With on_error="fail" the batches of the same keys[:-1] that come after
-    the first failed one, by the last key, are skipped. concurrency is the number of tasks at work at once, 0
-    for as many as Spark has.
+    gives, or by the error's `usage`. The batches of one keys[:-1] run one after the other in the order of the last key;
+    with on_error="fail" fn is not called any more after the first failure, and what is left is skipped. With
+    "continue", concurrency is how many of them may run at once, 0 for any number. Different keys run side by
+    side. A task holds one batch at a time.
     """
     if on_error not in ("continue", "fail"):
         raise ValueError(f"on_error must be continue or fail, not {on_error}")
-    name = returns.split()[0]
+    name, owner = returns.split()[0], keys[:-1]
 
-    def run(key, pdf):
+    def one(key, pdf):
         try:
             out = fn(pdf)
             value, used = (out[0], out[1:]) if isinstance(out, tuple) else (out, (0, 0))
@@ -44,17 +45,54 @@ def apply_batches(df: DataFrame, keys: list[str], fn, returns: str = "result str
         except Exception as e:  # a user's error is a result of its batch
             used = getattr(e, "usage", (0, 0))
             row = {name: None, "status": "failed", "error": str(e), "input_tokens": used[0], "output_tokens": used[1]}
-        return pd.DataFrame([dict(zip(keys, key, strict=True)) | row])
+        return dict(zip(keys, key, strict=True)) | row
 
     types = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
-    spread = df.repartition(concurrency, *keys) if concurrency else df
-    out = spread.groupBy(*keys).applyInPandas(run, f"{types}, {returns}, status string, error string, input_tokens long, output_tokens long")
-    if on_error == "continue":
-        return out
-    before = Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
-    out = out.withColumn("__skip", F.coalesce(F.max(F.col("status") == "failed").over(before), F.lit(False)))
-    blank = {name: F.lit(None), "status": F.lit("skipped"), "error": F.lit(""), "input_tokens": F.lit(0), "output_tokens": F.lit(0)}
-    return out.select(*keys, *(F.when(F.col("__skip"), v).otherwise(F.col(k)).alias(k) for k, v in blank.items()))
+    schema = f"{types}, {returns}, status string, error string, input_tokens long, output_tokens long"
+    if on_error == "continue" and (not concurrency or not owner):
+        return df.groupBy(*keys).applyInPandas(lambda key, pdf: pd.DataFrame([one(key, pdf)]), schema)
+    skipped = {name: None, "status": "skipped", "error": "", "input_tokens": 0, "output_tokens": 0}
+    # Rows of a batch follow each other within a partition; nulls of a key are equal.
+    plain = lambda key: tuple(None if pd.isna(x) else x for x in key)
+
+    def batches(pdf, held):
+        """(key, frame) of the batches that end within pdf; held is the one that was open before, and at the end the one that is open still."""
+        columns = [pdf[k] for k in keys]
+        fresh = sum((c.ne(c.shift()) & ~(c.isna() & c.shift().isna()) for c in columns), start=pd.Series(False, index=pdf.index)).to_numpy()
+        edges = [0, *(i for i in fresh.nonzero()[0].tolist() if i), len(pdf)]
+        for a, b in zip(edges, edges[1:], strict=False):
+            key = plain(c.iloc[a] for c in columns)
+            if held and held[0] != key:
+                yield held[0], held[1][0] if len(held[1]) == 1 else pd.concat(held[1], ignore_index=True)
+                held.clear()
+            if held:
+                held[1].append(pdf.iloc[a:b])
+            else:
+                held[:] = [key, [pdf.iloc[a:b]]]
+
+    def run(frames):
+        failed, held = None, []
+
+        def judged(found):
+            nonlocal failed
+            rows = []
+            for key, pdf in found:
+                off = on_error == "fail" and key[:-1] == failed
+                rows.append(dict(zip(keys, key, strict=True)) | skipped if off else one(key, pdf))
+                if rows[-1]["status"] == "failed":
+                    failed = key[:-1]
+            return pd.DataFrame(rows, columns=names)
+
+        for pdf in frames:
+            if len(pdf):
+                yield judged(batches(pdf, held))
+        if held:
+            yield judged([(held[0], pd.concat(held[1], ignore_index=True))])
+
+    names = [*keys, name, "status", "error", "input_tokens", "output_tokens"]
+    lane = F.lit(0) if on_error == "fail" else F.pmod(F.xxhash64(keys[-1]), F.lit(concurrency))
+    dealt = df.withColumn("__lane", lane).repartition(*owner, "__lane") if owner else df.withColumn("__lane", lane).repartition(1)
+    return dealt.sortWithinPartitions(*owner, "__lane", keys[-1]).drop("__lane").mapInPandas(run, schema)
 
 
 def skip_after_failure(batches: DataFrame, key: str, index: str) -> DataFrame:

@@ -111,12 +111,15 @@ def readable(inputs: Column, allow: list[str] | None = None) -> Column:
     return F.map_filter(inputs, lambda k, _: ~hidden(k) & ~F.lower(k).rlike("|".join(re.escape(s) for s in SECRET)))
 
 
-def context_get(inputs: Column, keys: list[str]) -> tuple[Column, Column, Column]:
-    """PRJ-11: the values found, the keys that are missing or empty, the keys that may not be read."""
-    ask = F.array(*map(F.lit, keys))
-    may = lambda k: ~k.startswith("__") & ~F.lower(k).rlike("|".join(SECRET))
+def context_get(inputs: Column, keys: list[str], allow: list[str] | None = None) -> tuple[Column, Column, Column]:
+    """PRJ-11: the values found, the keys that are missing or empty, the keys that may not be read. Keys are trimmed and blank ones
+    skipped; those of an allowlist may be read if there is one, else those that do not look secret (PRJ-10)."""
+    keys = list(dict.fromkeys(k.strip() for k in keys if k.strip()))
+    secret = re.compile("|".join(re.escape(s) for s in SECRET))
+    may = [k for k in keys if not k.startswith("__") and (k in allow if allow is not None else not secret.search(k.lower()))]
     value = lambda k: F.coalesce(F.try_element_at(inputs, k), F.lit(""))
-    return F.map_filter(inputs, lambda k, v: k.isin(*keys) & may(k) & (v != "")), F.filter(ask, lambda k: may(k) & (value(k) == "")), F.filter(ask, lambda k: ~may(k))
+    listed = lambda ks: F.array(*map(F.lit, ks)).cast("array<string>")
+    return F.map_filter(inputs, lambda k, v: k.isin(*may) & (v != "")), F.filter(listed(may), lambda k: value(k) == ""), listed([k for k in keys if k not in may])
 
 
 # What counts as approval.

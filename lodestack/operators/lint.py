@@ -98,10 +98,10 @@ def config_issues(nodes: DataFrame) -> DataFrame:
     keys = F.json_object_keys("config")
     found = F.array().cast("array<string>")
     for type_, own in rules().items():
-        known = F.array(*map(F.lit, FIELDS[type_].split()))
+        known = F.array(*map(F.lit, FIELDS[type_]))
         wrong_number = F.lit(False)
         for n in NUMBERS:
-            if n in FIELDS[type_].split():
+            if n in FIELDS[type_]:
                 wrong_number = wrong_number | (raw(n).isNotNull() & raw(n).try_cast("bigint").isNull())
         invalid = keys.isNull() | (F.size(F.array_except(keys, known)) > 0) | wrong_number
         code = f"{PREFIX.get(type_, type_.upper())}_CONFIG_INVALID"

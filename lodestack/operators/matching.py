@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.records import folder
+from ..sources.tables import placed
 from .context import referenced_fields
 
 # Signals of one key that one task joins; keys with more are salted.
@@ -119,17 +120,8 @@ def answered_in_time(waits: DataFrame, signals: DataFrame) -> DataFrame:
 
 def in_blocks(df: DataFrame, order: list[str], size: int) -> tuple[DataFrame, int]:
     """(a table of df's rows with their block, numbered by order, each of size rows; the number of blocks)."""
-    n_shift = 33  # bits that monotonically_increasing_id gives the rows of a partition
-    sorted_rows = written(df.orderBy(*order).withColumn("at", F.monotonically_increasing_id()), "in-order")
-    part = F.shiftright("at", n_shift).cast("int")
-    counts = sorted(tuple(r) for r in sorted_rows.groupBy(part.alias("p")).count().collect())
-    starts, total = [], 0
-    for p, n in counts:
-        starts.append((p, total))
-        total += n
-    first = df.sparkSession.createDataFrame(starts, "p int, start long")
-    place = F.col("start") + F.col("at").bitwiseAND((1 << n_shift) - 1)
-    return sorted_rows.withColumn("p", part).join(F.broadcast(first), "p").withColumn("block", F.floor(place / size)).drop("p", "at", "start"), -(-total // size)
+    rows = written(placed(df, order, "place").withColumn("block", F.floor(F.col("place") / size)).drop("place"), "in-blocks")
+    return rows, -(-rows.count() // size)
 
 
 def block_candidates(block: DataFrame, n: int, free: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import placed
+
 ORDER = ("started_at", "part_id", "source_id")
 TERMINAL = ("completed", "failed", "cancelled")
 
@@ -52,11 +54,12 @@ def token_budget(attempts: DataFrame, most: int) -> DataFrame:
 
 
 def first_return(attempts: DataFrame) -> DataFrame:
-    """WIN-6: the first completed return of a run wins; what comes after it is skipped."""
+    """WIN-6: the first completed return of a run wins; what comes after it is skipped, and so is what was pending or waiting by then."""
     rank = F.row_number().over(Window.partitionBy("run_id").orderBy(*ORDER, "node_id"))
     a = attempts.withColumn("nth", rank)
     won = F.min(F.when((F.col("node_type") == "return") & (F.col("status") == "completed"), F.col("nth"))).over(Window.partitionBy("run_id"))
-    return a.withColumn("final_status", F.when(F.col("nth") > won, "skipped").otherwise(F.col("status")))
+    over = (F.col("nth") > won) | (won.isNotNull() & F.col("status").isin("pending", "waiting"))
+    return a.withColumn("final_status", F.when(over, "skipped").otherwise(F.col("status")))
 
 
 def retry_schedule(callbacks: DataFrame, cap: int = 60) -> DataFrame:
@@ -156,10 +159,11 @@ def source_agreement(sources: DataFrame) -> DataFrame:
 
 
 def node_state(attempts: DataFrame) -> DataFrame:
-    """AGG-9: the latest attempt of each node of a run; a missing status is completed."""
-    last = F.max_by(F.struct("status", "started_at", "input_tokens", "output_tokens"), "iteration")
+    """AGG-9: the latest attempt of each node of a run, the one that completed last at equal iterations; a missing status is completed, a missing error ''."""
+    state = F.struct("status", "started_at", "completed_at", "error", "input_tokens", "output_tokens")
+    last = F.max_by(state, F.struct("iteration", "completed_at", "started_at"))
     g = attempts.groupBy("run_id", "node_id").agg(F.max("iteration").alias("iteration"), last.alias("s"))
-    return g.select("run_id", "node_id", "iteration", F.coalesce("s.status", F.lit("completed")).alias("status"), "s.started_at", "s.input_tokens", "s.output_tokens")
+    return g.select("run_id", "node_id", "iteration", F.coalesce("s.status", F.lit("completed")).alias("status"), "s.started_at", "s.completed_at", F.coalesce("s.error", F.lit("")).alias("error"), "s.input_tokens", "s.output_tokens")
 
 
 def merged_outputs(attempts: DataFrame, fields: list[str], activation: str | None = None) -> DataFrame:
@@ -181,15 +185,20 @@ def stable_order(attempts: DataFrame) -> DataFrame:
     return attempts.withColumn("place", F.row_number().over(w).cast("long"))
 
 
-def admit(cases: DataFrame, cap: int, group: str) -> DataFrame:
-    """ORD-2: first come, first served within a group's queue; the rest is rejected."""
-    nth = F.row_number().over(Window.partitionBy(group).orderBy("started_at", "run_id"))
-    return cases.withColumn("admitted", nth <= cap)
+def admit(cases: DataFrame, cap: int, queued: int = 0) -> DataFrame:
+    """ORD-2: first come, first served within one queue of cap places, of which queued are taken: cases with admitted and reason ('' or 'queue full').
+
+    Places are counted over range partitions, a count per partition; no task sees the whole table.
+    """
+    free = max(0, cap - queued)
+    out = placed(cases, ["started_at", "run_id"], "place").withColumn("admitted", F.col("place") < free).drop("place")
+    return out.withColumn("reason", F.when(F.col("admitted"), "").otherwise("queue full"))
 
 
-def due_timers(waits: DataFrame, now: int) -> DataFrame:
-    """ORD-3: runs whose earliest deadline has come."""
-    return earliest_timer(waits).filter((F.col("earliest") > 0) & (F.col("earliest") <= now))
+def due_timers(waits: DataFrame, cases: DataFrame, now: int) -> DataFrame:
+    """ORD-3: runs that have not ended and whose earliest deadline has come."""
+    ended = cases.filter(F.col("status").isin(*TERMINAL)).select("run_id")
+    return earliest_timer(waits).filter((F.col("earliest") > 0) & (F.col("earliest") <= now)).join(ended, "run_id", "left_anti")
 
 
 def pending_callbacks(callbacks: DataFrame, now: int) -> DataFrame:

@@ -49,10 +49,10 @@ add("prj_3_interpolate_json", inputs(lambda d: d.select("run_id", x.interpolate_
 add("prj_4_flatten_context", over("v_attempts", lambda a: results(a).select("run_id", F.explode(x.flatten_context(F.col("inputs"), F.col("run_id"), F.col("results"))).alias("k", "v")).groupBy("run_id").agg(F.count("*").alias("n_keys"), F.max(F.when(F.col("k") == "results.n1.status", F.col("v"))).alias("n1_status"))),
     f"SELECT run_id, CAST(2 + 3 * count(*) AS BIGINT) AS n_keys, max(CASE WHEN node_id = 'n1' THEN status END) AS n1_status FROM ({LAST}) AS x GROUP BY run_id")
 add("prj_5_where_truthy", over("v_signals", lambda s: x.where_truthy(s, "payload_outcome").select("event_id", "payload_outcome")), "SELECT event_id, payload_outcome FROM v_signals WHERE payload_outcome <> ''")
-add("prj_6_compute", over("v_cases", lambda d: x.compute(d.select("run_id", F.col("status").alias("state"), "amount"), open_=F.col("state") != "completed", next_id=F.col("run_id") + 1, name=F.concat("state", F.lit("-"), F.col("run_id").cast("string"))).select("run_id", "open_", "next_id", "name", "status")),
-    "SELECT run_id, CASE WHEN status <> 'completed' THEN 'true' ELSE 'false' END AS open_, CAST(run_id + 1 AS VARCHAR) AS next_id, concat(status, '-', run_id) AS name, 'success' AS status FROM v_cases")
-add("prj_7_to_text", over("v_attempts", lambda a: a.select("run_id", "node_id", "iteration", c.to_text(F.col("input_tokens"), "bigint").alias("t"), c.to_text(F.col("status") == "failed", "boolean").alias("b"), c.to_text(F.when(F.col("iteration") > 1, F.col("status")), "string").alias("s"), c.to_text(F.col("input_tokens").cast("double"), "double").alias("d"))),
-    "SELECT run_id, node_id, iteration, CAST(input_tokens AS VARCHAR) AS t, CASE WHEN status = 'failed' THEN 'true' ELSE 'false' END AS b, CASE WHEN iteration > 1 THEN status ELSE '' END AS s, CAST(input_tokens AS VARCHAR) AS d FROM v_attempts")
+add("prj_6_compute", over("v_cases", lambda d: x.compute(d.select("run_id", F.col("status").alias("state"), "amount"), open_=F.col("state") != "completed", share=F.col("amount").cast("double") / 4096, next_id=F.col("run_id") + 1, name=F.concat("state", F.lit("-"), F.col("run_id").cast("string"))).select("run_id", "open_", "next_id", "name", "status", "share")),
+    "SELECT run_id, CASE WHEN status <> 'completed' THEN 'true' ELSE 'false' END AS open_, CAST(run_id + 1 AS VARCHAR) AS next_id, concat(status, '-', run_id) AS name, 'success' AS status, regexp_replace(CAST(amount / 4096.0::DOUBLE AS VARCHAR), '\\.0$', '') AS share FROM v_cases")
+add("prj_7_to_text", over("v_attempts", lambda a: a.select("run_id", "node_id", "iteration", c.to_text(F.col("input_tokens"), "bigint").alias("t"), c.to_text(F.col("status") == "failed", "boolean").alias("b"), c.to_text(F.when(F.col("iteration") > 1, F.col("status")), "string").alias("s"), c.to_text(F.col("input_tokens").cast("double"), "double").alias("d"), c.to_text(F.col("output_tokens") / F.lit(1024.0), "double").alias("f"), c.to_text((F.col("input_tokens") % 9 + 1) * F.lit(1e22), "double").alias("large"), c.to_text((F.col("input_tokens") % 9 + 1) / F.lit(1e12), "double").alias("small"))),
+    "SELECT run_id, node_id, iteration, CAST(input_tokens AS VARCHAR) AS t, CASE WHEN status = 'failed' THEN 'true' ELSE 'false' END AS b, CASE WHEN iteration > 1 THEN status ELSE '' END AS s, CAST(input_tokens AS VARCHAR) AS d, regexp_replace(CAST(output_tokens / 1024.0::DOUBLE AS VARCHAR), '\\.0$', '') AS f, concat(input_tokens % 9 + 1, repeat('0', 22)) AS large, concat('0.00000000000', input_tokens % 9 + 1) AS small FROM v_attempts")
 add("prj_8_infer_typed", table("events", lambda e: e.select("event_id", F.try_variant_get(x.infer_typed(F.col("props")), "$.k", "bigint").alias("k"), x.infer_typed(F.col("event_type")).isNull().alias("plain"))),
     "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, true AS plain FROM events")
 add("prj_9_referenced_fields", over("v_flow_edges", lambda e: e.select("flow_id", "pos", F.array_join(x.referenced_fields(F.col("condition")), ",").alias("fields"))),
@@ -62,11 +62,12 @@ add("prj_10_readable", inputs(lambda d: d.select("run_id", F.array_join(F.array_
 
 
 def _get(d):
-    values, missing, denied = x.context_get(F.col("inputs"), ["market.priority", "market.nothing", "api_token"])
-    return d.select("run_id", F.size(values).cast("long").alias("n_values"), F.array_join(missing, ",").alias("missing"), F.array_join(denied, ",").alias("denied"))
+    values, missing, denied = x.context_get(F.col("inputs"), [" market.priority ", "market.nothing", "", "api_token", "  ", "__depth"])
+    own, _, barred = x.context_get(F.col("inputs"), ["api_token ", "market.question", "__depth"], ["api_token", "__depth"])
+    return d.select("run_id", F.size(values).cast("long").alias("n_values"), F.array_join(missing, ",").alias("missing"), F.array_join(denied, ",").alias("denied"), F.size(own).cast("long").alias("n_allowed"), F.array_join(barred, ",").alias("barred"))
 
 
-add("prj_11_context_get", inputs(_get), f"SELECT run_id, CAST(CASE WHEN p IS NULL THEN 0 ELSE 1 END AS BIGINT) AS n_values, concat(CASE WHEN p IS NULL THEN 'market.priority,' ELSE '' END, 'market.nothing') AS missing, 'api_token' AS denied FROM ({PICK}) AS x")
+add("prj_11_context_get", inputs(_get), f"SELECT run_id, CAST(CASE WHEN p IS NULL THEN 0 ELSE 1 END AS BIGINT) AS n_values, concat(CASE WHEN p IS NULL THEN 'market.priority,' ELSE '' END, 'market.nothing') AS missing, 'api_token,__depth' AS denied, CAST(t AS BIGINT) AS n_allowed, 'market.question,__depth' AS barred FROM ({PICK}) AS x")
 add("prj_12_approved", table("events", lambda e: e.select("event_id", x.approved(F.when(F.col("event_type") == "click", F.lit(" YES ")).when(F.col("event_type") == "view", F.lit("Passed")).otherwise(F.col("event_type"))).alias("ok"))),
     "SELECT event_id, event_type IN ('click', 'view') AS ok FROM events")
 add("prj_13_display_name", over("v_flow_nodes", lambda n: n.select("flow_id", "node_id", x.display_name(F.when(F.col("pos") % 2 == 0, F.concat(F.lit(" Step "), F.col("type"))).otherwise("  "), F.col("node_id")).alias("name"))),
@@ -167,7 +168,7 @@ evt("fn_21_conversions", lambda e: F.coalesce(c.to_int(c.field(e["props"], "k"))
 def _converted(e):
     n = c.field(F.col("props"), "k")
     stamp = F.when(F.col("event_id") % 3 == 0, "no time").otherwise(F.concat(F.lit("2024-01-01T00:00:"), F.lpad(F.col("event_id") % 60, 2, "0"), F.lit("Z")))
-    span = F.when(F.col("event_id") % 4 == 0, "soon").otherwise(F.concat((F.col("event_id") % 5).cast("string"), F.lit("h30m1.5s")))
+    span = F.when(F.col("event_id") % 4 == 0, "soon").when(F.col("event_id") % 4 == 1, F.concat((F.col("event_id") % 5).cast("string"), F.lit("h1h.5s250ms"))).when(F.col("event_id") % 7 == 0, "-0").otherwise(F.concat((F.col("event_id") % 5).cast("string"), F.lit("h30m1.5s")))
     return e.select(
         "event_id", F.coalesce(c.to_uint(F.concat(F.when(F.col("event_id") % 2 == 0, "-").otherwise(""), n)).cast("string"), F.lit("none")).alias("uint"), F.octet_length(c.to_bytes(F.col("event_type"))).cast("long").alias("n_bytes"),
         F.unix_timestamp(c.to_timestamp(stamp)).alias("at"), c.to_duration(span).alias("seconds"), F.concat_ws(",", c.type_of(F.col("event_id")), c.type_of(F.col("value")), c.type_of(F.col("event_type")), c.type_of(F.col("value") > 1), c.type_of(F.array("value"))).alias("types"),
@@ -175,4 +176,4 @@ def _converted(e):
 
 
 add("fn_21b_conversions", table("events", _converted), """SELECT event_id, CASE WHEN event_id % 2 = 1 OR CAST(json_extract_string(props, '$.k') AS BIGINT) = 0 THEN json_extract_string(props, '$.k') ELSE 'none' END AS uint, strlen(event_type) AS n_bytes,
-    CASE WHEN event_id % 3 <> 0 THEN 1704067200 + event_id % 60 END AS at, CASE WHEN event_id % 4 <> 0 THEN CAST(event_id % 5 * 3600 + 1801.5 AS DOUBLE) END AS seconds, 'int,double,string,bool,list' AS types FROM events""")
+    CASE WHEN event_id % 3 <> 0 THEN 1704067200 + event_id % 60 END AS at, CASE WHEN event_id % 4 = 1 THEN CAST(event_id % 5 * 3600 + 3600.75 AS DOUBLE) WHEN event_id % 4 <> 0 AND event_id % 7 = 0 THEN 0.0::DOUBLE WHEN event_id % 4 <> 0 THEN CAST(event_id % 5 * 3600 + 1801.5 AS DOUBLE) END AS seconds, 'int,double,string,bool,list' AS types FROM events""")

@@ -86,7 +86,7 @@ add("jon_9_snapshot_asof", lambda s, d: m.snapshot_asof(query(s, d, DONE), "outp
     f"SELECT a.run_id, a.node_id, a.iteration, b.node_id AS seen_node, max_by(b.output_tokens, (b.completed_at, b.iteration)) AS seen FROM ({DONE}) a JOIN ({DONE}) b ON a.run_id = b.run_id AND b.node_id <> a.node_id AND b.status = 'completed' AND b.completed_at <= a.started_at GROUP BY a.run_id, a.node_id, a.iteration, b.node_id")
 # The output keys and config fields of the types in the flows, written out here once more.
 KEYS = {
-    "api_fetch": ("status outcome raw json_path_value error http_status status_code content_type extracted", "url method headers body basic_auth json_path outcome_mapping timeout_seconds", 1),
+    "api_fetch": ("status outcome raw json_path_value error http_status", "url method headers body basic_auth json_path outcome_mapping timeout_seconds", 1),
     "await_signal": ("status", "reason signal_type correlation_key timeout_seconds required_payload default_outputs timeout_outputs", 1),
     "wait": ("status waited mode start_from anchor_ts ready_at remaining_seconds", "duration_seconds mode start_from max_inline_seconds", 2),
     "map": ("status results total_items total_batches completed_batches failed_batches skipped_batches first_error", "items_key inline batch_size batch_input_key batch_index_input_key batch_start_index_input_key batch_end_index_input_key batch_item_count_input_key max_concurrency on_error max_items max_depth per_batch_timeout_seconds input_mappings", 5),
@@ -161,13 +161,33 @@ VALUE = "CASE WHEN x0 >= 1500 THEN x0 WHEN x0 * 1.5 >= 1500 THEN x0 * 1.5 WHEN x
 
 
 def _registered(spark, d):
-    ops = e.Operators()
-    ops.register("net", lambda df: df.withColumn("net", F.col("l_extendedprice") * (1 - F.col("l_discount"))), ["net"])
-    ops.register("big", lambda df: df.filter(F.col("net") > 50_000), ["net"])
-    return ops.apply(spark.read.parquet(f"{d}/lineitem.parquet"), "net", "big").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "net")
+    ops, line = e.Operators(), "l_orderkey bigint, l_linenumber {0}, l_extendedprice double, l_discount double"
+    lines = spark.read.parquet(f"{d}/lineitem.parquet")
+    takes = line.format(lines.schema["l_linenumber"].dataType.simpleString())
+    ops.register(spark, "net", lambda df: df.withColumn("net", F.col("l_extendedprice") * (1 - F.col("l_discount"))), takes, "net double")
+    ops.register(spark, "big", lambda df: df.filter(F.col("net") > 50_000), "net double", "net double")
+    return ops.apply(lines, "net", "big").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "net")
 
 
 add("udf_1_register", _registered, "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice * (1 - l_discount) AS net FROM lineitem WHERE l_extendedprice * (1 - l_discount) > 50000")
+
+
+def _dotted(row):
+    parts = row["signal_type"].split(".")
+    for n in range(1, len(parts) + 1):
+        yield row["event_id"], ".".join(parts[:n])
+
+
+def _from_sql(spark, d):
+    """A table function that is registered by name and called from SQL, over parts of its table."""
+    e.register_table_function(spark, "dotted_prefixes", _dotted, "event_id bigint, prefix string")
+    view(spark, d, "v_signals").createOrReplaceTempView("all_signals")
+    return spark.sql("SELECT event_id, prefix FROM dotted_prefixes(TABLE(SELECT event_id, signal_type FROM all_signals) PARTITION BY event_id)")
+
+
+add("udf_1b_table_function", _from_sql, "SELECT event_id, unnest(list_transform(range(1, len(string_split(signal_type, '.')) + 1), lambda n: array_to_string(list_slice(string_split(signal_type, '.'), 1, n), '.'))) AS prefix FROM v_signals")
+
+
 def _catalog(s, d):
     """The types of the flows' nodes with their output keys and config fields, in order."""
     one = lambda df, c, name: df.groupBy("type").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", c))), lambda x: x[c]), " ").alias(name))

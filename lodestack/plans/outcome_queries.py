@@ -35,9 +35,11 @@ add("win_4_loop_first", over("v_hops", lambda h: o.loop_first(h).select("run_id"
 add("win_5_token_budget", over("v_attempts", lambda a: o.token_budget(a, 1000).select("run_id", "node_id", "iteration", "running", "budget")),
     """SELECT run_id, node_id, iteration, CAST(running AS BIGINT) AS running, CASE WHEN running <= 1000 THEN 'ok' WHEN running - own <= 1000 THEN 'exceeded' ELSE 'not_run' END AS budget
        FROM (SELECT *, input_tokens + output_tokens AS own, sum(input_tokens + output_tokens) OVER (PARTITION BY run_id ORDER BY started_at, part_id, source_id, node_id ROWS UNBOUNDED PRECEDING) AS running FROM v_attempts) AS x""")
-add("win_6_first_return", over("v_attempts", lambda a: o.first_return(a).select("run_id", "node_id", "iteration", "final_status")),
-    """SELECT run_id, node_id, iteration, CASE WHEN nth > min(CASE WHEN node_type = 'return' AND status = 'completed' THEN nth END) OVER (PARTITION BY run_id) THEN 'skipped' ELSE status END AS final_status
-       FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY started_at, part_id, source_id, node_id) AS nth FROM v_attempts) AS x""")
+# Attempts of which some have not begun or wait for something.
+PARKED = "SELECT run_id, node_id, iteration, node_type, started_at, part_id, source_id, CASE WHEN node_type = 'step' AND part_id % 5 = 0 THEN 'pending' WHEN node_type = 'step' AND part_id % 7 = 0 THEN 'waiting' ELSE status END AS status FROM v_attempts"
+add("win_6_first_return", lambda s, d: o.first_return(query(s, d, PARKED)).select("run_id", "node_id", "iteration", "final_status"),
+    f"""SELECT run_id, node_id, iteration, CASE WHEN nth > won OR won IS NOT NULL AND status IN ('pending', 'waiting') THEN 'skipped' ELSE status END AS final_status
+       FROM (SELECT *, min(CASE WHEN node_type = 'return' AND status = 'completed' THEN nth END) OVER (PARTITION BY run_id) AS won FROM (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY started_at, part_id, source_id, node_id) AS nth FROM ({PARKED}) AS p) AS x) AS y""")
 add("win_7_retry_schedule", over("v_callbacks", lambda c: o.retry_schedule(c).select("run_id", "delay_seconds", "next_unix")),
     "SELECT run_id, d AS delay_seconds, last_attempt_unix + d AS next_unix FROM (SELECT *, CAST(CASE WHEN delivered THEN 0 ELSE least(attempts, 60) END AS BIGINT) AS d FROM v_callbacks) AS x")
 add("win_8_time_budget", over("v_attempts", lambda a: o.time_budget(a, 30 * 86400).select("run_id", "node_id", "iteration", "cut")),
@@ -68,18 +70,20 @@ add("agg_7_is_valid", over("v_issues", o.is_valid), "SELECT flow_id, bool_and(se
 add("agg_8_source_agreement", over("v_sources", o.source_agreement),
     """SELECT app_id, CASE WHEN count(*) = 1 AND sum(f) = 0 THEN min(outcome) ELSE 'inconclusive' END AS consensus, CAST(sum(n) AS BIGINT) AS answers, CAST(max(n) AS DOUBLE) / CAST(sum(n) AS DOUBLE) AS majority_share
        FROM (SELECT app_id, outcome, count(*) AS n, sum(CASE WHEN status = 'failed' THEN 1 ELSE 0 END) AS f FROM v_sources GROUP BY app_id, outcome) AS x GROUP BY app_id""")
-add("agg_9_node_state", over("v_attempts", o.node_state),
-    "SELECT run_id, node_id, iteration, status, started_at, input_tokens, output_tokens FROM (SELECT *, row_number() OVER (PARTITION BY run_id, node_id ORDER BY iteration DESC) AS k FROM v_attempts) AS x WHERE k = 1")
+# Pairs of attempts share an iteration and are told apart by when they completed.
+ENDED = "SELECT run_id, node_id, (iteration + 1) DIV 2 AS iteration, CASE WHEN part_id % 4 > 0 THEN status END AS status, started_at, concat(CAST(started_at AS STRING), '+', lpad(CAST(part_id % 7 AS STRING), 2, '0'), '-', lpad(CAST(part_id AS STRING), 9, '0'), lpad(CAST(source_id AS STRING), 9, '0'), lpad(CAST(iteration AS STRING), 4, '0')) AS completed_at, CASE WHEN status = 'failed' THEN concat('failed at ', node_id) END AS error, input_tokens, output_tokens FROM v_attempts"
+add("agg_9_node_state", lambda s, d: o.node_state(query(s, d, ENDED)),
+    f"SELECT run_id, node_id, iteration, coalesce(status, 'completed') AS status, started_at, completed_at, coalesce(error, '') AS error, input_tokens, output_tokens FROM (SELECT *, row_number() OVER (PARTITION BY run_id, node_id ORDER BY iteration DESC, completed_at DESC) AS k FROM ({ENDED.replace(' DIV ', ' // ').replace('STRING', 'VARCHAR')}) AS e) AS x WHERE k = 1")
 ODD = "SELECT *, CASE WHEN input_tokens % 2 = 0 THEN input_tokens END AS even_tokens FROM v_attempts"
 add("agg_10_merged_outputs", over("v_attempts", lambda a: o.merged_outputs(a.withColumns({"even_tokens": F.when(F.col("input_tokens") % 2 == 0, F.col("input_tokens")), "activation": F.floor((F.col("iteration") + 1) / 2)}), ["output_tokens", "even_tokens"], "activation")),
     f"""SELECT run_id, node_id, max_by(output_tokens, iteration) AS output_tokens, max_by(even_tokens, CASE WHEN even_tokens IS NOT NULL THEN iteration END) AS even_tokens
         FROM (SELECT *, max((iteration + 1) // 2) OVER (PARTITION BY run_id, node_id) AS last FROM ({ODD}) AS x) AS y WHERE (iteration + 1) // 2 = last GROUP BY run_id, node_id""")
 add("ord_1_stable_order", over("v_attempts", lambda a: o.stable_order(a).select("run_id", "node_id", "iteration", "place")),
     "SELECT run_id, node_id, iteration, row_number() OVER (PARTITION BY run_id ORDER BY CASE WHEN node_type = 'return' THEN 1 ELSE 0 END, node_id, iteration) AS place FROM v_attempts")
-add("ord_2_admit", over("v_cases", lambda c: o.admit(c, 10, "app_id").select("run_id", "app_id", "admitted")),
-    "SELECT run_id, app_id, row_number() OVER (PARTITION BY app_id ORDER BY started_at, run_id) <= 10 AS admitted FROM v_cases")
-add("ord_3_due_timers", over("v_waits", lambda w: o.due_timers(w, NOW)),
-    f"SELECT run_id, earliest FROM (SELECT run_id, coalesce(min(CASE WHEN resume_unix > 0 THEN resume_unix END), 0) AS earliest FROM v_waits GROUP BY run_id) AS x WHERE earliest > 0 AND earliest <= {NOW}")
+add("ord_2_admit", lambda s, d: o.admit(query(s, d, "SELECT run_id, started_at FROM v_cases WHERE status <> 'waiting'"), 1000, query(s, d, "SELECT run_id FROM v_cases WHERE status = 'waiting'").count()).select("run_id", "admitted", "reason"),
+    "SELECT run_id, ok AS admitted, CASE WHEN ok THEN '' ELSE 'queue full' END AS reason FROM (SELECT run_id, row_number() OVER (ORDER BY started_at, run_id) <= 1000 - (SELECT count(*) FROM v_cases WHERE status = 'waiting') AS ok FROM v_cases WHERE status <> 'waiting') AS x")
+add("ord_3_due_timers", lambda s, d: o.due_timers(view(s, d, "v_waits"), view(s, d, "v_cases"), NOW),
+    f"SELECT run_id, earliest FROM (SELECT run_id, coalesce(min(CASE WHEN resume_unix > 0 THEN resume_unix END), 0) AS earliest FROM v_waits GROUP BY run_id) AS x WHERE earliest > 0 AND earliest <= {NOW} AND run_id NOT IN (SELECT run_id FROM v_cases WHERE status IN ('completed', 'failed', 'cancelled'))")
 add("ord_4_pending_callbacks", over("v_callbacks", lambda c: o.pending_callbacks(c, NOW).select("run_id", "attempts", "next_unix")),
     f"SELECT run_id, attempts, last_attempt_unix + least(attempts, 60) AS next_unix FROM v_callbacks WHERE status IN ('completed', 'failed', 'cancelled') AND url <> '' AND NOT delivered AND last_attempt_unix + least(attempts, 60) <= {NOW}")
 KEYS = ["STANDARD", "SMALL", "MEDIUM", "LARGE", "ECONOMY", "PROMO"]

@@ -74,14 +74,16 @@ add("src_5_stream_event_log", lambda sp, d: s.drain(stream(query(sp, d, "SELECT
 
 
 def _append(spark, d):
-    e = query(spark, d, "SELECT event_id AS id, event_type AS type FROM events")
+    """Two thirds of the log by hand, then all of it, null ids too, as a stream that comes twice."""
+    e = query(spark, d, "SELECT CASE WHEN event_id > 0 THEN event_id END AS id, event_type AS type FROM events")
     path = s.folder(e, "append")
     r.append_events(e.filter("id % 3 <> 0"), path)
-    r.append_events(e.union(e.filter("id % 2 = 0")), path)
+    for _ in range(2):
+        r.append_stream(stream(e.union(e.filter("id IS NULL OR id % 2 = 0")), "append-events"), path, s.folder(e, "append-checkpoint"))
     return spark.read.schema(e.schema).parquet(path).select("id", "type")
 
 
-add("src_6_append_events", _append, "SELECT event_id AS id, event_type AS type FROM events")
+add("src_6_append_events", _append, "SELECT CASE WHEN event_id > 0 THEN event_id END AS id, event_type AS type FROM events")
 STORED = "SELECT run_id, CAST(run_id % 3 AS BIGINT) AS revision, status FROM v_cases WHERE status <> 'queued'"
 # Several rows of one run, at stored, older and newer revisions, some of them equal.
 INCOMING = "SELECT run_id, revision % 3 AS revision, status, revision // 2 AS seq FROM v_revisions UNION ALL SELECT run_id, CAST(run_id % 3 AS BIGINT), status, CAST(1 AS BIGINT) FROM v_cases UNION ALL SELECT run_id, CAST(run_id % 3 AS BIGINT), status, CAST(1 AS BIGINT) FROM v_cases"

@@ -107,14 +107,14 @@ def _tokens(pdf):
     return int(pdf["output_tokens"].sum()), int(pdf["input_tokens"].sum()), int(pdf["output_tokens"].sum())
 
 
-def _apply(on_error, concurrency=0):
+def _apply(on_error, concurrency=1):
     return over("v_attempts", lambda a: b.apply_batches(a.select("run_id", "node_id", "status", "input_tokens", "output_tokens"), ["run_id", "node_id"], _tokens, "result long", on_error, concurrency))
 
 
 APPLIED = """SELECT run_id, node_id, bool_and(status = 'failed') AS bad, CAST(sum(output_tokens) AS BIGINT) AS out_tokens, CAST(sum(input_tokens) AS BIGINT) AS in_tokens FROM v_attempts GROUP BY run_id, node_id"""
 add("bat_3_apply_batches", _apply("continue"),
     f"SELECT run_id, node_id, CASE WHEN NOT bad THEN out_tokens END AS result, CASE WHEN bad THEN 'failed' ELSE 'completed' END AS status, CASE WHEN bad THEN 'all steps failed' ELSE '' END AS error, in_tokens AS input_tokens, CASE WHEN bad THEN 0 ELSE out_tokens END AS output_tokens FROM ({APPLIED}) AS x")
-add("bat_3b_fail_fast", _apply("fail", 4),
+add("bat_3b_fail_fast", _apply("fail"),
     f"""SELECT run_id, node_id, CASE WHEN NOT bad AND NOT off THEN out_tokens END AS result, CASE WHEN off THEN 'skipped' WHEN bad THEN 'failed' ELSE 'completed' END AS status, CASE WHEN bad AND NOT off THEN 'all steps failed' ELSE '' END AS error,
         CASE WHEN off THEN 0 ELSE in_tokens END AS input_tokens, CASE WHEN bad OR off THEN 0 ELSE out_tokens END AS output_tokens
         FROM (SELECT *, coalesce(bool_or(bad) OVER (PARTITION BY run_id ORDER BY node_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS off FROM ({APPLIED}) AS x) AS y""")

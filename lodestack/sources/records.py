@@ -57,23 +57,33 @@ def stream_event_log(spark: SparkSession, path: str, schema: str = EVENT, fmt: s
     return spark.readStream.schema(schema).format(fmt).option("maxFilesPerTrigger", files).load(path)
 
 
-def append_events(events: DataFrame, path: str, key: str = "id", shard: int = 1_000_000) -> DataFrame:
-    """SRC-6: append the events whose id is not there yet; returns those.
+def append_events(events: DataFrame, path: str, key: str = "id", shard: int = 1_000_000, batch: int | None = None) -> DataFrame:
+    """SRC-6: append the events whose id is not there yet; returns those. A null id is an id like others, and is there once.
 
-    The log is partitioned by ranges of `shard` ids, so that an append looks for known ids only in the ranges
-    that its own ids span, not in the whole log.
+    The log is partitioned by batch and by ranges of `shard` ids, so that an append looks for known ids only in the
+    ranges that its own ids span, not in the whole log. A batch that has a number (of a stream) replaces what it wrote
+    before and does not look at itself; others get the next free one.
     """
     spark = events.sparkSession
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    there = [int(s.getPath().getName()[6:]) for s in (fs.listStatus(at) if fs.exists(at) else []) if s.getPath().getName().startswith("batch=")]
+    batch = max(there, default=-1) + 1 if batch is None else batch
     fresh = events.dropDuplicates([key]).withColumn("shard", F.floor(F.col(key) / shard))
-    span = fresh.agg(F.min("shard").alias("lo"), F.max("shard").alias("hi")).first()
-    try:
-        log = spark.read.schema(fresh.schema).parquet(path).filter(F.col("shard").between(span["lo"], span["hi"]))
-        fresh = fresh.join(log.select(key), key, "left_anti").select(*events.columns, "shard")
-    except Exception as e:  # the first append finds no table
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-    fresh.write.mode("append").partitionBy("shard").parquet(path)
-    return fresh.drop("shard")
+    if others := [f"{path}/batch={b}" for b in there if b != batch]:
+        span = fresh.agg(F.min("shard").alias("lo"), F.max("shard").alias("hi")).first()
+        log = spark.read.schema(fresh.schema).option("basePath", path).parquet(*others).filter(F.col("shard").isNull() | F.col("shard").between(span["lo"], span["hi"]))
+        known = log.select(F.col(key).alias("__known"))
+        fresh = fresh.join(known, fresh[key].eqNullSafe(known["__known"]), "left_anti").select(*events.columns, "shard")
+    out = f"{path}/batch={batch}"
+    fresh.write.mode("overwrite").partitionBy("shard").parquet(out)
+    return spark.read.schema(fresh.schema).parquet(out).drop("shard")
+
+
+def append_stream(stream: DataFrame, path: str, checkpoint: str, key: str = "id", shard: int = 1_000_000) -> None:
+    """SRC-6 as a stream: every batch of it is an append under the batch's own number, so that one that is run again after a failure adds nothing."""
+    sink = lambda events, batch: append_events(events, path, key, shard, batch) and None
+    stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
 
 
 def upsert_revisions(current: DataFrame, incoming: DataFrame, order: str | None = None) -> tuple[DataFrame, DataFrame]:

@@ -88,6 +88,111 @@ def test_unknown_operators_fail_before_anything_runs(spark):
         ops.apply(spark.range(1), "nothing")
 
 
+def test_operators_of_wrong_types_fail_at_registration(spark):
+    ops, ran = extension.Operators(), []
+    with pytest.raises(TypeError, match="x string .not bigint"):
+        ops.register(spark, "a", lambda df: df.withColumn("x", F.col("id") + 1), "id bigint", "x string")
+    with pytest.raises(TypeError, match="y bigint .not there"):
+        ops.register(spark, "a", lambda df: df, "id bigint", "y bigint")
+    ops.register(spark, "b", lambda df: ran.append(df) or df.withColumn("x", F.col("id") + 1), "id bigint", "x bigint")
+    with pytest.raises(TypeError, match="takes id bigint .not string"):
+        ops.apply(spark.range(1).select(F.col("id").cast("string").alias("id")), "b")
+    assert len(ran) == 1 and [r["x"] for r in ops.apply(spark.range(2), "b").collect()] == [1, 2]
+
+
+@pytest.mark.parametrize("x", [0.5, 1e-12, 1e30, 1e300, -2.5e-7, 123456789.125, 0.0, -0.0, 5e-324, 1.7976931348623157e308, 1e7, 0.001, 100.0, 1e22, -3.25])
+def test_numbers_as_text_read_back(spark, x):
+    from decimal import Decimal
+
+    got = value(spark, c.to_text(F.lit(x), "double"))
+    assert float(got) == x and "E" not in got.upper() and (Decimal(got) == Decimal(repr(x)) or abs(x) < 1e-320) and not (("." in got) and got.endswith("0"))
+
+
+def test_numbers_without_a_decimal(spark):
+    assert [value(spark, c.to_text(F.lit(x), "double")) for x in (float("nan"), float("inf"), float("-inf"))] == ["NaN", "+Inf", "-Inf"]
+    assert value(spark, c.to_text(F.lit(None).cast("double"), "double")) == ""
+
+
+@pytest.mark.parametrize("text, want", [("1h1h", 7200.0), ("0", 0.0), ("-0", 0.0), ("1\u00b5s", 1e-6), ("1\u03bcs", 1e-6), ("1.5h.5m2.s", 5432.0), ("-1m1ms1us1ns", -60.001001001), ("1", None), ("1h ", None), ("h", None), ("", None), ("1d", None), (".s", None)])
+def test_durations(spark, text, want):
+    got = value(spark, c.to_duration(F.lit(text)))
+    assert got == want or got == pytest.approx(want, abs=1e-12)
+
+
+def test_batches_stop_at_the_first_failure(spark, tmp_path):
+    """fn is called once where the first of ten fails, and as often as there are batches up to it elsewhere; a null key is a key."""
+    rows = [(k, i, (i, k)[0], bad) for k, bad in (("a", 0), ("b", 3), ("c", 99), (None, 1)) for i in range(10) for _ in range(2)]
+    df = spark.createDataFrame(rows, "k string, i long, v long, bad long").repartition(4)
+
+    def fn(pdf):
+        with open(f"{tmp_path}/{pdf['k'].iloc[0]}-{pdf['i'].iloc[0]}", "a") as f:
+            f.write("x")
+        if pdf["v"].iloc[0] == pdf["bad"].iloc[0]:
+            raise ValueError("stop")
+        return len(pdf)
+
+    got = batching.apply_batches(df, ["k", "i"], fn, "result long", "fail").collect()
+    by = lambda k: [(r["status"], r["result"]) for r in sorted((r for r in got if r["k"] == k), key=lambda r: r["i"])]
+    assert by("a") == [("failed", None)] + [("skipped", None)] * 9 and by("b") == [("completed", 2)] * 3 + [("failed", None)] + [("skipped", None)] * 6
+    assert by("c") == [("completed", 2)] * 10 and by(None)[1:3] == [("failed", None), ("skipped", None)]
+    assert len(list(tmp_path.iterdir())) == 1 + 4 + 10 + 2 and all(f.read_text() == "x" for f in tmp_path.iterdir())
+    for n in (0, 1, 3):
+        every = batching.apply_batches(df, ["k", "i"], lambda p: 100 // int(p["v"].iloc[0]), "result long", concurrency=n).collect()
+        assert sorted((str(r["k"]), r["i"], r["status"]) for r in every) == sorted((k, i, "completed" if i else "failed") for k in ("a", "b", "c", "None") for i in range(10))
+
+
+def test_a_batch_may_span_frames(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        df = spark.range(40).select((F.col("id") % 2).alias("k"), F.floor(F.col("id") / 16).alias("i"), "id")
+        got = batching.apply_batches(df, ["k", "i"], lambda p: int(p["id"].sum()), "result long", "fail").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert sorted((r["k"], r["i"], r["result"]) for r in got) == sorted((k, i, sum(x for x in range(40) if x % 2 == k and x // 16 == i)) for k in (0, 1) for i in (0, 1, 2))
+
+
+@pytest.mark.parametrize("depth", [10, 600, 5000])
+def test_deep_objects_are_recovered(depth):
+    deep = '{"a": [' * depth + "1" + "]}" * depth
+    assert judgments.last_object(f"so {deep} ends") == deep and judgments.last_object(deep) == deep
+    assert judgments.last_object(f'so {deep[:-1]},] then {{"b": 2}}') == '{"b": 2}'
+
+
+def test_errors_in_json_are_placed():
+    rng = random.Random(4)
+    pieces = ["{", "}", "[", "]", ",", ":", '"a"', '"\\u00e9"', '"\\x"', "1", "-0.5e+3", "01", "true", "nul", " ", "\n"]
+    for _ in range(4000):
+        text = "".join(rng.choice(pieces) for _ in range(rng.randint(1, 9)))
+        try:
+            judgments.strict().decode(text)
+            good = True
+        except ValueError:
+            good = False
+        assert (judgments.error_in(text) < 0) == good, text
+
+
+def test_appends_know_null_ids_and_their_own_batch(spark, tmp_path):
+    schema, path = "id long, type string", str(tmp_path / "log")
+    ids = lambda: sorted((r["id"] is not None, r["id"] or 0) for r in spark.read.schema(schema).parquet(path).collect())
+    first = spark.createDataFrame([(None, "x"), (1, "y"), (2_000_000, "z"), (None, "x")], schema)
+    for n in (3, 0, 0):
+        assert records.append_events(first, path).count() == n
+    # A batch of a stream that is run again replaces itself.
+    more = spark.createDataFrame([(5, "a"), (1, "y"), (None, "b")], schema)
+    for _ in range(2):
+        assert [r["id"] for r in records.append_events(more, path, batch=7).collect()] == [5]
+    assert ids() == [(False, 0), (True, 1), (True, 5), (True, 2_000_000)]
+
+
+def test_admission_counts_over_the_whole_table(spark):
+    from lodestack.operators import outcomes
+
+    cases = spark.createDataFrame([(i, i % 7, 100 - i) for i in range(50)], "run_id long, app_id long, started_at long").repartition(4)
+    got = outcomes.admit(cases, 20, 5)
+    assert sorted(r["run_id"] for r in got.filter("admitted").collect()) == list(range(35, 50)) and {r["reason"] for r in got.filter("NOT admitted").collect()} == {"queue full"}
+    assert "Window" not in got._jdf.queryExecution().toString() and outcomes.admit(cases, 3, 9).filter("admitted").count() == 0
+
+
 def test_flow_corpus(spark, tmp_path):
     for i in range(3):
         (tmp_path / f"{i}.json").write_text(json.dumps({"id": f"f{i}", "name": "x", "version": 1, "nodes": [{"id": "a", "type": "wait", "config": {"duration_seconds": 5}}, {"id": "b", "type": "return"}], "edges": [{"from": "a", "to": "b"}]}))
