@@ -11,8 +11,10 @@ from .context import referenced_fields
 
 # Signals of one key that one task joins; keys with more are salted.
 PER_SALT = 1_000_000
-# Waits that assign_once takes at a time, and slices of a class of signals.
+# Waits that assign_in_blocks takes at a time, and slices of a class of signals.
 BLOCK, SLICES = 10_000, 64
+# Signals of a class that assign_in_rounds counts in one task.
+CHUNK = 100_000
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -147,8 +149,8 @@ def block_candidates(block: DataFrame, n: int, free: DataFrame) -> DataFrame:
     return free.join(own.union(shared).distinct(), "event_id")
 
 
-def assign_once(waits: DataFrame, signals: DataFrame, block_size: int = BLOCK) -> DataFrame:
-    """JON-3 with one-use signals: all signal waits, of one key and of any, take in parking order the smallest signal that is left.
+def assign_in_blocks(waits: DataFrame, signals: DataFrame, block_size: int = BLOCK) -> DataFrame:
+    """JON-3 with one-use signals, serially: (wait_id, idempotency_key, event_id).
 
     What a wait gets depends on all waits before it, so waits are taken in blocks of the parking order. A block's
     candidates are picked by Spark from the signals that are left, a class of waits at a time and without pairs
@@ -191,6 +193,62 @@ def assign_once(waits: DataFrame, signals: DataFrame, block_size: int = BLOCK) -
     return waits.sparkSession.createDataFrame([], schema) if done is None else done
 
 
+def assign_in_rounds(waits: DataFrame, signals: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """JON-3 with one-use signals, in parallel rounds: (wait_id, idempotency_key, event_id).
+
+    Waits of one class (key, type, needs) want the same signals in the same order, so the i-th of them takes the i-th that
+    other classes leave to it. A round guesses from the last one what those leave: each signal of a class meets the wait whose turn
+    it would be, and is lost to the class if an earlier wait of another class meets it. What the first waits get is
+    right after a round, and what hangs on it after the next, so that rounds follow the longest chain of waits that
+    compete for each other's signals, and end when nothing changes. With keys at random that is a few rounds for any number of waits. Turns are counts over chunks of each
+    class, so that no task sees a class.
+    """
+    needs = F.explode(F.when(F.col("full"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False))))
+    cls = [*CLASS, "needs"]
+    w = classed(waits).withColumn("needs", F.col("needs_outcome")).select("wait_id", "parked_unix", *cls)
+    w = placed(w, ["parked_unix", "wait_id"], "pos")
+    w = written(placed(w, [*cls, "pos"], "at"), "waits-in-order")
+    classes = written(w.groupBy(*cls).agg(F.min("at").alias("w_start"), F.count("*").alias("n_waits")), "classes")
+    n_waits = w.count()
+    s = signals.select("event_id", "idempotency_key", "correlation_key", "signal_type", (F.col("payload_outcome") != "").alias("full"))
+    s = looked_up(s.select("event_id", "idempotency_key", "correlation_key", "signal_type", "full")).withColumn("needs", needs).drop("full")
+    s = s.join(classes.select(*cls), cls)
+    s = written(placed(s, [*cls, "idempotency_key", "event_id"], "at"), "signals-in-order")
+    starts = s.groupBy(*cls).agg(F.min("at").alias("s_start"))
+    # A class's signals beyond as many as there are waits are never reached: others cannot take all before.
+    s = s.join(starts.join(classes, cls).withColumn("cls", F.xxhash64(*cls)), cls).withColumn("rank", F.col("at") - F.col("s_start")).filter(F.col("rank") < n_waits)
+    s = written(s.select("w_start", "n_waits", "rank", "event_id", "idempotency_key", F.lit(False).alias("lost")), "turns")
+    turns = w.select(F.col("at").alias("turn"), "pos", "wait_id")
+    while True:
+        part = F.floor(F.col("rank") / chunk)
+        counts = s.groupBy("w_start", part.alias("part")).agg(F.count_if("lost").alias("n"))
+        before = F.coalesce(F.sum("n").over(Window.partitionBy("w_start").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        counts = counts.select(F.col("w_start").alias("c_start"), "part", before.alias("lost_before"))
+        inside = F.count_if("lost").over(Window.partitionBy("w_start", "part").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1))
+        r = s.withColumn("part", part).withColumn("lost_inside", inside)
+        r = r.join(counts.withColumnRenamed("part", "c_part"), (F.col("w_start") == F.col("c_start")) & (F.col("part") == F.col("c_part")))
+        turn = F.col("rank") - F.col("lost_before") - F.coalesce("lost_inside", F.lit(0))
+        # Beyond a class's last wait no one wants its signals.
+        r = r.withColumn("turn", F.when(turn < F.col("n_waits"), F.col("w_start") + turn)).join(turns, "turn", "left")
+        r = written(r.select("w_start", "n_waits", "rank", "event_id", "idempotency_key", "lost", "pos", "wait_id"), "met")
+        first = r.filter("NOT lost AND pos IS NOT NULL").groupBy("event_id").agg(F.min("pos").alias("first"))
+        now = F.coalesce(F.col("first") < F.col("pos"), F.lit(False))
+        r = written(r.join(first, "event_id", "left").withColumn("now", now), "rounds")
+        if r.filter("lost <> now").isEmpty():
+            return r.filter("NOT lost AND pos IS NOT NULL").select("wait_id", "idempotency_key", "event_id")
+        s = r.select("w_start", "n_waits", "rank", "event_id", "idempotency_key", F.col("now").alias("lost"))
+
+
+def assign_once(waits: DataFrame, signals: DataFrame) -> DataFrame:
+    """JON-3 with one-use signals: all signal waits, of one key and of any, take in parking order the smallest signal that is left.
+
+    Where each wait has a key, waits of different keys do not compete, and parallel rounds settle them. A wait of any key
+    competes with all others, so that each one may hang on the one before: tables with such waits go in blocks.
+    """
+    loose = waits.filter("kind = 'signal' AND correlation_key = ''").isEmpty()
+    return assign_in_rounds(waits, signals) if loose else assign_in_blocks(waits, signals)
+
+
 def deliver(waits: DataFrame, signals: DataFrame) -> DataFrame:
     """JON-4: per signal (with run_id, the run that it goes to) the waits parked in that run that it matches, and whether all accept its
     payload; one that does not rejects the delivery.

@@ -172,7 +172,8 @@ def with_views(sql: str) -> str:
     body = sql.strip()
     if not defs:
         return body
-    return f"WITH {', '.join(defs)}" + (f",\n{body[5:]}" if body.startswith("WITH ") else f"\n{body}")
+    own = re.match(r"WITH (RECURSIVE )?", body)
+    return f"WITH {own and own[1] or ''}{', '.join(defs)}" + (f",\n{body[own.end():]}" if own else f"\n{body}")
 
 
 def query(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:

@@ -243,10 +243,50 @@ def test_one_use_signals_serve_waits_of_any_key(spark):
     any_key = {r[0] for r in waits if r[2] == ""}
     assert any_key & {r[0] for r in want}
     for size in (7, 25, 1000):
-        assert sorted(tuple(r) for r in matching.assign_once(w, s, size).collect()) == sorted(want), size
+        assert sorted(tuple(r) for r in matching.assign_in_blocks(w, s, size).collect()) == sorted(want), size
+    # Rounds give the same, in chunks of any size, and so does what picks between the two.
+    for chunk in (3, 100_000):
+        assert sorted(tuple(r) for r in matching.assign_in_rounds(w, s, chunk).collect()) == sorted(want), chunk
+    assert sorted(tuple(r) for r in matching.assign_once(w, s).collect()) == sorted(want)
     assert matching.assign_once(w.filter("false"), s).count() == 0
 
 
+def test_rounds_do_not_grow_with_waits(spark, monkeypatch):
+    """Ten times as many waits of random keys take about as many rounds, and some get what a serial run gives them."""
+    done, write = [], matching.written
+    monkeypatch.setattr(matching, "written", lambda df, label: done.append(label) or write(df, label))
+    rounds = []
+    for n in (300, 3000):
+        rng = random.Random(n)
+        waits = [(i, "signal", f"k{rng.randrange(n // 2)}", rng.choice(["", "a", "b"]), rng.random() < 0.5, rng.randrange(10**6)) for i in range(n)]
+        signals = [(i, f"i{rng.randrange(10**6)}", f"k{rng.randrange(n // 2)}", rng.choice(["a", "a.x", "b"]), rng.choice(["", "y"])) for i in range(2 * n)]
+        w = spark.createDataFrame(waits, "wait_id long, kind string, correlation_key string, signal_type string, needs_outcome boolean, parked_unix long")
+        s = spark.createDataFrame(signals, "event_id long, idempotency_key string, correlation_key string, signal_type string, payload_outcome string")
+        used, want = set(), []
+        own = {}
+        for r in sorted(signals, key=lambda r: (r[1], r[0])):
+            own.setdefault(r[2], []).append(r)
+        for i, _, key, kind_of, needs, _ in sorted(waits, key=lambda r: (r[5], r[0])):
+            best = next((r for r in own.get(key, []) if matching.dotted_match(kind_of, r[3]) and (r[4] or not needs) and r[0] not in used), None)
+            if best:
+                used.add(best[0])
+                want.append((i, best[1], best[0]))
+        done.clear()
+        assert sorted(tuple(r) for r in matching.assign_once(w, s).collect()) == sorted(want)
+        rounds.append(done.count("rounds"))
+    assert rounds[1] <= rounds[0] + 4
+
+
+def test_every_issue_code_and_field_is_in_a_case():
+    from lodestack.plans import lint_queries as q
+
+    codes = {code for own in lint.rules().values() for code, _ in own} | {f"{lint.PREFIX.get(t, t.upper())}_CONFIG_INVALID" for t in extension.FIELDS}
+    assert {x for _, _, c in q.CASES for x in c.split()} == codes
+    right = {t: [json.loads(c) for x, c, codes in q.CASES if x == t and not codes] for t in extension.FIELDS}
+    one_of = {"gadget": {"blueprint_json", "inline"}}
+    assert all(set().union(*right[t]) | one_of.get(t, set()) == set(fields) for t, fields in extension.FIELDS.items())
+
+
 def test_streamed_matches_have_no_limit_in_time(spark, tmp_path):
     """Signals years from their waits, before and after, late ones, and waits of any key."""
     waits = [(1, "k", "a", "2024-01-01"), (2, "k", "", "2031-06-01"), (3, "", "a", "2024-01-02"), (4, "", "", "2020-01-01"), (5, "none", "a", "2024-01-01")]
