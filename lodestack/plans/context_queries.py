@@ -51,8 +51,8 @@ add("prj_4_flatten_context", over("v_attempts", lambda a: results(a).select("run
 add("prj_5_where_truthy", over("v_signals", lambda s: x.where_truthy(s, "payload_outcome").select("event_id", "payload_outcome")), "SELECT event_id, payload_outcome FROM v_signals WHERE payload_outcome <> ''")
 add("prj_6_compute", over("v_cases", lambda d: x.compute(d.select("run_id", F.col("status").alias("state"), "amount"), open_=F.col("state") != "completed", share=F.col("amount").cast("double") / 4096, next_id=F.col("run_id") + 1, name=F.concat("state", F.lit("-"), F.col("run_id").cast("string"))).select("run_id", "open_", "next_id", "name", "status", "share")),
     "SELECT run_id, CASE WHEN status <> 'completed' THEN 'true' ELSE 'false' END AS open_, CAST(run_id + 1 AS VARCHAR) AS next_id, concat(status, '-', run_id) AS name, 'success' AS status, regexp_replace(CAST(amount / 4096.0::DOUBLE AS VARCHAR), '\\.0$', '') AS share FROM v_cases")
-add("prj_7_to_text", over("v_attempts", lambda a: a.select("run_id", "node_id", "iteration", c.to_text(F.col("input_tokens"), "bigint").alias("t"), c.to_text(F.col("status") == "failed", "boolean").alias("b"), c.to_text(F.when(F.col("iteration") > 1, F.col("status")), "string").alias("s"), c.to_text(F.col("input_tokens").cast("double"), "double").alias("d"), c.to_text(F.col("output_tokens") / F.lit(1024.0), "double").alias("f"), c.to_text((F.col("input_tokens") % 9 + 1) * F.lit(1e22), "double").alias("large"), c.to_text((F.col("input_tokens") % 9 + 1) / F.lit(1e12), "double").alias("small"))),
-    "SELECT run_id, node_id, iteration, CAST(input_tokens AS VARCHAR) AS t, CASE WHEN status = 'failed' THEN 'true' ELSE 'false' END AS b, CASE WHEN iteration > 1 THEN status ELSE '' END AS s, CAST(input_tokens AS VARCHAR) AS d, regexp_replace(CAST(output_tokens / 1024.0::DOUBLE AS VARCHAR), '\\.0$', '') AS f, concat(input_tokens % 9 + 1, repeat('0', 22)) AS large, concat('0.00000000000', input_tokens % 9 + 1) AS small FROM v_attempts")
+add("prj_7_to_text", over("v_attempts", lambda a: a.select("run_id", "node_id", "iteration", c.to_text(F.col("input_tokens"), "bigint").alias("t"), c.to_text(F.col("status") == "failed", "boolean").alias("b"), c.to_text(F.when(F.col("iteration") > 1, F.col("status")), "string").alias("s"), c.to_text(F.col("input_tokens").cast("double"), "double").alias("d"), c.to_text(F.col("output_tokens") / F.lit(1024.0), "double").alias("f"), c.to_text((F.col("input_tokens") % 9 + 1) * F.lit(1e15), "double").alias("large"), c.to_text((F.col("input_tokens") % 9 + 1) / F.lit(1e12), "double").alias("small"))),
+    "SELECT run_id, node_id, iteration, CAST(input_tokens AS VARCHAR) AS t, CASE WHEN status = 'failed' THEN 'true' ELSE 'false' END AS b, CASE WHEN iteration > 1 THEN status ELSE '' END AS s, CAST(input_tokens AS VARCHAR) AS d, regexp_replace(CAST(output_tokens / 1024.0::DOUBLE AS VARCHAR), '\\.0$', '') AS f, concat(input_tokens % 9 + 1, repeat('0', 15)) AS large, concat('0.00000000000', input_tokens % 9 + 1) AS small FROM v_attempts")
 add("prj_8_infer_typed", table("events", lambda e: e.select("event_id", F.try_variant_get(x.infer_typed(F.col("props")), "$.k", "bigint").alias("k"), x.infer_typed(F.col("event_type")).isNull().alias("plain"))),
     "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, true AS plain FROM events")
 add("prj_9_referenced_fields", over("v_flow_edges", lambda e: e.select("flow_id", "pos", F.array_join(x.referenced_fields(F.col("condition")), ",").alias("fields"))),

@@ -33,15 +33,8 @@ add("jon_2_payload_ok", lambda s, d: view(s, d, "v_signals").select("event_id",
     "SELECT event_id, CASE WHEN payload_outcome = '' THEN 'outcome' ELSE '' END AS missing FROM v_signals")
 add("jon_3_first_match", both("v_waits", "v_signals", m.first_match),
     f"SELECT wait_id, idempotency_key, event_id FROM (SELECT *, row_number() OVER (PARTITION BY wait_id ORDER BY idempotency_key, event_id) AS k FROM ({VALID}) AS v) AS x WHERE k = 1")
-# One wait after the other takes the first of its signals that is not used yet.
-SERIAL = """WITH RECURSIVE o AS (SELECT wait_id, row_number() OVER (ORDER BY parked_unix, wait_id) AS n, correlation_key, signal_type, needs_outcome FROM v_waits WHERE kind = 'signal'{0}),
-c AS (SELECT o.n, o.wait_id, list(struct_pack(i := s.idempotency_key, e := s.event_id) ORDER BY s.idempotency_key, s.event_id) AS l FROM o JOIN v_signals s ON (o.correlation_key = '' OR o.correlation_key = s.correlation_key) AND (o.signal_type = '' OR o.signal_type = s.signal_type OR starts_with(s.signal_type, concat(o.signal_type, '.'))) AND (NOT o.needs_outcome OR s.payload_outcome <> '') GROUP BY o.n, o.wait_id),
-k AS (SELECT row_number() OVER (ORDER BY n) AS n, wait_id, l FROM c),
-r AS (SELECT CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS wait_id, struct_pack(i := '', e := CAST(NULL AS BIGINT)) AS got, CAST([] AS BIGINT[]) AS used
-  UNION ALL SELECT n, wait_id, got, CASE WHEN got.e IS NULL THEN used ELSE list_append(used, got.e) END FROM (SELECT k.n, k.wait_id, list_filter(k.l, lambda x: NOT list_contains(r.used, x.e))[1] AS got, r.used FROM r JOIN k ON k.n = r.n + 1) AS y)
-SELECT wait_id, got.i AS idempotency_key, got.e AS event_id FROM r WHERE got.e IS NOT NULL"""
-add("jon_3b_assign_once", both("v_waits", "v_signals", m.assign_once), SERIAL.format(""))
-add("jon_3c_assign_keyed", lambda s, d: m.assign_once(query(s, d, "SELECT wait_id, kind, correlation_key, signal_type, needs_outcome, parked_unix FROM v_waits WHERE correlation_key <> ''"), view(s, d, "v_signals")), SERIAL.format(" AND correlation_key <> ''"))
+add("jon_3b_assign_once", both("v_waits", "v_signals", m.assign_once))
+add("jon_3c_assign_keyed", lambda s, d: m.assign_once(query(s, d, "SELECT wait_id, kind, correlation_key, signal_type, needs_outcome, parked_unix FROM v_waits WHERE correlation_key <> ''"), view(s, d, "v_signals")))
 # A wait parked in each case of its customer; signals that name a run, an app or neither.
 PARKED = "SELECT w.wait_id, c.run_id, w.kind, w.correlation_key, w.signal_type, w.needs_outcome FROM v_waits w JOIN v_cases c ON c.app_id = w.wait_id"
 SENT = "SELECT event_id, CASE WHEN event_id % 10 = 0 THEN event_id % 1000 END AS run_id, CASE WHEN event_id % 10 = 1 THEN 0 ELSE app_id END AS app_id, correlation_key, signal_type, payload_outcome FROM v_signals"
