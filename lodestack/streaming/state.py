@@ -3,7 +3,8 @@
 All of them take rows of runs and, as an option, ticks. Time passes by ticks, a table of times (tick timestamp) that is
 a stream like others: a deadline has come once a tick at or after it was read, so that replays and tests give the
 same rows at any speed. Without ticks it passes by the cluster's clock. Rows are never late: what moves time
-on are ticks alone, and rows of runs may arrive in any order.
+on are ticks alone, and rows of runs may arrive in any order. A stream that goes by the clock has a batch for every trigger, with or without
+rows, so it must not be run with availableNow, which would never end.
 
 A run's state ends with the run: a row of kind `end` drops all of it but for one flag, by which what
 arrives afterwards is ignored. Each run has one timer at a time, at its earliest deadline.

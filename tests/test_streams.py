@@ -13,6 +13,15 @@ from lodestack.streaming import signals as streams
 from lodestack.streaming import state
 
 
+@pytest.fixture(autouse=True)
+def few_partitions(spark):
+    """A state store per partition: two are enough."""
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    yield
+    spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
 @pytest.fixture
 def run(spark, tmp_path):
     """run(build, schema, (rows, seconds), ...): the rows of build(stream, ticks) after each pass, all on one checkpoint."""
@@ -123,7 +132,14 @@ def test_timers_by_the_clock(spark, tmp_path):
     """Without ticks time is the cluster's: a wait that is due now fires, one due in a day does not."""
     at, now = str(tmp_path / "rows"), int(time.time())
     spark.createDataFrame([(1, "wait", 1, now - 5), (1, "wait", 2, now + 86400)], TIMED).write.parquet(at)
-    assert [r["wait_id"] for r in streams.drain(state.fire_timers(spark.readStream.schema(TIMED).parquet(at))).collect()] == [1]
+    q = state.fire_timers(spark.readStream.schema(TIMED).parquet(at)).writeStream.format("parquet").option("path", f"{at}-out").option("checkpointLocation", f"{at}-c").trigger(processingTime="1 second").start()
+    try:
+        until = time.time() + 120
+        while time.time() < until and not (q.lastProgress and q.lastProgress["batchId"] >= 2):
+            time.sleep(1)
+    finally:
+        q.stop()
+    assert [r["wait_id"] for r in spark.read.parquet(f"{at}-out").collect()] == [1]
 
 
 CALLS = "run_id long, status string, url string, attempts long, delivered boolean, last_attempt_unix long, ok boolean, at long"
