@@ -28,14 +28,16 @@ def by_run(rows: DataFrame, processor: type, schema: str, ticks: DataFrame | Non
     """The processor's rows for each run_id of rows, which have a kind; the session's state store becomes RocksDB, which list and map state need."""
     rows.sparkSession.conf.set(PROVIDER, ROCKS)
     if ticks is None:
-        return rows.groupBy("run_id").transformWithState(processor(False), schema, "append", "ProcessingTime")
+        return rows.groupBy("run_id").transformWithState(processor(False), schema, "append", "ProcessingTime" if processor.timed else "None")
     # Rows of runs have no tick, and what has no time is neither late nor moves the watermark.
     both = rows.withColumn("tick", F.lit(None).cast("timestamp")).unionByName(ticks.select("tick"), allowMissingColumns=True)
     return both.withWatermark("tick", "0 seconds").groupBy("run_id").transformWithState(processor(True), schema, "append", "EventTime")
 
 
 class OfRun(StatefulProcessor):
-    """What the processors share: the time, the timer, and the end of a run. take() gets a batch's rows of a run, due() is called when its timer rings, forget() drops its state."""
+    """What the processors share: the time, the timer, and the end of a run. take() gets a batch's rows of a run, due() is called when its timer rings, forget() drops its state. One that has no deadlines is not timed, and its stream ends when its rows do."""
+
+    timed = True
 
     def __init__(self, by_ticks: bool):
         self.by_ticks = by_ticks
@@ -76,6 +78,8 @@ class OfRun(StatefulProcessor):
 
 
 class FirstSignals(OfRun):
+    timed = False
+
     def build(self, handle):
         self.keys = handle.getMapState("keys", "idempotency_key string", "event_id long")
 
