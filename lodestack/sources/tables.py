@@ -72,22 +72,31 @@ def merge_batch(batch: DataFrame, epoch: int, path: str, key: str, merge: Callab
     merge makes one row per key of rows of the table's columns. It should give the same whatever the order and
     however often a row comes, as replays bring rows again. Null keys share a bucket.
     """
-    spark = batch.sparkSession
-    batch = merge(batch)
-    placed = batch.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).persist()
+    spark, out = batch.sparkSession, f"{path}/epoch={epoch}"
+    # A batch that comes again after it was written whole is in the table; what it replaced may be gone by now.
+    parts = _listed(spark, out)[1]
+    if "_SUCCESS" in parts:
+        touched = sorted(int(p.removeprefix("bucket=")) for p in parts if p.startswith("bucket="))
+        _drop_older(spark, path, epoch, touched)
+        return touched
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+    rows = merge(batch).persist()
     try:
         # At most `buckets` rows.
-        touched = sorted(r[0] for r in placed.select("bucket").distinct().collect())
+        touched = sorted(r[0] for r in rows.select(bucket.alias("bucket")).distinct().collect())
         if not touched:
             return []
         old = {b: e for b, e in versions(spark, path, epoch).items() if b in set(touched)}
-        rows = placed.drop("bucket")
-        if old:
-            rows = merge(rows.unionByName(spark.read.schema(batch.schema).parquet(*folders(path, old))))
-        rows = rows.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
-        rows.repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/epoch={epoch}")
+        every = merge(rows.unionByName(spark.read.schema(rows.schema).parquet(*folders(path, old)))) if old else rows
+        every.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(out)
     finally:
-        placed.unpersist()
+        rows.unpersist()
+    _drop_older(spark, path, epoch, touched)
+    return touched
+
+
+def _drop_older(spark: SparkSession, path: str, epoch: int, touched: list[int]) -> None:
+    """Delete what earlier epochs have of the buckets that this one has written."""
     fs, there = _listed(spark, path)
     for name in there:
         if name.startswith("epoch=") and int(name.removeprefix("epoch=")) < epoch:
@@ -97,7 +106,6 @@ def merge_batch(batch: DataFrame, epoch: int, path: str, key: str, merge: Callab
                     fs.delete(parts.pop(f"bucket={b}"), True)
             if not any(p.startswith("bucket=") for p in parts):
                 fs.delete(there[name], True)
-    return touched
 
 
 def merge_stream(stream: DataFrame, path: str, checkpoint: str, key: str, merge: Callable[[DataFrame], DataFrame], buckets: int = BUCKETS) -> DataFrame:
