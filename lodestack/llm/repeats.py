@@ -9,7 +9,9 @@ agree gives the groups of equal strings of each length on either side, and a pai
 equal windows. The smallest document of a group keeps it.
 
 Within a chunk equal surroundings are sent once, for the chunk's smallest document; the others lose their
-windows at once. So a passage of a third of all documents comes once per chunk.
+windows at once. So a passage of a third of all documents comes once per chunk. An anchor of very many
+documents may stand between ever different neighbours, and then merges nowhere: its windows are dealt one by
+one, by all their bytes, so that only windows that are equal meet, and these come once per chunk.
 """
 
 from __future__ import annotations
@@ -25,6 +27,10 @@ from .chunks import NULL_ID, cut, mix, squeeze, unsqueeze
 ANCHOR = 24
 #: A chunk may have 2^34 bytes; 30 bits of a hash choose the anchor.
 PLACE_BITS = 34
+#: Anchors that more documents than this have, in the whole table, are dealt window by window.
+HOT_DOCS = 20_000
+#: Rows of surroundings that are cut at a time.
+ROWS_AT_ONCE = 1 << 16
 SPAN = "array<struct<start:long,end:long>>"
 
 
@@ -81,10 +87,12 @@ def surroundings(data: np.ndarray, at, first, last, length: int) -> np.ndarray:
     """Rows of bytes from length - ANCHOR before an anchor to as many behind it, zero outside its windows, and two times two bytes for their range."""
     side = length - ANCHOR
     cols = np.arange(2 * side + ANCHOR)
-    pos = at[:, None] - side + cols
     out = np.zeros((len(at), row_width(length)), np.uint8)
-    ok = (pos >= first[:, None]) & (pos < last[:, None] + length)
-    out[:, : len(cols)] = np.where(ok, data[np.clip(pos, 0, len(data) - 1)], 0)
+    for i in range(0, len(at), ROWS_AT_ONCE):
+        x = slice(i, i + ROWS_AT_ONCE)
+        pos = at[x, None] - side + cols
+        ok = (pos >= first[x, None]) & (pos < last[x, None] + length)
+        out[x, : len(cols)] = np.where(ok, data[np.clip(pos, 0, len(data) - 1)], 0)
     out[:, len(cols) : len(cols) + 4] = np.stack([at - first, at - last], 1).astype("<u2").view(np.uint8)
     return out
 
@@ -156,12 +164,18 @@ def ranges(first: np.ndarray, last: np.ndarray) -> np.ndarray:
     return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
 
-def combine(rows: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(whether a record is sent, whether its windows go at once): of equal rows only those of the smallest document are sent."""
-    digits = rows.view(np.uint64)
-    h = np.zeros(len(rows), np.uint64)
+def hash_of(rows: np.ndarray) -> np.ndarray:
+    digits, h = rows.view(np.uint64), np.zeros(len(rows), np.uint64)
     for i in range(digits.shape[1]):
         h = mix(h ^ digits[:, i])
+    return h
+
+
+def combine(rows: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(whether a record is sent, whether its windows go at once): of equal rows only those of the smallest document are sent."""
+    if not len(rows):
+        return np.zeros(0, bool), np.zeros(0, bool)
+    h = hash_of(rows)
     o = np.lexsort((docs, h))
     new = np.r_[True, h[o][1:] != h[o][:-1]]
     head = o[np.flatnonzero(new)][np.cumsum(new) - 1]
@@ -170,18 +184,43 @@ def combine(rows: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return ~gone, gone
 
 
+def records(data: np.ndarray, doc, at, first, last, k, hot, length: int) -> tuple[np.ndarray, ...]:
+    """(key, row, document, first window) of what a chunk sends, in order of key, and the windows that go at once.
+
+    A record has all windows of an anchor and goes by the anchor's key k. Of hot anchors each window is a record
+    of its own, and goes by a hash of all its bytes.
+    """
+    rows = surroundings(data, at, first, last, length)
+    sent, gone = combine(rows, doc)
+    starts = [ranges(first[gone], last[gone])]
+    parts = [[x[sent & ~hot]] for x in (k, rows, doc, first)]
+    split = np.flatnonzero(sent & hot)
+    if len(split):
+        n = last[split] - first[split] + 1
+        window, doc, at = ranges(first[split], last[split]), np.repeat(doc[split], n), np.repeat(at[split], n)
+        rows = surroundings(data, at, window, window, length)
+        sent, gone = combine(rows, doc)
+        starts.append(window[gone])
+        for part, x in zip(parts, (cut(hash_of(rows)), rows, doc, window), strict=True):
+            part.append(x[sent])
+    parts = [np.concatenate(x) for x in parts]
+    order = np.argsort(parts[0], kind="stable")
+    return *(x[order] for x in parts), np.concatenate(starts)
+
+
 def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, spans array<struct<start, end>>, kept binary): the bytes of each text that go, and what stays.
 
     A byte goes if a string of `length` bytes that covers it also starts in a document with a smaller id.
     Strings do not cross documents. Null texts are empty; a null id is smaller than all others; rows that
     share an id do not take bytes from each other; shorter texts stay whole; an empty table gives no rows.
+    Very long texts are taken whole; columns but for the two are left out, whatever their names.
     length is from 24 to 65,536.
     """
     if not ANCHOR <= length <= 1 << 16:
         raise ValueError(f"length must be from {ANCHOR} to {1 << 16}, not {length}")
     d = chunks.deal(docs, 0.2, id_col, text_col)
-    buckets, stride = d.buckets, d.stride
+    buckets, stride, hot_docs = d.buckets, d.stride, HOT_DOCS
     skip = chunks.only_copies(chunks.exact_copies(docs, id_col, text_col), d)
 
     def keys_of(key, t, s):
@@ -197,22 +236,20 @@ def repeated_spans(docs: DataFrame, length: int = 50, id_col: str = "doc_id", te
         ids, data, off = chunks.without(*chunks.texts(t), chunks.skipped(s))
         text, at, first, last, h = anchors(data, off, length)
         k = cut(h)
-        often = chunks.returned(s.filter(pa.compute.is_valid(s.column("totals")))) > 1
-        some = np.flatnonzero(often[np.searchsorted(np.unique(k), k)])
+        total = chunks.returned(s.filter(pa.compute.is_valid(s.column("totals"))))
+        total = total[np.searchsorted(np.unique(k), k)] if len(k) else total
+        some = np.flatnonzero(total > 1)
         if not len(some):
             return table_of([])
-        some = some[np.argsort(k[some], kind="stable")]
-        text, at, first, last, k = text[some], at[some], first[some], last[some], k[some]
-        rows = surroundings(data, at, first, last, length)
-        sent, gone = combine(rows, ids[text])
+        doc = ids[text[some]]
+        k, *parts, starts = records(data, doc, at[some], first[some], last[some], k[some], total[some] > hot_docs, length)
         chunk, out = key[0].as_py(), []
-        edges = chunks.bounds(k[sent], buckets)
-        parts = [x[sent] for x in (rows, ids[text], first)]
+        edges = chunks.bounds(k, buckets)
         for b in np.flatnonzero(np.diff(edges)):
             x = slice(edges[b], edges[b + 1])
             out.append((int(b), chunk, *(squeeze(p[x]) for p in parts), None))
-        if gone.any():  # goes along with the first bucket's rows, and passes through
-            out.append((chunk % buckets, chunk, None, None, None, squeeze(ranges(first[gone], last[gone]).astype(np.uint32))))
+        if len(starts):  # goes along with the first bucket's rows, and passes through
+            out.append((chunk % buckets, chunk, None, None, None, squeeze(starts.astype(np.uint32))))
         return table_of(out)
 
     def table_of(rows):

@@ -71,6 +71,30 @@ def test_repeats(docs, empty):
     assert repeats.repeated_spans(empty, 50).count() == 0
 
 
+def test_repeats_with_hot_anchors(spark, docs, monkeypatch):
+    """One phrase between different neighbours in every document: the same result window by window, and no key with many records."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(40))
+    phrase = "a phrase of over thirty bytes that stands everywhere"[:44]
+    same = [word() for _ in range(7)]
+    texts = [f"{word()} {phrase} {rng.choice(same) if i % 3 else word()}" for i in range(400)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    both = [sorted(map(str, repeats.repeated_spans(d, 50).collect())) for d in (docs, table)]
+    assert sum("start=" in x for x in both[1]) > 100
+    monkeypatch.setattr(repeats, "HOT_DOCS", 2)
+    assert [sorted(map(str, repeats.repeated_spans(d, 50).collect())) for d in (docs, table)] == both
+
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    off = np.cumsum([0, *map(len, texts)])
+    text, at, first, last, h = repeats.anchors(data, off, 50)
+    for hot, least, most in ((False, 100, 400), (True, 1, 1)):
+        k, rows, doc, start, gone = repeats.records(data, text, at, first, last, repeats.cut(h), np.full(len(at), hot), 50)
+        assert least <= np.unique(k, return_counts=True)[1].max() <= most
+        assert (np.diff(k.astype(np.int64)) >= 0).all() and len(k) == len(rows) == len(doc) == len(start)
+    # Every window is sent, or goes at once.
+    assert sorted([*start, *gone]) == sorted(repeats.ranges(first, last))
+
+
 def test_sentencepiece(docs, empty):
     model = queries.tokenizer_path()
     sp = piece_codec.load(model)
