@@ -33,8 +33,19 @@ add("jon_2_payload_ok", lambda s, d: view(s, d, "v_signals").select("event_id",
     "SELECT event_id, CASE WHEN payload_outcome = '' THEN 'outcome' ELSE '' END AS missing FROM v_signals")
 add("jon_3_first_match", both("v_waits", "v_signals", m.first_match),
     f"SELECT wait_id, idempotency_key, event_id FROM (SELECT *, row_number() OVER (PARTITION BY wait_id ORDER BY idempotency_key, event_id) AS k FROM ({VALID}) AS v) AS x WHERE k = 1")
-add("jon_3b_assign_once", both("v_waits", "v_signals", m.assign_once))
-add("jon_3c_assign_keyed", lambda s, d: m.assign_once(query(s, d, "SELECT wait_id, kind, correlation_key, signal_type, needs_outcome, parked_unix FROM v_waits WHERE correlation_key <> ''"), view(s, d, "v_signals")))
+# Wait by wait in parking order, each takes the first of its signals that is not used. Of a wait's signals the n first are enough for the n-th wait.
+SERIAL = """WITH RECURSIVE e AS (SELECT *, row_number() OVER (ORDER BY idempotency_key, event_id) AS i FROM v_signals),
+  p AS (SELECT w.wait_id, w.parked_unix, list(e.i ORDER BY e.i) AS fits FROM v_waits w JOIN e ON (w.correlation_key = '' OR w.correlation_key = e.correlation_key)
+      AND (w.signal_type = '' OR w.signal_type = e.signal_type OR starts_with(e.signal_type, concat(w.signal_type, '.'))) AND (NOT w.needs_outcome OR e.payload_outcome <> '')
+    WHERE w.kind = 'signal'{0} GROUP BY w.wait_id, w.parked_unix),
+  o AS MATERIALIZED (SELECT wait_id, n, fits[1:n] AS fits FROM (SELECT *, row_number() OVER (ORDER BY parked_unix, wait_id) AS n FROM p) AS x),
+  walk AS (SELECT CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS pick, CAST([] AS BIGINT[]) AS used
+    UNION ALL SELECT n, pick, CASE WHEN pick IS NULL THEN used ELSE list_append(used, pick) END
+    FROM (SELECT o.n, walk.used, list_filter(o.fits, lambda x: NOT list_contains(walk.used, x))[1] AS pick FROM walk JOIN o ON o.n = walk.n + 1) AS y)
+  SELECT o.wait_id, e.idempotency_key, e.event_id FROM walk JOIN o ON o.n = walk.n JOIN e ON e.i = walk.pick"""
+add("jon_3b_assign_once", both("v_waits", "v_signals", m.assign_once), SERIAL.format(""))
+add("jon_3c_assign_keyed", lambda s, d: m.assign_once(query(s, d, "SELECT wait_id, kind, correlation_key, signal_type, needs_outcome, parked_unix FROM v_waits WHERE correlation_key <> ''"), view(s, d, "v_signals")),
+    SERIAL.format(" AND w.correlation_key <> ''"))
 # A wait parked in each case of its customer; signals that name a run, an app or neither.
 PARKED = "SELECT w.wait_id, c.run_id, w.kind, w.correlation_key, w.signal_type, w.needs_outcome FROM v_waits w JOIN v_cases c ON c.app_id = w.wait_id"
 SENT = "SELECT event_id, CASE WHEN event_id % 10 = 0 THEN event_id % 1000 END AS run_id, CASE WHEN event_id % 10 = 1 THEN 0 ELSE app_id END AS app_id, correlation_key, signal_type, payload_outcome FROM v_signals"

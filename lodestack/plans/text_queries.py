@@ -74,7 +74,13 @@ add("txt_14_tail", table("conversations", lambda m: j.transcript_tail(m, 60)),
     f"SELECT conv_id, right(b, CAST(list_max(list_filter(range(0, 61), lambda k: strlen(right(b, k)) <= 60)) AS BIGINT)) AS tail FROM (SELECT conv_id, arg_max({WS % 'text'}, turn) AS b FROM conversations WHERE NOT regexp_full_match(text, '\\s*') GROUP BY conv_id) AS x")
 add("txt_15_compact", table("conversations", lambda m: j.compact_transcript(m, 3, pairs=False).select("conv_id", "turn")),
     "SELECT conv_id, turn FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS k FROM conversations) AS x WHERE k <= 3")
-add("txt_15b_compact_pairs", table("conversations", lambda m: j.compact_transcript(m, 4).select("conv_id", "turn")), None)
+add("txt_15b_compact_pairs", table("conversations", lambda m: j.compact_transcript(m, 4).select("conv_id", "turn")),
+    """WITH RECURSIVE g AS (SELECT conv_id, turn, CASE WHEN role = 'assistant' AND lag(role) OVER (PARTITION BY conv_id ORDER BY turn) = 'user' THEN 0 ELSE 1 END AS fresh FROM conversations),
+      m AS (SELECT conv_id, turn, sum(fresh) OVER (PARTITION BY conv_id ORDER BY turn) AS segment FROM g),
+      s AS (SELECT conv_id, segment, count(*) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY segment DESC) AS k FROM m GROUP BY conv_id, segment),
+      walk AS (SELECT conv_id, segment, k, n <= 4 AS stays, CASE WHEN n <= 4 THEN n ELSE 0 END AS used FROM s WHERE k = 1
+        UNION ALL SELECT s.conv_id, s.segment, s.k, used + n <= 4, CASE WHEN used + n <= 4 THEN used + n ELSE used END FROM walk JOIN s ON s.conv_id = walk.conv_id AND s.k = walk.k + 1)
+      SELECT m.conv_id, m.turn FROM m JOIN walk ON m.conv_id = walk.conv_id AND m.segment = walk.segment WHERE stays""")
 add("txt_16_call_stats", table("conversations", lambda m: j.tool_call_stats(m.filter("role <> 'system'").withColumn("call", F.concat("role", F.col("turn").cast("string"))))),
     "SELECT conv_id, count(*) AS n_calls, string_agg(concat(role, turn), ',' ORDER BY turn, role) AS calls FROM conversations WHERE role <> 'system' GROUP BY conv_id")
 add("txt_17_classify", over("v_fetches", lambda f: j.classify_responses(f, "k", {"7": "seven"}).select("fetch_id", "status", "error", "outcome")),
