@@ -222,7 +222,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, damping: float = DA
     Null texts are empty; texts without words are classed by equality of the text alone. Exact copies are
     in one class. Rows that share an id are one document, with the links of all their texts, and come out
     as often as they come in; a null id is an id of its own, smaller than all others; an empty table gives
-    no rows.
+    no rows. Very long texts are taken whole; columns but for the two are left out, whatever their names.
     """
     copies = chunks.exact_copies(docs, id_col, text_col)
     d = chunks.deal(docs, 0.2, id_col, text_col)

@@ -67,7 +67,8 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, compression:
     Null html is an empty payload, null urls give no target URI; white space and control characters in urls
     are left out. Of equal payloads of min_bytes or more the rows with the largest page_id are responses and the others
     revisit one of them (null page_ids are smaller than all); shorter payloads are all responses. Rows that are equal in
-    page_id and payload are captures of their own. An empty table leaves a folder without records.
+    page_id and payload are captures of their own. An empty table leaves a folder without records. Very long payloads are written whole, in one
+    record; other columns are left out, whatever their names.
     """
     p, best = roles(pages, min_bytes)
     best_cols = ["keeper", "n_keepers", "first_url"]
