@@ -2,7 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as
 the next stage's docs. All but the last return the columns of documents. Empty tables pass through; null and
-empty texts fail the quality rules.
+empty texts fail the quality rules; texts are taken whole, however long. Repeated rows are one class of copies,
+whose rows of the smallest doc_id stay; rows that share an id are mixed each on its own. Of a
+repeated line the largest doc_id keeps it. More columns pass through to the last stage, whatever their names.
 """
 
 from __future__ import annotations
