@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 
 def explode_items(df: DataFrame, col: str, max_items: int = 100) -> DataFrame:
@@ -24,51 +26,66 @@ def batch(df: DataFrame, key: list[str], order: list[str], size: int = 1) -> Dat
     return d.groupBy(*key, "batch_index").agg(F.min("__i").cast("long").alias("batch_start_index"), F.max("__i").cast("long").alias("batch_end_index"), F.count("*").alias("batch_item_count"))
 
 
-def apply_batches(df: DataFrame, keys: list[str], fn, returns: str = "result string", on_error: str = "continue", concurrency: int = 1) -> DataFrame:
+def apply_batches(df: DataFrame, keys: list[str], fn, returns: str = "result string", on_error: str = "continue", concurrency: int = 1, lists: bool = False) -> DataFrame:
     """BAT-3: fn(pandas frame) -> value, or (value, input tokens, output tokens), for every batch, a group of keys.
 
     A batch ends completed, or failed with the error's text and no value; its tokens are counted by what fn
     gives, or by the error's `usage`. The batches of one keys[:-1] run one after the other in the order of the last key;
     with on_error="fail" fn is not called any more after the first failure, and what is left is skipped. With
     "continue", concurrency is how many of them may run at once, 0 for any number. Different keys run side by
-    side. A task holds one batch at a time.
+    side. A task holds one batch at a time. With lists fn gets a dict of columns, each a list of Python values: for
+    very many small batches, where making a frame of each costs far more than what fn does.
     """
     if on_error not in ("continue", "fail"):
         raise ValueError(f"on_error must be continue or fail, not {on_error}")
     name, owner = returns.split()[0], keys[:-1]
+    names = [*keys, name, "status", "error", "input_tokens", "output_tokens"]
 
-    def one(key, pdf):
+    def one(key, batch):
         try:
-            out = fn(pdf)
+            out = fn(batch)
             value, used = (out[0], out[1:]) if isinstance(out, tuple) else (out, (0, 0))
-            row = {name: value, "status": "completed", "error": "", "input_tokens": used[0], "output_tokens": used[1]}
+            return (*key, value, "completed", "", *used)
         except Exception as e:  # a user's error is a result of its batch
-            used = getattr(e, "usage", (0, 0))
-            row = {name: None, "status": "failed", "error": str(e), "input_tokens": used[0], "output_tokens": used[1]}
-        return dict(zip(keys, key, strict=True)) | row
+            return (*key, None, "failed", str(e), *getattr(e, "usage", (0, 0)))
 
     types = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
     schema = f"{types}, {returns}, status string, error string, input_tokens long, output_tokens long"
-    if on_error == "continue" and (not concurrency or not owner):
-        return df.groupBy(*keys).applyInPandas(lambda key, pdf: pd.DataFrame([one(key, pdf)]), schema)
-    skipped = {name: None, "status": "skipped", "error": "", "input_tokens": 0, "output_tokens": 0}
-    # Rows of a batch follow each other within a partition; nulls of a key are equal.
-    plain = lambda key: tuple(None if pd.isna(x) else x for x in key)
-
-    def batches(pdf, held):
-        """(key, frame) of the batches that end within pdf; held is the one that was open before, and at the end the one that is open still."""
-        columns = [pdf[k] for k in keys]
-        fresh = sum((c.ne(c.shift()) & ~(c.isna() & c.shift().isna()) for c in columns), start=pd.Series(False, index=pdf.index)).to_numpy()
-        edges = [0, *(i for i in fresh.nonzero()[0].tolist() if i), len(pdf)]
+    free = on_error == "continue" and (not concurrency or not owner)
+    if free and not lists:
+        return df.groupBy(*keys).applyInPandas(lambda key, pdf: pd.DataFrame([one(key, pdf)], columns=names), schema)
+    # Rows of a batch follow each other within a partition; nulls of a key are equal, and so are NaNs.
+    nan = float("nan")
+
+    def columns_of(frame):
+        """A frame's rows by column, and its keys."""
+        if lists:
+            data = {c: v.to_pylist() for c, v in zip(frame.schema.names, frame.columns, strict=True)}
+            found = [[nan if x != x else x for x in data[k]] if pa.types.is_floating(frame.schema.field(k).type) else data[k] for k in keys]
+        else:
+            data, found = frame, [[None if pd.isna(x) else x for x in frame[k]] for k in keys]
+        return data, list(zip(*found, strict=True))
+
+    def cut(data, a, b):
+        return {c: v[a:b] for c, v in data.items()} if lists else data.iloc[a:b]
+
+    def whole(parts):
+        if len(parts) == 1:
+            return parts[0]
+        return {c: [x for part in parts for x in part[c]] for c in parts[0]} if lists else pd.concat(parts, ignore_index=True)
+
+    def batches(frame, held):
+        """(key, rows) of the batches that end within frame; held is the one that was open before, and at the end the one that is open still."""
+        data, found = columns_of(frame)
+        edges = [0, *(i for i in range(1, len(found)) if found[i] != found[i - 1]), len(found)]
         for a, b in zip(edges, edges[1:], strict=False):
-            key = plain(c.iloc[a] for c in columns)
-            if held and held[0] != key:
-                yield held[0], held[1][0] if len(held[1]) == 1 else pd.concat(held[1], ignore_index=True)
+            if held and held[0] != found[a]:
+                yield held[0], whole(held[1])
                 held.clear()
             if held:
-                held[1].append(pdf.iloc[a:b])
+                held[1].append(cut(data, a, b))
             else:
-                held[:] = [key, [pdf.iloc[a:b]]]
+                held[:] = [found[a], [cut(data, a, b)]]
 
     def run(frames):
         failed, held = None, []
@@ -76,23 +93,31 @@ def apply_batches(df: DataFrame, keys: list[str], fn, returns: str = "result str
         def judged(found):
             nonlocal failed
             rows = []
-            for key, pdf in found:
+            for key, batch in found:
                 off = on_error == "fail" and key[:-1] == failed
-                rows.append(dict(zip(keys, key, strict=True)) | skipped if off else one(key, pdf))
-                if rows[-1]["status"] == "failed":
+                rows.append((*key, None, "skipped", "", 0, 0) if off else one(key, batch))
+                if rows[-1][len(keys) + 1] == "failed":
                     failed = key[:-1]
-            return pd.DataFrame(rows, columns=names)
+            if not lists:
+                return pd.DataFrame(rows, columns=names)
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(names), arrow, strict=True)], schema=arrow)
 
-        for pdf in frames:
-            if len(pdf):
-                yield judged(batches(pdf, held))
+        for frame in frames:
+            if frame.num_rows if lists else len(frame):
+                yield judged(batches(frame, held))
         if held:
-            yield judged([(held[0], pd.concat(held[1], ignore_index=True))])
-
-    names = [*keys, name, "status", "error", "input_tokens", "output_tokens"]
-    lane = F.lit(0) if on_error == "fail" else F.pmod(F.xxhash64(keys[-1]), F.lit(concurrency))
-    dealt = df.withColumn("__lane", lane).repartition(*owner, "__lane") if owner else df.withColumn("__lane", lane).repartition(1)
-    return dealt.sortWithinPartitions(*owner, "__lane", keys[-1]).drop("__lane").mapInPandas(run, schema)
+            yield judged([(held[0], whole(held[1]))])
+
+    if free:
+        dealt = df.repartition(*keys).sortWithinPartitions(*keys)
+    else:
+        lane = F.lit(0) if on_error == "fail" else F.pmod(F.xxhash64(keys[-1]), F.lit(concurrency))
+        dealt = df.withColumn("__lane", lane).repartition(*owner, "__lane") if owner else df.withColumn("__lane", lane).repartition(1)
+        dealt = dealt.sortWithinPartitions(*owner, "__lane", keys[-1]).drop("__lane")
+    if not lists:
+        return dealt.mapInPandas(run, schema)
+    arrow = to_arrow_schema(df.sparkSession.createDataFrame([], schema).schema)
+    return dealt.mapInArrow(run, schema)
 
 
 def skip_after_failure(batches: DataFrame, key: str, index: str) -> DataFrame:

@@ -102,19 +102,20 @@ add("bat_2_batch", table("orders", lambda o: b.batch(o, ["o_custkey"], ["o_order
 class StepsFailed(ValueError):
     """All steps of a batch failed; what they used counts."""
 
-    def __init__(self, pdf):
+    def __init__(self, batch):
         super().__init__("all steps failed")
-        self.usage = (int(pdf["input_tokens"].sum()), 0)
+        self.usage = (sum(batch["input_tokens"]), 0)
 
 
-def _tokens(pdf):
-    if (pdf["status"] == "failed").all():
-        raise StepsFailed(pdf)
-    return int(pdf["output_tokens"].sum()), int(pdf["input_tokens"].sum()), int(pdf["output_tokens"].sum())
+def _tokens(batch):
+    if all(s == "failed" for s in batch["status"]):
+        raise StepsFailed(batch)
+    used = sum(batch["output_tokens"])
+    return used, sum(batch["input_tokens"]), used
 
 
 def _apply(on_error, concurrency=1):
-    return over("v_attempts", lambda a: b.apply_batches(a.select("run_id", "node_id", "status", "input_tokens", "output_tokens"), ["run_id", "node_id"], _tokens, "result long", on_error, concurrency))
+    return over("v_attempts", lambda a: b.apply_batches(a.select("run_id", "node_id", "status", "input_tokens", "output_tokens"), ["run_id", "node_id"], _tokens, "result long", on_error, concurrency, lists=True))
 
 
 APPLIED = """SELECT run_id, node_id, bool_and(status = 'failed') AS bad, CAST(sum(output_tokens) AS BIGINT) AS out_tokens, CAST(sum(input_tokens) AS BIGINT) AS in_tokens FROM v_attempts GROUP BY run_id, node_id"""

@@ -151,6 +151,29 @@ def test_a_batch_may_span_frames(spark):
     assert sorted((r["k"], r["i"], r["result"]) for r in got) == sorted((k, i, sum(x for x in range(40) if x % 2 == k and x // 16 == i)) for k in (0, 1) for i in (0, 1, 2))
 
 
+def test_batches_as_lists(spark):
+    """The same rows as with frames, over batches that span frames, with null and NaN keys, failures and each kind of concurrency; no frame is made."""
+    rows = [(k, x, i, v) for k in ("a", "b", None) for x in (1.0, float("nan"), None) for i, v in enumerate([4, 0, 5, None]) for _ in range(3)]
+    df = spark.createDataFrame(rows, "k string, x double, i long, v long").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
+
+    def fn(batch):
+        assert type(batch) is dict and len(batch["v"]) == 3
+        return sum(batch["v"]) * 10 // batch["v"][0], len(batch["v"]), 1
+
+    try:
+        for on_error, n in (("fail", 1), ("continue", 1), ("continue", 2), ("continue", 0)):
+            got = batching.apply_batches(df, ["k", "x", "i"], fn, "result long", on_error, n, lists=True).collect()
+            by = {(r["k"], str(r["x"]), r["i"]): r for r in got}
+            assert len(got) == len(by) == 36
+            for k, x, _, _ in rows:
+                states = [(by[k, str(x), i]["status"], by[k, str(x), i]["result"], by[k, str(x), i]["input_tokens"]) for i in range(4)]
+                last = [("skipped", None, 0)] * 2 if on_error == "fail" else [("completed", 30, 3), ("failed", None, 0)]
+                assert states == [("completed", 30, 3), ("failed", None, 0), *last]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 @pytest.mark.parametrize("depth", [10, 600, 5000])
 def test_deep_objects_are_recovered(depth):
     deep = '{"a": [' * depth + "1" + "]}" * depth
