@@ -300,6 +300,24 @@ def test_rounds_do_not_grow_with_waits(spark, monkeypatch):
     assert rounds[1] <= rounds[0] + 4
 
 
+@pytest.mark.parametrize("loose", [False, True])
+def test_waits_that_all_compete_take_one_round(spark, monkeypatch, loose):
+    """All waits of one key, or of any, hang on each other in a chain; a block of signals settles them all the same."""
+    done, write = [], matching.written
+    monkeypatch.setattr(matching, "written", lambda df, label: done.append(label) or write(df, label))
+    waits = [(i, "signal", "" if loose and i % 2 else "k", ["", "a", "b"][i % 3], i % 5 == 0, i) for i in range(150)]
+    signals = [(i, f"i{i * 37 % 300:03}", "k", ["a", "b", "a.x"][i % 3], "y" if i % 2 else "") for i in range(300)]
+    w = spark.createDataFrame(waits, "wait_id long, kind string, correlation_key string, signal_type string, needs_outcome boolean, parked_unix long")
+    s = spark.createDataFrame(signals, "event_id long, idempotency_key string, correlation_key string, signal_type string, payload_outcome string")
+    used, want = set(), []
+    for i, _, _, kind_of, needs, _ in waits:
+        best = min(((r[1], r[0]) for r in signals if matching.dotted_match(kind_of, r[3]) and (r[4] or not needs) and r[0] not in used), default=None)
+        if best:
+            used.add(best[1])
+            want.append((i, *best))
+    assert sorted(tuple(r) for r in matching.assign_once(w, s).collect()) == sorted(want) and done.count("rounds") == 1
+
+
 def test_every_issue_code_and_field_is_in_a_case():
     from lodestack.plans import lint_queries as q
 
