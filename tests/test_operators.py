@@ -207,6 +207,19 @@ def test_appends_know_null_ids_and_their_own_batch(spark, tmp_path):
     assert ids() == [(False, 0), (True, 1), (True, 5), (True, 2_000_000)]
 
 
+def test_streams_do_not_replace_what_others_appended(spark, tmp_path):
+    """An append by hand and two streams of several batches, whose files come in other orders: no row is lost or there twice."""
+    schema, path = "id long, type string", str(tmp_path / "log")
+    records.append_events(spark.createDataFrame([(1, "a"), (2, "a"), (30, "a")], schema), path)
+    for name, files in (("x", [[3, 4], [5, 6], [1, 7, None]]), ("y", [[7, 5], [3, 8, None], [4, 6]]), ("x", [[9, 3]])):
+        for ids in files:
+            spark.createDataFrame([(x, "b") for x in ids], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name))
+        records.append_stream(stream, path, str(tmp_path / f"{name}-checkpoint"))
+    got = sorted((r["id"] or 0, r["type"]) for r in spark.read.schema(schema).parquet(path).collect())
+    assert got == [(0, "b"), (1, "a"), (2, "a"), *((i, "b") for i in range(3, 10)), (30, "a")]
+
+
 def test_admission_counts_over_the_whole_table(spark):
     from lodestack.operators import outcomes
 
