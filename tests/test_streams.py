@@ -159,6 +159,24 @@ def test_callbacks_come_again(run):
     assert steps[4] == sorted([*steps[3], (2, 4, 164, 400)], key=str)
 
 
+def test_runs_share_the_state_of_a_shard(run):
+    """Several hundred runs in one shard give each what it gives alone, over passes in which some end."""
+    n = 300
+    calls = [(i, "failed", "u", i % 3, False, 100, None, None) for i in range(n)]
+    results = [(i, None, None, i % 3, None, None, i % 2 == 0, 150) for i in range(n) if i % 3 != 2]
+
+    def build(rows, ticks):
+        return state.outbox(rows.filter("at IS NULL").drop("ok", "at"), rows.filter("at IS NOT NULL").select("run_id", "attempts", "ok", "at"), ticks, shards=1)
+
+    first, second, third = run(build, CALLS, (calls, 101), (results, 140), (calls, 400))
+    want = {(i, i % 3, 100 + i % 3) for i in range(n)}
+    assert {r[:3] for r in first} == {x for x in want if x[2] <= 101}
+    ended = {i for i in range(n) if i % 3 != 2 and i % 2 == 0}
+    assert {r[:3] for r in second} == {x for x in want if x[0] not in ended or x[2] <= 101}
+    again = {(i, i % 3 + 1, 150 + i % 3 + 1) for i in range(n) if i % 3 != 2 and i not in ended}
+    assert {r[:3] for r in third} == {r[:3] for r in second} | again and len(third) == len(set(third))
+
+
 KEYED = "run_id long, kind string, event_id long, idempotency_key string, at long"
 
 
