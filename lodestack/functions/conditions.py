@@ -184,17 +184,19 @@ def truthy(c: Column, kind: str) -> Column:
 def plain_decimal(c: Column) -> Column:
     """A double as the shortest decimal that reads back, without an exponent: 0.5, 0.000000000001, 1000000; NaN, +Inf and -Inf by name."""
     t = c.cast("string")
-    part = lambda i: F.regexp_extract(t, r"\A-?(\d+)\.(\d+)(?:E(-?\d+))?\z", i)
-    # The digits and where the point stands among them; a fraction of 0 alone is none.
-    fraction = F.when(part(2) == "0", "").otherwise(part(2))
-    digits, point = F.concat(part(1), fraction), F.length(part(1)) + F.coalesce(part(3).try_cast("int"), F.lit(0))
+    whole = F.when(t.endswith(".0"), F.substring_index(t, ".", 1)).otherwise(t)
+    # With an exponent, [-]d.dddE[-]n: the digits and where the point stands among them; a fraction of 0 alone is none. No patterns: they cost most of the time.
+    mantissa = F.substring_index(F.ltrim(t, F.lit("-")), "E", 1)
+    digits = F.when(mantissa.endswith(".0"), F.substring_index(mantissa, ".", 1)).otherwise(F.replace(mantissa, F.lit("."), F.lit("")))
+    point = F.substring_index(t, "E", -1).try_cast("int") + 1
     body = (
         F.when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
-        .when(point >= F.length(digits), F.concat(digits, F.repeat(F.lit("0"), point - F.length(digits))))
+        .when(point >= F.length(digits), F.rpad(digits, point, F.lit("0")))
         .otherwise(F.concat(F.substring(digits, F.lit(1), point), F.lit("."), F.substring(digits, point + 1, F.length(digits))))
     )
     named = F.when(F.isnan(c), "NaN").when(c == float("inf"), "+Inf").when(c == float("-inf"), "-Inf")
-    return F.when(c.isNotNull(), F.coalesce(named, F.concat(F.when(t.startswith("-"), "-").otherwise(""), body)))
+    signed = F.when(t.contains("E"), F.concat(F.when(t.startswith("-"), "-").otherwise(""), body)).otherwise(whole)
+    return F.when(c.isNotNull(), F.coalesce(named, signed))
 
 
 def to_text(c: Column, kind: str) -> Column:

@@ -64,6 +64,16 @@ def test_graph_walks():
         assert all(place[a] < place[b] for p, a, b in edges if p not in back and b in place)
 
 
+def test_doubles_become_text_without_patterns(spark):
+    """They read back, and no regular expression is in the plan."""
+    rng = random.Random(8)
+    xs = [rng.choice([-1, 1]) * rng.randrange(1, 10 ** rng.randint(1, 15)) * 10.0 ** rng.randint(-30, 30) for _ in range(500)] + [1e7, -1e7, 1e-3, 9999999.0, 12345678.5, 1.5e15, 0.0]
+    df = spark.createDataFrame([(x,) for x in xs], "x double").select("x", c.to_text(F.col("x"), "double").alias("t"))
+    for r in df.collect():
+        assert "E" not in r["t"] and not r["t"].endswith(".0") and float(r["t"]) == r["x"], r
+    assert "regexp" not in df._jdf.queryExecution().toString()
+
+
 def test_batches_keep_errors(spark):
     df = spark.createDataFrame([(1, 2), (1, 3), (2, 0)], "k int, v int")
     got = {r["k"]: r for r in batching.apply_batches(df, ["k"], lambda p: 10 // int(p["v"].min()), "result long").collect()}
