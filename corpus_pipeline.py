@@ -43,9 +43,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """(doc_id, n_tokens, token_ids, decoded_sha256): a row per training document, with the digest of the text that its ids decode to."""
-    model = tokenizer_path()
-    ids = piece_codec.encode(docs, model)
-    out = piece_codec.decode(ids.withColumn("ids", F.col("token_ids")), model, "ids")
+    out = piece_codec.encode(docs, tokenizer_path(), decoded="decoded")
     return out.select("doc_id", "n_tokens", "token_ids", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -67,7 +67,7 @@ def write_token_files(docs: DataFrame, path: str, model_path: str, id_col: str =
 
         for b in batches:
             own, texts = b.column(0).to_pylist(), [t or "" for t in b.column(1).to_pylist()]
-            for s in blocks(texts):
+            for s in blocks(list(map(len, texts))):
                 flat, lens = tab.encode(texts[s])
                 body.append(np.insert(flat.astype(np.int64), np.cumsum(lens), eod))
                 ids += own[s]

@@ -104,6 +104,20 @@ def test_sentencepiece(docs, empty):
     assert piece_codec.encode(empty, model).count() == 0
 
 
+def test_encode_and_decode_in_one_step(docs, empty):
+    """One Python step gives what encode and decode give one after the other."""
+    model = queries.tokenizer_path()
+    both = piece_codec.encode(docs, model, decoded="decoded")
+    want = piece_codec.decode(piece_codec.encode(docs, model).withColumn("ids", F.col("token_ids")), model, "ids")
+    key = lambda r: (r["doc_id"] is not None, r["doc_id"], r["token_ids"])
+    assert sorted(both.collect(), key=key) == sorted(want.collect(), key=key)
+    assert both.columns == ["doc_id", "n_tokens", "token_ids", "decoded"] and piece_codec.encode(empty, model, decoded="decoded").count() == 0
+    import corpus_pipeline
+
+    plan = corpus_pipeline.encode(docs.sparkSession, docs, "")._jdf.queryExecution().toString()
+    assert plan.split("== Physical Plan ==")[1].count("MapInArrow") == 1
+
+
 def test_sentencepiece_random_ids():
     sp = piece_codec.load(queries.tokenizer_path())
     tab, forms, rng = piece_codec.ChunkTable(sp, most=50), piece_codec.Surfaces(sp), random.Random(3)
