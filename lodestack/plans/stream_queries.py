@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from ..sources import records as r
@@ -112,7 +114,7 @@ add("src_9b_stream_snapshots", lambda sp, d: s.drain(r.snapshots(stream(query(sp
 RUN_KEYS = "SELECT user_id AS run_id, 'signal' AS kind, event_id, concat('k-', CAST(floor(value) AS BIGINT)) AS idempotency_key, CAST(1704067200 + event_id * 259 AS BIGINT) AS unix FROM events"
 RUN_ENDS = "SELECT DISTINCT user_id, 'end', CAST(NULL AS BIGINT), CAST(NULL AS VARCHAR), CAST(4000000000 AS BIGINT) FROM events WHERE user_id % 3 = 0"
 RUN_LATE = RUN_KEYS.replace("'k-'", "'late-', event_type, '-'")
-add("str_1_dedupe_signals", lambda sp, d: passes(state.first_signals, (query(sp, d, f"{RUN_KEYS} UNION ALL {RUN_ENDS.replace('VARCHAR', 'STRING')}").withColumnRenamed("unix", "at"), NOW), (query(sp, d, f"{RUN_KEYS} UNION ALL {RUN_LATE}").withColumnRenamed("unix", "at"), 2 * NOW)),
+add("str_1_dedupe_signals", lambda sp, d: passes(partial(state.first_signals, shards=state.SHARDS), (query(sp, d, f"{RUN_KEYS} UNION ALL {RUN_ENDS.replace('VARCHAR', 'STRING')}").withColumnRenamed("unix", "at"), NOW), (query(sp, d, f"{RUN_KEYS} UNION ALL {RUN_LATE}").withColumnRenamed("unix", "at"), 2 * NOW)),
     f"SELECT run_id, idempotency_key, arg_min(event_id, (unix, event_id)) AS event_id FROM (SELECT * FROM ({RUN_KEYS}) AS a UNION ALL SELECT * FROM ({RUN_LATE}) AS b WHERE run_id % 3 <> 0) AS x GROUP BY run_id, idempotency_key")
 WAITS = "SELECT wait_id, correlation_key AS wait_key, signal_type AS wait_type FROM v_waits WHERE kind = 'signal'"
 SIGNALS = "SELECT event_id, correlation_key AS signal_key, signal_type FROM v_signals"

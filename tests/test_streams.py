@@ -190,6 +190,36 @@ def test_late_keys_are_kept(run, spark, tmp_path):
     assert third == sorted([*second, (1, "f", 9)])
 
 
+def test_first_signals_of_a_shard(run):
+    """Runs that share a shard give what each gives alone, over passes in which some end, and the store is asked a few times for all of them."""
+    rng = random.Random(5)
+    batches = [[(rng.randrange(40), "signal", 1000 * p + i, rng.choice("abcdefgh"), rng.randrange(50)) for i in range(300)] + [(r, "end", None, None, 25) for r in range(p, 40, 7)] for p in range(3)]
+    passed = [(b, 1000 + i) for i, b in enumerate(batches)]
+    assert run(lambda rows, ticks: state.first_signals(rows, ticks, shards=1), KEYED, *passed) == run(state.first_signals, KEYED, *passed)
+
+    class Log(list):
+        calls = 0
+
+        def get(self):
+            self.calls += 1
+            return iter(self)
+
+        def appendList(self, rows):
+            self.calls += 1
+            self.extend(rows)
+
+    p = state.FirstSignalsOfShard(False)
+    p.log = Log()
+    named = [dict(zip(("run_id", "kind", "event_id", "idempotency_key", "at"), r, strict=True)) for r in batches[0]]
+    by = {x: [r for r in named if r["run_id"] == x] for x in range(40)}
+    p.log.put = lambda rows: p.log.__init__(rows)
+    assert list(p.step(by, 0)) and p.log.calls == 2 and len(p.log) == 40
+    assert not list(p.step({x: [r for r in rows if r["kind"] == "signal"] for x, rows in by.items() if x % 7}, 0))
+    # Runs that have ended leave a row without keys.
+    list(p.step({x: [{"run_id": x, "kind": "end", "event_id": None, "idempotency_key": None, "at": 99}] for x in range(40)}, 0))
+    assert sorted(p.log) == [(x, None, True) for x in range(40)]
+
+
 def test_state_falls_when_runs_end(spark, tmp_path):
     """The state store's own count of rows: one per key while a run is open, one per run once it has ended."""
     at, rows = str(tmp_path / "rows"), []
