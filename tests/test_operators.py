@@ -365,6 +365,27 @@ def test_streamed_matches_have_no_limit_in_time(spark, tmp_path):
     assert sorted(got) == [(1, 1), (2, 1), (2, 2), (3, 1), (3, 3), (4, 1), (4, 2), (4, 3)]
 
 
+def test_streamed_matches_are_kept_in_blocks(spark, tmp_path, monkeypatch):
+    """All pairs, each once, in few rows, also where blocks are cut; a signal of no type goes to waits of any type, as in SQL."""
+    monkeypatch.setattr(streams, "BLOCK", 7)
+    monkeypatch.setattr(streams, "HELD", 50)
+    kinds = ["", "a", "a.x", "ab", None]
+    waits = [(i, ["", "k", "l", None][i % 4], kinds[i // 4 % 5]) for i in range(200)]
+    signals = [(i, ["", "k", "l", None][i % 4], ["a", "a.x.y", "ab", "", None][i // 4 % 5]) for i in range(300)]
+    sides = []
+    for name, rows, schema in (("w", waits, "wait_id long, wait_key string, wait_type string"), ("s", signals, "event_id long, signal_key string, signal_type string")):
+        df = spark.createDataFrame(rows, schema)
+        df.repartition(3).write.parquet(str(tmp_path / name))
+        sides.append(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / name)))
+    takes = lambda w, g: w is not None and (w == "" or g is not None and (w == g or g.startswith(f"{w}.")))
+    due = sorted((w, g) for w, wk, wt in waits for g, gk, gt in signals if wk is not None and (wk == "" or wk == gk) and takes(wt, gt))
+    blocks = streams.drain(streams.match_blocks(*sides))
+    assert blocks.count() < len(due) / 10
+    assert blocks.agg(F.max(F.size("wait_ids")), F.max(F.size("event_ids"))).first()[:] <= (7, 7)
+    assert sorted(tuple(r) for r in streams.spread_pairs(blocks, 100).collect()) == due
+    assert sorted(tuple(r) for r in streams.drain(streams.match_stream(*sides)).collect()) == due
+
+
 @pytest.mark.parametrize("turned", [False, True])
 def test_long_chains_are_walked_to_their_end(spark, turned):
     n = 500
