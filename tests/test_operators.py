@@ -1,9 +1,11 @@
 """Hand cases and properties of single operators."""
 
 import json
+import os
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestack.functions import conditions as c
@@ -386,6 +388,22 @@ def test_streamed_matches_are_kept_in_blocks(spark, tmp_path, monkeypatch):
     assert sorted(tuple(r) for r in streams.drain(streams.match_stream(*sides)).collect()) == due
 
 
+def shuffles(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
+
+def test_batches_of_runs_are_dealt_once_to_tasks_of_few_rows(spark, data, monkeypatch):
+    """However long the table is, a task gets some LINES rows of it, and windows of runs need no second shuffle."""
+    from lodestack.plans import text_queries, views
+
+    monkeypatch.setattr(views, "LINES", 200)
+    rows = spark.read.parquet(f"{data}/lineitem.parquet").count()
+    for name in ("bat_4_skip_after_failure", "bat_5_rollup"):
+        df = text_queries.Q[name](spark, data)
+        assert shuffles(df) == 1
+        assert df.rdd.getNumPartitions() == -(-rows // 200) > 8
+
+
 @pytest.mark.parametrize("turned", [False, True])
 def test_long_chains_are_walked_to_their_end(spark, turned):
     n = 500
