@@ -121,10 +121,10 @@ def apply_batches(df: DataFrame, keys: list[str], fn, returns: str = "result str
 
 
 def skip_after_failure(batches: DataFrame, key: str, index: str) -> DataFrame:
-    """BAT-4: what comes after a key's first failure is skipped."""
-    w = Window.partitionBy(key).orderBy(index).rowsBetween(Window.unboundedPreceding, -1)
-    failed = F.max(F.col("status") == "failed").over(w)
-    return batches.withColumn("status", F.when(F.coalesce(failed, F.lit(False)), "skipped").otherwise(F.col("status")))
+    """BAT-4: what comes after a key's first failure is skipped. The first failure is a minimum, so that rows in some order of the key are not sorted again."""
+    at = F.struct(index)  # a null index comes first
+    first = F.min(F.when(F.col("status") == "failed", at)).over(Window.partitionBy(key))
+    return batches.withColumn("status", F.when(F.coalesce(at > first, F.lit(False)), "skipped").otherwise(F.col("status")))
 
 
 def batch_rollup(batches: DataFrame, key: str, index: str, usage: str) -> DataFrame:

@@ -404,6 +404,16 @@ def test_batches_of_runs_are_dealt_once_to_tasks_of_few_rows(spark, data, monkey
         assert df.rdd.getNumPartitions() == -(-rows // 200) > 8
 
 
+def test_skipping_looks_at_the_first_failure(spark):
+    """A null index comes first; runs without a failure stay; rows are not sorted again."""
+    rows = [("a", 0, "completed"), ("a", 1, "failed"), ("a", 2, "failed"), ("a", 3, "completed"), ("b", 0, "completed"), ("b", 1, None), ("c", None, "failed"), ("c", 0, "completed"), (None, 0, "failed"), (None, 1, "completed")]
+    df = spark.createDataFrame(rows, "k string, i long, status string")
+    due = [("a", 0, "completed"), ("a", 1, "failed"), ("a", 2, "skipped"), ("a", 3, "skipped"), ("b", 0, "completed"), ("b", 1, None), ("c", None, "failed"), ("c", 0, "skipped"), (None, 0, "failed"), (None, 1, "skipped")]
+    assert sorted((tuple(r) for r in batching.skip_after_failure(df, "k", "i").collect()), key=str) == sorted(due, key=str)
+    placed = df.repartition(3, "k").withColumn("i", F.row_number().over(Window.partitionBy("k").orderBy("i")))
+    assert batching.skip_after_failure(placed, "k", "i")._jdf.queryExecution().executedPlan().toString().count("Sort [") == 1
+
+
 @pytest.mark.parametrize("turned", [False, True])
 def test_long_chains_are_walked_to_their_end(spark, turned):
     n = 500
