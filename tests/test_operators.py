@@ -414,6 +414,15 @@ def test_skipping_looks_at_the_first_failure(spark):
     assert batching.skip_after_failure(placed, "k", "i")._jdf.queryExecution().executedPlan().toString().count("Sort [") == 1
 
 
+def test_issues_are_judged_where_their_lines_were_dealt(spark, data, monkeypatch):
+    from lodestack.plans import outcome_queries, views
+
+    monkeypatch.setattr(views, "LINES", 200)
+    df = outcome_queries.Q["agg_7_is_valid"](spark, data)
+    assert "REPARTITION_BY_NUM" in df._jdf.queryExecution().executedPlan().toString()
+    assert df.rdd.getNumPartitions() > 8
+
+
 @pytest.mark.parametrize("turned", [False, True])
 def test_long_chains_are_walked_to_their_end(spark, turned):
     n = 500
