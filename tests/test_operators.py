@@ -423,6 +423,18 @@ def test_issues_are_judged_where_their_lines_were_dealt(spark, data, monkeypatch
     assert df.rdd.getNumPartitions() > 8
 
 
+def test_a_written_corpus_is_compressed(spark, data, tmp_path, monkeypatch):
+    from lodestack.plans import lint_queries
+
+    path = str(tmp_path / "flows")
+    monkeypatch.setattr(lint_queries, "folder", lambda df, label: path)
+    got = lint_queries.Q["src_3_read_flows"](spark, data).count()
+    assert got == lint_queries.view(spark, data, "v_flow_edges").count()
+    files = [f"{path}/{f}" for f in os.listdir(path) if f.startswith("part-")]
+    text = spark.read.text(path).agg(F.sum(F.octet_length("value"))).first()[0]
+    assert sum(map(os.path.getsize, files)) < text / 4
+
+
 @pytest.mark.parametrize("turned", [False, True])
 def test_long_chains_are_walked_to_their_end(spark, turned):
     n = 500
