@@ -388,6 +388,34 @@ def test_streamed_matches_are_kept_in_blocks(spark, tmp_path, monkeypatch):
     assert sorted(tuple(r) for r in streams.drain(streams.match_stream(*sides)).collect()) == due
 
 
+def test_pairs_are_handed_on_wait_by_wait(spark):
+    """The first pair of a block is there before the block's other pairs are made."""
+    block = spark.createDataFrame([(list(range(50)), list(range(40)))], "wait_ids array<long>, event_ids array<long>")
+    one = streams.pairs(block).limit(1)
+    assert len(one.collect()) == 1
+    made, nodes = [], [one._jdf.queryExecution().executedPlan()]
+    while nodes:
+        node = nodes.pop()
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+        if node.nodeName() == "Generate":
+            made.append(node.metrics().apply("numOutputRows").value())
+    assert max(made) <= 50
+    assert sorted(tuple(r) for r in streams.pairs(block).collect()) == [(w, g) for w in range(50) for g in range(40)]
+
+
+def test_one_class_is_joined_by_several_tasks(spark, tmp_path, monkeypatch):
+    """Waits of any key and type are of one class, and take all signals."""
+    monkeypatch.setattr(streams, "BLOCK", 5)
+    sides = []
+    for name, n, schema in (("w", 7, "wait_id long, wait_key string, wait_type string"), ("s", 400, "event_id long, signal_key string, signal_type string")):
+        df = spark.createDataFrame([(i, "", "") for i in range(n)], schema)
+        df.write.parquet(str(tmp_path / name))
+        sides.append(spark.readStream.schema(df.schema).parquet(str(tmp_path / name)))
+    blocks = streams.drain(streams.match_blocks(*sides))
+    assert blocks.select(F.input_file_name()).distinct().count() > 3
+    assert sorted(tuple(r) for r in streams.spread_pairs(blocks).collect()) == [(w, g) for w in range(7) for g in range(400)]
+
+
 def shuffles(df):
     return df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
 
